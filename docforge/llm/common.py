@@ -3,15 +3,34 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once a context: they may not share the driver's folders."""
+    context = spark.sparkContext
+    if getattr(context, "_docforge_shipped", False):
+        return
+    home = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="docforge-ship-"))
+    with zipfile.ZipFile(to / "docforge_package.zip", "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    context.addPyFile(str(to / "docforge_package.zip"))
+    atexit.register(shutil.rmtree, to, ignore_errors=True)
+    context._docforge_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One whole table of ``sf_dir``; the path may be any that Spark reads."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,11 +60,20 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Shuffle files of a finished write are of no further use: its result stands in the shared folder.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/docforge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm.common import Forest, components, cut
@@ -174,18 +174,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("node").alias("a"), F.col("body").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("body").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    # both sides grow with the input: no broadcast, whatever their size now
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
 def _families(nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links inside each family (fam, node, n, comp), block against block.
 
-    A family's members, in order of size, go in blocks of ``block``; a block
-    meets those after it as far as sizes allow a link.  Members already joined
-    in one component are not compared.
+    A family's members of about one size go in blocks of some ``block``; a block
+    meets itself and those of its size and above as far as sizes allow a link.
+    Members already joined in one component are not compared.
     """
-    by_size = Window.partitionBy("fam").orderBy("n", "node")
-    put = nodes.withColumn("blk", F.floor((F.row_number().over(by_size) - 1) / block).cast("int"))
+    sized = nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.05))).cast("long"))
+    many = sized.groupBy("fam", "band").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
+    put = sized.join(many, ["fam", "band"]).withColumn("blk", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).drop("band", "parts")
     reach = put.groupBy("fam", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     later = reach.select("fam", F.col("blk").alias("blk2"), F.col("lo").alias("lo2"))
     meet = reach.join(later, "fam").where((F.col("blk2") >= F.col("blk")) & (F.col("lo2") * percent <= F.col("hi") * 100)).select("fam", "blk", "blk2")
@@ -226,19 +228,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
     member = cut(classes(cut(_sets(docs, words))))
     # repartition and sort so that a key's rows stream by; only pairs with a key's least node leave
     near = _keys(docs, words, percent).repartition("key").sortWithinPartitions("key", "node").mapInPandas(_stars, "a long, b long").distinct()
-    rep = member.select("doc_id", "rep")
-    near = near.join(rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-    near = cut(near.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    rep = member.select("doc_id", "rep", "n")
+    near = near.join(rep.toDF("a", "ra", "na"), "a").join(rep.toDF("b", "rb", "nb"), "b").where("ra <> rb")
+    near = cut(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fit")).distinct())
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"node": pdf["doc_id"], "body": [shingles(t, words).tobytes() for t in pdf["text"]]})
 
-    sets = cut(docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInPandas(bodies, "node long, body binary").dropDuplicates(["node"]))
-    links = cut(_verified(near, sets, percent))
+    sets = cut(docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi").mapInPandas(bodies, "node long, body binary").dropDuplicates(["node"]))
+    links = cut(_verified(near.where("fit").select("a", "b"), sets, percent))
     comp = components(links)
-    fam = components(near)
+    fam = components(near.select("a", "b"))
     size = sets.select("node", (F.length("body") / 8).cast("long").alias("n"))
     placed = fam.select(F.col("id").alias("node"), F.col("comp").alias("fam")).join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_fam = placed.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fam")

@@ -4,11 +4,12 @@ Shared by the byte and the word operator.  Each text names, for every window,
 one anchor: the least hash of the grams inside.  Equal windows name equal
 anchors, so a window whose anchor hash stands nowhere else cannot recur, and the
 windows of the others form one short piece an anchor.  Only pieces with a
-recurring anchor move, each identical piece once a task; they meet by anchor
-hash and are judged there by the operator's own method.
+recurring anchor matter; they meet by anchor hash and are judged there by the
+operator's own method.
 
-Work and shuffle are in proportion to the text.  Rows of one anchor stream
-through a task in sorted order: what is held at once is its distinct pieces.
+Work and shuffle are in proportion to the text.  Pieces that are equal are
+settled from their names alone; only differing pieces of one anchor hash move
+as symbols, one place each.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm.common import cut
-from docforge.llm.kernels import gram_hashes, winnow
+from docforge.llm.kernels import gram_hashes, mix64, winnow
 
-PIECE = "h long, rel int, sig long, doc_id long, start int, wins int, body binary"
+ANCHOR = "h long, sig long, doc_id long, place long"
+PIECE = "h long, rel int, doc_id long, start int, body binary"
+FOUND = "doc_id long, lo int, hi int, open boolean"
 RUNS = "doc_id long, lo int, hi int"
 
 
@@ -34,132 +37,135 @@ class Symbols:
         self.read, self.gram, self.window, self.dtype = read, gram, window, dtype
 
 
+def _names(keys: np.ndarray, sym: Symbols) -> tuple[np.ndarray, ...]:
+    """(anchor hash, name of its piece, first window, windows, anchor less first window) of a text's anchors.
+
+    Equal pieces hold equal windows at equal places, which their name sums up.
+    """
+    at, h, first, last = winnow(keys, sym.gram, sym.window)
+    if not len(at):
+        return h, h, first, last, at
+    wins, rel = last - first + 1, at - first
+    full = gram_hashes(keys, sym.window)
+    shape = mix64((wins * 65536 + rel).astype(np.uint64))
+    return h, np.add.reduceat(full, first) ^ shape, first, wins, rel
+
+
 def _anchors(docs: DataFrame, sym: Symbols) -> DataFrame:
+    """A row an anchor; ``place`` packs the first window and the number of windows."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, hs, ps = [], [], []
+            ids, hs, sigs, places = [], [], [], []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 if isinstance(text, str):
-                    at, h, _, _ = winnow(sym.read(text)[0], sym.gram, sym.window)
-                    if len(at):
-                        ids.append(np.full(len(at), doc, np.int64))
+                    h, sig, first, wins, _ = _names(sym.read(text)[0], sym)
+                    if len(h):
+                        ids.append(np.full(len(h), doc, np.int64))
                         hs.append(h.view(np.int64))
-                        ps.append(at.astype(np.int32))
+                        sigs.append(sig.view(np.int64))
+                        places.append(first.astype(np.int64) << 16 | wins)
             if ids:
-                yield pd.DataFrame({"h": np.concatenate(hs), "doc_id": np.concatenate(ids), "pos": np.concatenate(ps)})
+                yield pd.DataFrame({"h": np.concatenate(hs), "sig": np.concatenate(sigs), "doc_id": np.concatenate(ids), "place": np.concatenate(places)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "h long, doc_id long, pos int")
+    return docs.select("doc_id", "text").mapInPandas(run, ANCHOR)
 
 
-def _recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by h, those whose h stands in more than one row."""
-    last = None  # (h, doc_id, pos) of the row before, and whether its h was seen earlier
-    seen = False
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        h, doc, pos = (pdf[c].to_numpy() for c in ("h", "doc_id", "pos"))
-        if last is not None:
-            h, doc, pos = np.concatenate(([last[0]], h)), np.concatenate(([last[1]], doc)), np.concatenate(([last[2]], pos))
-        same = np.concatenate(([seen], h[1:] == h[:-1]))
-        twice = same | np.concatenate((same[1:], [False]))
-        last, seen = (h[-1], doc[-1], pos[-1]), bool(same[-1])
-        twice[-1] = False  # it waits for its follower
-        yield pd.DataFrame({"doc_id": doc[twice], "pos": pos[twice].astype(np.int32)})
-    if last is not None and seen:
-        yield pd.DataFrame({"doc_id": [last[1]], "pos": np.array([last[2]], np.int32)})
+def _sift(first_stays: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows sorted by (h, sig, doc_id, place) to what is known of their windows.
 
+    A piece that stands twice goes (but for its first place, if that stays);
+    pieces of one anchor hash that differ may still share windows: of each, the
+    first place is left open.  Held between batches: the last row's h and sig,
+    the first row of that sig, and the first row of that h while nothing is
+    known to differ from it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = first = lead = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            h, sig = pdf["h"].to_numpy(), pdf["sig"].to_numpy()
+            rows = pdf[["doc_id", "place"]].to_numpy()
+            new_h = np.concatenate(([last is None or h[0] != last[0]], h[1:] != h[:-1]))
+            new = new_h | np.concatenate(([last is None or sig[0] != last[1]], sig[1:] != sig[:-1]))
+            reps = np.flatnonzero(new)
+            gone, free = [rows[~new]], [rows[reps[~new_h[reps]]]]
+            free.append(rows[reps[:-1][new_h[reps[:-1]] & ~new_h[reps[1:]]]])
+            if lead is not None and len(reps) and not new_h[reps[0]]:
+                free.append(lead[None, :])
+                lead = None
+            if not first_stays:
+                gone.append(rows[reps[reps < len(rows) - 1][~new[reps[reps < len(rows) - 1] + 1]]])
+                if first is not None and not new[0]:
+                    gone.append(first[None, :])
+            if len(reps):
+                first = rows[reps[-1]] if reps[-1] == len(rows) - 1 else None
+            elif first is not None:
+                first = None
+            heads = np.flatnonzero(new_h)
+            if len(heads):
+                lead = None if (reps > heads[-1]).any() else rows[heads[-1]]
+            last = (h[-1], sig[-1])
+            for part, is_open in ((np.concatenate(gone), False), (np.concatenate(free), True)):
+                if len(part):
+                    lo = part[:, 1] >> 16
+                    yield pd.DataFrame({"doc_id": part[:, 0], "lo": lo.astype(np.int32), "hi": (lo + (part[:, 1] & 65535) - 1).astype(np.int32), "open": is_open})
+
+    return run
 
-def recurring_anchors(docs: DataFrame, sym: Symbols) -> DataFrame:
-    """(doc_id, at: positions) of the anchors that stand in more than one place."""
-    rows = _anchors(docs, sym).repartition("h").sortWithinPartitions("h").mapInPandas(_recurring, "doc_id long, pos int")
-    return rows.groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
 
+def _pieces(docs: DataFrame, asked: DataFrame, sym: Symbols) -> DataFrame:
+    """The pieces left open (``at``: their first windows), with their symbols."""
 
-def _pieces(docs: DataFrame, anchors: DataFrame, sym: Symbols) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent: set[tuple[int, int, int]] = set()
         for pdf in batches:
             rows = []
             for doc, text, wanted in zip(pdf["doc_id"], pdf["text"], pdf["at"], strict=True):
                 keys, body = sym.read(text)
-                at, h, first, last = winnow(keys, sym.gram, sym.window)
-                pick = np.flatnonzero(np.isin(at, np.asarray(wanted)))
-                if not len(pick):
-                    continue
-                grams = gram_hashes(keys, sym.window)
-                for i in pick:
-                    a, z = int(first[i]), int(last[i])
-                    # equal pieces hold equal windows: their chained hashes name the piece
-                    sig = (int(grams[a : z + 1].sum(dtype=np.uint64)) + (z - a) * 0x9E3779B97F4A7C15) & (1 << 64) - 1
-                    sig = sig - (1 << 64) if sig >> 63 else sig
-                    key = (int(h[i].view(np.int64)), int(at[i]) - a, sig)
-                    new = key not in sent
-                    if new:
-                        if len(sent) > 400_000:
-                            sent.clear()
-                        sent.add(key)
-                    rows.append((*key, doc, a, z - a + 1, body[a : z + sym.window].tobytes() if new else None))
+                h, _, first, wins, rel = _names(keys, sym)
+                for i in np.flatnonzero(np.isin(first, np.asarray(wanted))).tolist():
+                    a = int(first[i])
+                    rows.append((int(h[i].view(np.int64)), int(rel[i]), doc, a, body[a : a + int(wins[i]) - 1 + sym.window].tobytes()))
             if rows:
-                yield pd.DataFrame(rows, columns=["h", "rel", "sig", "doc_id", "start", "wins", "body"])
+                yield pd.DataFrame(rows, columns=["h", "rel", "doc_id", "start", "body"])
 
-    return docs.select("doc_id", "text").where("text is not null").join(anchors, "doc_id").mapInPandas(run, PIECE)
+    return docs.select("doc_id", "text").where("text is not null").join(asked, "doc_id").mapInPandas(run, PIECE)
 
 
 #: judge(texts, owners, starts) -> for each piece a boolean array: which of its windows go
 Judge = Callable[[list[np.ndarray], np.ndarray, np.ndarray], list[np.ndarray]]
 
 
-def _meet(sym: Symbols, judge: Judge, first_stays: bool, room: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows sorted by (h, rel, sig, doc_id, start) to the runs of windows that go."""
+def _meet(sym: Symbols, judge: Judge, room: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows sorted by h to the runs of windows that go; whole groups are judged some ``room`` bytes at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, int, int]] = []
-        pieces: list[tuple[int, int, np.ndarray]] = []  # distinct pieces that may share windows
-        size = 0
-
-        def settle() -> None:
-            nonlocal pieces, size
-            if pieces:
-                gone = judge([p[2] for p in pieces], np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64))
-                for (doc, start, _), mask in zip(pieces, gone, strict=True):
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                    out.extend((doc, start + int(a), start + int(z) - 1) for a, z in zip(edge[::2], edge[1::2], strict=True))
-            pieces, size = [], 0
-
-        group: list[list] = []  # of this h: [doc, start, wins, body, number of places]
-        key = None
-
-        def close() -> None:
-            nonlocal size
-            if len(group) > 1:
-                for doc, start, _, body, _ in group:
-                    pieces.append((doc, start, np.frombuffer(body, sym.dtype)))
-                    size += len(body)
-            if not first_stays:
-                out.extend((doc, start, start + wins - 1) for doc, start, wins, _, n in group if n > 1)
-            if size > room:
-                settle()
+        held: list[tuple[int, int, bytes]] = []
+        size, key = 0, None
+
+        def settle() -> pd.DataFrame:
+            nonlocal held, size
+            out = []
+            if held:
+                gone = judge([np.frombuffer(p[2], sym.dtype) for p in held], np.array([p[0] for p in held], np.int64), np.array([p[1] for p in held], np.int64))
+                for (doc, start, _), mask in zip(held, gone, strict=True):
+                    if mask.any():
+                        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+                        out.extend((doc, start + int(a), start + int(z) - 1) for a, z in zip(edge[::2], edge[1::2], strict=True))
+            held, size = [], 0
+            return pd.DataFrame(out, columns=["doc_id", "lo", "hi"])
 
         for pdf in batches:
-            for h, rel, sig, doc, start, wins, body in zip(*(pdf[c].tolist() for c in ("h", "rel", "sig", "doc_id", "start", "wins", "body")), strict=True):
-                if key is None or h != key[0]:
-                    close()
-                    group = []
-                if key != (h, rel, sig):
-                    key = (h, rel, sig)
-                    group.append([doc, start, wins, body, 1])
-                else:
-                    top = group[-1]
-                    top[4] += 1
-                    top[3] = body if top[3] is None else top[3]
-                    out.append((doc, start, start + wins - 1))
-            if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=["doc_id", "lo", "hi"])
-                out = []
-        close()
-        settle()
-        yield pd.DataFrame(out, columns=["doc_id", "lo", "hi"])
+            for h, doc, start, body in zip(*(pdf[c].tolist() for c in ("h", "doc_id", "start", "body")), strict=True):
+                if h != key:
+                    key = h
+                    if size > room:
+                        yield settle()
+                held.append((doc, start, body))
+                size += len(body)
+        yield settle()
 
     return run
 
@@ -170,9 +176,11 @@ def recurring_windows(docs: DataFrame, sym: Symbols, judge: Judge, first_stays:
     ``first_stays``: the first place (least doc_id, then start) of a window is
     not reported; otherwise every place of a window that stands twice is.
     """
-    anchors = recurring_anchors(docs, sym)
-    met = _pieces(docs, anchors, sym).repartition("h").sortWithinPartitions("h", "rel", "sig", "doc_id", "start")
-    runs = cut(met.mapInPandas(_meet(sym, judge, first_stays, room), RUNS))
+    sifted = _anchors(docs, sym).repartition("h").sortWithinPartitions("h", "sig", "doc_id", "place").mapInPandas(_sift(first_stays), FOUND)
+    found = cut(sifted)
+    asked = found.where("open").groupBy("doc_id").agg(F.collect_list("lo").alias("at"))
+    met = _pieces(docs, asked, sym).repartition("h").sortWithinPartitions("h").mapInPandas(_meet(sym, judge, room), RUNS)
+    runs = found.where("not open").select("doc_id", "lo", "hi").unionByName(cut(met))
     return runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 
