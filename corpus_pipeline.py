@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docforge.llm import exact, ngramjoin, packing, pii, toxicity
-from docforge.llm.common import cut, table
+from docforge.llm.common import cut, ship, table
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,11 +16,13 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text that is equal but for white space."""
+    ship(spark)
     return exact.drop_exact(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 0.8 or more."""
+    ship(spark)
     return ngramjoin.keep_one(docs, words=5, percent=80)
 
 
@@ -33,6 +35,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Every remaining document's ids, packed in sequences of 1024."""
     import public_tokenizers
 
+    ship(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
