@@ -1 +1 @@
-"""Document analytics on Spark."""
+"""Scalar functions over columns."""

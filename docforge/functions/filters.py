@@ -1,0 +1,49 @@
+"""Filter dictionaries and typed filter lists to column predicates."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+OPS = ("<", "<=", ">", ">=", "==", "!=", "contains")
+_TRUE = ("true", "yes", "y", "1")
+
+
+def metadata(filters: dict | None) -> Column:
+    """Conjunction of equality and membership; a missing key equals None."""
+    parts = [F.col(k).isin(list(v)) if isinstance(v, (list, tuple, set)) else F.col(k).eqNullSafe(F.lit(v)) for k, v in (filters or {}).items()]
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
+def _compare(c: Column, op: str, v: Column) -> Column:
+    return {"<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v, "==": c == v, "!=": c != v}[op]
+
+
+def typed(field: str, kind: str, op: str, value) -> Column:
+    """One filter by the field's kind; numbers are false on null for every operator."""
+    if op not in OPS:
+        raise ValueError(f"unknown operator {op!r}")
+    c = F.col(field)
+    if kind == "number":
+        return F.lit(False) if op == "contains" else F.coalesce(_compare(c, op, F.lit(float(value))), F.lit(False))
+    if kind == "boolean":
+        want = F.lit(value if isinstance(value, bool) else str(value).strip().lower() in _TRUE)
+        if op == "!=":
+            return ~c.eqNullSafe(want)
+        return c.eqNullSafe(want) if op in ("==", "contains") else F.lit(False)
+    text, want = F.lower(F.coalesce(c, F.lit(""))), F.lit(str(value).lower())
+    if op == "contains":
+        return F.contains(text, want)
+    return _compare(text, op, want) if op in ("==", "!=") else F.lit(False)
+
+
+def in_range(field: str, start: str | None, end: str | None) -> Column:
+    """Inclusive, open where a bound is None."""
+    c = F.col(field)
+    return (F.lit(True) if start is None else c >= F.lit(start)) & (F.lit(True) if end is None else c <= F.lit(end))
+
+
+def all_of(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, parts, F.lit(True))

@@ -1,4 +1,512 @@
-"""Registered queries and their SQL."""
+"""Registered queries, each with the DuckDB SQL of the same result."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docforge.functions import extract, filters
+from docforge.functions import text as T
+from docforge.operators import chunking, evaluate, relate, retrieve
+from docforge.operators.aggregate import aggregate
+from docforge.operators.store import content_hash
+from docforge.plans import resolver
+from docforge.sources.html import html_to_text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+_WORD = r"[\p{L}\p{N}_]"
+_WS = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
+_TOKEN = rf"(?s){_WS}*(?:{_WORD}+|[^\p{{L}}\p{{N}}_\s\x0B\x1c-\x1f\x{{85}}\p{{Z}}])"
+_TILES = f"""tiles AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}')) AS tile,
+  generate_subscripts(regexp_extract_all(text, '{_TOKEN}'), 1) - 1 AS pos FROM documents),
+tok AS (SELECT doc_id, pos, "end" - length(regexp_replace(tile, '^{_WS}+', '')) AS start, "end" FROM (
+  SELECT doc_id, pos, tile, sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS "end" FROM tiles))"""
+_WINS = f"""{_TILES}, cnt AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
+wins AS (SELECT doc_id, unnest(range(0, CASE WHEN n <= 400 THEN 1 ELSE 1 + ceil((n - 400) / 320.0)::BIGINT END)) AS win FROM cnt),
+fw AS (SELECT doc_id, win, min(start) AS start, max("end") AS "end", count(*) AS tokens
+  FROM wins JOIN tok USING (doc_id) WHERE pos >= win * 320 AND pos < win * 320 + 400 GROUP BY 1, 2)"""
+_BM25 = """toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents),
+tot AS (SELECT count(*) AS ndocs, avg(len(toks)) AS avgdl FROM toks),
+post AS (SELECT doc_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM toks) GROUP BY 1, 2),
+raws AS (SELECT term, count(*) AS df, ln(max(ndocs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, tot GROUP BY term),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws),
+q AS (SELECT item_id, term, count(*) AS qn FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY 1, 2),
+sc AS (SELECT item_id, doc_id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM q JOIN terms USING (term) JOIN post USING (term), tot GROUP BY 1, 2)"""
+
+
+def _bm25_top(k: int, where: str = "true", name: str = "top") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 10) DESC, doc_id) AS rank FROM (
+  SELECT item_id, doc_id, coalesce(score, 0) AS score FROM (SELECT item_id FROM benchmark) CROSS JOIN (SELECT doc_id FROM documents WHERE {where}) LEFT JOIN sc USING (item_id, doc_id))) WHERE rank <= {k})"""
+
+
+_GOLD = """hitdocs AS (SELECT item_id, doc_id, string_split(d.text, b.text) AS gaps, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+gold AS (SELECT item_id, doc_id, start, start + n AS "end" FROM (SELECT item_id, doc_id, n, unnest(list_transform(range(1, len(gaps)), lambda i: (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + (i - 1) * n)::BIGINT)) AS start FROM hitdocs))"""
+_HASHED = """words AS (SELECT {key}, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[,:]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS tok FROM {table}),
+cnts AS (SELECT {key}, tok, count(*) AS n FROM words GROUP BY 1, 2),
+codes AS (SELECT tok, list_reduce(list_transform(string_split(tok, ''), lambda c: unicode(c)::BIGINT), lambda a, c: (a * 31 + c) & 4294967295) % 1024 AS bucket FROM (SELECT DISTINCT tok FROM words))"""
+
+
+# --- tokens and chunks
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}'))::BIGINT AS tokens FROM documents")
+def token_counts(s, d):
+    return _t(s, d, "documents").select("doc_id", T.n_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f'WITH {_TILES} SELECT doc_id, count(*) AS n, sum(start)::BIGINT AS s, sum("end")::BIGINT AS e FROM tok GROUP BY 1')
+def token_offsets(s, d):
+    return T.token_offsets(_t(s, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("s"), F.sum("end").alias("e"))
+
+
+@query(f"WITH {_WINS} SELECT * FROM fw")
+def fixed_windows(s, d):
+    return chunking.fixed_windows(_t(s, d, "documents"))
+
+
+@query(f"WITH {_WINS} SELECT count(DISTINCT doc_id) AS docs, count(*) AS chunks, median(tokens)::DOUBLE AS median_tokens, max(tokens) AS max_tokens, count(*) FILTER (WHERE tokens > 254) AS over_limit FROM fw")
+def fixed_window_stats(s, d):
+    w = chunking.fixed_windows(_t(s, d, "documents"))
+    return w.agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("chunks"), F.median("tokens").alias("median_tokens"), F.max("tokens").alias("max_tokens"), F.count_if(F.col("tokens") > 254).alias("over_limit"))
+
+
+@query()
+def paragraph_sections(s, d):
+    return chunking.paragraph_sections(_t(s, d, "documents"))
+
+
+@query("SELECT doc_id, substring(sha256(coalesce(text, '') || chr(31) || coalesce(lang, '')), 1, 16) AS hash FROM documents")
+def content_hashes(s, d):
+    return _t(s, d, "documents").select("doc_id", content_hash(F.col("text"), F.col("lang")).alias("hash"))
+
+
+_MUT = """old AS (SELECT doc_id, md5(text) AS hash FROM documents WHERE doc_id % 7 <> 0),
+new AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN md5(text || '!') ELSE md5(text) END AS hash FROM documents WHERE doc_id % 5 <> 0),
+diffs AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.hash IS NULL THEN 'new' WHEN n.hash IS NULL THEN 'removed' WHEN o.hash = n.hash THEN 'unchanged' ELSE 'changed' END AS change
+  FROM old o FULL JOIN new n ON o.doc_id = n.doc_id)"""
+
+
+def _mutated(s, d):
+    docs = _t(s, d, "documents")
+    old = docs.where("doc_id % 7 <> 0").select("doc_id", F.md5("text").alias("hash"))
+    new = docs.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("hash"))
+    return relate.diff(old, new)
+
+
+@query(f"WITH {_MUT} SELECT * FROM diffs")
+def index_diff(s, d):
+    return _mutated(s, d)
+
+
+@query(f"WITH {_MUT} SELECT change, count(*) AS n FROM diffs GROUP BY 1")
+def index_status(s, d):
+    return _mutated(s, d).groupBy("change").agg(F.count("*").alias("n"))
+
+
+# --- retrieval and evaluation
+
+
+@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
+def bm25_idf(s, d):
+    return retrieve.bm25_stats(_t(s, d, "documents"))[1].select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_BM25} SELECT ndocs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS vocabulary FROM tot")
+def bm25_stats(s, d):
+    _, terms, totals = retrieve.bm25_stats(_t(s, d, "documents"))
+    return totals.crossJoin(terms.agg(F.count("*").alias("vocabulary"))).select("ndocs", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
+
+
+@query(f"WITH {_BM25}, {_bm25_top(10)} SELECT item_id, doc_id, rank, round(score, 4) AS score FROM top")
+def bm25_topk(s, d):
+    return retrieve.bm25_top_k(_t(s, d, "documents"), _t(s, d, "benchmark"), 10).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_BM25}, {_bm25_top(10, chr(34) + 'source' + chr(34) + chr(61) + chr(39) + 'src3' + chr(39))} SELECT item_id, doc_id, rank, round(score, 4) AS score FROM top")
+def bm25_topk_filtered(s, d):
+    return retrieve.bm25_top_k(_t(s, d, "documents"), _t(s, d, "benchmark"), 10, filters.metadata({"source": "src3"})).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_HASHED.format(key='doc_id', table='documents')} SELECT doc_id, bucket, sum(n)::BIGINT AS cnt FROM cnts JOIN codes USING (tok) GROUP BY 1, 2")
+def hash_bucket(s, d):
+    return retrieve.hash_buckets(_t(s, d, "documents"))
+
+
+_HTOP = (
+    "WITH "
+    + _HASHED.format(key="doc_id", table="documents")
+    + ", dv AS (SELECT doc_id, bucket, sum(n) AS cnt FROM cnts JOIN codes USING (tok) GROUP BY 1, 2), dn AS (SELECT doc_id, sqrt(sum(cnt * cnt)) AS norm FROM dv GROUP BY 1), "
+    + _HASHED.format(key="item_id", table="benchmark").replace("words", "qwords").replace("cnts", "qcnts").replace("codes", "qcodes")
+    + ", qv AS (SELECT item_id, bucket, sum(n) AS cnt FROM qcnts JOIN qcodes USING (tok) GROUP BY 1, 2), qn AS (SELECT item_id, sqrt(sum(cnt * cnt)) AS norm FROM qv GROUP BY 1), "
+    + "hs AS (SELECT item_id, doc_id, sum(qv.cnt * dv.cnt) / max(qn.norm * dn.norm) AS score FROM qv JOIN qn USING (item_id) JOIN dv USING (bucket) JOIN dn USING (doc_id) GROUP BY 1, 2), "
+    + "ht AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 10) DESC, doc_id) AS rank FROM hs) WHERE rank <= {k})"
+)
+
+
+@query(_HTOP.format(k=10) + " SELECT item_id, doc_id, rank, round(score, 4) AS score FROM ht")
+def hash_embed_topk(s, d):
+    hits = retrieve.top_k(retrieve.hash_scores(_t(s, d, "documents"), _t(s, d, "benchmark")), 10)
+    return hits.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+_DENSE = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+sc AS (SELECT q.vec_id AS item_id, v.vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score
+  FROM v AS q, v WHERE q.vec_id % 50 = 0 AND {where})
+SELECT item_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 10) DESC, vec_id) AS rank FROM sc) WHERE rank <= 10"""
+
+
+def _dense(s, d, allowed=None):
+    v = _t(s, d, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qvec"))
+    hits = retrieve.dense_top_k(v if allowed is None else v.where(allowed), q, 10)
+    return hits.select("item_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(_DENSE.format(where="true"))
+def dense_topk(s, d):
+    return _dense(s, d)
+
+
+@query(_DENSE.format(where="v.label IN (1, 3)"))
+def dense_topk_filtered(s, d):
+    return _dense(s, d, filters.metadata({"label": [1, 3]}))
+
+
+_RRF = (
+    _HTOP.format(k=20)
+    + f", {_BM25}, {_bm25_top(20)}, fused AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM ht) GROUP BY 1, 2), "
+    "fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fused)"
+)
+
+
+@query(_RRF + " SELECT item_id, doc_id, rank, score FROM fr WHERE rank <= 5")
+def hybrid_topk(s, d):
+    return retrieve.search(_t(s, d, "documents"), _t(s, d, "benchmark"), 5, "hybrid").select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(
+    f"""WITH {_BM25}, {_bm25_top(20)},
+ds AS (SELECT item_id, doc_id, rank, unnest(list_distinct(toks)) AS term FROM top JOIN toks USING (doc_id)),
+qs AS (SELECT item_id, term, count(*) OVER (PARTITION BY item_id) AS qn FROM q),
+both_ AS (SELECT * FROM ds JOIN qs USING (item_id, term)),
+dfs AS (SELECT item_id, term, count(*) AS df FROM both_ GROUP BY 1, 2),
+rs AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (1 + df) / qn) AS sc2 FROM both_ JOIN dfs USING (item_id, term) GROUP BY 1, 2),
+al AS (SELECT item_id, doc_id, top.rank AS dense_rank, round(coalesce(sc2, 0), 4) AS rerank_score FROM top LEFT JOIN rs USING (item_id, doc_id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, dense_rank) AS rank FROM al) WHERE rank <= 5"""
+)
+def lexical_rerank(s, d):
+    docs, items = _t(s, d, "documents"), _t(s, d, "benchmark")
+    hits = retrieve.lexical_rerank(retrieve.bm25_top_k(docs, items, 20), docs, items, 5)
+    return hits.select("item_id", "doc_id", F.col("dense_rank").cast("long").alias("dense_rank"), "rerank_score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_GOLD} SELECT * FROM gold")
+def phrase_find(s, d):
+    return evaluate.gold_spans(_t(s, d, "documents"), _t(s, d, "benchmark"))
+
+
+@query(f"WITH {_GOLD} SELECT item_id, g.doc_id, start, substring(text, greatest(start - 60, 0) + 1, start - greatest(start - 60, 0) + (\"end\" - start) + 60) AS context FROM gold g JOIN documents USING (doc_id)")
+def kwic(s, d):
+    docs = _t(s, d, "documents")
+    g = evaluate.gold_spans(docs, _t(s, d, "benchmark")).join(docs.select("doc_id", "text"), "doc_id")
+    return g.select("item_id", "doc_id", "start", T.keyword_in_context(F.col("text"), F.col("start"), F.col("end") - F.col("start")).alias("context"))
+
+
+_EVAL = f"""WITH {_BM25}, {_bm25_top(10)}, {_GOLD},
+hits AS (SELECT item_id, doc_id, rank, 0 AS hs, length(text) AS he FROM top JOIN documents USING (doc_id)),
+best AS (SELECT g.item_id, g.doc_id, start, "end", min(CASE WHEN hs < "end" AND start < he THEN rank END) AS r FROM gold g LEFT JOIN hits h ON g.item_id = h.item_id AND g.doc_id = h.doc_id GROUP BY 1, 2, 3, 4),
+ev AS (SELECT item_id, round(avg(CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_3, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_5,
+  round(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_10, round(coalesce(1.0::DOUBLE / min(r), 0), 4) AS mrr FROM best GROUP BY 1)"""
+
+
+def _eval_rows(s, d):
+    docs, items = _t(s, d, "documents"), _t(s, d, "benchmark")
+    hits = retrieve.bm25_top_k(docs, items, 10).join(docs.select("doc_id", F.lit(0).alias("start"), F.char_length("text").alias("end")), "doc_id")
+    return evaluate.score(hits, evaluate.gold_spans(docs, items))
+
+
+@query(_EVAL + " SELECT * FROM ev")
+def recall_mrr_corpus(s, d):
+    return _eval_rows(s, d)
+
+
+@query(_EVAL + " SELECT count(*) AS n, round(avg(recall_3), 4) AS recall_3, round(avg(recall_5), 4) AS recall_5, round(avg(recall_10), 4) AS recall_10, round(avg(mrr), 4) AS mrr FROM ev")
+def eval_summary(s, d):
+    return evaluate.summarise(_eval_rows(s, d))
+
+
+# --- filters and aggregates
+
+_KINDS = {"event_type": "text", "value": "number", "user_id": "number"}
+
+
+@query("SELECT event_id, value FROM events WHERE coalesce(value > 50, false) AND lower(event_type) <> 'click'")
+def filter_typed_ops(s, d):
+    return _t(s, d, "events").where(filters.all_of([filters.typed("value", "number", ">", 50), filters.typed("event_type", "text", "!=", "Click")])).select("event_id", "value")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority IS NOT DISTINCT FROM '1-URGENT'")
+def filter_in(s, d):
+    return _t(s, d, "orders").where(filters.metadata({"o_orderstatus": ["F", "P"], "o_orderpriority": "1-URGENT"})).select("o_orderkey")
+
+
+@query("SELECT i AS id FROM (VALUES (1, NULL, NULL, NULL), (2, 5.0, 'Abc', true), (3, 7.0, '', false)) t(i, num, txt, flag) WHERE NOT coalesce(num <> 5, false) AND flag IS DISTINCT FROM false")
+def filter_null_semantics(s, d):
+    rows = s.createDataFrame([(1, None, None, None), (2, 5.0, "Abc", True), (3, 7.0, "", False)], "id int, num double, txt string, flag boolean")
+    return rows.where(~filters.typed("num", "number", "!=", 5) & filters.typed("flag", "boolean", "!=", "no")).select("id")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
+def date_range_filter(s, d):
+    return _t(s, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).where(filters.in_range("day", "2024-01-05", "2024-01-09")).select("event_id", "day")
+
+
+def _agg(stat: str, sql: str):
+    def run(s, d):
+        out = aggregate(_t(s, d, "events"), stat, None if stat == "count" else "value", "event_type")
+        return out.select("name", "n", F.round("value", 4).alias("value"))
+
+    run.__name__ = f"agg_{stat}"
+    query(f"SELECT event_type AS name, count(*) AS n, round({sql}::DOUBLE, 4) AS value FROM events GROUP BY 1")(run)
+
+
+for _stat, _sql in (("mean", "avg(value)"), ("median", "median(value)"), ("min", "min(value)"), ("max", "max(value)"), ("count", "count(*)")):
+    _agg(_stat, _sql)
+
+
+@query("SELECT CASE WHEN value > 90 THEN 'match' ELSE 'all other days' END AS name, count(*) AS n, round(max(value), 4) AS value FROM events GROUP BY 1")
+def agg_match_split(s, d):
+    return aggregate(_t(s, d, "events"), "max", "value", match=filters.typed("value", "number", ">", 90)).select("name", "n", F.round("value", 4).alias("value"))
+
+
+@query("SELECT event_type AS name, count(*) AS n, round(avg(value), 4) AS value FROM events WHERE value >= 20 AND ts::DATE BETWEEN DATE '2024-01-17' AND DATE '2024-01-30' GROUP BY 1")
+def plan_route(s, d):
+    decision = {"kind": "aggregate", "date_phrase": "last 2 weeks", "filters": [{"field": "value", "op": ">=", "value": 20}, {"field": "nope", "op": "==", "value": 1}], "aggregate": {"metric": "value", "group_by": "event_type"}}
+    plan = resolver.resolve(decision, _KINDS, dt.date(2024, 1, 30))
+    days = _t(s, d, "events").withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
+    return resolver.gather(plan, days, _KINDS).select("name", "n", F.round("value", 4).alias("value"))
+
+
+@query("SELECT p_brand, count(*) FILTER (WHERE p_size < 10) AS small, count(*) FILTER (WHERE p_size BETWEEN 10 AND 29) AS medium, count(*) FILTER (WHERE p_size >= 30) AS large FROM part GROUP BY 1")
+def status_pivot(s, d):
+    kind = F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium").otherwise("large")
+    return _t(s, d, "part").groupBy("p_brand").agg(*(F.count_if(kind == k).alias(k) for k in ("small", "medium", "large")))
+
+
+@query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r <= 2")
+def topk_per_group(s, d):
+    n = _t(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).where("r <= 2").drop("r")
+
+
+@query("SELECT o_orderstatus AS value, count(*) AS n, min(o_orderkey) AS first_seen FROM orders GROUP BY 1")
+def most_common(s, d):
+    return _t(s, d, "orders").groupBy(F.col("o_orderstatus").alias("value")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_seen"))
+
+
+@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS value, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN 'parsed' ELSE 'unparsed' END AS status FROM orders GROUP BY 1")
+def distinct_single_value(s, d):
+    got = _t(s, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("v"))
+    one = extract.single(F.col("v"))
+    return got.select("o_custkey", one["value"].alias("value"), one["status"].alias("status"))
+
+
+# --- joins and picks
+
+_KEYS = "SELECT p_partkey AS cik, p_name AS name, lower(p_name) AS key FROM part"
+
+
+def _names(s, d):
+    return _t(s, d, "part").select(F.col("p_partkey").alias("cik"), F.col("p_name").alias("name"), F.lower("p_name").alias("key"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(string_split(trim(regexp_replace(replace(lower(p_name), '.', ''), '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('the', 'a', 'group', 'co', 'inc', 'company')), ' ') AS key FROM part")
+def name_key(s, d):
+    return _t(s, d, "part").select("p_partkey", T.name_key(F.col("p_name")).alias("key"))
+
+
+@query(f"WITH k AS ({_KEYS}), u AS (SELECT key, count(DISTINCT cik) AS n, min(cik) AS cik FROM k GROUP BY 1) SELECT k.cik AS id, u.cik FROM k JOIN u USING (key) WHERE n = 1")
+def name_exact_unique(s, d):
+    names = _names(s, d)
+    return relate.exact_match(names.select(F.col("cik").alias("id"), "key"), names).select("id", "cik")
+
+
+@query(f"WITH k AS ({_KEYS}), u AS (SELECT key FROM k GROUP BY 1 HAVING count(DISTINCT cik) > 1) SELECT DISTINCT key, cik FROM k JOIN u USING (key)")
+def name_ambiguous(s, d):
+    names = _names(s, d)
+    return relate.ambiguous_match(names.select("key").distinct(), names).select("key", "cik")
+
+
+@query()
+def name_fuzzy_block(s, d):
+    names = _names(s, d).groupBy("key").agg(F.min("cik").alias("cik"), F.min("name").alias("name"))
+    left = names.select(F.concat("key", F.lit("s")).alias("key")).distinct()
+    return relate.fuzzy_match(left, names).select("key", "other", "cik", "score")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS sd FROM lineitem)
+SELECT o_orderkey, l_linenumber, gap_days FROM (SELECT o_orderkey, l_linenumber, date_diff('day', o_orderdate::DATE, sd) AS gap_days,
+  row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(date_diff('day', o_orderdate::DATE, sd)), sd DESC, l_linenumber) AS r
+  FROM orders JOIN c ON o_orderkey = l_orderkey) WHERE r = 1"""
+)
+def asof_nearest(s, d):
+    o = _t(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("od"))
+    li = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.to_date("l_shipdate").alias("sd"))
+    return relate.nearest(o, li, "o_orderkey", "od", "sd", ["l_linenumber"]).select("o_orderkey", "l_linenumber", F.col("gap_days").cast("long").alias("gap_days"))
+
+
+@query(
+    """WITH f AS (SELECT user_id AS cik, ts::DATE AS day, event_type FROM events),
+q AS (SELECT o_orderkey AS id, o_custkey AS cik, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE DATE '2024-01-01' + (o_orderkey % 30)::INT END AS day, 'click' AS form FROM orders),
+j AS (SELECT id, any_value(q.day) AS day, count(event_type) AS c, count(*) FILTER (WHERE event_type = form) AS m FROM q LEFT JOIN f ON q.cik = f.cik AND q.day = f.day GROUP BY id),
+k AS (SELECT id, day, CASE WHEN m > 0 THEN m ELSE c END AS n FROM j)
+SELECT id, CASE WHEN day IS NULL THEN 'no_date' WHEN n = 0 THEN 'not_found' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, n FROM k"""
+)
+def parent_match_status(s, d):
+    right = _t(s, d, "events").select(F.col("user_id").alias("cik"), F.to_date("ts").alias("day"), F.col("event_type").alias("other_form"))
+    day = F.when(F.col("o_orderkey") % 9 != 0, F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("o_orderkey") % 30).cast("int")))
+    left = _t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cik"), day.alias("day"), F.lit("click").alias("form"))
+    return relate.same_day_status(left, right)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_shipdate DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def priority_dedup(s, d):
+    rank = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    return relate.priority_pick(_t(s, d, "lineitem"), ["l_orderkey"], [rank, F.desc("l_shipdate"), "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query(
+    """WITH t AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_acctbal > 5000 THEN 0 WHEN c_acctbal > 0 THEN 1 ELSE 2 END AS tier FROM customer),
+k AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY tier, md5(c_custkey::VARCHAR)) AS r FROM t)
+SELECT c_custkey, c_mktsegment, tier FROM k WHERE r <= 15 ORDER BY tier, md5(c_custkey::VARCHAR) LIMIT 60"""
+)
+def tiered_capped_selection(s, d):
+    tier = F.when(F.col("c_acctbal") > 5000, 0).when(F.col("c_acctbal") > 0, 1).otherwise(2)
+    return relate.capped_selection(_t(s, d, "customer").select("c_custkey", "c_mktsegment", tier.alias("tier")), "c_custkey", "c_mktsegment", "tier", 15, 60)
+
+
+@query("SELECT c_custkey AS id, coalesce(min(s_suppkey), -1) AS first_supplier FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
+def ordered_first_resolved(s, d):
+    j = _t(s, d, "customer").join(_t(s, d, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"), "left")
+    return j.groupBy(F.col("c_custkey").alias("id")).agg(F.coalesce(F.min("s_suppkey"), F.lit(-1)).alias("first_supplier"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def semi_join(s, d):
+    return _t(s, d, "orders").join(_t(s, d, "customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join(s, d):
+    return _t(s, d, "customer").join(_t(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT 'document' AS kind, doc_id AS id FROM documents UNION ALL SELECT 'page', page_id FROM pages UNION ALL SELECT 'item', item_id FROM benchmark")
+def union_docs(s, d):
+    parts = [_t(s, d, t).select(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, t, c in (("document", "documents", "doc_id"), ("page", "pages", "page_id"), ("item", "benchmark", "item_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT user_id, list_sort(list_distinct(list(event_type))) = ['click', 'purchase', 'view'] AS same FROM events GROUP BY 1")
+def exact_set_match(s, d):
+    got = _t(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("v"))
+    return got.select("user_id", (F.col("v") == F.array(*map(F.lit, ("click", "purchase", "view")))).alias("same"))
+
+
+# --- extraction
+
+_FIXTURES = ["Dated March 3, 2019 for ninety (90) days under the laws of the State of New York", "the 1s t day of June 2020, 2/30/2021 and 4/5/2021; 2 years", "English law; 2018-11-09 and 2018-11-09; thirty-one calendar days", "Nothing here ____ 20__", "Signed Sept. 9, 2001, one year"]
+
+
+@query(
+    """SELECT * FROM (VALUES (0, '2019-03-03', '90 days', 'New York'), (1, '2020-06-01,2021-04-05', '2 years', NULL), (2, '2018-11-09', '31 days', 'England'), (3, '', '', NULL), (4, '2001-09-09', '1 year', NULL)) t(id, dates, durations, place)"""
+)
+def extraction(s, d):
+    rows = s.createDataFrame(list(enumerate(_FIXTURES)), "id int, text string")
+    return rows.select("id", F.array_join(extract.dates_in(F.col("text")), ",").alias("dates"), F.array_join(extract.durations_in(F.col("text")), ",").alias("durations"), extract.jurisdiction_in(F.col("text")).alias("place"))
+
+
+@query("SELECT * FROM (VALUES ('ACME_20190304_10-K_EX-10.2_EX-10.2_License', 'ACME', '2019-03-04', '10-K', '10.2', 'long'), ('ACME_03_04_2019-EX-10.1-Supply', 'ACME', '2019-03-04', NULL, '10.1', 'short'), ('Acme Ltd - Agency', 'Acme Ltd', NULL, NULL, NULL, 'named'), ('x', NULL, NULL, NULL, NULL, 'other')) t(title, filer, filing_date, form, exhibit, format)")
+def title_parse(s, d):
+    rows = s.createDataFrame([(t,) for t in ("ACME_20190304_10-K_EX-10.2_EX-10.2_License", "ACME_03_04_2019-EX-10.1-Supply", "Acme Ltd - Agency", "x")], "title string")
+    return rows.select("title", extract.parse_title(F.col("title")).alias("p")).select("title", "p.*")
+
+
+@query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'standard') THEN 1 ELSE 0 END AS std, upper(p_type) AS t FROM part")
+def type_priority(s, d):
+    return _t(s, d, "part").select("p_partkey", F.contains(F.lower("p_type"), F.lit("standard")).cast("int").alias("std"), F.upper("p_type").alias("t"))
+
+
+@query("SELECT event_id, regexp_extract(props, '[0-9]+') AS n FROM events")
+def numbers_in(s, d):
+    return _t(s, d, "events").select("event_id", F.try_element_at(T.numbers_in(F.col("props")), F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES (1, 'native'), (2, 'recovered'), (3, 'recovered'), (4, 'failed: cut off'), (5, 'failed: not JSON')) t(id, path)")
+def json_recover(s, d):
+    raws = [(1, '{"a": 1}', "end"), (2, 'so\n```json\n{"a": 2}\n```', "end"), (3, 'x {"a": 3} y', "end"), (4, '{"a": ', "max_tokens"), (5, "no", "end")]
+    rows = s.createDataFrame(raws, "id int, raw string, stop string")
+    return rows.select("id", T.recover_json(F.col("raw"), F.col("stop"))[1].alias("path"))
+
+
+@query("SELECT * FROM (VALUES (1, ''), (2, 'cited but not retrieved: d9'), (3, 'number without evidence: 7.5')) t(id, problems)")
+def answer_validate(s, d):
+    rows = [(1, "It was 5.0 on 2024-01-02", ["d1"], ["d1", "d2"], "how many?", ["value 5"]), (2, "It was 5", ["d9"], ["d1"], "?", ["5"]), (3, "About +7.50", ["d1"], ["d1"], "?", ["value 1,000"])]
+    df = s.createDataFrame(rows, "id int, answer string, cited array<string>, retrieved array<string>, question string, evidence array<string>")
+    return df.select("id", F.array_join(resolver.violations("answer", "cited", "retrieved", "question", "evidence"), "; ").alias("problems"))
+
+
+@query(
+    "SELECT * FROM (VALUES ('today', '2024-03-15', '2024-03-15'), ('last week', '2024-03-04', '2024-03-10'), ('in the last 2 months', '2024-01-16', '2024-03-15'), ('second half of February', '2024-02-16', '2024-02-29'), ('April', '2023-04-01', '2023-04-30'), ('blue', NULL, NULL)) t(phrase, lo, hi)"
+)
+def date_phrase_ranges(s, d):
+    today = dt.date(2024, 3, 15)
+    rows = []
+    for p in ("today", "last week", "in the last 2 months", "second half of February", "April", "blue"):
+        r = resolver.resolve_phrase(p, today)
+        rows.append((p, r[0].isoformat() if r else None, r[1].isoformat() if r else None))
+    return s.createDataFrame(rows, "phrase string, lo string, hi string")
+
+
+def _html_sql() -> str:
+    from docforge.sources.html import BLOCKS, ENTITIES
+
+    out = "html"
+    for tag in ("script", "style"):
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
+    out = f"regexp_replace({out}, '(?s)<!--.*?-->', '', 'g')"
+    out = f"regexp_replace({out}, '(?i)</?({'|'.join(BLOCKS)})\\b[^>]*>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '(?s)<[^>]*>', '', 'g')"
+    for name, char in ENTITIES.items():
+        out = f"replace({out}, '{name.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+    out = f"regexp_replace(replace({out}, chr(160), ' '), '[ \\t\\r\\f]+', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"SELECT page_id, trim({out}, ' ') AS text FROM pages"
+
+
+@query(_html_sql())
+def html_text(s, d):
+    return _t(s, d, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
