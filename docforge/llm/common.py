@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -111,6 +111,13 @@ def components(edges: DataFrame) -> DataFrame:
     return tops.union(tops.select(F.col("comp").alias("id"), "comp").distinct())
 
 
+def least_rows(df: DataFrame, by: str, order: list[str], n: int, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each value of ``by`` in ``order``, first within salts, so no value fills a task."""
+    salted = df.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    near = salted.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_s").orderBy(*order))).where(F.col("_r") <= n)
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= n).drop("_r", "_s")
+
+
 class Forest:
     """Union-find over small integers, least root first."""
 

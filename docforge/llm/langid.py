@@ -18,9 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docforge.llm.common import least_rows
+
 STEP = 64
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -149,8 +151,7 @@ def windows(texts: list[bytes], step: int = STEP) -> tuple[np.ndarray, np.ndarra
 def train(docs: DataFrame, per_lang: int = 400, per_text: int = 4, hidden: int = 8, steps: int = 260, seed: int = 5) -> ByteGru | None:
     """Fit on at most ``per_lang`` labelled texts of each language, those with the least hash of doc_id."""
     known = docs.where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = known.withColumn("r", rank).where(F.col("r") <= per_lang).select(F.col("doc_id").alias("_id"))
+    ids = least_rows(known, "lang", ["h", "doc_id"], per_lang).select(F.col("doc_id").alias("_id"))
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").where("text is not null and lang is not null").collect()
     rows = sorted((r for r in rows if _LETTER.search(r["text"])), key=lambda r: r["doc_id"])
     langs = sorted({r["lang"] for r in rows})

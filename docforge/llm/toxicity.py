@@ -24,9 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docforge.llm.common import least_rows
+
 _QUOTE = re.compile(r"[\"“”„«»‘]|\b(?:said|says|wrote|quoted|called|sagte|schrieb|nannte|dit|écrit|appelé|dijo|escribió|llamó)\b", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+")
 EXACT, FUZZY, STEM = 1, 2, 3
@@ -188,12 +190,21 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def lexicon(texts: list[str], y: list[int], support: float = 0.01, stem_support: float = 0.03, purity: float = 0.97) -> tuple[list[str], list[str]]:
+def lexicon(texts: list[str], y: list[int], support: float = 0.006, stem_support: float = 0.03, purity: float = 0.97) -> tuple[list[str], list[str]]:
     """Words and stems that stand in toxic texts and hardly elsewhere.
 
     Greedy: the term that adds most texts not yet explained comes first, so
     words that only share a copied text with a term are not taken.
     """
+    # copies and near-copies of one text speak once: they begin or end alike
+    seen: set[str] = set()
+    single = []
+    for i, text in enumerate(texts):
+        ends = {"<" + text[:40], ">" + text[-40:]}
+        if not ends & seen:
+            single.append(i)
+        seen |= ends
+    texts, y = [texts[i] for i in single], [y[i] for i in single]
     has: dict[str, set[int]] = defaultdict(set)
     clean: Counter = Counter()
     toxic = [i for i, v in enumerate(y) if v]
@@ -206,11 +217,13 @@ def lexicon(texts: list[str], y: list[int], support: float = 0.01, stem_support:
                 has[t].add(i)
         else:
             clean.update(terms)
+    # by chance alone no term of so many would stand in this many toxic texts only
+    least_hits = (math.log(len(has) + 1) + 2) / max(0.1, math.log(len(y) / max(1, len(toxic))))
     pure: dict[str, set[int]] = {}
     for t, at in has.items():
         least = (stem_support if t.endswith("*") else support) * len(toxic)
         hit, miss = len(at) / max(1, len(toxic)), clean[t] / n_clean
-        if len(at) >= max(3, least) and hit / (hit + miss) >= purity:
+        if len(at) >= max(3, least, least_hits) and hit / (hit + miss) >= purity:
             pure[t] = at
     taken: list[str] = []
     # a stem stands for its words where it reaches many more texts than any of them
@@ -233,8 +246,7 @@ def lexicon(texts: list[str], y: list[int], support: float = 0.01, stem_support:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
     """Learn from at most ``per_class`` labelled texts of each label, those with the least hash of doc_id."""
     rows = labels.where("toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).dropDuplicates(["doc_id"])
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
-    pick = rows.withColumn("r", rank).where(F.col("r") <= per_class).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y"))
+    pick = least_rows(rows, "toxic", ["h", "doc_id"], per_class).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y"))
     got = docs.select("doc_id", "text").join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y").collect()
     share = labels.where("toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").agg(F.avg("toxic"), F.count("*")).first()
     base = float(share[0] or 0.0)
