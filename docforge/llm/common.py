@@ -3,29 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once a context: they may not share the driver's folders."""
-    context = spark.sparkContext
-    if getattr(context, "_docforge_shipped", False):
-        return
-    home = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="docforge-ship-"))
-    with zipfile.ZipFile(to / "docforge_package.zip", "w") as z:
-        for p in sorted(home.rglob("*.py")):
-            z.write(p, p.relative_to(home.parent))
-    context.addPyFile(str(to / "docforge_package.zip"))
-    atexit.register(shutil.rmtree, to, ignore_errors=True)
-    context._docforge_shipped = True
+from docforge.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

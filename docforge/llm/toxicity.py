@@ -162,27 +162,33 @@ class Model:
     def __init__(self, words: list[str], stems: list[str], base: float):
         self.words, self.stems = words, stems
         self.matcher = Matcher(words, stems)
-        self.w = np.array([math.log(max(base, 1e-3) / max(1 - base, 1e-3)), 0.0, 0.0, 0.0])
+        self.w = np.array([math.log(max(base, 1e-3) / max(1 - base, 1e-3)), *[0.0] * 5])
 
     def features(self, text: str) -> np.ndarray:
-        """1, and the log of the hits by kind; a quoted hit counts a quarter."""
+        """1; whether words hit, and how often; whether misspelt words do; the same of stems.
+
+        A quoted hit counts a quarter.
+        """
         sums = [0.0, 0.0, 0.0]
         low = text.lower()
         for kind, a, b in self.matcher.hits(text):
             sums[kind - 1] += 0.25 if quoted(low, a, b) else 1.0
-        return np.array([1.0, *(min(3.0, math.log1p(s)) for s in sums)])
+        exact, fuzzy, stem = sums
+        return np.array([1.0, min(1.0, exact), min(3.0, math.log1p(exact)), min(1.0, fuzzy), min(1.0, stem), min(3.0, math.log1p(stem))])
 
     def fit(self, texts: list[str], y: np.ndarray, weight: np.ndarray) -> None:
         x = np.array([self.features(t) for t in texts])
         w = self.w
         for _ in range(60):  # Newton steps of a lightly damped logistic fit
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (weight * (p - y)) + 0.05 * w
-            h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
-            step = np.linalg.solve(h, g)
+            g = x.T @ (weight * (p - y)) + 0.02 * w
+            h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.02 * np.eye(len(w))
+            step = np.clip(np.linalg.solve(h, g), -1.0, 1.0)
             w = w - step
             if np.abs(step).max() < 1e-6:
                 break
+        if not x[:, 3].any():  # no misspelt term in either class: weaker than the term itself
+            w[3] = 0.8 * (w[1] + w[2] * math.log(2))
         self.w = w
 
     def score(self, text: str) -> float:
