@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def unique_keys(names: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def ambiguous_match(left: DataFrame, names: DataFrame) -> DataFrame:
     return left.join(names.join(many, "key", "left_semi").select("key", "cik").distinct(), "key")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 

@@ -14,6 +14,7 @@ from docforge.operators import chunking, evaluate, relate, retrieve
 from docforge.operators.aggregate import aggregate
 from docforge.operators.store import content_hash
 from docforge.plans import resolver
+from docforge.session import ship
 from docforge.sources.html import html_to_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,7 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
