@@ -94,6 +94,27 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
+def sketch(h: np.ndarray, most: int = 1 << 20) -> bytes:
+    """Odd sketch of a set, some four bits a shingle: each shingle flips the bit it hashes to."""
+    size = 64
+    while size < 4 * len(h) and size < most:
+        size *= 2
+    return np.packbits(np.bincount((mix64(h) & U64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A sketch brought to ``size`` bytes: halves XOR onto each other, which keeps it an odd sketch."""
+    x = np.frombuffer(raw, U64)
+    return x if len(raw) == size else np.bitwise_xor.reduce(x.reshape(-1, size // 8), axis=0)
+
+
+def may_reach(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether the distance of two sketches leaves room for the threshold."""
+    size = min(len(x), len(y))
+    far = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+    return far * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, s1, s2): size and 128-bit name of each row's set."""
 
@@ -164,18 +185,31 @@ def classes(sets: DataFrame, salts: int = 32) -> DataFrame:
     return keyed.join(back, ["n", "s1", "s2", "salt"]).select("doc_id", "n", "rep")
 
 
+def _join_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with ``column`` of both as x and y, their sizes as n and m.
+
+    Both sides grow with the input: no broadcast, whatever their size now.
+    """
+    one = sets.select(F.col("node").alias("a"), F.col(column).alias("x"), F.col("n"))
+    two = sets.select(F.col("node").alias("b"), F.col(column).alias("y"), F.col("n").alias("m"))
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The pairs (a, b) whose sets reach the threshold; sketches spare most the whole sets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            good = [may_reach(x, y, n, m, percent) for x, y, n, m in zip(pdf["x"], pdf["y"], pdf["n"], pdf["m"], strict=True)]
+            yield pdf.loc[good, ["a", "b"]]
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             good = [reaches(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             yield pdf.loc[good, ["a", "b"]]
 
-    one = sets.select(F.col("node").alias("a"), F.col("body").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("body").alias("y"))
-    # both sides grow with the input: no broadcast, whatever their size now
-    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    left = _join_both(pairs, sets, "odd").select("a", "b", "x", "y", "n", "m").mapInPandas(near, "a long, b long")
+    return _join_both(left, sets, "body").select("a", "b", "x", "y").mapInPandas(whole, "a long, b long")
 
 
 def _families(nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -183,7 +217,8 @@ def _families(nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
 
     A family's members of about one size go in blocks of some ``block``; a block
     meets itself and those of its size and above as far as sizes allow a link.
-    Members already joined in one component are not compared.
+    Members already joined in one component are not compared.  Sketches first
+    tell which members may link at all; only these bring their whole sets.
     """
     sized = nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.05))).cast("long"))
     many = sized.groupBy("fam", "band").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
@@ -194,9 +229,28 @@ def _families(nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     one = put.join(meet, ["fam", "blk"]).select("fam", F.col("blk").alias("b1"), F.col("blk2").alias("b2"), "node", "comp", F.lit(0).alias("side"))
     far = meet.where("blk <> blk2").select("fam", F.col("blk").alias("b1"), F.col("blk2").alias("blk"))
     two = put.join(far, ["fam", "blk"]).select("fam", "b1", F.col("blk").alias("b2"), "node", "comp", F.lit(1).alias("side"))
-    rows = one.unionByName(two).join(sets, "node")
+    keys = ["fam", "b1", "b2"]
+    rows = one.unionByName(two).join(sets.select("node", "n", "odd").hint("merge"), "node")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def hopeful(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = min(map(len, pdf["odd"]))
+        odd = np.stack([folded(x, size) for x in pdf["odd"]])
+        n, comp, side = (pdf[c].to_numpy() for c in ("n", "comp", "side"))
+        within = pdf["b1"].iloc[0] == pdf["b2"].iloc[0]
+        keep = np.zeros(len(pdf), bool)
+        for i in range(len(pdf)) if within else np.flatnonzero(side == 0):
+            dist = np.bitwise_count(odd ^ odd[i]).sum(1, dtype=np.int64)
+            good = (dist * (100 + percent) <= (n + n[i]) * (100 - percent)) & (comp != comp[i])
+            good &= within | (side == 1)
+            if good.any():
+                keep |= good
+                keep[i] = True
+        return pdf.loc[keep, [*keys, "node", "comp", "side"]]
+
+    hope = rows.groupBy(*keys).applyInPandas(hopeful, "fam long, b1 long, b2 long, node long, comp long, side int")
+    full = hope.join(sets.select("node", "body").hint("merge"), "node")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
         own = [np.frombuffer(x, U64) for x in pdf["body"]]
         forest = Forest(len(own))
         seen: dict[int, int] = {}
@@ -220,7 +274,7 @@ def _families(nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
                     out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("fam", "b1", "b2").applyInPandas(run, "a long, b long")
+    return full.groupBy(*keys).applyInPandas(link, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
@@ -230,22 +284,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
     near = _keys(docs, words, percent).repartition("key").sortWithinPartitions("key", "node").mapInPandas(_stars, "a long, b long").distinct()
     rep = member.select("doc_id", "rep", "n")
     near = near.join(rep.toDF("a", "ra", "na"), "a").join(rep.toDF("b", "rb", "nb"), "b").where("ra <> rb")
-    near = cut(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fit")).distinct())
+    near = cut(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fit")).distinct())
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["doc_id"], "body": [shingles(t, words).tobytes() for t in pdf["text"]]})
+            own = [shingles(t, words) for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["doc_id"], "n": [len(h) for h in own], "odd": [sketch(h) for h in own], "body": [h.tobytes() for h in own]})
 
-    sets = cut(docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi").mapInPandas(bodies, "node long, body binary").dropDuplicates(["node"]))
+    wanted = docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
+    sets = cut(wanted.mapInPandas(bodies, "node long, n long, odd binary, body binary").dropDuplicates(["node"]))
     links = cut(_verified(near.where("fit").select("a", "b"), sets, percent))
     comp = components(links)
-    fam = components(near.select("a", "b"))
-    size = sets.select("node", (F.length("body") / 8).cast("long").alias("n"))
-    placed = fam.select(F.col("id").alias("node"), F.col("comp").alias("fam")).join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # two sets that share a part both met that part's least node, which names their family
+    met = near.select(F.col("a").alias("fam"), F.col("b").alias("node"))
+    placed = met.join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_fam = placed.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fam")
-    rest = cut(placed.join(open_fam, "fam", "left_semi").join(size, "node"))
-    more = _families(rest, sets, percent, block)
+    rest = cut(placed.join(open_fam, "fam", "left_semi").join(sets.select("node", "n"), "node"))
+    more = cut(_families(rest, sets, percent, block))
     final = components(links.union(more))
     out = member.join(final.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     # a class's representative and a component's least node are least doc_ids of what they stand for
