@@ -9,10 +9,10 @@ meets in one band with one number of parts.  Parts are wide and sparse and move
 as 64-bit fingerprints of their odd bits.  All candidates are verified on the
 whole sets.
 
-Equal sets form a class with one representative.  Candidates are first verified
-against the least member of their group (linear), and only groups that are not
-yet one component go on to blockwise comparison, where no pair that can qualify
-is left out.
+Equal sets form a class with one representative.  Of parts that few sets share,
+the few pairs are verified; of parts that many share, each set is first verified
+against the least (linear), and only such groups as are not yet one component go
+on to blockwise comparison, where no pair that can qualify is left out.
 
 Defined results: null and wordless texts have no shingle and link with nothing;
 a text of fewer words than ``words`` is one shingle; repeated rows are equal
@@ -22,6 +22,7 @@ sets; an empty table gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -95,9 +96,9 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketch(h: np.ndarray, most: int = 1 << 20) -> bytes:
-    """Odd sketch of a set, some four bits a shingle: each shingle flips the bit it hashes to."""
+    """Odd sketch of a set, two bits a shingle at least: each shingle flips the bit it hashes to."""
     size = 64
-    while size < 4 * len(h) and size < most:
+    while size < 2 * len(h) and size < most:
         size *= 2
     return np.packbits(np.bincount((mix64(h) & U64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
 
@@ -160,20 +161,47 @@ def _keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "key long, node long")
 
 
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, node): each further node of a key with the key's least one."""
-    key = head = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        k, n = pdf["key"].to_numpy(), pdf["node"].to_numpy()
-        start = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
-        at = np.maximum.accumulate(np.where(start, np.arange(len(k)), -1))
-        first = np.where(at >= 0, n[np.maximum(at, 0)], head if head is not None else 0)
-        key, head = k[-1], first[-1]
-        other = n != first
-        pair = pd.DataFrame({"a": first[other], "b": n[other]}).drop_duplicates()
-        yield pair
+def _meetings(small: int):
+    """Rows sorted by (key, node) to candidates (a, b, big).
+
+    Of a key with at most ``small`` nodes, its few pairs; of a longer one, each
+    node with the least, marked big: those groups are compared again later.
+    Held between batches: one short run, or the least node of a long one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.empty(0, np.int64)
+        rest_k, rest_n, long_run = none, none, None
+        for pdf in chain(batches, (None,)):
+            k = rest_k if pdf is None else np.concatenate((rest_k, pdf["key"].to_numpy()))
+            n = rest_n if pdf is None else np.concatenate((rest_n, pdf["node"].to_numpy()))
+            rest_k, rest_n = none, none
+            if not len(k):
+                continue
+            starts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
+            on = long_run is not None and k[0] == long_run[0]
+            if pdf is not None and len(k) - starts[-1] <= small and not (on and len(starts) == 1):
+                rest_k, rest_n = k[starts[-1] :], n[starts[-1] :]
+                k, n, starts = k[: starts[-1]], n[: starts[-1]], starts[:-1]
+            if not len(k):
+                continue
+            sizes = np.diff(np.concatenate((starts, [len(k)])))
+            run_of = np.repeat(np.arange(len(starts)), sizes)
+            head, big = n[starts], sizes > small
+            if on:
+                head[0], big[0] = long_run[1], True
+            long_run = (k[-1], head[-1]) if big[-1] else None
+            big, head = big[run_of], head[run_of]
+            one, two, mark = [head[big]], [n[big]], [np.ones(int(big.sum()), bool)]
+            for step in range(1, small):
+                i = np.flatnonzero((run_of[step:] == run_of[:-step]) & ~big[:-step])
+                one.append(n[i])
+                two.append(n[i + step])
+                mark.append(np.zeros(len(i), bool))
+            out = pd.DataFrame({"a": np.concatenate(one), "b": np.concatenate(two), "big": np.concatenate(mark)})
+            yield out[out["a"] != out["b"]].drop_duplicates()
+
+    return run
 
 
 def classes(sets: DataFrame, salts: int = 32) -> DataFrame:
@@ -277,14 +305,14 @@ def _families(nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     return full.groupBy(*keys).applyInPandas(link, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 256, small: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links reach ``percent`` of the union."""
     member = cut(classes(cut(_sets(docs, words))))
-    # repartition and sort so that a key's rows stream by; only pairs with a key's least node leave
-    near = _keys(docs, words, percent).repartition("key").sortWithinPartitions("key", "node").mapInPandas(_stars, "a long, b long").distinct()
+    # sorted, so that a key's rows stream by
+    near = _keys(docs, words, percent).repartition("key").sortWithinPartitions("key", "node").mapInPandas(_meetings(small), "a long, b long, big boolean").distinct()
     rep = member.select("doc_id", "rep", "n")
     near = near.join(rep.toDF("a", "ra", "na"), "a").join(rep.toDF("b", "rb", "nb"), "b").where("ra <> rb")
-    near = cut(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fit")).distinct())
+    near = cut(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fit"), "big").distinct())
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,10 +322,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
 
     wanted = docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
     sets = cut(wanted.mapInPandas(bodies, "node long, n long, odd binary, body binary").dropDuplicates(["node"]))
-    links = cut(_verified(near.where("fit").select("a", "b"), sets, percent))
+    links = cut(_verified(near.where("fit").select("a", "b").distinct(), sets, percent))
     comp = components(links)
-    # two sets that share a part both met that part's least node, which names their family
-    met = near.select(F.col("a").alias("fam"), F.col("b").alias("node"))
+    # two sets that share a part of many both met that part's least node, which names their family
+    met = near.where("big").select(F.col("a").alias("fam"), F.col("b").alias("node"))
     placed = met.join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_fam = placed.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fam")
     rest = cut(placed.join(open_fam, "fam", "left_semi").join(sets.select("node", "n"), "node"))

@@ -150,7 +150,8 @@ def test_jaccard(docs, n, percent):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def test_families_do_not_miss_links(spark):
+@pytest.mark.parametrize("small", [2, 8])
+def test_families_do_not_miss_links(spark, small):
     """Variants of one base that link only through others, over several blocks."""
     rng = np.random.default_rng(4)
     base = [f"b{k}" for k in range(120)]
@@ -161,7 +162,7 @@ def test_families_do_not_miss_links(spark):
             w[at] = f"v{i}x{at}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.jaccard_components(df, 4, 70, block=8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.jaccard_components(df, 4, 70, block=8, small=small).collect()}
     sets = {i: {tuple(t.split()[k : k + 4]) for k in range(117)} for i, t in rows}
     up = {i: i for i in sets}
 
