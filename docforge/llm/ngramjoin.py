@@ -243,12 +243,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _families(nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links inside each family (fam, node, n, comp), block against block.
 
-    A family's members of about one size go in blocks of some ``block``; a block
-    meets itself and those of its size and above as far as sizes allow a link.
+    A small family is one block.  Of others, members of about one size go in
+    blocks of some ``block``; a block meets itself and those of its size and above as far as sizes allow a link.
     Members already joined in one component are not compared.  Sketches first
     tell which members may link at all; only these bring their whole sets.
     """
-    sized = nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.05))).cast("long"))
+    count = nodes.groupBy("fam").agg(F.count("*").alias("size"))
+    # a family that fits one block is one block, whatever its sizes
+    sized = nodes.join(count, "fam").withColumn("band", F.when(F.col("size") <= block, F.lit(0)).otherwise(F.floor(F.log("n") / F.log(F.lit(1.05)))).cast("long")).drop("size")
     many = sized.groupBy("fam", "band").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
     put = sized.join(many, ["fam", "band"]).withColumn("blk", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).drop("band", "parts")
     reach = put.groupBy("fam", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
