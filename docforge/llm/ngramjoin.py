@@ -162,10 +162,10 @@ def _keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _meetings(small: int):
-    """Rows sorted by (key, node) to candidates (a, b, big).
+    """Rows sorted by (key, node) to candidates (a, b, fam).
 
-    Of a key with at most ``small`` nodes, its few pairs; of a longer one, each
-    node with the least, marked big: those groups are compared again later.
+    Of a key with at most ``small`` nodes, its few pairs (fam 0); of a longer
+    one, each node with the least, under the group's name: it is compared again.
     Held between batches: one short run, or the least node of a long one.
     """
 
@@ -190,15 +190,21 @@ def _meetings(small: int):
             head, big = n[starts], sizes > small
             if on:
                 head[0], big[0] = long_run[1], True
+            # equal groups of many keys are one family, named by their members; a group still open, by its key
+            fam = np.add.reduceat(mix64(n.astype(np.int64).view(U64) + U64(7)), starts).view(np.int64) | 1
+            if on:
+                fam[0] = k[0] | 1
+            if big[-1] and pdf is not None:
+                fam[-1] = k[-1] | 1
             long_run = (k[-1], head[-1]) if big[-1] else None
-            big, head = big[run_of], head[run_of]
-            one, two, mark = [head[big]], [n[big]], [np.ones(int(big.sum()), bool)]
+            big, head, fam = big[run_of], head[run_of], fam[run_of]
+            one, two, mark = [head[big]], [n[big]], [fam[big]]
             for step in range(1, small):
                 i = np.flatnonzero((run_of[step:] == run_of[:-step]) & ~big[:-step])
                 one.append(n[i])
                 two.append(n[i + step])
-                mark.append(np.zeros(len(i), bool))
-            out = pd.DataFrame({"a": np.concatenate(one), "b": np.concatenate(two), "big": np.concatenate(mark)})
+                mark.append(np.zeros(len(i), np.int64))
+            out = pd.DataFrame({"a": np.concatenate(one), "b": np.concatenate(two), "fam": np.concatenate(mark)})
             yield out[out["a"] != out["b"]].drop_duplicates()
 
     return run
@@ -311,10 +317,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
     """(doc_id, n_shingles, component_id) of every row; links reach ``percent`` of the union."""
     member = cut(classes(cut(_sets(docs, words))))
     # sorted, so that a key's rows stream by
-    near = _keys(docs, words, percent).repartition("key").sortWithinPartitions("key", "node").mapInPandas(_meetings(small), "a long, b long, big boolean").distinct()
+    near = _keys(docs, words, percent).repartition("key").sortWithinPartitions("key", "node").mapInPandas(_meetings(small), "a long, b long, fam long").distinct()
     rep = member.select("doc_id", "rep", "n")
     near = near.join(rep.toDF("a", "ra", "na"), "a").join(rep.toDF("b", "rb", "nb"), "b").where("ra <> rb")
-    near = cut(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fit"), "big").distinct())
+    near = cut(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fit"), "fam").distinct())
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,8 +332,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
     sets = cut(wanted.mapInPandas(bodies, "node long, n long, odd binary, body binary").dropDuplicates(["node"]))
     links = cut(_verified(near.where("fit").select("a", "b").distinct(), sets, percent))
     comp = components(links)
-    # two sets that share a part of many both met that part's least node, which names their family
-    met = near.where("big").select(F.col("a").alias("fam"), F.col("b").alias("node"))
+    met = near.where("fam <> 0").select("fam", F.col("b").alias("node")).distinct()
     placed = met.join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_fam = placed.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fam")
     rest = cut(placed.join(open_fam, "fam", "left_semi").join(sets.select("node", "n"), "node"))
