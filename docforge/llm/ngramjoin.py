@@ -9,10 +9,12 @@ meets in one band with one number of parts.  Parts are wide and sparse and move
 as 64-bit fingerprints of their odd bits.  All candidates are verified on the
 whole sets.
 
-Equal sets form a class with one representative.  Candidates are first verified
-against the least member of their group (linear), and only groups that are not
-yet one component go on to blockwise comparison, where no pair that can qualify
-is left out.
+Equal sets form a class with one representative.  Of each part, every set is
+first verified against the least (linear); the groups that are not yet one
+component go on to blockwise comparison, where no pair that can qualify is left
+out.  Verification is by a sketch of the whole set first, a bit a shingle, and
+then on the whole sets, for which the texts move compressed: once for each head
+and member, or once for each distinct group of sets that may link.
 
 Defined results: null and wordless texts have no shingle and link with nothing;
 a text of fewer words than ``words`` is one shingle; repeated rows are equal
@@ -22,9 +24,11 @@ sets; an empty table gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,8 +98,45 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Odd sketch of a set, a bit a shingle at least: each shingle flips the bit it hashes to."""
+    size = 64
+    while size < len(h):
+        size *= 2
+    return np.packbits(np.bincount((mix64(h) & U64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A sketch brought to ``size`` bytes: halves XOR onto each other, which keeps it an odd sketch."""
+    x = np.frombuffer(raw, U64)
+    return x if len(raw) == size else np.bitwise_xor.reduce(x.reshape(-1, size // 8), axis=0)
+
+
+def may_reach(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether the distance of two sketches leaves room for the threshold."""
+    size = min(len(x), len(y))
+    far = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+    return far * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``keys`` as one frame a group; holds one group and one batch."""
+    held = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
+        k = pdf[keys].to_numpy()
+        at = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()]
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            yield pdf.iloc[lo:hi]
+        held = pdf.iloc[at[-1] :]
+    if held is not None:
+        yield held
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, s1, s2): size and 128-bit name of each row's set."""
+    """(doc_id, n, s1, s2, odd): size, 128-bit name and sketch of each row's set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -103,10 +144,10 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 h = shingles(text, words) if isinstance(text, str) else np.empty(0, U64)
                 one, two = (mix64(h + U64(k)).sum(dtype=U64).view(np.int64) if len(h) else 0 for k in (1, 2))
-                out.append((doc, len(h), int(one), int(two)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2"])
+                out.append((doc, len(h), int(one), int(two), sketch(h) if len(h) else None))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "odd"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, odd binary")
 
 
 def _keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -139,20 +180,53 @@ def _keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "key long, node long")
 
 
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, node): each further node of a key with the key's least one."""
-    key = head = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        k, n = pdf["key"].to_numpy(), pdf["node"].to_numpy()
-        start = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
-        at = np.maximum.accumulate(np.where(start, np.arange(len(k)), -1))
-        first = np.where(at >= 0, n[np.maximum(at, 0)], head if head is not None else 0)
-        key, head = k[-1], first[-1]
-        other = n != first
-        pair = pd.DataFrame({"a": first[other], "b": n[other]}).drop_duplicates()
-        yield pair
+def _meetings(small: int = 2):
+    """Rows sorted by (key, node) to candidates (a, b, fam).
+
+    Of a key with two nodes, its pair (fam 0); of a longer one, each node with
+    the least, under the group's name: its other nodes are compared later.
+    Held between batches: one short run, or the least node of a long one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.empty(0, np.int64)
+        rest_k, rest_n, long_run = none, none, None
+        for pdf in chain(batches, (None,)):
+            k = rest_k if pdf is None else np.concatenate((rest_k, pdf["key"].to_numpy()))
+            n = rest_n if pdf is None else np.concatenate((rest_n, pdf["node"].to_numpy()))
+            rest_k, rest_n = none, none
+            if not len(k):
+                continue
+            starts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
+            on = long_run is not None and k[0] == long_run[0]
+            if pdf is not None and len(k) - starts[-1] <= small and not (on and len(starts) == 1):
+                rest_k, rest_n = k[starts[-1] :], n[starts[-1] :]
+                k, n, starts = k[: starts[-1]], n[: starts[-1]], starts[:-1]
+            if not len(k):
+                continue
+            sizes = np.diff(np.concatenate((starts, [len(k)])))
+            run_of = np.repeat(np.arange(len(starts)), sizes)
+            head, big = n[starts], sizes > small
+            if on:
+                head[0], big[0] = long_run[1], True
+            # equal groups of many keys are one family, named by their members; a group still open, by its key
+            fam = np.add.reduceat(mix64(n.astype(np.int64).view(U64) + U64(7)), starts).view(np.int64) | 1
+            if on:
+                fam[0] = k[0] | 1
+            if big[-1] and pdf is not None:
+                fam[-1] = k[-1] | 1
+            long_run = (k[-1], head[-1]) if big[-1] else None
+            big, head, fam = big[run_of], head[run_of], fam[run_of]
+            one, two, mark = [head[big]], [n[big]], [fam[big]]
+            for step in range(1, small):
+                i = np.flatnonzero((run_of[step:] == run_of[:-step]) & ~big[:-step])
+                one.append(n[i])
+                two.append(n[i + step])
+                mark.append(np.zeros(len(i), np.int64))
+            out = pd.DataFrame({"a": np.concatenate(one), "b": np.concatenate(two), "fam": np.concatenate(mark)})
+            yield out[out["a"] != out["b"]].drop_duplicates()
+
+    return run
 
 
 def classes(sets: DataFrame, salts: int = 32) -> DataFrame:
@@ -164,88 +238,161 @@ def classes(sets: DataFrame, salts: int = 32) -> DataFrame:
     return keyed.join(back, ["n", "s1", "s2", "salt"]).select("doc_id", "n", "rep")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, z): the compressed texts of ``nodes``, one a node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=3)
         for pdf in batches:
-            good = [reaches(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            yield pdf.loc[good, ["a", "b"]]
+            yield pd.DataFrame({"node": pdf["doc_id"], "z": [press.compress(t.encode("utf-8")) for t in pdf["text"]]})
 
-    one = sets.select(F.col("node").alias("a"), F.col("body").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("body").alias("y"))
+    packed = docs.where("text is not null").select("doc_id", "text").mapInPandas(run, "node long, z binary")
     # both sides grow with the input: no broadcast, whatever their size now
-    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return packed.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _opened(z: bytes, words: int) -> np.ndarray:
+    return shingles(zstandard.ZstdDecompressor().decompress(z).decode("utf-8"), words)
 
 
-def _families(nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _hopeful(pairs: DataFrame, odds: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for the threshold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            good = [may_reach(x, y, n, m, percent) for x, y, n, m in zip(pdf["x"], pdf["y"], pdf["n"], pdf["m"], strict=True)]
+            yield pdf.loc[good, ["a", "b"]]
+
+    one = odds.select(F.col("node").alias("a"), F.col("odd").alias("x"), "n")
+    two = odds.select(F.col("node").alias("b"), F.col("odd").alias("y"), F.col("n").alias("m"))
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y", "n", "m").mapInPandas(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, share: int = 256) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold.
+
+    A head's text goes once to each ``share`` or so of its members, so that a
+    hot head is spread; a task holds one head's set at a time.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("long").alias("parts"))
+    put = pairs.join(many.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    rows = put.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("side")).distinct().union(put.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("side")))
+    sent = rows.join(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))).hint("merge"), "node").repartition("a", "part").sortWithinPartitions("a", "part", "side")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = None
+        for pdf in batches:
+            out = []
+            for a, node, side, z in zip(pdf["a"], pdf["node"], pdf["side"], pdf["z"], strict=True):
+                own = _opened(z, words)
+                if side == 0:
+                    head = own
+                elif reaches(head, own, percent):
+                    out.append((a, node))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return sent.select("a", "node", "side", "z").mapInPandas(run, "a long, b long")
+
+
+def _families(nodes: DataFrame, odds: DataFrame, docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     """Links inside each family (fam, node, n, comp), block against block.
 
-    A family's members of about one size go in blocks of some ``block``; a block
-    meets itself and those of its size and above as far as sizes allow a link.
-    Members already joined in one component are not compared.
+    A small family is one block.  Of others, members of about one size go in
+    blocks of some ``block``; a block meets itself and those of its size and
+    above as far as sizes allow a link.  Members already joined in one component
+    are not compared.  Sketches first part a meeting into groups that may link;
+    equal groups of many meetings are one, and only these bring their texts.
     """
-    sized = nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.05))).cast("long"))
+    count = nodes.groupBy("fam").agg(F.count("*").alias("size"))
+    sized = nodes.join(count.hint("merge"), "fam").withColumn("band", F.when(F.col("size") <= block, F.lit(0)).otherwise(F.floor(F.log("n") / F.log(F.lit(1.05)))).cast("long"))
     many = sized.groupBy("fam", "band").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
-    put = sized.join(many, ["fam", "band"]).withColumn("blk", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).drop("band", "parts")
-    reach = put.groupBy("fam", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    put = sized.join(many.hint("merge"), ["fam", "band"]).withColumn("blk", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).drop("band", "parts")
+    large = put.where(F.col("size") > block).drop("size")
+    reach = large.groupBy("fam", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     later = reach.select("fam", F.col("blk").alias("blk2"), F.col("lo").alias("lo2"))
-    meet = reach.join(later, "fam").where((F.col("blk2") >= F.col("blk")) & (F.col("lo2") * percent <= F.col("hi") * 100)).select("fam", "blk", "blk2")
-    one = put.join(meet, ["fam", "blk"]).select("fam", F.col("blk").alias("b1"), F.col("blk2").alias("b2"), "node", "comp", F.lit(0).alias("side"))
+    meet = reach.join(later.hint("merge"), "fam").where((F.col("blk2") >= F.col("blk")) & (F.col("lo2") * percent <= F.col("hi") * 100)).select("fam", "blk", "blk2")
+    whole = put.where(F.col("size") <= block).select("fam", F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2"), "node", "comp", F.lit(0).alias("side"))
+    one = large.join(meet.hint("merge"), ["fam", "blk"]).select("fam", F.col("blk").alias("b1"), F.col("blk2").alias("b2"), "node", "comp", F.lit(0).alias("side"))
     far = meet.where("blk <> blk2").select("fam", F.col("blk").alias("b1"), F.col("blk2").alias("blk"))
-    two = put.join(far, ["fam", "blk"]).select("fam", "b1", F.col("blk").alias("b2"), "node", "comp", F.lit(1).alias("side"))
-    rows = one.unionByName(two).join(sets, "node")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [np.frombuffer(x, U64) for x in pdf["body"]]
-        forest = Forest(len(own))
-        seen: dict[int, int] = {}
-        for i, c in enumerate(pdf["comp"].tolist()):
-            forest.join(i, seen.setdefault(c, i))
-        flat = np.concatenate(own)
-        owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        side, size, node = pdf["side"].to_numpy(), np.array([len(x) for x in own]), pdf["node"].tolist()
-        within = pdf["b1"].iloc[0] == pdf["b2"].iloc[0]
-        out = []
-        for i in range(len(own)) if within else np.flatnonzero(side == 0):
-            lo, hi = np.searchsorted(flat, own[i], "left"), np.searchsorted(flat, own[i], "right")
-            run_len = hi - lo
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(run_len)[:-1])), run_len) + np.arange(run_len.sum())
-            inter = np.bincount(owner[at], minlength=len(own))
-            good = 100 * inter >= percent * (size[i] + size - inter)
-            for j in np.flatnonzero(good):
-                if j != i and (within or side[j] == 1) and forest.join(int(i), int(j)):
-                    out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    two = large.join(far.hint("merge"), ["fam", "blk"]).select("fam", "b1", F.col("blk").alias("b2"), "node", "comp", F.lit(1).alias("side"))
+    keys = ["fam", "b1", "b2"]
+    rows = whole.union(one).union(two).join(odds.hint("merge"), "node").repartition(*keys).sortWithinPartitions(*keys)
+
+    def hope(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[pd.DataFrame] = []
+        held = 0
+        for pdf in by_group(batches, keys):
+            size = min(map(len, pdf["odd"]))
+            odd = np.stack([folded(x, size) for x in pdf["odd"]])
+            n, comp, side, node = (pdf[c].to_numpy() for c in ("n", "comp", "side", "node"))
+            within = pdf["b1"].iloc[0] == pdf["b2"].iloc[0]
+            forest, met = Forest(len(pdf)), np.zeros(len(pdf), bool)
+            for i in range(len(pdf)) if within else np.flatnonzero(side == 0):
+                dist = np.bitwise_count(odd ^ odd[i]).sum(1, dtype=np.int64)
+                good = (dist * (100 + percent) <= (n + n[i]) * (100 - percent)) & (comp != comp[i]) & (within | (side == 1))
+                for j in np.flatnonzero(good):
+                    forest.join(int(i), int(j))
+                    met[i] = met[j] = True
+            if not met.any():
+                continue
+            at = np.flatnonzero(met)
+            root = np.array([forest.find(int(i)) for i in at])
+            name = np.zeros(len(pdf), U64)
+            np.add.at(name, root, mix64(node[at].astype(np.int64).view(U64) + U64(11)))
+            out.append(pd.DataFrame({"grp": name[root].view(np.int64), "node": node[at], "comp": comp[at]}))
+            held += len(at)
+            if held > 20_000:
+                yield pd.concat(out).drop_duplicates()
+                out, held = [], 0
+        if out:
+            yield pd.concat(out).drop_duplicates()
+
+    hoped = cut(rows.select(*keys, "node", "comp", "side", "n", "odd").mapInPandas(hope, "grp long, node long, comp long").distinct())
+    full = hoped.join(_texts(docs, hoped.select("node")).hint("merge"), "node").repartition("grp").sortWithinPartitions("grp")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in by_group(batches, ["grp"]):
+            own, node = [_opened(z, words) for z in pdf["z"]], pdf["node"].tolist()
+            forest, seen = Forest(len(own)), {}
+            for i, c in enumerate(pdf["comp"].tolist()):
+                forest.join(i, seen.setdefault(c, i))
+            size = np.array([len(x) for x in own])
+            flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            out = []
+            for i in range(len(own)):
+                lo, hi = np.searchsorted(flat, own[i], "left"), np.searchsorted(flat, own[i], "right")
+                run_len = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(run_len)[:-1])), run_len) + np.arange(run_len.sum())
+                inter = np.bincount(owner[at], minlength=len(own))
+                for j in np.flatnonzero(100 * inter >= percent * (size[i] + size - inter)):
+                    if j > i and forest.join(i, int(j)):
+                        out.append((node[i], node[j]))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("fam", "b1", "b2").applyInPandas(run, "a long, b long")
+    return full.select("grp", "node", "comp", "z").mapInPandas(link, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links reach ``percent`` of the union."""
-    member = cut(classes(cut(_sets(docs, words))))
-    # repartition and sort so that a key's rows stream by; only pairs with a key's least node leave
-    near = _keys(docs, words, percent).repartition("key").sortWithinPartitions("key", "node").mapInPandas(_stars, "a long, b long").distinct()
-    rep = member.select("doc_id", "rep", "n")
-    near = near.join(rep.toDF("a", "ra", "na"), "a").join(rep.toDF("b", "rb", "nb"), "b").where("ra <> rb")
-    near = cut(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fit")).distinct())
-    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["doc_id"], "body": [shingles(t, words).tobytes() for t in pdf["text"]]})
-
-    sets = cut(docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi").mapInPandas(bodies, "node long, body binary").dropDuplicates(["node"]))
-    links = cut(_verified(near.where("fit").select("a", "b"), sets, percent))
+    sets = cut(_sets(docs, words))
+    member = cut(classes(sets.drop("odd")))
+    # sorted, so that a key's rows stream by
+    near = _keys(docs, words, percent).repartition("key").sortWithinPartitions("key", "node").mapInPandas(_meetings(), "a long, b long, fam long").distinct()
+    rep = member.select("doc_id", "rep", "n").dropDuplicates(["doc_id"])
+    near = near.join(rep.toDF("a", "ra", "na").hint("merge"), "a").join(rep.toDF("b", "rb", "nb").hint("merge"), "b").where("ra <> rb")
+    near = cut(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fit"), "fam").distinct())
+    nodes = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    odds = cut(sets.join(nodes.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "odd").dropDuplicates(["node"]))
+    hope = cut(_hopeful(near.where("fit").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), odds, percent))
+    links = cut(_verified(hope, docs, words, percent))
     comp = components(links)
-    fam = components(near.select("a", "b"))
-    size = sets.select("node", (F.length("body") / 8).cast("long").alias("n"))
-    placed = fam.select(F.col("id").alias("node"), F.col("comp").alias("fam")).join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    met = near.where("fam <> 0").select("fam", F.col("b").alias("node")).distinct()
+    placed = met.join(comp.select(F.col("id").alias("node"), "comp").hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_fam = placed.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fam")
-    rest = cut(placed.join(open_fam, "fam", "left_semi").join(size, "node"))
-    more = _families(rest, sets, percent, block)
+    rest = cut(placed.join(open_fam.hint("merge"), "fam", "left_semi").join(odds.select("node", "n").hint("merge"), "node"))
+    more = cut(_families(rest, odds, docs, words, percent, block))
     final = components(links.union(more))
     out = member.join(final.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     # a class's representative and a component's least node are least doc_ids of what they stand for
