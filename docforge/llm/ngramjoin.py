@@ -9,6 +9,10 @@ meets in one band with one number of parts.  Parts are wide and sparse and move
 as 64-bit fingerprints of their odd bits.  All candidates are verified on the
 whole sets.
 
+More parts than that make sets that qualify agree in more than one, so each may
+leave out its most frequent parts: a passage that many texts share brings them
+together by few parts, and these go first.
+
 Equal sets form a class with one representative.  Of each part, every set is
 first verified against the least (linear); the groups that are not yet one
 component go on to blockwise comparison, where no pair that can qualify is left
@@ -29,7 +33,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.llm.common import Forest, components, cut
@@ -47,6 +51,11 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(gram_hashes(h, min(words, len(h))) ^ U64(min(words, len(h))))
 
 
+def common(d: int) -> int:
+    """How many of its most frequent parts a set may leave out, if sets differ in ``d`` shingles at most."""
+    return 0 if d < 4 else 3 + d // 4
+
+
 class Bands:
     """Upper sizes of the bands, and how many parts a sketch has in each."""
 
@@ -61,10 +70,10 @@ class Bands:
         return int(np.searchsorted(self.his, size))
 
     def parts(self, band: int) -> tuple[int, int]:
-        """(parts, spare): so many more parts than D + 1 that ``spare`` empty ones may be left out."""
+        """(parts, spare): so many more parts than D + 1 that ``spare`` empty ones and ``common`` others may be left out."""
         d = int(2 * self.his[band]) * (100 - self.percent) // (100 + self.percent)
         spare = 0 if d < 4 else 3 + d // 50
-        return d + 1 + spare, spare
+        return d + 1 + spare + common(d), spare
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """The join keys of a set: one for each part in its band and the next."""
@@ -84,7 +93,8 @@ class Bands:
             if parts - np.count_nonzero(odd) <= spare:
                 number = np.flatnonzero(odd).astype(U64)
                 odd = odd[odd != 0]
-            out.append(mix64(mix64(odd + number * U64(0x9E3779B97F4A7C15)) + U64(band)))
+            # the last bit tells a set's two bands apart
+            out.append(mix64(mix64(odd + number * U64(0x9E3779B97F4A7C15)) + U64(band)) & ~U64(1) | U64(band & 1))
         return np.concatenate(out)
 
 
@@ -180,6 +190,39 @@ def _keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "key long, node long")
 
 
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key, without those whose key has one row; one row is held between batches."""
+    held, met = None, False
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        rows = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
+        k = rows["key"].to_numpy()
+        same = np.concatenate(([met], k[1:] == k[:-1]))
+        keep = same | np.concatenate((same[1:], [False]))
+        keep[-1] = False
+        yield rows[keep]
+        held, met = rows.iloc[-1:], bool(same[-1])
+    if met:
+        yield held
+
+
+def _uncommon(shared: DataFrame, sizes: DataFrame, percent: int, often: int = 8) -> DataFrame:
+    """(key, node) of ``shared`` but for each set's most frequent parts.
+
+    Sets that qualify agree in ``common`` + 1 parts at least.  Each leaves out
+    ``common`` of its parts at most, in one order for all (more frequent first),
+    so the least frequent part in which two agree stays in both.
+    """
+    count = shared.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > often)
+    tagged = shared.join(count.hint("merge"), "key", "left")
+    d = F.expr(f"2 * n * {100 - percent} div {100 + percent}")
+    hot = tagged.where("times is not null").join(sizes.hint("merge"), "node")
+    order = Window.partitionBy("node", (F.col("key").bitwiseAND(F.lit(1)))).orderBy(F.desc("times"), "key")
+    hot = hot.withColumn("place", F.row_number().over(order)).where(F.col("place") > F.when(d < 4, 0).otherwise(3 + F.floor(d / 4)))
+    return tagged.where("times is null").select("key", "node").union(hot.select("key", "node"))
+
+
 def _meetings(small: int = 2):
     """Rows sorted by (key, node) to candidates (a, b, fam).
 
@@ -379,8 +422,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
     sets = cut(_sets(docs, words))
     member = cut(classes(sets.drop("odd")))
     # sorted, so that a key's rows stream by
-    near = _keys(docs, words, percent).repartition("key").sortWithinPartitions("key", "node").mapInPandas(_meetings(), "a long, b long, fam long").distinct()
     rep = member.select("doc_id", "rep", "n").dropDuplicates(["doc_id"])
+    shared = cut(_keys(docs, words, percent).repartition("key").sortWithinPartitions("key").mapInPandas(_shared, "key long, node long"))
+    keys = _uncommon(shared, rep.select(F.col("doc_id").alias("node"), "n"), percent)
+    near = keys.repartition("key").sortWithinPartitions("key", "node").mapInPandas(_meetings(), "a long, b long, fam long").distinct()
     near = near.join(rep.toDF("a", "ra", "na").hint("merge"), "a").join(rep.toDF("b", "rb", "nb").hint("merge"), "b").where("ra <> rb")
     near = cut(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fit"), "fam").distinct())
     nodes = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
