@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm.common import least_rows
+from docforge.llm.kernels import mix64
 
 _QUOTE = re.compile(r"[\"“”„«»‘]|\b(?:said|says|wrote|quoted|called|sagte|schrieb|nannte|dit|écrit|appelé|dijo|escribió|llamó)\b", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\w+")
 EXACT, FUZZY, STEM = 1, 2, 3
 
 
@@ -196,27 +198,70 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _shingles(ids: np.ndarray) -> np.ndarray:
+    """A number for each three words in a row; of a shorter text one for all of it."""
+    a = np.concatenate((ids, np.zeros(max(0, 3 - len(ids)), np.uint64))).astype(np.uint64)
+    return mix64(mix64(mix64(a[:-2]) + a[1:-1]) + a[2:])
+
+
+def _own_words(texts: list[str], y: list[int], percent: int = 80) -> list[set[str]]:
+    """The words of each text, those left out that a near-copy before it in the same label already said.
+
+    A near-copy shares ``percent`` of its whole set of word triples with an
+    earlier text.  It still speaks for every word that no shared triple holds,
+    so neither a common header nor a copied text hides what is new in a text.
+    Two such sets share one of their rarest triples, which is where they meet.
+    """
+    number: dict[str, int] = {}
+    words = [_WORD.findall(t.lower()) for t in texts]
+    ids = [np.array([number.setdefault(w, len(number) + 1) for w in ws], np.uint64) for ws in words]
+    out = [set(ws) for ws in words]
+    for label in set(y):
+        mine = [i for i, v in enumerate(y) if v == label and len(ids[i])]
+        sets = {i: np.unique(_shingles(ids[i])) for i in mine}
+        if not sets:
+            continue
+        every, count = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        met: dict[int, list[int]] = defaultdict(list)
+        for i in mine:
+            own = sets[i]
+            rare = own[np.lexsort((own, count[np.searchsorted(every, own)]))]
+            rare = rare[: len(own) - -(-percent * len(own) // 100) + 1].tolist()
+            best, first = 0.0, -1
+            for k in sorted({k for r in rare for k in met.get(r, ())}):
+                other = sets[k]
+                if 100 * min(len(own), len(other)) < percent * max(len(own), len(other)):
+                    continue
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                like = both / (len(own) + len(other) - both)
+                if 100 * like >= percent and like > best:
+                    best, first = like, k
+            if first < 0:
+                for r in rare:
+                    met[r].append(i)
+                continue
+            said = np.isin(_shingles(ids[i]), sets[first])
+            held = np.zeros(max(3, len(ids[i])), bool)
+            for k in range(3):
+                held[k : k + len(said)] |= said
+            out[i] = {w for w, h in zip(words[i], held) if not h}
+    return out
+
+
 def lexicon(texts: list[str], y: list[int], support: float = 0.006, stem_support: float = 0.03, purity: float = 0.97) -> tuple[list[str], list[str]]:
     """Words and stems that stand in toxic texts and hardly elsewhere.
 
     Greedy: the term that adds most texts not yet explained comes first, so
-    words that only share a copied text with a term are not taken.
+    words that only share a copied text with a term are not taken.  What copies
+    and near-copies of one label repeat counts once.
     """
-    # copies and near-copies of one text speak once: they begin or end alike
-    seen: set[str] = set()
-    single = []
-    for i, text in enumerate(texts):
-        ends = {"<" + text[:40], ">" + text[-40:]}
-        if not ends & seen:
-            single.append(i)
-        seen |= ends
-    texts, y = [texts[i] for i in single], [y[i] for i in single]
     has: dict[str, set[int]] = defaultdict(set)
     clean: Counter = Counter()
     toxic = [i for i, v in enumerate(y) if v]
     n_clean = max(1, len(y) - len(toxic))
-    for i, text in enumerate(texts):
-        words = set(_TOKEN.findall(text.lower()))
+    own = _own_words(texts, y)
+    for i in range(len(texts)):
+        words = {w for word in own[i] for w in _TOKEN.findall(word)}
         terms = {w for w in words if 3 <= len(w) <= 24} | {w[:k] + "*" for w in words for k in (4, 5) if len(w) > k}
         if y[i]:
             for t in terms:
