@@ -2,9 +2,11 @@
 
 The lexicon (whole words, and stems for inflecting languages) and the weights
 are learnt on a bounded sample of labelled rows.  The trie of its terms is
-intersected with Levenshtein automata (no error for short terms and stems, one
-for words of ``fuzzy_from`` letters and more) and made deterministic, so every
-word of every text is judged by table look-ups, all words side by side.  Each
+intersected with Levenshtein automata (one error: a letter more, less, other, or
+two swapped) and made deterministic, so every word of every text is judged by
+table look-ups, all words side by side; a digit or mark inside a word is such a
+letter too.  Errors in words of less than ``fuzzy_from`` letters, in stems and in words
+under stems have weights of their own.  Two errors in one word are not met.  Each
 hit is read in a window of characters around it: quotation marks or a
 reporting verb mark a quotation and weaken the hit.  A logistic model over the
 summed hits gives the score.
@@ -33,7 +35,9 @@ from docforge.llm.kernels import mix64
 _QUOTE = re.compile(r"[\"“”„«»‘]|\b(?:said|says|wrote|quoted|called|sagte|schrieb|nannte|dit|écrit|appelé|dijo|escribió|llamó)\b", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"\w+")
-EXACT, FUZZY, STEM = 1, 2, 3
+#: How a term was met: as it is, a long word with an error, a stem, a word of 3 to 5 letters with an error, a stem with an error, a word under a stem with an error.
+EXACT, FUZZY, STEM, SHORT, NEAR, UNDER = 1, 2, 3, 4, 5, 6
+_BLANK = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
 
 def _is_letter() -> np.ndarray:
@@ -56,9 +60,9 @@ class Matcher:
             self.cls[ord(c)] = i
         n_cls = len(chars) + 1
         index = {c: i for i, c in enumerate(chars, 1)}
-        # one trie for all: children, and what ends at a node
-        kids: list[dict[int, int]] = [{}]
-        ends: list[set[int]] = [set()]
+        # tries by root: exact terms, long words, short words, stems, words under a stem; children, and what ends at a node
+        kids: list[dict[int, int]] = [{} for _ in range(5)]
+        ends: list[set[int]] = [set() for _ in range(5)]
 
         def add(term: str, kind: int, root: int) -> None:
             at = root
@@ -71,57 +75,88 @@ class Matcher:
                 at = kids[at][k]
             ends[at].add(kind)
 
-        kids.append({})
-        ends.append(set())
         for w in words:
-            add(w, EXACT, 0)
-            if len(w) >= fuzzy_from:
-                add(w, FUZZY, 1)
+            if any(w.startswith(s) for s in stems):
+                add(w, UNDER, 4)
+            else:
+                add(w, EXACT, 0)
+                add(w, *((FUZZY, 1) if len(w) >= fuzzy_from else (SHORT, 2)))
         for w in stems:
             add(w, STEM, 0)
+            add(w, NEAR, 3)
+
+        root_of, todo = {k: k for k in range(5)}, [*range(5)]
+        while todo:
+            at = todo.pop()
+            for k in kids[at].values():
+                root_of[k] = root_of[at]
+                todo.append(k)
+        past_near = (-1, 0)  # a misspelt stem was read, whatever follows
 
         def close(states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-            """A missing letter: step to a child, one error more."""
+            """A missing letter: step to a child, one error more (in a stem only before a letter that is there)."""
             out = set(states)
             for node, e in states:
-                if e == 0 and node in fuzzy:
+                if e == 0 and node >= 0 and root_of[node] in (1, 2, 4):
                     out |= {(k, 1) for k in kids[node].values()}
             return frozenset(out)
 
-        fuzzy, todo = {1}, [1]
-        while todo:
-            for k in kids[todo.pop()].values():
-                fuzzy.add(k)
-                todo.append(k)
-        start = close({(0, 0), (1, 0)})
+        def step(state: frozenset[tuple[int, int]], c: int) -> frozenset[tuple[int, int]]:
+            """States of (node, errors); 2 + class is the first of two swapped letters, its class still to come."""
+            nxt: set[tuple[int, int]] = set()
+            for node, e in state:
+                if node == -1:
+                    nxt.add(past_near)
+                elif e >= 2:
+                    if e - 2 == c:
+                        nxt.add((node, 1))
+                else:
+                    if c in kids[node]:
+                        nxt.add((kids[node][c], e))
+                    if e == 0 and root_of[node]:
+                        nxt.add((node, 1))
+                        for a, k in kids[node].items():
+                            nxt.add((k, 1))
+                            if c in kids[k]:
+                                if a != c:
+                                    nxt.add((kids[k][c], 2 + a))
+                                if root_of[node] == 3:
+                                    nxt.add((kids[k][c], 1))
+            if any(e < 2 and node >= 0 and NEAR in ends[node] for node, e in nxt):
+                nxt = {(n, e) for n, e in nxt if n < 0 or root_of[n] != 3} | {past_near}
+            return close(nxt)
+
+        def kinds_of(state: frozenset[tuple[int, int]]) -> set[int]:
+            got = {x for node, e in state if node >= 0 and e < 2 for x in ends[node] if x in (FUZZY, SHORT, UNDER) or e == 0}
+            return got | ({NEAR} if past_near in state else set())
+
+        start = close({(k, 0) for k in range(5)})
         number, rows, outs, work = {frozenset(): 0, start: 1}, {0: [0] * n_cls}, {0: 0}, [start]
-        hit_stem = 0
         while work:
             state = work.pop()
-            kinds = {x for node, e in state for x in ends[node] if x == FUZZY or e == 0}
-            row = []
+            kinds = kinds_of(state)
+            outs[number[state]] = next((k for k in (EXACT, STEM, FUZZY, UNDER, SHORT, NEAR) if k in kinds), 0)
+            if STEM in kinds:  # whatever follows
+                rows[number[state]] = [number[state]] * n_cls
+                continue
+            # all letters that no state waits for lead to the same place
+            apart = {0}
+            for node, e in state:
+                if node >= 0:
+                    apart |= {e - 2} if e >= 2 else set(kids[node])
+                    if e == 0 and root_of[node]:
+                        apart |= {c for k in kids[node].values() for c in kids[k]}
+            row: list[int] = []
             for c in range(n_cls):
-                nxt: set[tuple[int, int]] = set()
-                for node, e in state:
-                    if c in kids[node]:
-                        nxt.add((kids[node][c], e))
-                    if e == 0 and node in fuzzy:
-                        nxt.add((node, 1))
-                        nxt |= {(k, 1) for k in kids[node].values()}
-                if STEM in kinds:
-                    key = frozenset({(-1, 0)})
-                else:
-                    key = close(nxt)
+                if c and c not in apart:
+                    row.append(row[0])
+                    continue
+                key = step(state, c)
                 if key not in number:
                     number[key] = len(number)
-                    if key == frozenset({(-1, 0)}):
-                        hit_stem = number[key]
-                        rows[hit_stem], outs[hit_stem] = [hit_stem] * n_cls, STEM
-                    else:
-                        work.append(key)
+                    work.append(key)
                 row.append(number[key])
             rows[number[state]] = row
-            outs[number[state]] = EXACT if EXACT in kinds else STEM if STEM in kinds else FUZZY if FUZZY in kinds else 0
         self.table = np.array([rows[i] for i in range(len(number))], np.int32)
         self.out = np.array([outs[i] for i in range(len(number))], np.int8)
 
@@ -139,6 +174,18 @@ class Matcher:
             return []
         cls = self.cls[small]
         cls[cp >= len(_LETTERS)] = 0
+        found = self._walk(cls, start, end)
+        # a word misspelt with one digit or mark inside is two runs of letters; it counts where neither run is a hit
+        held = {a for _, a, _ in found}
+        mark = end[:-1][start[1:] - end[:-1] == 1]
+        mark = mark[~np.isin(cp[mark], _BLANK)]
+        first, last = start[np.searchsorted(end, mark)], end[np.searchsorted(start, mark + 1)]
+        split = [h for h in self._walk(np.where(letter, cls, 0), first, last) if h[1] not in held]
+        split = [(k, a, z) for k, a, z in split if k not in (EXACT, STEM) and not any(m in held for m in (mark[(mark > a) & (mark < z)] + 1).tolist())]
+        return sorted(found + split, key=lambda h: h[1])
+
+    def _walk(self, cls: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
+        """The accepted ones of the given ranges, all walked side by side."""
         found: list[tuple[int, int, int]] = []
         live, state, step = np.arange(len(start)), np.ones(len(start), np.int32), 0
         table, out = self.table, self.out
@@ -152,7 +199,7 @@ class Matcher:
                     found.append((int(out[s]), int(start[i]), int(end[i])))
             go = ~last & (state != 0)
             live, state = live[go], state[go]
-        return sorted(found, key=lambda h: h[1])
+        return found
 
 
 def quoted(text: str, start: int, end: int, around: int = 48) -> bool:
@@ -164,21 +211,33 @@ class Model:
     def __init__(self, words: list[str], stems: list[str], base: float):
         self.words, self.stems = words, stems
         self.matcher = Matcher(words, stems)
-        self.w = np.array([math.log(max(base, 1e-3) / max(1 - base, 1e-3)), *[0.0] * 5])
+        self.plain: frozenset[str] = frozenset()
+        self.w = np.array([math.log(max(base, 1e-3) / max(1 - base, 1e-3)), *[0.0] * 8])
 
     def features(self, text: str) -> np.ndarray:
-        """1; whether words hit, and how often; whether misspelt words do; the same of stems.
+        """1; whether words hit, and how often; whether misspelt words do; the same of stems; misspelt short words, stems, and words under stems.
 
-        A quoted hit counts a quarter.
+        A quoted hit counts a quarter; a word of clean texts is no misspelling.
         """
-        sums = [0.0, 0.0, 0.0]
+        sums = [0.0] * 6
         low = text.lower()
         for kind, a, b in self.matcher.hits(text):
-            sums[kind - 1] += 0.25 if quoted(low, a, b) else 1.0
-        exact, fuzzy, stem = sums
-        return np.array([1.0, min(1.0, exact), min(3.0, math.log1p(exact)), min(1.0, fuzzy), min(1.0, stem), min(3.0, math.log1p(stem))])
+            if kind in (EXACT, STEM) or low[a:b] not in self.plain:
+                sums[kind - 1] += 0.25 if quoted(low, a, b) else 1.0
+        exact, fuzzy, stem, short, near, under = sums
+        return np.array([1.0, min(1.0, exact), min(3.0, math.log1p(exact)), min(1.0, fuzzy), min(1.0, stem), min(3.0, math.log1p(stem)), min(1.0, short), min(1.0, near), min(1.0, under)])
+
+    def learn_plain(self, texts: list[str], y: np.ndarray) -> None:
+        """Words an error away from a term that are words of their own: as frequent in clean texts as in toxic ones."""
+        seen: list[Counter] = [Counter(), Counter()]
+        for text, v in zip(texts, y, strict=True):
+            low = text.lower()
+            seen[int(v)].update({low[a:b] for kind, a, b in self.matcher.hits(text) if kind not in (EXACT, STEM)})
+        n = max(1, int(sum(y))), max(1, len(y) - int(sum(y)))
+        self.plain = frozenset(w for w, k in seen[0].items() if k > 1 and k / n[1] >= seen[1][w] / n[0])
 
     def fit(self, texts: list[str], y: np.ndarray, weight: np.ndarray) -> None:
+        self.learn_plain(texts, y)
         x = np.array([self.features(t) for t in texts])
         w = self.w
         for _ in range(60):  # Newton steps of a lightly damped logistic fit
@@ -191,6 +250,12 @@ class Model:
                 break
         if not x[:, 3].any():  # no misspelt term in either class: weaker than the term itself
             w[3] = 0.8 * (w[1] + w[2] * math.log(2))
+        if not x[:, 6].any():  # an error is a larger part of a short word
+            w[6] = 0.5 * (w[1] + w[2] * math.log(2))
+        if not x[:, 7].any():
+            w[7] = 0.5 * (w[4] + w[5] * math.log(2))
+        if not x[:, 8].any():
+            w[8] = 0.8 * (w[4] + w[5] * math.log(2))
         self.w = w
 
     def score(self, text: str) -> float:
@@ -278,6 +343,12 @@ def lexicon(texts: list[str], y: list[int], support: float = 0.006, stem_support
             pure[t] = at
     taken: list[str] = []
     # a stem stands for its words where it reaches many more texts than any of them
+    most: Counter = Counter()
+    for t, at in pure.items():
+        if not t.endswith("*"):
+            for k in (4, 5):
+                most[t[:k] + "*"] = max(most[t[:k] + "*"], len(at))
+    pure = {t: at for t, at in pure.items() if not t.endswith("*") or most[t] <= 0.8 * len(at)}
     left = {t: set(s) for t, s in pure.items()}
     open_texts = set(toxic)
     while left:
@@ -289,9 +360,10 @@ def lexicon(texts: list[str], y: list[int], support: float = 0.006, stem_support
     # words as frequent as those taken belong to the lexicon too, though every text has another
     floor = min((len(pure[t]) for t in taken if not t.endswith("*")), default=len(toxic))
     stems = [t[:-1] for t in taken if t.endswith("*")]
-    words = [t for t in pure if not t.endswith("*") and (t in taken or len(pure[t]) >= max(floor / 2, 0.05 * len(toxic)))]
     stems = [s for s in stems if not any(s != o and s.startswith(o) for o in stems)]
-    return sorted(w for w in words if not any(w.startswith(s) for s in stems)), sorted(stems)
+    # words under a stem are met by it as they are, and by their own automaton where they are misspelt
+    words = [t for t in pure if not t.endswith("*") and (t in taken or len(pure[t]) >= max(floor / 2, 0.05 * len(toxic)) or any(t.startswith(s) for s in stems))]
+    return sorted(words), sorted(stems)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:

@@ -26,3 +26,35 @@ def test_copies_speak_once_and_changed_words_still_speak():
     assert len(own[0]) == 100 and not any(own[1:60]) and all(w == {"blockhead", f"n{i}"} for i, w in enumerate(own[60:90]))
     words, stems = toxicity.lexicon(texts, [1] * 90 + [0] * 300)
     assert any("blockhead".startswith(t) for t in (*words, *stems)) and not any(t.startswith("copied") for t in (*words, *stems))
+
+
+def _kinds(m, text):
+    return [h[0] for h in m.hits(text)]
+
+
+def test_errors_in_short_words_stems_and_words_under_a_stem():
+    m = toxicity.Matcher(["scum", "pathetic", "loweiguts"], ["lowei", "vequ"])
+    for w in ("scun", "scm", "scuum", "csum"):
+        assert _kinds(m, w) == [toxicity.SHORT], w
+    for w in ("loewixyz", "lwoeixyz", "loweixyz"[1:], "loxeixyz", "lowweixyz"):
+        assert _kinds(m, w) == [toxicity.NEAR], w
+    assert _kinds(m, "lxweiguts") == _kinds(m, "olweiguts") == [toxicity.UNDER] and _kinds(m, "loweiguts") == [toxicity.STEM]
+    assert _kinds(m, "patehtic") == _kinds(m, "apthetic") == [toxicity.FUZZY]
+    assert _kinds(m, "pate htic") == _kinds(m, "ptaehtic") == _kinds(m, "s c u m") == []
+
+
+def test_a_digit_or_mark_inside_a_word():
+    m = toxicity.Matcher(["scum", "pathetic"], ["lowei"])
+    assert m.hits("so path3tic, p@thetic pat-hetic sc*m, lo1eixyz scum.pathetic") == [
+        (2, 3, 11), (2, 13, 21), (2, 22, 31), (4, 32, 36), (5, 38, 46), (1, 47, 51), (1, 52, 60),
+    ]
+
+
+def test_words_of_clean_texts_are_no_misspellings():
+    texts = [f"n{i} " + ("you scum there" if i % 4 == 0 else "a big scam there") + f" m{i % 9}" for i in range(400)]
+    model = toxicity.Model(["scum"], [], 0.25)
+    y = [int(i % 4 == 0) for i in range(400)]
+    import numpy as np
+
+    model.fit(texts, np.array(y), np.ones(400))
+    assert model.plain == {"scam"} and model.score("you scun") > model.score("a scam") and model.score("you scum") > 0.9
