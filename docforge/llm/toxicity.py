@@ -40,22 +40,16 @@ EXACT, FUZZY, STEM, SHORT, NEAR, UNDER = 1, 2, 3, 4, 5, 6
 _BLANK = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
 
-def _is_letter() -> np.ndarray:
-    out = np.zeros(0x3000, bool)
-    for c in range(len(out)):
-        out[c] = chr(c).isalpha()
-    return out
-
-
-_LETTERS = _is_letter()
+#: The letters of _TOKEN, of every script.
+_LETTERS = np.array([c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))])
 
 
 class Matcher:
     """Deterministic table of (lexicon trie x Levenshtein automata)."""
 
     def __init__(self, words: list[str], stems: list[str], fuzzy_from: int = 6):
-        chars = sorted({c for t in [*words, *stems] for c in t if ord(c) < len(_LETTERS)})
-        self.cls = np.zeros(len(_LETTERS), np.uint8)  # 0: a letter of no term
+        chars = sorted({c for t in [*words, *stems] for c in t})
+        self.cls = np.zeros(ord(chars[-1]) + 2 if chars else 1, np.uint16)  # 0: a letter of no term, as the last one is
         for i, c in enumerate(chars, 1):
             self.cls[ord(c)] = i
         n_cls = len(chars) + 1
@@ -166,14 +160,12 @@ class Matcher:
         cp = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
         if not len(cp):
             return []
-        small = np.minimum(cp, len(_LETTERS) - 1)
-        letter = _LETTERS[small] | (cp >= len(_LETTERS))
+        letter = _LETTERS[cp]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
         start, end = edge[::2], edge[1::2]
         if not len(start):
             return []
-        cls = self.cls[small]
-        cls[cp >= len(_LETTERS)] = 0
+        cls = self.cls[np.minimum(cp, len(self.cls) - 1)]
         found = self._walk(cls, start, end)
         # a word misspelt with one digit or mark inside is two runs of letters; it counts where neither run is a hit
         held = {a for _, a, _ in found}

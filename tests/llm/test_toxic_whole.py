@@ -58,3 +58,23 @@ def test_words_of_clean_texts_are_no_misspellings():
 
     model.fit(texts, np.array(y), np.ones(400))
     assert model.plain == {"scam"} and model.score("you scun") > model.score("a scam") and model.score("you scum") > 0.9
+
+
+def test_terms_of_any_script():
+    words = ["馬鹿野郎", "バカ野郎共です", "바보같은놈", "дурак", "𐐨𐐩𐐪𐐫", "scum"]
+    m = toxicity.Matcher(words, ["ばかや"])
+    assert [_kinds(m, w) for w in words] == [[toxicity.EXACT]] * 6
+    assert _kinds(m, "バカ野郎供です") == [toxicity.FUZZY] and _kinds(m, "ばかやろう") == [toxicity.STEM] and _kinds(m, "дурка") == [toxicity.SHORT]
+    assert _kinds(m, "漢字 ひらがな 한글 \U0010ffff") == [] and _kinds(toxicity.Matcher([], []), "漢字 a") == []
+    many = [chr(0x4E00 + i) * 2 + "x" for i in range(400)]  # more letters than one byte numbers
+    big = toxicity.Matcher(many, [])
+    assert all(_kinds(big, w) == [toxicity.EXACT] for w in many)
+    assert all(bool(toxicity._TOKEN.fullmatch(chr(c))) == bool(toxicity._LETTERS[c]) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
+def test_a_corpus_of_another_script(spark):
+    rows = [(i, f"文章 番号{i} " + ("馬鹿野郎 " if i % 4 == 0 else "良い言葉 ") + f"終わり{i % 7}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.words and model.score("馬鹿野郎") > 0.5 > model.score("良い言葉")
