@@ -1,9 +1,11 @@
 """Personal data by candidate generation and gradient-boosted selection, all in SQL.
 
-Base kinds follow fixed formats and always stay.  Beside them, a high-recall
-generator proposes spans (numbers, long hexadecimal runs, account numbers,
+Base kinds follow fixed formats and always stay.  Beside them, high-recall
+generators, one a kind, propose overlapping spans (every range of digit groups
+in a number of up to 43 characters, long hexadecimal runs, account numbers,
 disguised addresses); boosted trees read each candidate's format and the words
-before it, and those above a calibrated threshold are added.  The trees are fit
+before it.  Of those above a calibrated threshold that touch no base span, the
+best score stays where some overlap.  The trees are fit
 in numpy on generated examples when the module is used and become one SQL
 expression; the documents never leave the JVM.
 
@@ -36,13 +38,15 @@ PATTERN = {
 }
 #: What a text must hold for a match; most texts are skipped by it.
 NEEDS = {"email": "contains({t}, '@')", "ip": "{t} rlike '[0-9][.][0-9]'", "card": "{t} rlike '[0-9][ -]?[0-9][ -]?[0-9]'", "phone": "contains({t}, '+')"}
-CANDIDATE = (
-    r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{24,}+(?![0-9A-Za-z])"
-    r"|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![0-9A-Za-z])"
-    r"|[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9.-]{1,80}+"
-    r"|\+?[0-9][0-9\x20().-]{5,40}[0-9](?![0-9A-Za-z]))"
-)
-FEATURES = ("digits", "size", "marks", "letters", "luhn", "at", "say_call", "say_card", "say_secret", "say_id", "leading")
+#: A generator a kind; what they propose may overlap.  That of numbers looks ahead from the start of every group of digits.
+CANDIDATES = {
+    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}+(?![0-9A-Za-z])",
+    "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![0-9A-Za-z])",
+    "address": r"(?<![0-9A-Za-z])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9.-]{1,80}+",
+    "number": r"(?<![0-9A-Za-z])(?=(\+?[0-9][0-9\x20().-]{5,42}[0-9](?![0-9A-Za-z])))",
+}
+_LONGEST = 43
+FEATURES = ("digits", "size", "marks", "letters", "luhn", "at", "say_call", "say_card", "say_secret", "say_id", "leading", "cut", "dated")
 _WORDS = {"say_call": "tel|phone|call|mobil|fax", "say_card": "card|carte|tarjeta|karte|visa", "say_secret": "token|secret|key|passw|api", "say_id": "ssn|iban|account|passport|konto|cuenta|compte"}
 
 
@@ -63,6 +67,31 @@ def _found(text: str, pattern: str) -> str:
     return fold.replace("gaps", f"split({text}, {p}, -1)").replace("hits", f"regexp_extract_all({text}, {p}, 0)")
 
 
+def _proposed(text: str, kind: str) -> str:
+    """SQL: array of (s, e, m, before, cut, g) that the generator of ``kind`` proposes.
+
+    A number is proposed from the start of each group of digits to the end of
+    each later group; ``cut`` marks that a sign joins it to further digits.
+    """
+    p, ahead = _lit(CANDIDATES[kind]), kind == "number"
+    size = "0" if ahead else "char_length(x.m)"
+    fold = (
+        "aggregate(zip_with(slice(gaps, 1, size(hits)), hits, (g, m) -> struct(g, m)), "
+        "named_struct('at', 0, 'tail', '', 'out', cast(array() as array<struct<s:int,m:string,before:string>>)), "
+        f"(a, x) -> named_struct('at', a.at + char_length(x.g) + {size}, 'tail', right(concat(a.tail, x.g{'' if ahead else ', x.m'}), 24), "
+        "'out', array_append(a.out, named_struct('s', a.at + char_length(x.g), 'm', x.m, 'before', right(concat(a.tail, x.g), 24)))), a -> a.out)"
+    )
+    # a start without width is not split off at the very first character, hence the blank before the text
+    text = f"concat(' ', {text})" if ahead else text
+    fold = fold.replace("gaps", f"split({text}, {p}, -1)").replace("hits", f"regexp_extract_all({text}, {p}, {int(ahead)})")
+    rank = EXTRA.index(kind)
+    if not ahead:
+        return f"transform({fold}, x -> named_struct('s', x.s, 'e', x.s + char_length(x.m), 'm', x.m, 'before', x.before, 'cut', 0, 'g', {rank}))"
+    ends = f"filter(sequence(7, greatest(7, least({_LONGEST}, char_length(x.m)))), j -> substring(x.m, j, 1) between '0' and '9' and not (substring(x.m, j + 1, 1) between '0' and '9'))"
+    one = f"named_struct('s', x.s - 1, 'e', x.s - 1 + j, 'm', left(x.m, j), 'before', x.before, 'cut', if(right(x.before, 1) in ('-', '.', '/') or substring(x.m, j + 1, 2) rlike '^[.-][0-9]', 1, 0), 'g', {rank})"
+    return f"flatten(transform({fold}, x -> transform({ends}, j -> {one})))"
+
+
 def _luhn(digits: str) -> str:
     """SQL: whether a string of digits passes the Luhn sum."""
     d = f"reverse(split({digits}, ''))"
@@ -93,6 +122,8 @@ def _features(x: str) -> dict[str, str]:
         "letters": f"char_length(regexp_replace({m}, '[^A-Za-z]', ''))",
         "luhn": f"if(char_length({digits}) between 12 and 19 and {_luhn(digits)}, 1, 0)",
         "at": f"if({m} rlike '[(\\\\[]at[)\\\\]]', 1, 0)",
+        "cut": f"{x}.cut",
+        "dated": f"if({m} rlike '(?<![0-9])([0-9]{{4}}[.-][0-9]{{1,2}}[.-][0-9]{{1,2}}|[0-9]{{1,2}}[.-][0-9]{{1,2}}[.-][0-9]{{4}})(?![0-9])', 1, 0)",
         "leading": f"if({m} like '+%' or {m} like '0%', 1, 0)",
     }
     out |= {k: f"if(lower({x}.before) rlike '{v}', 1, 0)" for k, v in _WORDS.items()}
@@ -105,7 +136,7 @@ def _examples(n: int = 3000, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
     rows, y = [], []
     for _ in range(n):
         f = dict.fromkeys(FEATURES, 0)
-        shape = r.choice(("hex", "account", "at", "call", "card", "id", "plain", "date", "sum", "hash"))
+        shape = r.choice(("hex", "account", "at", "call", "card", "id", "plain", "date", "sum", "hash", "piece", "dated", "joined", "short"))
         f["digits"], f["marks"] = r.randint(7, 12), r.randint(0, 3)
         private = shape in ("hex", "account", "at", "call", "card", "id")
         said = {"hex": "say_secret", "call": "say_call", "card": "say_card", "id": "say_id", "account": "say_id"}.get(shape)
@@ -125,6 +156,14 @@ def _examples(n: int = 3000, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
             f["digits"], f["marks"] = 8, 2
         elif shape == "sum":
             f["digits"], f["luhn"] = r.randint(7, 20), int(r.random() < 0.1)
+        elif shape in ("piece", "dated", "joined", "short"):  # near a number that is private, but not its range
+            if r.random() < 0.7:
+                f[r.choice(("say_call", "say_card", "say_id", "say_secret"))] = 1
+            f["cut"], f["dated"] = int(shape == "piece"), int(shape == "dated")
+            f["digits"] = r.randint(5, 20) if shape == "piece" else r.randint(8, 22) if shape == "dated" else r.randint(20, 40) if shape == "joined" else r.randint(3, 6)
+            f["luhn"], f["leading"] = int(13 <= f["digits"] <= 19 and r.random() < 0.1), r.randint(0, 1)
+        if shape == "date":
+            f["dated"] = 1
         f["size"] = f["digits"] + f["letters"] + f["marks"]
         rows.append([float(f[k]) for k in FEATURES])
         y.append(int(private))
@@ -192,17 +231,24 @@ def _spans(docs: DataFrame, keep: list[str]) -> DataFrame:
         out = out.withColumn(f"_{kind}", F.expr(f"if({NEEDS[kind].format(t='_t')}, {found}, {none})"))
     trees, least = boosted()
     named = ", ".join(f"'{k}', {v}" for k, v in _features("x").items())
-    kind = "case when x.f.at > 0 then 'address' when x.m rlike '^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,}$' then 'account' when x.m rlike '^[0-9A-Fa-f]{24,}$' then 'secret' else 'number' end"
+    kind = "element_at(array(" + ", ".join(f"'{k}'" for k in EXTRA) + "), x.g + 1)"
     score = " + ".join(_tree_sql(t, "x") for t in trees)
     taken = "concat(_email, _ip, _card, _phone)"
-    cand = f"if(_t rlike '[0-9]|[(\\\\[]at[)\\\\]]', {_found('_t', CANDIDATE)}, {none})"
-    out = out.withColumn("_cand", F.expr(cand))
-    more = (
-        f"transform(filter(transform(filter(_cand, x -> not exists({taken}, b -> b.s < x.e and x.s < b.e)), "
-        f"x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'f', named_struct({named}))), "
-        f"x -> {score} >= {least!r}D), x -> named_struct('k', {kind}, 's', x.s, 'e', x.e))"
+    every = "concat(" + ", ".join(_proposed("_t", k) for k in EXTRA) + ")"
+    proposed = "cast(array() as array<struct<s:int,e:int,m:string,before:string,cut:int,g:int>>)"
+    out = out.withColumn("_cand", F.expr(f"if(_t rlike '[0-9]|[(\\\\[]at[)\\\\]]', {every}, {proposed})"))
+    # all that does not touch a base span is scored; of what overlaps, the better score stays, then the longer
+    scored = (
+        f"transform(transform(filter(_cand, x -> not exists({taken}, b -> b.s < x.e and x.s < b.e)), "
+        f"x -> named_struct('s', x.s, 'e', x.e, 'g', x.g, 'f', named_struct({named}))), "
+        f"x -> named_struct('o', -({score}), 'l', x.s - x.e, 'g', x.g, 's', x.s, 'e', x.e))"
+    )
+    best = (
+        f"aggregate(array_sort(filter({scored}, x -> x.o <= {-least!r}D)), cast(array() as array<struct<s:int,e:int,k:string>>), "
+        f"(a, x) -> if(exists(a, b -> b.s < x.e and x.s < b.e), a, array_append(a, named_struct('s', x.s, 'e', x.e, 'k', {kind}))))"
     )
-    return out.withColumn("_more", F.expr(f"if(size(_cand) = 0, cast(array() as array<struct<k:string,s:int,e:int>>), {more})")).select(*keep, *(f"_{k}" for k in BASE), "_more", "_t")
+    more = f"if(size(_cand) = 0, cast(array() as array<struct<s:int,e:int,k:string>>), array_sort({best}))"
+    return out.withColumn("_more", F.expr(more)).select(*keep, *(f"_{k}" for k in BASE), "_more", "_t")
 
 
 def _texts(spans: str, kind: str) -> str:
