@@ -10,7 +10,7 @@ WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
 TOKEN = rf"(?s){SPACE}*({WORD}+|[^\p{{L}}\p{{N}}_\s\x0B\x1c-\x1f\x85\p{{Z}}])"
 #: Words that a company name loses when it becomes a key.
-SUFFIXES = ("incorporated", "corporation", "company", "limited", "holdings", "group", "inc", "corp", "llc", "ltd", "plc", "co", "lp", "sa", "ag", "nv")
+SUFFIXES = ("incorporated", "corporation", "company", "limited", "holdings", "group", "inc", "corp", "llc", "ltd", "plc", "co", "lp", "sa", "ag", "nv", "llp", "gmbh", "bv", "ab", "as", "pty", "pte", "trust", "bank", "partners", "university")
 
 
 def n_tokens(text: Column) -> Column:
@@ -54,7 +54,8 @@ def keyword_in_context(text: Column, start: Column, length: Column, around: int
 
 def name_key(name: Column) -> Column:
     """A company name without marks, articles and suffix words."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(name, "[\"']", "")), "&", " and "), "[.,]", "")
+    low = F.regexp_replace(F.lower(F.regexp_replace(name, "[\"']", "")), "&", " and ")
+    bare = F.regexp_replace(F.regexp_replace(low, r"(?<![^\s,])(?:s\.p\.a|s\.r\.l)\.?(?![^\s,])", " "), "[.,]", "")
     drop = F.array(*(F.lit(w) for w in (*SUFFIXES, "the", "a")))
     return F.array_join(F.filter(F.split(F.trim(F.regexp_replace(bare, r"\s+", " ")), " "), lambda w: ~F.array_contains(drop, w) & (w != "")), " ")
 

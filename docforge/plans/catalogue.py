@@ -451,6 +451,14 @@ def extraction(s, d):
     return rows.select("id", F.array_join(extract.dates_in(F.col("text")), ",").alias("dates"), F.array_join(extract.durations_in(F.col("text")), ",").alias("durations"), extract.jurisdiction_in(F.col("text")).alias("place"))
 
 
+_TYPE_SQL = ", ".join(f"CASE WHEN regexp_matches(lower(replace(text, '_', ' ')), '{k}') THEN '{t}' END" for t, k in extract.TYPES)
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{_TYPE_SQL}], lambda x: x IS NOT NULL), ',') AS types FROM documents")
+def contract_types(s, d):
+    return _t(s, d, "documents").select("doc_id", F.array_join(extract.contract_types(F.col("text")), ",").alias("types"))
+
+
 @query("SELECT * FROM (VALUES ('ACME_20190304_10-K_EX-10.2_EX-10.2_License', 'ACME', '2019-03-04', '10-K', '10.2', 'long'), ('ACME_03_04_2019-EX-10.1-Supply', 'ACME', '2019-03-04', NULL, '10.1', 'short'), ('Acme Ltd - Agency', 'Acme Ltd', NULL, NULL, NULL, 'named'), ('x', NULL, NULL, NULL, NULL, 'other')) t(title, filer, filing_date, form, exhibit, format)")
 def title_parse(s, d):
     rows = s.createDataFrame([(t,) for t in ("ACME_20190304_10-K_EX-10.2_EX-10.2_License", "ACME_03_04_2019-EX-10.1-Supply", "Acme Ltd - Agency", "x")], "title string")
