@@ -451,6 +451,13 @@ def extraction(s, d):
     return rows.select("id", F.array_join(extract.dates_in(F.col("text")), ",").alias("dates"), F.array_join(extract.durations_in(F.col("text")), ",").alias("durations"), extract.jurisdiction_in(F.col("text")).alias("place"))
 
 
+@query()
+def extraction_documents(s, d):
+    """Dates, durations and place of every whole text."""
+    text = F.col("text")
+    return _t(s, d, "documents").select("doc_id", F.array_join(extract.dates_in(text), ",").alias("dates"), F.array_join(extract.durations_in(text), ",").alias("durations"), extract.jurisdiction_in(text).alias("place"))
+
+
 _TYPE_SQL = ", ".join(f"CASE WHEN regexp_matches(lower(replace(text, '_', ' ')), '{k}') THEN '{t}' END" for t, k in extract.TYPES)
 
 
