@@ -3,185 +3,282 @@
 Shared by the byte and the word operator.  Each text names, for every window,
 one anchor: the least hash of the grams inside.  Equal windows name equal
 anchors, so a window whose anchor hash stands nowhere else cannot recur, and the
-windows of the others form one short piece an anchor.  Only pieces with a
-recurring anchor matter; they meet by anchor hash and are judged there by the
-operator's own method.
-
-Work and shuffle are in proportion to the text.  Pieces that are equal are
-settled from their names alone; only differing pieces of one anchor hash move
-as symbols, one place each.
+windows of the others form one short piece an anchor.  A piece has a name, the
+128-bit digest of its symbols and of the anchor's place in it.
+
+What recurs is judged on symbols, by the operator's own method: of every name,
+the first two places are asked for; all places of one anchor hash meet, and
+neighbouring pieces of a text that meet in one place travel as one segment.
+Only the third and further places of a name are settled by it: of copies that
+equal one that was judged, none is the first.  They are so settled already where
+texts are read, so a passage that all texts share leaves each task as two rows.
+An anchor hash with more than ``names`` contexts is split: its windows then meet
+one by one, by their own digests, with the same pre-aggregation.
+
+Rows that repeat a doc_id are told apart by their rank in the order of texts
+(equal rows: in any order); a missing doc_id comes before all others.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.llm.common import cut
-from docforge.llm.kernels import gram_hashes, mix64, winnow
+from docforge.llm.kernels import mix64, winnow
 
-ANCHOR = "h long, sig long, doc_id long, place long"
-PIECE = "h long, rel int, doc_id long, start int, body binary"
-FOUND = "doc_id long, lo int, hi int, open boolean"
-RUNS = "doc_id long, lo int, hi int"
+U64 = np.uint64
+ANCHOR = "h long, a long, b long, doc_id long, nth long, place long, known boolean"
+FOUND = "doc_id long, nth long, lo int, hi int, key long, way int"
+PIECE = "key long, doc_id long, nth long, start int, hi int, body binary"
+RUNS = "doc_id long, nth long, lo int, hi int"
+#: How a piece goes on: it is known to go, it is judged with its anchor's pieces, its windows are judged one by one.
+KNOWN, JUDGED, APART = 0, 1, 2
+#: Stands for a missing doc_id.
+NO_ID = -(1 << 63)
+#: Places of one text that meet under one key, so that neighbours travel together.
+REACH = 12
 
 
 class Symbols:
-    """How a text becomes symbols: ``keys`` to hash, ``body`` to move, ``width`` bytes a symbol."""
+    """How a text becomes symbols: ``read`` gives what to hash and what to move, of one length.
+
+    A window holds fewer than 2**16 grams, so a place packs into 64 bits.
+    """
 
     def __init__(self, read: Callable[[str], tuple[np.ndarray, np.ndarray]], gram: int, window: int, dtype: str):
+        assert window - gram + 1 < 1 << 16
         self.read, self.gram, self.window, self.dtype = read, gram, window, dtype
 
 
-def _names(keys: np.ndarray, sym: Symbols) -> tuple[np.ndarray, ...]:
-    """(anchor hash, name of its piece, first window, windows, anchor less first window) of a text's anchors.
-
-    Equal pieces hold equal windows at equal places, which their name sums up.
-    """
-    at, h, first, last = winnow(keys, sym.gram, sym.window)
-    if not len(at):
-        return h, h, first, last, at
-    wins, rel = last - first + 1, at - first
-    full = gram_hashes(keys, sym.window)
-    shape = mix64((wins * 65536 + rel).astype(np.uint64))
-    return h, np.add.reduceat(full, first) ^ shape, first, wins, rel
-
-
-def _anchors(docs: DataFrame, sym: Symbols) -> DataFrame:
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, nth): rows that repeat a doc_id get a rank, all others 0."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    twice = own.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return own.withColumn("nth", F.lit(0).cast("long"))
+    twice = cut(twice)
+    once = own.join(twice, "doc_id", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
+    return once.unionByName(cut(own.join(twice, "doc_id", "left_semi").withColumn("nth", rank.cast("long"))))
+
+
+def _spare(names: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
+    """Which rows are not among the two least (by ``order``) of their name."""
+    by = np.argsort(names[0], kind="stable")
+    first = names[0][by]
+    new = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+    sizes = np.diff(np.concatenate((new, [len(by)])))
+    many = by[np.repeat(sizes > 2, sizes)]
+    out = np.zeros(len(by), bool)
+    if len(many):
+        rank = np.lexsort([x[many] for x in reversed([*names, *order])])
+        many = many[rank]
+        head = np.zeros(len(many), bool)
+        head[0] = True
+        for x in names:
+            head[1:] |= x[many][1:] != x[many][:-1]
+        at = np.arange(len(many))
+        out[many[at - np.maximum.accumulate(np.where(head, at, 0)) >= 2]] = True
+    return out
+
+
+def _anchors(docs: DataFrame, sym: Symbols, room: int = 400_000) -> DataFrame:
     """A row an anchor; ``place`` packs the first window and the number of windows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def close() -> pd.DataFrame:
+            h, a, b, doc, nth, place = (np.concatenate(c) for c in zip(*rows, strict=True))
+            known = _spare([a, b], [doc, nth, place])
+            # what is known takes any way through the exchange
+            h[known] = mix64(doc[known].astype(U64) ^ place[known].astype(U64)).view(np.int64)
+            return pd.DataFrame({"h": h, "a": a, "b": b, "doc_id": doc, "nth": nth, "place": place, "known": known})
+
         for pdf in batches:
-            ids, hs, sigs, places = [], [], [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                if isinstance(text, str):
-                    h, sig, first, wins, _ = _names(sym.read(text)[0], sym)
-                    if len(h):
-                        ids.append(np.full(len(h), doc, np.int64))
-                        hs.append(h.view(np.int64))
-                        sigs.append(sig.view(np.int64))
-                        places.append(first.astype(np.int64) << 16 | wins)
-            if ids:
-                yield pd.DataFrame({"h": np.concatenate(hs), "sig": np.concatenate(sigs), "doc_id": np.concatenate(ids), "place": np.concatenate(places)})
-
-    return docs.select("doc_id", "text").mapInPandas(run, ANCHOR)
-
-
-def _sift(first_stays: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows sorted by (h, sig, doc_id, place) to what is known of their windows.
-
-    A piece that stands twice goes (but for its first place, if that stays);
-    pieces of one anchor hash that differ may still share windows: of each, the
-    first place is left open.  Held between batches: the last row's h and sig,
-    the first row of that sig, and the first row of that h while nothing is
-    known to differ from it.
+            for doc, nth, text in zip(pdf["doc_id"], pdf["nth"], pdf["text"], strict=True):
+                if not isinstance(text, str):
+                    continue
+                keys, body = sym.read(text)
+                at, h, first, last = winnow(keys, sym.gram, sym.window)
+                if not len(at):
+                    continue
+                raw, size, tail = body.tobytes(), body.itemsize, sym.window
+                digest = hashlib.blake2b
+                names = b"".join([
+                    digest(raw[f * size : (z + tail) * size], digest_size=16, salt=(p - f).to_bytes(4, "little")).digest()
+                    for f, z, p in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)
+                ])
+                name = np.frombuffer(names, np.int64).reshape(-1, 2)
+                n = len(at)
+                rows.append((h.view(np.int64), name[:, 0], name[:, 1], np.full(n, doc, np.int64), np.full(n, nth, np.int64), first.astype(np.int64) << 16 | (last - first + 1)))
+                held += n
+                if held >= room:
+                    yield close()
+                    rows, held = [], 0
+        if rows:
+            yield close()
+
+    return docs.select("doc_id", "nth", "text").mapInPandas(run, ANCHOR)
+
+
+def _sift(names: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows sorted by (h, a, b, doc_id, nth, place) to what becomes of their pieces.
+
+    Held between batches: the rows of the last h, two a name; of an h with more
+    than ``names`` names, only its last name.
     """
 
+    def found(rows: np.ndarray, way, key=0) -> pd.DataFrame:
+        lo = rows[:, 5] >> 16
+        return pd.DataFrame({"doc_id": rows[:, 3], "nth": rows[:, 4], "lo": lo.astype(np.int32), "hi": (lo + (rows[:, 5] & 65535) - 1).astype(np.int32), "key": key, "way": way})
+
+    def settle(rows: np.ndarray) -> pd.DataFrame:
+        """Whole anchor hashes; a piece whose anchor stands nowhere else is out."""
+        new = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+        sizes = np.diff(np.concatenate((new, [len(rows)])))
+        lead = rows[new]
+        key = mix64(lead[:, 3].astype(U64) * U64(0x9E3779B97F4A7C15) ^ mix64((lead[:, 4].astype(U64) << U64(40)) ^ (lead[:, 5] >> (16 + REACH)).astype(U64)))
+        more = np.repeat(sizes > 1, sizes)
+        way = np.repeat(np.where(sizes > 2 * names, APART, JUDGED), sizes)
+        return found(rows[more], way[more], np.repeat(key.view(np.int64), sizes)[more])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = first = lead = None
+        held, apart, gone = np.empty((0, 6), np.int64), None, 0
         for pdf in batches:
-            if not len(pdf):
+            known = pdf["known"].to_numpy(bool)
+            rows = pdf[["h", "a", "b", "doc_id", "nth", "place"]].to_numpy()
+            if known.any():
+                yield found(rows[known], KNOWN)
+                rows = rows[~known]
+            if not len(rows):
                 continue
-            h, sig = pdf["h"].to_numpy(), pdf["sig"].to_numpy()
-            rows = pdf[["doc_id", "place"]].to_numpy()
-            new_h = np.concatenate(([last is None or h[0] != last[0]], h[1:] != h[:-1]))
-            new = new_h | np.concatenate(([last is None or sig[0] != last[1]], sig[1:] != sig[:-1]))
-            reps = np.flatnonzero(new)
-            gone, free = [rows[~new]], [rows[reps[~new_h[reps]]]]
-            free.append(rows[reps[:-1][new_h[reps[:-1]] & ~new_h[reps[1:]]]])
-            if lead is not None and len(reps) and not new_h[reps[0]]:
-                free.append(lead[None, :])
-                lead = None
-            if not first_stays:
-                gone.append(rows[reps[reps < len(rows) - 1][~new[reps[reps < len(rows) - 1] + 1]]])
-                if first is not None and not new[0]:
-                    gone.append(first[None, :])
-            if len(reps):
-                first = rows[reps[-1]] if reps[-1] == len(rows) - 1 else None
-            elif first is not None:
-                first = None
-            heads = np.flatnonzero(new_h)
-            if len(heads):
-                lead = None if (reps > heads[-1]).any() else rows[heads[-1]]
-            last = (h[-1], sig[-1])
-            for part, is_open in ((np.concatenate(gone), False), (np.concatenate(free), True)):
-                if len(part):
-                    lo = part[:, 1] >> 16
-                    yield pd.DataFrame({"doc_id": part[:, 0], "lo": lo.astype(np.int32), "hi": (lo + (part[:, 1] & 65535) - 1).astype(np.int32), "open": is_open})
+            rows = np.concatenate((held, rows))
+            head = np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(1)))
+            at = np.arange(len(rows))
+            third = at - np.maximum.accumulate(np.where(head, at, 0)) >= 2
+            if third.any():
+                yield found(rows[third], KNOWN)
+                rows = rows[~third]
+            if apart is not None:  # the first ``gone`` rows are on their way
+                mine = int(np.searchsorted(rows[:, 0] != apart, True)) if rows[-1, 0] != apart else len(rows)
+                if mine > gone:
+                    yield found(rows[gone:mine], APART)
+                if mine == len(rows):
+                    held = rows[-2:] if (rows[-2:, :3] == rows[-1, :3]).all() else rows[-1:]
+                    gone = len(held)
+                    continue
+                rows, apart, gone = rows[mine:], None, 0
+            last = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1 if rows[0, 0] != rows[-1, 0] else 0
+            if last:
+                yield settle(rows[:last])
+            held = rows[last:]
+            if len(held) > 2 * names:
+                yield found(held, APART)
+                apart = held[-1, 0]
+                held = held[-2:] if (held[-2:, :3] == held[-1, :3]).all() else held[-1:]
+                gone = len(held)
+        if len(held) and apart is None:
+            yield settle(held)
 
     return run
 
 
 def _pieces(docs: DataFrame, asked: DataFrame, sym: Symbols) -> DataFrame:
-    """The pieces left open (``at``: their first windows), with their symbols."""
+    """The segments asked for, with their symbols; a row without them is known to go."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc, text, wanted in zip(pdf["doc_id"], pdf["text"], pdf["at"], strict=True):
-                keys, body = sym.read(text)
-                h, _, first, wins, rel = _names(keys, sym)
-                for i in np.flatnonzero(np.isin(first, np.asarray(wanted))).tolist():
-                    a = int(first[i])
-                    rows.append((int(h[i].view(np.int64)), int(rel[i]), doc, a, body[a : a + int(wins[i]) - 1 + sym.window].tobytes()))
+            rows, apart = [], []
+            for doc, nth, text, wanted in zip(pdf["doc_id"], pdf["nth"], pdf["text"], pdf["at"], strict=True):
+                body = sym.read(text)[1]
+                end, piece = None, None
+                for lo, hi, key, way in sorted((w["lo"], w["hi"], w["key"], w["way"]) for w in wanted):
+                    if way == APART:
+                        for s in range(lo, hi + 1):
+                            raw = body[s : s + sym.window].tobytes()
+                            apart.append((hashlib.blake2b(raw, digest_size=16).digest(), doc, nth, s, raw))
+                    elif end is not None and piece[0] == key and lo == end + 1:
+                        end = hi
+                    else:
+                        if piece:
+                            rows.append((piece[0], doc, nth, piece[1], 0, body[piece[1] : end + sym.window].tobytes()))
+                        piece, end = (key, lo), hi
+                if piece:
+                    rows.append((piece[0], doc, nth, piece[1], 0, body[piece[1] : end + sym.window].tobytes()))
+            apart.sort()
+            for i, (name, doc, nth, s, raw) in enumerate(apart):
+                known = i > 1 and apart[i - 2][0] == name
+                rows.append((int.from_bytes(name[:8], "little", signed=True), doc, nth, s, s, None if known else raw))
             if rows:
-                yield pd.DataFrame(rows, columns=["h", "rel", "doc_id", "start", "body"])
+                yield pd.DataFrame(rows, columns=["key", "doc_id", "nth", "start", "hi", "body"])
 
-    return docs.select("doc_id", "text").where("text is not null").join(asked, "doc_id").mapInPandas(run, PIECE)
+    return docs.where("text is not null").join(asked, ["doc_id", "nth"]).mapInPandas(run, PIECE)
 
 
-#: judge(texts, owners, starts) -> for each piece a boolean array: which of its windows go
+#: judge(segments, texts' ranks, starts) -> for each segment a boolean array: which of its windows go
 Judge = Callable[[list[np.ndarray], np.ndarray, np.ndarray], list[np.ndarray]]
 
 
 def _meet(sym: Symbols, judge: Judge, room: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows sorted by h to the runs of windows that go; whole groups are judged some ``room`` bytes at a time."""
+    """Rows sorted by key to the runs of windows that go; whole groups are judged some ``room`` bytes at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, int, bytes]] = []
-        size, key = 0, None
+        held: list[tuple[int, int, int, bytes]] = []
+        known: list[tuple[int, int, int, int]] = []
+        size, now = 0, None
 
         def settle() -> pd.DataFrame:
-            nonlocal held, size
-            out = []
+            nonlocal held, known, size
+            out, known = known, []
             if held:
-                gone = judge([np.frombuffer(p[2], sym.dtype) for p in held], np.array([p[0] for p in held], np.int64), np.array([p[1] for p in held], np.int64))
-                for (doc, start, _), mask in zip(held, gone, strict=True):
+                # texts by rank, so that one number orders them
+                texts = {t: i for i, t in enumerate(sorted({p[:2] for p in held}))}
+                gone = judge([np.frombuffer(p[3], sym.dtype) for p in held], np.array([texts[p[:2]] for p in held], np.int64), np.array([p[2] for p in held], np.int64))
+                for (doc, nth, start, _), mask in zip(held, gone, strict=True):
                     if mask.any():
                         edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                        out.extend((doc, start + int(a), start + int(z) - 1) for a, z in zip(edge[::2], edge[1::2], strict=True))
+                        out.extend((doc, nth, start + int(a), start + int(z) - 1) for a, z in zip(edge[::2], edge[1::2], strict=True))
             held, size = [], 0
-            return pd.DataFrame(out, columns=["doc_id", "lo", "hi"])
+            return pd.DataFrame(out, columns=["doc_id", "nth", "lo", "hi"])
 
         for pdf in batches:
-            for h, doc, start, body in zip(*(pdf[c].tolist() for c in ("h", "doc_id", "start", "body")), strict=True):
-                if h != key:
-                    key = h
-                    if size > room:
+            for key, doc, nth, start, hi, body in zip(*(pdf[c].tolist() for c in ("key", "doc_id", "nth", "start", "hi", "body")), strict=True):
+                if key != now:
+                    now = key
+                    if size > room or len(known) > 50_000:
                         yield settle()
-                held.append((doc, start, body))
-                size += len(body)
+                if body is None:
+                    known.append((doc, nth, start, hi))
+                else:
+                    held.append((doc, nth, start, body))
+                    size += len(body)
         yield settle()
 
     return run
 
 
-def recurring_windows(docs: DataFrame, sym: Symbols, judge: Judge, first_stays: bool, room: int = 4 << 20) -> DataFrame:
-    """(doc_id, runs: array of (lo, hi)) of the window starts that go.
+def recurring_windows(rows: DataFrame, sym: Symbols, judge: Judge, room: int = 4 << 20, names: int = 512) -> DataFrame:
+    """(doc_id, nth, runs: array of (lo, hi)) of the window starts that go, for ``numbered`` rows."""
+    anchors = _anchors(rows, sym).repartition("h").sortWithinPartitions("h", "a", "b", "doc_id", "nth", "place")
+    found = cut(anchors.mapInPandas(_sift(names), FOUND))
+    asked = found.where(F.col("way") != KNOWN).groupBy("doc_id", "nth").agg(F.collect_list(F.struct("lo", "hi", "key", "way")).alias("at"))
+    met = _pieces(rows, asked, sym).repartition("key").sortWithinPartitions("key").mapInPandas(_meet(sym, judge, room), RUNS)
+    runs = found.where(F.col("way") == KNOWN).select("doc_id", "nth", "lo", "hi").unionByName(cut(met))
+    return runs.groupBy("doc_id", "nth").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
-    ``first_stays``: the first place (least doc_id, then start) of a window is
-    not reported; otherwise every place of a window that stands twice is.
-    """
-    sifted = _anchors(docs, sym).repartition("h").sortWithinPartitions("h", "sig", "doc_id", "place").mapInPandas(_sift(first_stays), FOUND)
-    found = cut(sifted)
-    asked = found.where("open").groupBy("doc_id").agg(F.collect_list("lo").alias("at"))
-    met = _pieces(docs, asked, sym).repartition("h").sortWithinPartitions("h").mapInPandas(_meet(sym, judge, room), RUNS)
-    runs = found.where("not open").select("doc_id", "lo", "hi").unionByName(cut(met))
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+
+def per_text(rows: DataFrame, runs: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` (batches with doc_id, text and runs) over the ``numbered`` rows; ``schema`` begins with doc_id."""
+    out = rows.join(runs, ["doc_id", "nth"], "left").select("doc_id", "text", "runs").mapInPandas(make, schema)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def covered(runs, n: int, window: int) -> np.ndarray:

@@ -6,9 +6,10 @@ induced from them by one scan over the 256 buckets, and common prefixes of
 neighbours in the order show which strings of ``length`` bytes are equal.
 
 Defined results: a null text is empty; matches never cross documents; of equal
-strings the one with the least (doc_id, start) stays; rows that repeat a doc_id
-are told apart by their start only, so give each row its own; further columns
-are ignored (kept by ``drop_repeats``).
+strings the one with the least (doc_id, start) stays; of rows that repeat a
+doc_id the one with the lesser text comes first, so a row given twice keeps its
+first copy whole; a missing doc_id comes before all others; an empty table gives
+an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from docforge.llm.kernels import BYTE_WORD
-from docforge.llm.repeats import Symbols, covered, recurring_windows
+from docforge.llm.repeats import Symbols, covered, numbered, per_text, recurring_windows
 
 U64 = np.uint64
 
@@ -148,9 +149,9 @@ def _read(text: str) -> tuple[np.ndarray, np.ndarray]:
     return BYTE_WORD[data], data
 
 
-def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
-    """(doc_id, runs) of the string starts that also start earlier."""
-    return recurring_windows(docs, Symbols(_read, gram, length, "uint8"), judge_bytes(length), first_stays=True)
+def repeated_bytes(rows: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
+    """(doc_id, nth, runs) of the string starts that also start earlier, for ``numbered`` rows."""
+    return recurring_windows(rows, Symbols(_read, gram, length, "uint8"), judge_bytes(length))
 
 
 def byte_digests(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -166,5 +167,5 @@ def byte_digests(docs: DataFrame, length: int = 100) -> DataFrame:
                 out.append((doc, len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    whole = docs.select("doc_id", "text").join(repeated_bytes(docs, length), "doc_id", "left")
-    return whole.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = numbered(docs)
+    return per_text(rows, repeated_bytes(rows, length), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
