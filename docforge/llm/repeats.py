@@ -41,19 +41,19 @@ RUNS = "doc_id long, nth long, lo int, hi int"
 KNOWN, JUDGED, APART = 0, 1, 2
 #: Stands for a missing doc_id.
 NO_ID = -(1 << 63)
-#: Places of one text that meet under one key, so that neighbours travel together.
-REACH = 12
 
 
 class Symbols:
     """How a text becomes symbols: ``read`` gives what to hash and what to move, of one length.
 
     A window holds fewer than 2**16 grams, so a place packs into 64 bits.
+    Anchors that stand first in one stretch of 2**``reach`` symbols meet in one
+    place, so that neighbours travel together.
     """
 
-    def __init__(self, read: Callable[[str], tuple[np.ndarray, np.ndarray]], gram: int, window: int, dtype: str):
+    def __init__(self, read: Callable[[str], tuple[np.ndarray, np.ndarray]], gram: int, window: int, dtype: str, reach: int):
         assert window - gram + 1 < 1 << 16
-        self.read, self.gram, self.window, self.dtype = read, gram, window, dtype
+        self.read, self.gram, self.window, self.dtype, self.reach = read, gram, window, dtype, reach
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def _anchors(docs: DataFrame, sym: Symbols, room: int = 400_000) -> DataFrame:
     return docs.select("doc_id", "nth", "text").mapInPandas(run, ANCHOR)
 
 
-def _sift(names: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _sift(names: int, reach: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Rows sorted by (h, a, b, doc_id, nth, place) to what becomes of their pieces.
 
     Held between batches: the rows of the last h, two a name; of an h with more
@@ -144,8 +144,11 @@ def _sift(names: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
         """Whole anchor hashes; a piece whose anchor stands nowhere else is out."""
         new = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
         sizes = np.diff(np.concatenate((new, [len(rows)])))
-        lead = rows[new]
-        key = mix64(lead[:, 3].astype(U64) * U64(0x9E3779B97F4A7C15) ^ mix64((lead[:, 4].astype(U64) << U64(40)) ^ (lead[:, 5] >> (16 + REACH)).astype(U64)))
+        # all go where the first of them stands, in the order of texts
+        doc = np.minimum.reduceat(rows[:, 3], new)
+        there = rows[:, 3] == np.repeat(doc, sizes)
+        place = np.minimum.reduceat(np.where(there, (rows[:, 4] << 40) + (rows[:, 5] >> (16 + reach)), np.iinfo(np.int64).max), new)
+        key = mix64(doc.astype(U64) * U64(0x9E3779B97F4A7C15) ^ mix64(place.astype(U64)))
         more = np.repeat(sizes > 1, sizes)
         way = np.repeat(np.where(sizes > 2 * names, APART, JUDGED), sizes)
         return found(rows[more], way[more], np.repeat(key.view(np.int64), sizes)[more])
@@ -194,6 +197,13 @@ def _sift(names: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
 def _pieces(docs: DataFrame, asked: DataFrame, sym: Symbols) -> DataFrame:
     """The segments asked for, with their symbols; a row without them is known to go."""
 
+    def frame(rows: list[tuple], apart: list[tuple]) -> pd.DataFrame:
+        apart.sort()
+        for i, (name, doc, nth, s, raw) in enumerate(apart):
+            known = i > 1 and apart[i - 2][0] == name
+            rows.append((int.from_bytes(name[:8], "little", signed=True), doc, nth, s, s, None if known else raw))
+        return pd.DataFrame(rows, columns=["key", "doc_id", "nth", "start", "hi", "body"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, apart = [], []
@@ -213,12 +223,11 @@ def _pieces(docs: DataFrame, asked: DataFrame, sym: Symbols) -> DataFrame:
                         piece, end = (key, lo), hi
                 if piece:
                     rows.append((piece[0], doc, nth, piece[1], 0, body[piece[1] : end + sym.window].tobytes()))
-            apart.sort()
-            for i, (name, doc, nth, s, raw) in enumerate(apart):
-                known = i > 1 and apart[i - 2][0] == name
-                rows.append((int.from_bytes(name[:8], "little", signed=True), doc, nth, s, s, None if known else raw))
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "doc_id", "nth", "start", "hi", "body"])
+                if len(apart) + len(rows) > 20_000:
+                    yield frame(rows, apart)
+                    rows, apart = [], []
+            if rows or apart:
+                yield frame(rows, apart)
 
     return docs.where("text is not null").join(asked, ["doc_id", "nth"]).mapInPandas(run, PIECE)
 
@@ -233,7 +242,7 @@ def _meet(sym: Symbols, judge: Judge, room: int) -> Callable[[Iterator[pd.DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, int, int, bytes]] = []
         known: list[tuple[int, int, int, int]] = []
-        size, now = 0, None
+        size, now, alone, one = 0, None, 0, np.dtype(sym.dtype).itemsize * sym.window
 
         def settle() -> pd.DataFrame:
             nonlocal held, known, size
@@ -249,12 +258,16 @@ def _meet(sym: Symbols, judge: Judge, room: int) -> Callable[[Iterator[pd.DataFr
             held, size = [], 0
             return pd.DataFrame(out, columns=["doc_id", "nth", "lo", "hi"])
 
+        # ``alone``: how many are held if the present key has but one
         for pdf in batches:
             for key, doc, nth, start, hi, body in zip(*(pdf[c].tolist() for c in ("key", "doc_id", "nth", "start", "hi", "body")), strict=True):
                 if key != now:
-                    now = key
+                    if held and len(held) == alone and len(held[-1][3]) == one:  # a window that met no other
+                        size -= len(held.pop()[3])
+                    now, alone = key, len(held) + 1
                     if size > room or len(known) > 50_000:
                         yield settle()
+                        alone = 1
                 if body is None:
                     known.append((doc, nth, start, hi))
                 else:
@@ -265,10 +278,10 @@ def _meet(sym: Symbols, judge: Judge, room: int) -> Callable[[Iterator[pd.DataFr
     return run
 
 
-def recurring_windows(rows: DataFrame, sym: Symbols, judge: Judge, room: int = 4 << 20, names: int = 512) -> DataFrame:
+def recurring_windows(rows: DataFrame, sym: Symbols, judge: Judge, room: int = 4 << 20, names: int = 1024) -> DataFrame:
     """(doc_id, nth, runs: array of (lo, hi)) of the window starts that go, for ``numbered`` rows."""
     anchors = _anchors(rows, sym).repartition("h").sortWithinPartitions("h", "a", "b", "doc_id", "nth", "place")
-    found = cut(anchors.mapInPandas(_sift(names), FOUND))
+    found = cut(anchors.mapInPandas(_sift(names, sym.reach), FOUND))
     asked = found.where(F.col("way") != KNOWN).groupBy("doc_id", "nth").agg(F.collect_list(F.struct("lo", "hi", "key", "way")).alias("at"))
     met = _pieces(rows, asked, sym).repartition("key").sortWithinPartitions("key").mapInPandas(_meet(sym, judge, room), RUNS)
     runs = found.where(F.col("way") == KNOWN).select("doc_id", "nth", "lo", "hi").unionByName(cut(met))

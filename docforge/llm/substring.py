@@ -115,7 +115,7 @@ def _read(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_words(rows: DataFrame, length: int = 35, block: int = 18, gram: int = 12) -> DataFrame:
     """(doc_id, nth, runs) of the word windows that also start elsewhere, for ``numbered`` rows."""
-    return recurring_windows(rows, Symbols(_read, gram, length, "uint64"), judge_words(length, block))
+    return recurring_windows(rows, Symbols(_read, gram, length, "uint64", 8), judge_words(length, block))
 
 
 def word_digests(docs: DataFrame, length: int = 35) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from docforge.llm.kernels import BYTE_WORD
+from docforge.llm.kernels import BYTE_WORD, gram_hashes
 from docforge.llm.repeats import Symbols, covered, numbered, per_text, recurring_windows
 
 U64 = np.uint64
@@ -37,28 +37,44 @@ def _words(text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _direct(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by their first ``depth`` bytes, eight at a time, ties refined only."""
+def _direct(at: np.ndarray, words: np.ndarray, depth: int, text: np.ndarray) -> np.ndarray:
+    """Positions sorted by their first ``depth`` bytes, eight at a time, ties refined only.
+
+    Copies are sorted once: of positions whose ``depth`` bytes have one hash, the
+    first stands for all.  ``common`` compares the bytes themselves afterwards.
+    """
     if not len(at):
         return at
+    grams = gram_hashes(BYTE_WORD[np.concatenate((text, np.zeros(depth, np.uint8)))], depth)[at]
+    by = np.argsort(grams)
+    head = np.concatenate(([True], grams[by][1:] != grams[by][:-1]))
+    rank = np.empty(int(head.sum()), np.int64)
+    rank[_refine(at[by[head]], words, depth)] = np.arange(len(rank))
+    copy_of = np.empty(len(at), np.int64)
+    copy_of[by] = np.cumsum(head) - 1
+    return at[np.argsort(rank[copy_of])]
+
+
+def _refine(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
+    """The order of the ``depth`` bytes that stand ``at``: eight at once, then five with the number of their tie."""
     w = words[at]
-    order = np.argsort(w, kind="stable")
-    at, w = at[order], w[order]
-    new = np.concatenate(([True], w[1:] != w[:-1]))
-    for step in range(8, depth, 8):
-        group = np.cumsum(new)
+    order = np.argsort(w)
+    new = np.concatenate(([True], w[order][1:] != w[order][:-1]))
+    for step in range(8, depth, 5):
         tied = np.flatnonzero(~new | np.concatenate((~new[1:], [False])))
         if not len(tied):
             break
-        part, g = at[tied], group[tied]
-        w = words[part + step]
-        order = np.lexsort((w, g))
-        part, g, w = part[order], g[order], w[order]
-        at[tied] = part
-        # a new group starts where either changes; firsts of old groups stay firsts
-        fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])))
-        new[tied] = fresh
-    return at
+        part, tie = order[tied], np.cumsum(new[tied]).astype(U64)
+        w = words[at[part] + step] >> U64(24)
+        if tie[-1] < 1 << 24:
+            w |= tie << U64(40)
+            by = np.argsort(w)
+        else:
+            by = np.lexsort((w, tie))
+        order[tied], w, tie = part[by], w[by], tie[by]
+        # a new tie starts where either changes; firsts of old ties stay firsts
+        new[tied] = np.concatenate(([True], (tie[1:] != tie[:-1]) | (w[1:] != w[:-1])))
+    return order
 
 
 def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
@@ -73,7 +89,7 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     nxt = np.minimum.accumulate(where[::-1])[::-1]
     small = diff[nxt] > 0
     words = _words(text, depth)
-    sorted_small = _direct(np.flatnonzero(small), words, depth)
+    sorted_small = _direct(np.flatnonzero(small), words, depth, text)
     heads = np.searchsorted(text[sorted_small], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[text[n - 1]].append(np.array([n - 1]))
@@ -151,7 +167,7 @@ def _read(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_bytes(rows: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
     """(doc_id, nth, runs) of the string starts that also start earlier, for ``numbered`` rows."""
-    return recurring_windows(rows, Symbols(_read, gram, length, "uint8"), judge_bytes(length))
+    return recurring_windows(rows, Symbols(_read, gram, length, "uint8", 10), judge_bytes(length))
 
 
 def byte_digests(docs: DataFrame, length: int = 100) -> DataFrame:

@@ -60,7 +60,7 @@ def passages(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("names", [512, 1])
+@pytest.mark.parametrize("names", [256, 1])
 def test_bytes_and_words_as_brute_force(spark, monkeypatch, names):
     rows = passages(names)
     whole = repeats.recurring_windows
@@ -73,7 +73,7 @@ def test_bytes_and_words_as_brute_force(spark, monkeypatch, names):
 
 def test_third_places_are_settled_before_the_exchange(spark):
     rows = [(i, "a line that all texts share " * 8) for i in range(40)]
-    sym = suffix.Symbols(suffix._read, 32, 100, "uint8")
+    sym = suffix.Symbols(suffix._read, 32, 100, "uint8", 10)
     got = repeats._anchors(repeats.numbered(frame(spark, rows).coalesce(1)), sym)
     names = got.where("not known").groupBy("a", "b").count().agg(F.max("count")).first()[0]
     assert names == 2 and got.where("known").count() > 38
