@@ -77,22 +77,35 @@ def _refine(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffix array of a byte text, right to the first ``depth`` bytes at least."""
+def two_stage(text: np.ndarray, depth: int, words: np.ndarray | None = None, ends: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The suffix array of a byte text, right to the first ``depth`` bytes at least.
+
+    ``ends``: (the segment of every position, each segment's last position asked
+    for).  Then only suffixes asked for are sorted, and those that they are
+    induced from: up to the next one that is smaller than its successor.
+    """
     n = len(text)
     if not n:
         return np.empty(0, np.int64)
     # type: compare with the successor; within a run of equal bytes, as at its end
     t = text.astype(np.int16)
     diff = np.concatenate((t[1:] - t[:-1], np.array([-1], np.int16)))  # the end is larger than nothing
-    where = np.where(diff != 0, np.arange(n), n - 1)
+    at = np.arange(n)
+    where = np.where(diff != 0, at, n - 1)
     nxt = np.minimum.accumulate(where[::-1])[::-1]
     small = diff[nxt] > 0
-    words = _words(text, depth)
+    if ends is not None:
+        segment, last = ends
+        next_small = np.minimum.accumulate(np.where(small, at, n - 1)[::-1])[::-1]
+        asked = at <= next_small[last][segment]
+        small &= asked
+        t[~asked] = -1  # of no bucket, so nothing induces it
+    words = _words(text, depth) if words is None else words
     sorted_small = _direct(np.flatnonzero(small), words, depth, text)
     heads = np.searchsorted(text[sorted_small], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[n - 1]].append(np.array([n - 1]))
+    if t[n - 1] >= 0 and not small[n - 1]:
+        waiting[t[n - 1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
         front = []
@@ -100,21 +113,22 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
         while len(level):
             front.append(level)
             before = level[level > 0] - 1
-            level = before[text[before] == c]
+            level = before[t[before] == c]
         bucket = np.concatenate([*front, sorted_small[heads[c] : heads[c + 1]]]) if front else sorted_small[heads[c] : heads[c + 1]]
         waiting[c] = []
         if not len(bucket):
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[text[before] > c]
+        byte = t[before]
+        before, byte = before[byte > c], byte[byte > c].astype(np.uint8)
         if len(before):
-            before = before[np.argsort(text[before], kind="stable")]
-            marks = np.searchsorted(text[before], np.arange(257))
-            for d in range(c + 1, 256):
-                if marks[d + 1] > marks[d]:
-                    waiting[d].append(before[marks[d] : marks[d + 1]])
-    return np.concatenate(out)
+            by = np.argsort(byte, kind="stable")
+            before, byte = before[by], byte[by]
+            marks = np.searchsorted(byte, np.arange(257))
+            for d in np.flatnonzero(np.diff(marks)).tolist():
+                waiting[d].append(before[marks[d] : marks[d + 1]])
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def common(order: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
@@ -140,21 +154,16 @@ def judge_bytes(length: int):
             text[b : b + len(p)] = p
         owner = np.repeat(np.arange(len(pieces)), sizes)
         inside = np.arange(len(text)) - base[owner]
-        is_win = inside < wins[owner]
-        order = two_stage(text, length + 4)
-        order = order[is_win[order]]
         words = _words(text, length + 8)
+        order = two_stage(text, length + 4, words, (owner, base[:-1] + wins - 1))
+        order = order[(inside < wins[owner])[order]]
         same = common(order, words, length)
-        cls = np.concatenate(([0], np.cumsum(~same)))
-        tied = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        order, cls = order[tied], cls[tied]
-        o = owner[order]
-        pos = starts[o] + inside[order]
-        rank = np.lexsort((pos, docs[o], cls))
-        order, cls = order[rank], cls[rank]
-        later = np.concatenate(([False], cls[1:] == cls[:-1])) if len(cls) else np.empty(0, bool)
+        # of each class of equal strings the least place stays
+        head = np.flatnonzero(np.concatenate(([True], ~same)))
+        place = (docs[owner[order]] << 32) + starts[owner[order]] + inside[order]
+        least = np.minimum.reduceat(place, head)
         gone = np.zeros(len(text), bool)
-        gone[order[later]] = True
+        gone[order[place != np.repeat(least, np.diff(np.concatenate((head, [len(order)]))))]] = True
         return [gone[b : b + w] for b, w in zip(base, wins, strict=False)]
 
     return judge
