@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docforge.llm.common import Forest, components, cut
+from docforge.llm.common import Forest, components, cut, fresh
 from docforge.llm.kernels import gram_hashes, mix64, word_hashes, word_spans
 
 U64 = np.uint64
@@ -445,6 +445,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicates stays: the least doc_id, columns as they were."""
-    stay = jaccard_components(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    """One row of each group of near-duplicates stays: the least doc_id, columns as they were.
+
+    Rows without words all stay; rows that share a doc_id stay or go together.
+    """
+    (own,) = fresh(docs, "stay")
+    stay = jaccard_components(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
