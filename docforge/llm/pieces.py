@@ -1,20 +1,24 @@
 """SentencePiece encoding and decoding that keeps source offsets.
 
-The normaliser walks the model's compiled character map (a double-array trie)
-by longest prefix and notes, for every normalised byte, the source byte it came
-from; each piece is then projected to its span of original bytes.  No piece of
-the models served holds a word mark after another character (checked at load),
-so a normalised text is cut before each run of word marks and every distinct
-word is segmented once per worker, in a cache of bounded size; the merges of a
-word come from the sentencepiece library itself.
-
-Defined results: a null or empty text has no ids and decodes to the empty text;
-rows that repeat each get their row; further columns are ignored.
+The normaliser walks the model's compiled character map (a double-array trie) by
+longest prefix and notes for every normalised byte which source bytes it came
+from.  Pieces are merged here, best score first and leftmost of equals, from
+single characters; what the vocabulary lacks falls back to bytes.  Every piece is
+then projected to its span of source bytes.  Where no piece holds a word mark
+after another character (checked at load) a normalised text is cut before each
+run of marks, and a distinct word is merged once per worker, in a cache of
+bounded size.
+
+For BPE models with byte pieces and without user-defined or unused ones; others
+raise.  Defined results: a null or empty text has no ids and decodes to the empty
+text; rows that repeat each get their row; an empty table gives an empty table;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -81,54 +86,81 @@ class CharMap:
         return best
 
 
-class PieceModel:
-    """One model file: vocabulary, normaliser, and a cache of segmented words."""
+class Alignment:
+    """A normalised text, and for each of its bytes the source bytes [start, end) it stands for."""
+
+    def __init__(self, text: str, start: np.ndarray, end: np.ndarray):
+        self.text, self.start, self.end = text, start, end
 
-    def __init__(self, path: str, cache: int = 800_000):
-        import sentencepiece
 
+class PieceModel:
+    """One model file: vocabulary, normaliser, merges, and a cache of merged words."""
+
+    def __init__(self, path: str, cache: int = 400_000):
         with open(path, "rb") as f:
             raw = f.read()
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.pieces: list[str] = []
-        self.byte_of: dict[int, int] = {}
+        self.score: dict[str, float] = {}
+        self.id_of: dict[str, int] = {}
+        self.byte_id: dict[int, int] = {}
         self.chars, self.dummy, self.squeeze, self.escape = CharMap(b""), True, True, True
+        kind = 1
         for number, value in fields(raw):
             if number == 1:
                 got = dict(fields(value))
-                if got.get(3) == 6:
-                    self.byte_of[len(self.pieces)] = int(got[1][3:5], 16)
-                self.pieces.append(got[1].decode("utf-8"))
+                piece, sort, n = got[1].decode("utf-8"), got.get(3, 1), len(self.pieces)
+                if sort == 6:
+                    self.byte_id[int(got[1][3:5], 16)] = n
+                elif sort == 1:
+                    self.score[piece], self.id_of[piece] = struct.unpack("<f", got[2])[0] if 2 in got else 0.0, n
+                elif sort in (4, 5):
+                    raise ValueError("user-defined and unused pieces are not handled")
+                self.pieces.append(piece)
+            elif number == 2:
+                kind = dict(fields(value)).get(3, 1)
             elif number == 3:
                 spec = dict(fields(value))
                 self.chars = CharMap(spec.get(2, b""))
                 self.dummy, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
-        self.by_word = self.dummy and not self.squeeze and self.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
-        self.mark_id = self.library.piece_to_id(MARK)
-        self.digits = [str(i) for i in range(len(self.pieces))]
-        self.bare = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode("utf-8") for i, p in enumerate(self.pieces)]
+        if kind != 2 or len(self.byte_id) != 256:
+            raise ValueError("not a BPE model with byte pieces")
+        self.mark = MARK if self.escape else " "
+        self.by_word = self.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
+        byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
+        self.bare = [byte_of.get(i, p.encode("utf-8")) for i, p in enumerate(self.pieces)]
         self.limit = cache
-        self.cache: dict[str, str] = {}
-        #: words that do not decode to themselves
-        self.odd: dict[str, str] = {}
+        #: word -> (ids joined by commas, normalised bytes of each piece, what it decodes to)
+        self.cache: dict[str, tuple[str, np.ndarray, str]] = {}
 
-    def normalise(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text and, for each of its bytes and its end, the source byte."""
+    def normalise(self, text: str) -> Alignment:
         src = text.encode("utf-8")
         if not src:
-            return "", np.zeros(1, np.int64)
-        out, to, at = bytearray(), [], 0
-        mark = MARK.encode() if self.escape else b" "
-
-        def put(piece: bytes, where: int) -> None:
-            for byte in piece:
-                for b in mark if byte == 32 else (byte,):
-                    out.append(b)
-                    to.append(where)
-
-        bare = not self.squeeze
-        if self.dummy and (bare or src.strip(b" ")):
-            put(b" ", 0)
+            return Alignment("", np.empty(0, np.int64), np.empty(0, np.int64))
+        if self.chars.units or self.squeeze:
+            return self._mapped(src)
+        data = np.frombuffer(src, np.uint8)
+        head = np.flatnonzero(data & 0xC0 != 0x80)
+        size = np.diff(np.concatenate((head, [len(data)])))
+        start, end = np.repeat(head, size), np.repeat(head + size, size)
+        mark = len(self.mark.encode())
+        if mark > 1:
+            times = np.where(data == 32, mark, 1)
+            start, end = np.repeat(start, times), np.repeat(end, times)
+        lead = np.zeros(mark if self.dummy else 0, np.int64)
+        return Alignment((self.mark if self.dummy else "") + text.replace(" ", self.mark), np.concatenate((lead, start)), np.concatenate((lead, end)))
+
+    def _mapped(self, src: bytes) -> Alignment:
+        out, start, end, at = bytearray(), [], [], 0
+        mark = self.mark.encode()
+
+        def put(piece: bytes, lo: int, hi: int) -> None:
+            made = piece.replace(b" ", mark)
+            out.extend(made)
+            start.extend([lo] * len(made))
+            end.extend([hi] * len(made))
+
+        if self.dummy and (not self.squeeze or src.strip(b" ")):
+            put(b" ", 0, 0)
         space = self.squeeze
         while at < len(src):
             hit = self.chars.longest(src, at) if self.chars.units else None
@@ -142,58 +174,81 @@ class PieceModel:
                     piece = piece[1:]
                 if piece:
                     space = piece.endswith(b" ")
-            put(piece, at)
+            put(piece, at, at + n)
             at += n
         if self.squeeze:
             while out.endswith(mark):
-                del out[-len(mark) :], to[-len(mark) :]
-        return out.decode("utf-8"), np.array([*to, len(src)], np.int64)
-
-    def _fill(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > self.limit:
+                del out[-len(mark) :], start[-len(mark) :], end[-len(mark) :]
+        return Alignment(out.decode("utf-8"), np.array(start, np.int64), np.array(end, np.int64))
+
+    def merge(self, word: str) -> list[str]:
+        """The word's characters, joined best score first; of equal scores the leftmost."""
+        parts, score = list(word), self.score
+        if len(parts) > 48:
+            return self._merge_long(parts)
+        while len(parts) > 1:
+            best, at = -1e38, -1
+            for i in range(len(parts) - 1):
+                got = score.get(parts[i] + parts[i + 1])
+                if got is not None and got > best:
+                    best, at = got, i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """The same over a heap of neighbours, for words of any length."""
+        n, score = len(parts), self.score
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n:
+                both = parts[i] + parts[j]
+                got = score.get(both)
+                if got is not None:
+                    heapq.heappush(heap, (-got, i, j, both))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, j, both = heapq.heappop(heap)
+            if not parts[i] or not parts[j] or after[i] != j or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j] = both, ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [p for p in parts if p]
+
+    def _word(self, word: str) -> tuple[str, np.ndarray, str]:
+        ids: list[int] = []
+        for piece in self.merge(word):
+            known = self.id_of.get(piece)
+            ids.extend([known] if known is not None else [self.byte_id[b] for b in piece.encode("utf-8")])
+        bare = [self.bare[i] for i in ids]
+        made = ",".join(map(str, ids)), np.array([len(b) for b in bare], np.int64), b"".join(bare).decode("utf-8", "replace").replace(MARK, " ")
+        if len(self.cache) >= self.limit:
             self.cache.clear()
-            self.odd.clear()
-        digits, bare = self.digits, self.bare
-        for word, ids in zip(words, self.library.encode([w[1:] for w in words], num_threads=1), strict=True):
-            if word == MARK:
-                ids = [self.mark_id]
-            self.cache[word] = ",".join([digits[i] for i in ids])
-            back = b"".join([bare[i] for i in ids])
-            if back != word.encode():
-                self.odd[word] = back.decode("utf-8", "replace").replace(MARK, " ")
-
-    def encode(self, text: str) -> tuple[str, int, str]:
-        """(ids joined by commas, their number, the decoded text)."""
-        if not text:
-            return "", 0, ""
-        if not self.by_word:
-            ids = self.library.encode(text)
-            return ",".join(map(str, ids)), len(ids), self.library.decode(ids)
-        norm = MARK + text.replace(" ", MARK) if not self.chars.units else self.normalise(text)[0]
-        words = _WORD.findall(norm)
-        got = list(map(self.cache.get, words))
-        while None in got:  # twice if the cache was emptied to make room
-            self._fill(list({w for w, g in zip(words, got, strict=True) if g is None}))
-            got = [g or self.cache.get(w) for w, g in zip(words, got, strict=True)]
-        ids = ",".join(got)
-        back = norm.replace(MARK, " ") if not self.odd else "".join([self.odd.get(w) or w.replace(MARK, " ") for w in words])
-        return ids, ids.count(",") + 1, back[1:]
-
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, start, end) of each piece in the source's bytes; byte pieces share their character's span."""
-        norm, to = self.normalise(text)
-        ids = [int(i) for i in self.encode(text)[0].split(",") if i]
-        out, at, total = [], 0, len(norm.encode("utf-8"))
-        for i in ids:
-            n = 1 if i in self.byte_of else len(self.pieces[i].encode("utf-8"))
-            low, end = int(to[at]), min(at + n, total)
-            high = int(to[end])
-            if i in self.byte_of and high == low and end < total:
-                nxt = to[end:]
-                high = int(nxt[nxt > low][0])
-            out.append((i, low, high))
-            at += n
-        return out
+        self.cache[word] = made
+        return made
+
+    def encode(self, text: str) -> tuple[str, np.ndarray, np.ndarray, str]:
+        """(ids joined by commas, start and end of each piece in the source's bytes, the decoded text)."""
+        norm = self.normalise(text)
+        if not norm.text:
+            return "", norm.start, norm.end, ""
+        cache, make = self.cache, self._word
+        got = [cache.get(w) or make(w) for w in (_WORD.findall(norm.text) if self.by_word else [norm.text])]
+        stop = np.cumsum(np.concatenate([g[1] for g in got]))
+        back = "".join([g[2] for g in got])
+        # bytes of one character all stand for the whole of it, so a piece spans whole characters
+        return ",".join([g[0] for g in got]), norm.start[np.concatenate(([0], stop[:-1]))], norm.end[stop - 1], back[1:] if self.dummy else back
 
 
 _models: dict[str, PieceModel] = {}
@@ -205,32 +260,39 @@ def load(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode_pieces(docs: DataFrame, path: str, spans: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded[, starts, ends]) of every whole text."""
-    schema = "doc_id long, n_tokens long, ids string, decoded string" + (", starts array<long>, ends array<long>" if spans else "")
+def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded, starts, ends) of every whole text; spans are source bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(path)
         for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            got = [model.encode(t) for t in texts]
-            out = {"doc_id": pdf["doc_id"].to_numpy(), "n_tokens": [g[1] for g in got], "ids": [g[0] for g in got], "decoded": [g[2] for g in got]}
-            if spans:
-                at = [model.spans(t) for t in texts]
-                out |= {"starts": [[s for _, s, _ in a] for a in at], "ends": [[e for *_, e in a] for a in at]}
-            yield pd.DataFrame(out)
+            got = [model.encode(t) if isinstance(t, str) else model.encode("") for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(g[1]) for g in got], "ids": [g[0] for g in got], "decoded": [g[3] for g in got], "starts": [g[1] for g in got], "ends": [g[2] for g in got]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return _kept_id(docs).mapInPandas(run, "doc_id string, n_tokens long, ids string, decoded string, starts array<long>, ends array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the same, digested where it is made."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256): the same, digested where it is made.
+
+    ``spans_sha256`` is that of start:end of every piece, joined by commas.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for pdf in batches:
-            got = [model.encode(t) if isinstance(t, str) else ("", 0, "") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_tokens": [g[1] for g in got], "ids_sha256": [sha(g[0]) for g in got], "decoded_sha256": [sha(g[2]) for g in got]})
+            rows = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                ids, start, end, back = model.encode(text if isinstance(text, str) else "")
+                spans = ",".join([f"{a}:{z}" for a, z in zip(start.tolist(), end.tolist(), strict=True)])
+                rows.append((doc, len(start), sha(ids), sha(back), sha(spans)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+
+    out = _kept_id(docs).mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def _kept_id(docs: DataFrame) -> DataFrame:
+    """doc_id as text, so that a missing one does not turn the others into floats."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")

@@ -183,19 +183,58 @@ def test_pieces(docs):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     df, rows = docs
-    model = pieces.load(path)
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
     got = by_id(pieces.piece_digests(df, path))
     for i, t in rows:
-        ids = model.library.encode(t or "")
-        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(model.library.decode(ids)))
-    for text in ("héé 😀 ab  c", "plain words", "漢字x"):
-        raw = text.encode()
-        spans = model.spans(text)
-        assert spans[0][1] == 0 and spans[-1][2] == len(raw) and all(a <= z for _, a, z in spans)
-    out = pieces.encode_pieces(df.where("doc_id = 10003"), path, spans=True).first()
+        ids = library.encode(t or "")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+        # brute force: the library's own offsets; the bytes of one character all stand for the whole of it
+        raw, spans = t or "", []
+        proto = library.encode(raw, return_type="proto").pieces if raw else []
+        source = raw.encode()
+        for piece in proto:
+            lo, hi = piece.begin, piece.end
+            if re.fullmatch("<0x[0-9A-F]{2}>", piece.piece):
+                hi = lo + 1
+                while hi < len(source) and source[hi] & 0xC0 == 0x80:
+                    hi += 1
+            spans.append((lo, hi))
+        assert got[i]["spans_sha256"] == sha(",".join(f"{a}:{z}" for a, z in spans)), (raw[:50], spans[:9])
+    out = pieces.encode_pieces(df.where("doc_id = 10003"), path).first()
     assert out["ids"] and len(out["starts"]) == out["n_tokens"]
 
 
+def test_long_words_merge_as_short_ones():
+    import public_tokenizers
+
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        word = "▁" + "".join(r.choice(list("abcdeéßthin漢"), 40))
+        assert model._merge_long(list(word)) == model.merge(word)
+
+
+def test_a_map_moves_spans_with_it():
+    import public_tokenizers
+
+    model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+
+    class Mapped:
+        units = (1,)
+
+        def longest(self, src, at):
+            return (2, b"fi") if src[at : at + 2] == b"\xc3\x9f" else (3, b"") if src[at : at + 3] == "漢".encode() else None
+
+    model.chars = Mapped()
+    made = model.normalise("aß 漢b")
+    assert made.text == "▁afi▁b"
+    assert made.start.tolist() == [0, 0, 0, 0, 1, 1, 3, 3, 3, 7] and made.end.tolist() == [0, 0, 0, 1, 3, 3, 4, 4, 4, 8]
+    ids, start, end, back = model.encode("aß 漢b")
+    assert back == "afi b" and start[0] == 0 and end[-1] == 8 and (start <= end).all()
+
+
 def test_character_map_takes_the_longest_prefix():
     import struct
 
