@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: No piece; below every score.
+_NONE = float("-inf")
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -96,7 +98,7 @@ class Alignment:
 class PieceModel:
     """One model file: vocabulary, normaliser, merges, and a cache of merged words."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 800_000):
         with open(path, "rb") as f:
             raw = f.read()
         self.pieces: list[str] = []
@@ -128,9 +130,12 @@ class PieceModel:
         self.by_word = self.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
         byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
         self.bare = [byte_of.get(i, p.encode("utf-8")) for i, p in enumerate(self.pieces)]
+        self.digits = [str(i) for i in range(len(self.pieces))]
         self.limit = cache
-        #: word -> (ids joined by commas, normalised bytes of each piece, what it decodes to)
-        self.cache: dict[str, tuple[str, np.ndarray, str]] = {}
+        #: word -> ids joined by commas, normalised bytes of each piece, what it decodes to (None: itself)
+        self.cache: dict[str, tuple[str, bytes, str | None]] = {}
+        if max(map(len, self.bare)) > 255:
+            raise ValueError("a piece of more than 255 bytes")
 
     def normalise(self, text: str) -> Alignment:
         src = text.encode("utf-8")
@@ -183,18 +188,21 @@ class PieceModel:
 
     def merge(self, word: str) -> list[str]:
         """The word's characters, joined best score first; of equal scores the leftmost."""
-        parts, score = list(word), self.score
-        if len(parts) > 48:
+        parts, score = list(word), self.score.get
+        if len(parts) > 64:
             return self._merge_long(parts)
-        while len(parts) > 1:
-            best, at = -1e38, -1
-            for i in range(len(parts) - 1):
-                got = score.get(parts[i] + parts[i + 1])
-                if got is not None and got > best:
-                    best, at = got, i
-            if at < 0:
+        worth = [score(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while worth:
+            best = max(worth)
+            if best == _NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = worth.index(best)
+            both = parts[i] = parts[i] + parts.pop(i + 1)
+            del worth[i]
+            if i < len(worth):
+                worth[i] = score(both + parts[i + 1], _NONE)
+            if i:
+                worth[i - 1] = score(parts[i - 1] + both, _NONE)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -226,13 +234,17 @@ class PieceModel:
                 offer(before[i])
         return [p for p in parts if p]
 
-    def _word(self, word: str) -> tuple[str, np.ndarray, str]:
+    def _word(self, word: str) -> tuple[str, bytes, str | None]:
         ids: list[int] = []
         for piece in self.merge(word):
             known = self.id_of.get(piece)
-            ids.extend([known] if known is not None else [self.byte_id[b] for b in piece.encode("utf-8")])
+            if known is not None:
+                ids.append(known)
+            else:
+                ids.extend([self.byte_id[b] for b in piece.encode("utf-8")])
         bare = [self.bare[i] for i in ids]
-        made = ",".join(map(str, ids)), np.array([len(b) for b in bare], np.int64), b"".join(bare).decode("utf-8", "replace").replace(MARK, " ")
+        back = b"".join(bare).decode("utf-8", "replace")
+        made = ",".join([self.digits[i] for i in ids]), bytes(map(len, bare)), None if back == word else back.replace(MARK, " ")
         if len(self.cache) >= self.limit:
             self.cache.clear()
         self.cache[word] = made
@@ -244,11 +256,13 @@ class PieceModel:
         if not norm.text:
             return "", norm.start, norm.end, ""
         cache, make = self.cache, self._word
-        got = [cache.get(w) or make(w) for w in (_WORD.findall(norm.text) if self.by_word else [norm.text])]
-        stop = np.cumsum(np.concatenate([g[1] for g in got]))
-        back = "".join([g[2] for g in got])
+        words = _WORD.findall(norm.text) if self.by_word else [norm.text]
+        got = [cache.get(w) or make(w) for w in words]
+        ids, sizes, backs = zip(*got, strict=True)
+        stop = np.cumsum(np.frombuffer(b"".join(sizes), np.uint8), dtype=np.int64)
+        back = norm.text.replace(MARK, " ") if backs.count(None) == len(backs) else "".join([w.replace(MARK, " ") if b is None else b for w, b in zip(words, backs, strict=True)])
         # bytes of one character all stand for the whole of it, so a piece spans whole characters
-        return ",".join([g[0] for g in got]), norm.start[np.concatenate(([0], stop[:-1]))], norm.end[stop - 1], back[1:] if self.dummy else back
+        return ",".join(ids), norm.start[np.concatenate(([0], stop[:-1]))], norm.end[stop - 1], back[1:] if self.dummy else back
 
 
 _models: dict[str, PieceModel] = {}
@@ -275,7 +289,8 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256): the same, digested where it is made.
 
-    ``spans_sha256`` is that of start:end of every piece, joined by commas.
+    ``spans_sha256`` is that of the start and the end of every piece as
+    little-endian 32-bit numbers, side by side.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,8 +300,8 @@ def piece_digests(docs: DataFrame, path: str) -> DataFrame:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids, start, end, back = model.encode(text if isinstance(text, str) else "")
-                spans = ",".join([f"{a}:{z}" for a, z in zip(start.tolist(), end.tolist(), strict=True)])
-                rows.append((doc, len(start), sha(ids), sha(back), sha(spans)))
+                spans = np.stack((start, end), 1).astype("<u4").tobytes()
+                rows.append((doc, len(start), sha(ids), sha(back), hashlib.sha256(spans).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     out = _kept_id(docs).mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

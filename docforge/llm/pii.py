@@ -48,8 +48,8 @@ CANDIDATES = {
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}+(?![0-9A-Za-z])",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![0-9A-Za-z])",
     "address": r"(?<![0-9A-Za-z])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9.-]{1,80}+",
-    "key": r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_+-]{16,}+(?![0-9A-Za-z/])",
-    "password": r"(?i)(?<=pass|word|passwd|pwd|passwort|contraseña|mot de passe|secret|token|key)\x20?[:=]\x20?[\"']?[^\s\"',;]{5,}[^\s\"',;.:]",
+    "key": r"(?<![0-9A-Za-z_/+-])(?=[a-z_+-]{0,60}[0-9A-Z][a-z_+-]{0,60}[0-9A-Z])[0-9A-Za-z_+-]{16,}+(?![0-9A-Za-z/])",
+    "password": r"[:=](?<=(?i:word|passwd|pwd|wort|passe|contraseña|secret|token|key)\x20?[:=])\x20?[\"']?[^\s\"',;]{5,}[^\s\"',;.:]",
     "number": r"(?<![0-9A-Za-z])(?=(\+?[0-9][0-9\x20().-]{5,42}[0-9](?![0-9A-Za-z])))",
 }
 _LONGEST = 43
@@ -80,7 +80,9 @@ def _proposed(text: str, kind: str) -> str:
     A number is proposed from the start of each group of digits to the end of
     each later group; ``cut`` marks that a sign joins it to further digits.
     """
-    p, ahead = _lit(CANDIDATES[kind]), kind == "number"
+    p, ahead, whole = _lit(CANDIDATES[kind]), kind == "number", text
+    none = "cast(array() as array<struct<s:int,e:int,m:string,before:string,cut:int,g:int>>)"
+    only = lambda found: f"if({whole} rlike {p}, {found}, {none})"
     size = "0" if ahead else "char_length(x.m)"
     fold = (
         "aggregate(zip_with(slice(gaps, 1, size(hits)), hits, (g, m) -> struct(g, m)), "
@@ -94,12 +96,12 @@ def _proposed(text: str, kind: str) -> str:
     rank = EXTRA.index(kind)
     if kind == "password":  # what stands behind the sign; the words before it end in the sign
         value = "regexp_replace(x.m, '^ ?[:=] ?[\"\\']?', '')"
-        return f"transform({fold}, x -> named_struct('s', x.s + char_length(x.m) - char_length({value}), 'e', x.s + char_length(x.m), 'm', {value}, 'before', x.before, 'cut', 0, 'g', {rank}))"
+        return only(f"transform({fold}, x -> named_struct('s', x.s + char_length(x.m) - char_length({value}), 'e', x.s + char_length(x.m), 'm', {value}, 'before', x.before, 'cut', 0, 'g', {rank}))")
     if not ahead:
-        return f"transform({fold}, x -> named_struct('s', x.s, 'e', x.s + char_length(x.m), 'm', x.m, 'before', x.before, 'cut', 0, 'g', {rank}))"
+        return only(f"transform({fold}, x -> named_struct('s', x.s, 'e', x.s + char_length(x.m), 'm', x.m, 'before', x.before, 'cut', 0, 'g', {rank}))")
     ends = f"filter(sequence(7, greatest(7, least({_LONGEST}, char_length(x.m)))), j -> substring(x.m, j, 1) between '0' and '9' and not (substring(x.m, j + 1, 1) between '0' and '9'))"
     one = f"named_struct('s', x.s - 1, 'e', x.s - 1 + j, 'm', left(x.m, j), 'before', x.before, 'cut', if(right(x.before, 1) in ('-', '.', '/') or substring(x.m, j + 1, 2) rlike '^[.-][0-9]', 1, 0), 'g', {rank})"
-    return f"flatten(transform({fold}, x -> transform({ends}, j -> {one})))"
+    return only(f"flatten(transform({fold}, x -> transform({ends}, j -> {one})))")
 
 
 def _luhn(digits: str) -> str:
@@ -178,7 +180,7 @@ def _sentences(n: int, seed: int = 17) -> list[dict]:
         if shape == "key":
             return r.choice(("secret", "none")), r.choice(("ghp_", "AKIA", "sk-", "xoxb-", "pk_live_", "", "")) + (pick(alnum, r.randint(20, 40)) if r.random() < 0.7 else r.choice((pick("0123456789abcdef", 36), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r.randint(18, 30)))))
         if shape == "pass":
-            return "secret", pick(alnum + "!$%#", r.randint(8, 14)) + pick(dig, 1)
+            return "secret", r.choice((pick(alnum + "!$%#", r.randint(8, 14)) + pick(dig, 1), pick(low, r.randint(4, 8)) + pick(dig, r.randint(1, 3)) + pick(low, r.randint(0, 3))))
         if shape == "account":
             return r.choice(("id", "none")), pick("DFEIG", 1) + pick("ERSTB", 1) + pick(dig, 2) + pick(dig, r.randint(12, 20))
         if shape == "at":
