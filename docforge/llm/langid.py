@@ -151,24 +151,24 @@ def windows(texts: list[bytes], step: int = STEP) -> tuple[np.ndarray, np.ndarra
 def train(docs: DataFrame, per_lang: int = 400, per_text: int = 4, hidden: int = 8, steps: int = 260, seed: int = 5) -> ByteGru | None:
     """Fit on at most ``per_lang`` labelled texts of each language, those with the least hash of doc_id."""
     known = docs.where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ids = least_rows(known, "lang", ["h", "doc_id"], per_lang).select(F.col("doc_id").alias("_id"))
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").where("text is not null and lang is not null").collect()
-    rows = sorted((r for r in rows if _LETTER.search(r["text"])), key=lambda r: r["doc_id"])
-    langs = sorted({r["lang"] for r in rows})
+    ids = least_rows(known.dropDuplicates(["doc_id", "lang"]), "lang", ["h", "doc_id"], per_lang).select(F.col("doc_id").alias("_id")).distinct()
+    # windows are cut where the texts are; of rows that share a doc_id one is learnt from
+    spot = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), F.char_length("text") - STEP // 2)) + 1
+    cuts = F.array(*(F.substring("text", spot(k).cast("int"), F.lit(STEP)) for k in range(per_text)))
+    own = docs.where("lang is not null and text is not null").select("doc_id", "lang", cuts.alias("cuts"))
+    rows = own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "cuts")).alias("r")).select("doc_id", "r.*").collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    langs = sorted({r["lang"] for r in rows if any(_LETTER.search(c) for c in r["cuts"])})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
     parts, y = [], []
     for r in rows:
-        text = r["text"]
-        for k in range(per_text):
-            at = int(rng.integers(0, max(1, len(text) - STEP // 2)))
-            piece = text[at : at + STEP]
+        for k, piece in enumerate(r["cuts"]):
             if k == 0 and rng.random() < 0.3:
                 piece = piece.upper()
-            raw = piece.encode("utf-8", "replace")[:STEP]
             if _LETTER.search(piece):
-                parts.append(raw)
+                parts.append(piece.encode("utf-8", "replace")[:STEP])
                 y.append(langs.index(r["lang"]))
     data, _, size = windows(parts)
     mask = np.arange(STEP)[None, :] < size[:, None]

@@ -194,9 +194,9 @@ def _sentences(n: int, seed: int = 17) -> list[dict]:
     def alike(told: bool) -> str:
         """What is not private; after a word that tells of private data, a date or a span of years."""
         y, m, d = r.randint(1900, 2030), r.randint(1, 12), r.randint(1, 28)
-        dates = (lambda: f"{y}-{m:02d}-{d:02d}", lambda: f"{d:02d}.{m:02d}.{y}", lambda: f"{d}-{m}-{y}", lambda: f"{y}-{y + 3}")
+        dates = (lambda: f"{y}-{m:02d}-{d:02d}", lambda: f"{d:02d}.{m:02d}.{y}", lambda: f"{d}-{m}-{y}", lambda: f"{y}-{y + 3}", lambda: " ".join(f"{y}-{m:02d}-{k:02d}" for k in range(d, d + r.randint(2, 3))))
         return r.choice(dates if told else (
-            *dates, lambda: f"{r.randint(1, 999)}.{r.randint(100, 999)}.{r.randint(100, 999)}",
+            *dates, call, call, lambda: f"{r.randint(1, 999)}.{r.randint(100, 999)}.{r.randint(100, 999)}",
             lambda: pick(dig, r.randint(7, 20)), lambda: pick(low, r.randint(16, 30)), lambda: "_".join(pick(low, r.randint(3, 8)) for _ in range(4)), lambda: f"{pick(low, 7)}-{pick(low, 8)}-{y}",
             lambda: pick(low, 1).upper() + pick(low, r.randint(15, 30)), lambda: pick(low, r.randint(16, 24)).upper(), lambda: "".join(pick(low, 1).upper() + pick(low, r.randint(4, 9)) for _ in range(3)),
             lambda: pick(low, 12) + pick(dig, r.randint(1, 6)), lambda: pick(low, 1).upper() + pick(low, r.randint(5, 9)) + "-" + pick(low, 1).upper() + pick(low, r.randint(7, 12)), lambda: f"{r.randint(1, 20)}.{r.randint(0, 30)}.{r.randint(0, 99)}", lambda: f"({r.randint(1, 99)}) {r.randint(100, 9999)} {r.randint(1000, 9999)}",
@@ -210,7 +210,7 @@ def _sentences(n: int, seed: int = 17) -> list[dict]:
         for _ in range(r.randint(1, 4)):
             if r.random() < 0.5:
                 said, item = private()
-                text += " " + r.choice(_SAID[said]) + " " + (quote := '"' * (said == "secret" and r.random() < 0.3))
+                text += " " + r.choice(_SAID[said]) + (" " + alike(True) if said == "call" and r.random() < 0.3 else "") + " " + (quote := '"' * (said == "secret" and r.random() < 0.3))
                 spans.append({"s": len(text), "e": len(text) + len(item)})
                 text += item + quote
             else:

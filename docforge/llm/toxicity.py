@@ -359,10 +359,15 @@ def lexicon(texts: list[str], y: list[int], support: float = 0.006, stem_support
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
-    """Learn from at most ``per_class`` labelled texts of each label, those with the least hash of doc_id."""
-    rows = labels.where("toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).dropDuplicates(["doc_id"])
+    """Learn from at most ``per_class`` labelled texts of each label, those with the least hash of doc_id.
+
+    A doc_id labelled both ways counts as toxic; of rows that share one, the
+    greatest text is learnt from.
+    """
+    rows = labels.where("toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     pick = least_rows(rows, "toxic", ["h", "doc_id"], per_class).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y"))
-    got = docs.select("doc_id", "text").join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y").collect()
+    met = docs.select("doc_id", "text").join(F.broadcast(pick), F.col("doc_id") == F.col("_id"))
+    got = met.groupBy("doc_id", "_y").agg(F.max("text").alias("text")).collect()
     share = labels.where("toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").agg(F.avg("toxic"), F.count("*")).first()
     base = float(share[0] or 0.0)
     got = sorted(((r["doc_id"], r["text"] or "", int(r["_y"])) for r in got), key=lambda r: (r[0], r[1]))
