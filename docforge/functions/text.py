@@ -61,11 +61,17 @@ def name_key(name: Column) -> Column:
 
 
 def numbers_in(text: Column) -> Column:
-    """Distinct canonical numbers of a text, those of dates left out."""
-    dated = F.regexp_replace(text, r"\b\d{4}-\d{2}-\d{2}\b", " ")
-    found = F.regexp_extract_all(dated, F.lit(r"[-+]?\d[\d,]*(?:\.\d+)?"), F.lit(0))
-    plain = F.transform(found, lambda x: F.regexp_replace(x, "[,+]", ""))
-    return F.array_distinct(F.transform(plain, lambda x: F.when(x.contains("."), F.regexp_replace(F.regexp_replace(x, "0+$", ""), r"\.$", "")).otherwise(x)))
+    """Distinct canonical numbers of a text, those of dates left out; a null text has none."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}(?:/\d{2,4})?\b", " ")
+    found = F.regexp_extract_all(bare, F.lit(r"(?<![\p{L}\p{N}_.])[-+]?\d[\d,]*(?:\.\d+)?(?![\p{L}\p{N}_]|\.\d)"), F.lit(0))
+    return F.array_distinct(F.transform(found, canonical_number))
+
+
+def canonical_number(x: Column) -> Column:
+    """Without thousands marks, plus sign, leading zeros and closing zeros."""
+    plain = F.regexp_replace(F.regexp_replace(x, ",", ""), r"^\+", "")
+    short = F.regexp_replace(F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain), r"^(-?)0+(?=\d)", "$1")
+    return F.when(short == "-0", "0").otherwise(short)
 
 
 def recover_json(raw: Column, stop_reason: Column) -> tuple[Column, Column]:

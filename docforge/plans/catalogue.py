@@ -13,7 +13,7 @@ from docforge.functions import text as T
 from docforge.operators import chunking, evaluate, relate, retrieve
 from docforge.operators.aggregate import aggregate
 from docforge.operators.store import content_hash
-from docforge.plans import resolver
+from docforge.plans import answer, phrases, resolver
 from docforge.session import ship
 from docforge.sources.html import html_to_text
 
@@ -477,9 +477,9 @@ def type_priority(s, d):
     return _t(s, d, "part").select("p_partkey", F.contains(F.lower("p_type"), F.lit("standard")).cast("int").alias("std"), F.upper("p_type").alias("t"))
 
 
-@query("SELECT event_id, regexp_extract(props, '[0-9]+') AS n FROM events")
+@query(r"SELECT event_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(props, '[0-9]+'), lambda x: regexp_replace(x, '^0+([0-9])', '\1')))), ',') AS numbers FROM events")
 def numbers_in(s, d):
-    return _t(s, d, "events").select("event_id", F.try_element_at(T.numbers_in(F.col("props")), F.lit(1)).alias("n"))
+    return _t(s, d, "events").select("event_id", F.array_join(F.array_sort(T.numbers_in(F.col("props"))), ",").alias("numbers"))
 
 
 @query("SELECT * FROM (VALUES (1, 'native'), (2, 'recovered'), (3, 'recovered'), (4, 'failed: cut off'), (5, 'failed: not JSON')) t(id, path)")
@@ -489,39 +489,48 @@ def json_recover(s, d):
     return rows.select("id", T.recover_json(F.col("raw"), F.col("stop"))[1].alias("path"))
 
 
-@query("SELECT * FROM (VALUES (1, ''), (2, 'cited but not retrieved: d9'), (3, 'number without evidence: 7.5')) t(id, problems)")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'cited date d9 was not among the retrieved days' WHEN event_id % 3 = 1 THEN 'claim 1 names no date: ' || chr(39) || 'x' || chr(39) ELSE 'the number ' || (event_id + 1) || ' in the answer does not appear in any cited day' END AS problems FROM events")
 def answer_validate(s, d):
-    rows = [(1, "It was 5.0 on 2024-01-02", ["d1"], ["d1", "d2"], "how many?", ["value 5"]), (2, "It was 5", ["d9"], ["d1"], "?", ["5"]), (3, "About +7.50", ["d1"], ["d1"], "?", ["value 1,000"])]
-    df = s.createDataFrame(rows, "id int, answer string, cited array<string>, retrieved array<string>, question string, evidence array<string>")
-    return df.select("id", F.array_join(resolver.violations("answer", "cited", "retrieved", "question", "evidence"), "; ").alias("problems"))
+    kind, one = F.col("event_id") % 3, F.array(F.lit("d1"))
+    dates = F.when(kind == 1, F.array().cast("array<string>")).otherwise(one)
+    claims = F.array(F.struct(F.lit("x").alias("text"), dates.alias("dates")))
+    said = F.concat(F.lit("It was "), (F.col("event_id") + (kind == 2).cast("int")).cast("string"), F.lit(" on 2024-01-02."))
+    cited = F.when(kind == 0, F.array(F.lit("d1"), F.lit("d9"))).otherwise(one)
+    got = answer.violations(said, cited, claims, one, F.lit("how many?"), F.array(F.concat(F.lit("value "), F.col("event_id").cast("string"))), F.lit("semantic"), F.lit(False))
+    return _t(s, d, "events").select("event_id", F.array_join(got, "; ").alias("problems"))
+
+
+_PHRASES = ("today", "this week", "last 3 days", "first half of March", "week of 2024-01-10", "between 1/5 and 2024-01-02", "this month")
 
 
 @query(
-    "SELECT * FROM (VALUES ('today', '2024-03-15', '2024-03-15'), ('last week', '2024-03-04', '2024-03-10'), ('in the last 2 months', '2024-01-16', '2024-03-15'), ('second half of February', '2024-02-16', '2024-02-29'), ('April', '2023-04-01', '2023-04-30'), ('blue', NULL, NULL)) t(phrase, lo, hi)"
+    """WITH p AS (SELECT event_id, ts::DATE AS today, event_id % 7 AS k FROM events),
+r AS (SELECT event_id, CASE k WHEN 0 THEN today WHEN 1 THEN date_trunc('week', today)::DATE WHEN 2 THEN today - 2 WHEN 3 THEN make_date(year(today) - CASE WHEN month(today) < 3 THEN 1 ELSE 0 END, 3, 1)
+  WHEN 4 THEN DATE '2024-01-10' WHEN 5 THEN least(make_date(year(today), 1, 5), DATE '2024-01-02') ELSE date_trunc('month', today)::DATE END AS lo,
+ CASE k WHEN 3 THEN make_date(year(today) - CASE WHEN month(today) < 3 THEN 1 ELSE 0 END, 3, 15) WHEN 4 THEN DATE '2024-01-16' WHEN 5 THEN greatest(make_date(year(today), 1, 5), DATE '2024-01-02') ELSE today END AS hi FROM p)
+SELECT event_id, strftime(lo, '%Y-%m-%d') AS lo, strftime(hi, '%Y-%m-%d') AS hi FROM r"""
 )
 def date_phrase_ranges(s, d):
-    today = dt.date(2024, 3, 15)
-    rows = []
-    for p in ("today", "last week", "in the last 2 months", "second half of February", "April", "blue"):
-        r = resolver.resolve_phrase(p, today)
-        rows.append((p, r[0].isoformat() if r else None, r[1].isoformat() if r else None))
-    return s.createDataFrame(rows, "phrase string, lo string, hi string")
+    phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("event_id") % 7 + 1).cast("int"))
+    got = _t(s, d, "events").select("event_id", phrases.phrase_range(phrase, F.to_date("ts")).alias("r"))
+    return got.select("event_id", F.col("r.lo").cast("string").alias("lo"), F.col("r.hi").cast("string").alias("hi"))
 
 
 def _html_sql() -> str:
     from docforge.sources.html import BLOCKS, ENTITIES
 
-    out = "html"
+    out, rest = "html", r"[^>]*>"
     for tag in ("script", "style"):
-        out = f"regexp_replace({out}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
-    out = f"regexp_replace({out}, '(?s)<!--.*?-->', '', 'g')"
+        out = f"regexp_replace({out}, '(?is)<{tag}{rest}.*?</{tag}\\s*>', '', 'g')"
+    out = f"regexp_replace({out}, '(?s)<!--.*?-->|<[!?][^>]*>', '', 'g')"
+    out = f"regexp_replace({out}, '(?i)<({'|'.join(BLOCKS)})(\\s[^<>]*)?/>', chr(10) || chr(10), 'g')"
     out = f"regexp_replace({out}, '(?i)</?({'|'.join(BLOCKS)})\\b[^>]*>', chr(10), 'g')"
-    out = f"regexp_replace({out}, '(?s)<[^>]*>', '', 'g')"
+    out = f"regexp_replace({out}, '(?s)</?[A-Za-z][^>]*>', '', 'g')"
     for name, char in ENTITIES.items():
         out = f"replace({out}, '{name.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
     out = f"regexp_replace(replace({out}, chr(160), ' '), '[ \\t\\r\\f]+', ' ', 'g')"
-    out = f"regexp_replace(regexp_replace({out}, ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    return f"SELECT page_id, trim({out}, ' ') AS text FROM pages"
+    out = f"regexp_replace(regexp_replace({out}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"SELECT page_id, regexp_replace({out}, '^\\s+|\\s+$', '', 'g') AS text FROM pages"
 
 
 @query(_html_sql())

@@ -1,20 +1,21 @@
-"""Text of a page: a native chain, and the parser form for pages it cannot serve."""
+"""Text of a page as one chain of expressions over its markup."""
 
 from __future__ import annotations
 
 from html import unescape
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Tags that break a line, and the references that the native chain decodes.
-BLOCKS = ("p", "div", "br", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6", "table", "hr")
+#: Tags that break a line where they open and where they close.
+BLOCKS = ("p", "div", "br", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6", "table", "section")
+#: References that are decoded in the JVM; a text with any other goes to ``unescape``.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "©", "&middot;": "·", "&#39;": "'", "&amp;": "&"}
-ALL_BLOCKS = (*BLOCKS, "section")
 _OTHER = rf"&(?!(?:{'|'.join(e[1:-1] for e in ENTITIES)});)[#A-Za-z]"
+#: A tag, with quoted attribute values that may hold its end.
+_REST = r"(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>"
 
 
 @F.pandas_udf(StringType())
@@ -24,57 +25,26 @@ def _unescaped(text: pd.Series) -> pd.Series:
 
 
 def html_to_text(html: Column) -> Column:
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, rf"(?i)</?({'|'.join(ALL_BLOCKS)})\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
-    # only a text with a reference beyond the few goes to Python, before any is decoded, so none is decoded twice
+    """The words of a page, a line break at each block's start and end.
+
+    A self-closing block breaks twice; scripts, styles, comments and
+    declarations leave nothing; a page cut inside a script or a comment ends there.
+    """
+    out = F.regexp_replace(html, rf"(?is)<(script|style){_REST}.*?(?:</\1\s*>|\z)", "")
+    out = F.regexp_replace(out, r"(?s)<!--.*?(?:-->|\z)|<[!?][^>]*>", "")
+    blocks = "|".join(BLOCKS)
+    out = F.regexp_replace(out, rf"(?i)<(?:{blocks})(?:\s[^<>]*)?/>", "\n\n")
+    out = F.regexp_replace(out, rf"(?i)</?(?:{blocks}){_REST}", "\n")
+    out = F.regexp_replace(out, rf"</?[A-Za-z][^\s/>]*+{_REST}", "")
+    # before any reference is decoded, so that none is decoded twice
     other = _unescaped(F.when(out.rlike(_OTHER), out))
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    return _collapsed(F.coalesce(other, out))
+    return tidy(F.coalesce(other, out))
 
 
-def _collapsed(out: Column) -> Column:
-    out = F.regexp_replace(F.replace(out, F.lit("\xa0"), F.lit(" ")), r"[ \t\r\f\x0B]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
-
-
-class _Reader(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.muted = 0
-
-    def handle_starttag(self, tag, attrs):
-        self.muted += tag in ("script", "style")
-        if tag in ALL_BLOCKS:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag):
-        self.muted -= tag in ("script", "style") and self.muted > 0
-        if tag in ALL_BLOCKS:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        if not self.muted:
-            self.out.append(data)
-
-
-def parsed_text(html: Column | str) -> Column:
-    """The same by a full parser, for markup beyond the native chain."""
-    return _collapsed(_parsed(html))
-
-
-@F.pandas_udf(StringType())
-def _parsed(html: pd.Series) -> pd.Series:
-
-    def one(h):
-        if h is None:
-            return None
-        r = _Reader()
-        r.feed(h)
-        r.close()
-        return "".join(r.out)
-
-    return html.map(one)
+def tidy(text: Column) -> Column:
+    """Blanks single, none around line breaks, at most one empty line, none at the ends."""
+    out = F.regexp_replace(F.replace(text, F.lit("\xa0"), F.lit(" ")), r"[ \t\r\f\x0B]+", " ")
+    out = F.regexp_replace(F.regexp_replace(out, " *\n *", "\n"), "\n{3,}", "\n\n")
+    return F.regexp_replace(out, r"^\s+|\s+\z", "")

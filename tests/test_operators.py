@@ -9,7 +9,7 @@ from docforge.functions import filters
 from docforge.operators import aggregate, chunking, relate, retrieve, store
 from docforge.plans import resolver
 from docforge.sources.files import VersionedTable, read_jsonl, release_spans, zip_filings
-from docforge.sources.html import html_to_text, parsed_text
+from docforge.sources.html import html_to_text
 
 
 def test_windows_overlap_by_eighty(spark):
@@ -52,7 +52,7 @@ def test_zero_scores_fill_up(spark):
     assert got == [(4, 1), (1, 2), (2, 3)]
 
 
-def test_plans():
+def test_plans(spark):
     fields = {"mood": "text", "steps": "number"}
     today = dt.date(2024, 3, 15)
     p = resolver.resolve({"kind": "aggregate", "date_range": {"start": "2024-01-01"}, "date_phrase": "today", "aggregate": {"metric": "steps"}}, fields, today)
@@ -87,7 +87,6 @@ def test_sources(spark, tmp_path):
     assert len(zip_filings(blocks, ["acc", "form", "missing"]).collect()) == 2
     page = spark.createDataFrame([("<p>a&amp;b</p><script>x='</p>'</script><div>c</div>",)], "html string")
     assert page.select(html_to_text(F.col("html"))).first()[0].split() == ["a&b", "c"]
-    assert page.select(parsed_text("html")).first()[0].split() == ["a&b", "c"]
 
 
 def test_core_does_not_import_llm():
