@@ -19,12 +19,15 @@ def n_tokens(text: Column) -> Column:
 
 
 def token_offsets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, start, end): code-point ranges of tokens; tiles of gap and token rejoin to the text."""
-    tiles = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("pos", "tile"))
-    word = F.regexp_replace("tile", rf"^{SPACE}+", "")
-    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = tiles.withColumn("end", F.sum(F.char_length("tile")).over(run))
-    return out.select(key, F.col("pos").cast("long").alias("pos"), (F.col("end") - F.char_length(word)).alias("start"), "end")
+    """(key, pos, start, end): code-point ranges of tokens; tiles of gap and token rejoin to the text.
+
+    Texts are dealt by key before they become tokens, so the tokens of a text are
+    made where they are summed up, and none of them is shuffled.
+    """
+    tiles = df.select(key, text).repartition(key).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("pos", "tile"))
+    lengths = tiles.select(key, "pos", F.char_length("tile").alias("n"), F.char_length(F.regexp_replace("tile", rf"^{SPACE}+", "")).alias("own"))
+    end = F.sum("n").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return lengths.select(key, F.col("pos").cast("long").alias("pos"), (end - F.col("own")).alias("start"), end.alias("end"))
 
 
 def bm25_tokens(text: Column) -> Column:
@@ -53,11 +56,11 @@ def keyword_in_context(text: Column, start: Column, length: Column, around: int
 
 
 def name_key(name: Column) -> Column:
-    """A company name without marks, articles and suffix words."""
-    low = F.regexp_replace(F.lower(F.regexp_replace(name, "[\"']", "")), "&", " and ")
-    bare = F.regexp_replace(F.regexp_replace(low, r"(?<![^\s,])(?:s\.p\.a|s\.r\.l)\.?(?![^\s,])", " "), "[.,]", "")
+    """A company name in lower case without marks, articles and suffix words."""
+    low = F.replace(F.lower(F.regexp_replace(name, "[\"'“”‘’()]", " ")), F.lit("&"), F.lit(" and "))
     drop = F.array(*(F.lit(w) for w in (*SUFFIXES, "the", "a")))
-    return F.array_join(F.filter(F.split(F.trim(F.regexp_replace(bare, r"\s+", " ")), " "), lambda w: ~F.array_contains(drop, w) & (w != "")), " ")
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(low, "[.,]", " "), r"\s+", " ")), " ")
+    return F.array_join(F.filter(words, lambda w: ~F.array_contains(drop, w) & (w != "")), " ")
 
 
 def numbers_in(text: Column) -> Column:

@@ -466,10 +466,15 @@ def contract_types(s, d):
     return _t(s, d, "documents").select("doc_id", F.array_join(extract.contract_types(F.col("text")), ",").alias("types"))
 
 
-@query("SELECT * FROM (VALUES ('ACME_20190304_10-K_EX-10.2_EX-10.2_License', 'ACME', '2019-03-04', '10-K', '10.2', 'long'), ('ACME_03_04_2019-EX-10.1-Supply', 'ACME', '2019-03-04', NULL, '10.1', 'short'), ('Acme Ltd - Agency', 'Acme Ltd', NULL, NULL, NULL, 'named'), ('x', NULL, NULL, NULL, NULL, 'other')) t(title, filer, filing_date, form, exhibit, format)")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN NULL ELSE replace(p_brand, '#', '') END AS filer,
+  CASE p_partkey % 4 WHEN 0 THEN '2019-03-04' WHEN 1 THEN '2019-03-04' END AS filing_date, CASE WHEN p_partkey % 4 = 0 THEN '10-K' END AS form,
+  CASE p_partkey % 4 WHEN 0 THEN 'EX-10.' || p_size WHEN 1 THEN 'EX-10.1' END AS exhibit, p_type AS title_type,
+  CASE p_partkey % 4 WHEN 0 THEN 'long' WHEN 1 THEN 'short' WHEN 2 THEN 'named' ELSE 'other' END AS format FROM part""")
 def title_parse(s, d):
-    rows = s.createDataFrame([(t,) for t in ("ACME_20190304_10-K_EX-10.2_EX-10.2_License", "ACME_03_04_2019-EX-10.1-Supply", "Acme Ltd - Agency", "x")], "title string")
-    return rows.select("title", extract.parse_title(F.col("title")).alias("p")).select("title", "p.*")
+    kind, brand = F.col("p_partkey") % 4, F.replace("p_brand", F.lit("#"), F.lit(""))
+    long = F.concat(brand, F.lit("_20190304_10-K_EX-10."), F.col("p_size").cast("string"), F.lit("_"), F.col("p_partkey").cast("string"), F.lit("_EX-10.1_"), F.col("p_type"))
+    title = F.when(kind == 0, long).when(kind == 1, F.concat(brand, F.lit("_03_04_2019-EX-10.1-"), F.col("p_type"))).when(kind == 2, F.concat(brand, F.lit(" - "), F.col("p_type"))).otherwise(F.concat(F.lit(" "), F.col("p_type")))
+    return _t(s, d, "part").select("p_partkey", extract.parse_title(title).alias("p")).select("p_partkey", "p.*")
 
 
 @query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'standard') THEN 1 ELSE 0 END AS std, upper(p_type) AS t FROM part")
