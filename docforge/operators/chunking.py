@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from docforge.functions.text import n_tokens, token_offsets
+from docforge.functions.text import SPACE, n_tokens, token_offsets
 
 #: Fixed values of the chunkers.
 SIZE, OVERLAP, LEAST, HEADINGS = 400, 80, 80, 3
@@ -24,36 +26,97 @@ def fixed_windows(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key:
     return rows.groupBy(key, "win").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("tokens"))
 
 
+#: Line starts that open a section, by kind of document.
+CONTRACT = (
+    r"^[ \t]*(?:(?:ARTICLE|Article)\s+[IVXLC\d]+\b|(?:SECTION|Section)\s+\d+(?:\.\d+)*\b"
+    r"|\d{1,2}(?:\.\d{1,2}){0,2}\.?[ \t]+[A-Z(\"“]|[A-Z][A-Z0-9&,'\- ]{3,60}(?:[.:]|\n?\z))"
+)
+PLAYBOOK = "^## "
+
+
+def lines(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, doc_type, pos, start, line, own, lead, tokens) of every line; ``own`` is the line without blanks around it.
+
+    Texts are dealt by key first, so no line is shuffled.
+    """
+    cut = df.select(key, "doc_type", "text").repartition(key).select(key, "doc_type", F.posexplode(F.split("text", r"(?<=\n)", -1)).alias("pos", "line")).where("line <> ''")
+    own = F.regexp_replace("line", rf"^{SPACE}+|{SPACE}+\z", "")
+    n = F.char_length("line").cast("long")
+    before = F.sum(n).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - n
+    lead = F.char_length("line") - F.char_length(F.regexp_replace("line", rf"^{SPACE}+", ""))
+    return cut.select(key, "doc_type", "pos", before.alias("start"), "line", own.alias("own"), lead.cast("long").alias("lead"), n_tokens(F.col("line")).alias("tokens"))
+
+
+def _opens(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``opens`` (a heading of the document's kind) and ``breaks`` (a paragraph)."""
+    by = Window.partitionBy(key).orderBy("pos")
+    blank = F.col("own") == ""
+    later = F.first(F.when(~blank, F.char_length("own")), True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    group = (F.upper("own") == F.col("own")) & (F.lower("own") != F.col("own")) & F.col("tokens").between(2, 15)
+    sentence = F.col("own").rlike(r"^\p{Lu}") & F.col("tokens").between(6, 80) & (F.coalesce(later, F.lit(0)) > F.char_length("own"))
+    risk = F.when(F.col("doc_type") == "risk_factors", ~blank & (group | sentence))
+    opens = F.coalesce(risk, F.when(F.col("doc_type") == "playbook", F.col("line").rlike(PLAYBOOK)), F.col("line").rlike(CONTRACT))
+    after_blank = F.lag(F.regexp_replace("line", r"[ \t]*\n$", "") == "").over(by) & (F.col("pos") > 0)
+    return rows.withColumn("opens", opens).withColumn("breaks", F.coalesce(after_blank & ~blank, F.lit(False)))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _gathered(tokens: pd.Series) -> pd.Series:
+    """The group of each section: groups close at ``LEAST`` tokens, a short rest joins the one before."""
+
+    def one(sizes) -> list[int]:
+        out, group, held = [], 0, 0
+        for n in sizes:
+            out.append(group)
+            held += n
+            if held >= LEAST:
+                group, held = group + 1, 0
+        if held and group and out[-1] == group:
+            out = [min(g, group - 1) for g in out]
+        return out
+
+    return tokens.map(one)
+
+
+def sections(df: DataFrame, key: str = "doc_id", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(key, boundary, start, end, tokens) of the sections of ``df`` (key, doc_type, text), without blanks around them.
+
+    Sections open at headings; a document with fewer than ``HEADINGS`` openings
+    (for contracts its start is one) falls back to paragraphs.  Short sections
+    join the next, long ones become windows; a playbook's stay as they are.
+    """
+    rows = _opens(lines(df, key), key)
+    whole, by = Window.partitionBy(key), Window.partitionBy(key).orderBy("pos")
+    contract = ~F.col("doc_type").isin("risk_factors", "playbook")
+    n = F.count_if(F.col("opens") & ~(contract & (F.col("start") == 0))).over(whole) + F.when(contract, 1).otherwise(0)
+    few = (n < HEADINGS) & (F.col("doc_type") != "playbook")
+    kind = F.when(few, "paragraph").when(F.col("doc_type") == "playbook", "playbook_heading").when(contract, "contract_heading").otherwise("risk_heading")
+    rows = rows.withColumn("boundary", kind).withColumn("opens", F.when(few, F.col("breaks")).otherwise(F.col("opens")))
+    rows = rows.where("own <> ''").withColumn("part", F.sum(F.col("opens").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    lo, hi = F.min(F.col("start") + F.col("lead")).alias("start"), F.max(F.col("start") + F.col("lead") + F.char_length("own")).alias("end")
+    parts = rows.groupBy(key, "boundary", "part").agg(lo, hi, F.sum("tokens").alias("tokens"))
+    held = parts.groupBy(key, "boundary").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tokens"))).alias("p"))
+    loose = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: i)
+    grouped = held.withColumn("g", F.when(F.col("boundary") == "playbook_heading", loose).otherwise(_gathered(F.col("p.tokens"))))
+    each = grouped.select(key, "boundary", F.explode(F.arrays_zip("p", "g")).alias("z")).select(key, "boundary", "z.p.*", "z.g")
+    merged = each.groupBy(key, "boundary", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("tokens").alias("tokens"))
+    long = (F.col("tokens") > size) & (F.col("boundary") != "playbook_heading")
+    own = ["boundary", "start", "end", "tokens"]
+    text = df.select(key, "text").join(merged.where(long).select(key, F.col("start").alias("at"), F.col("end").alias("to"), "boundary"), key)
+    text = text.select(F.struct(key, "boundary", "at").alias("range"), F.expr("substring(text, cast(at + 1 as int), cast(to - at as int))").alias("text"))
+    wins = fixed_windows(text, size, overlap, "range")
+    split = wins.select(F.col(f"range.{key}").alias(key), "range.boundary", (F.col("range.at") + F.col("start")).alias("start"), (F.col("range.at") + F.col("end")).alias("end"), "tokens")
+    return merged.where(~long).select(key, *own).unionByName(split.select(key, *own))
+
+
 def chunk_rows(df: DataFrame, chunker: str = "fixed", key: str = "doc_id") -> DataFrame:
-    """Chunks with dense four-digit ids; an unknown chunker raises."""
+    """Chunks with dense four-digit ids; an unknown chunker raises.  Without a doc_type all are contracts."""
     if chunker not in ("fixed", "section"):
         raise ValueError(f"unknown chunker {chunker!r}")
-    ranges = fixed_windows(df, key=key) if chunker == "fixed" else paragraph_sections(df, key=key)
+    if chunker == "fixed":
+        ranges = fixed_windows(df, key=key).withColumn("boundary", F.lit("window"))
+    else:
+        ranges = sections(df if "doc_type" in df.columns else df.withColumn("doc_type", F.lit("contract")), key)
     joined = ranges.join(df.select(key, "text"), key).withColumn("text", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1
     return joined.where(F.trim("text") != "").withColumn("chunk_id", F.format_string("%s:%s:%04d", F.col(key).cast("string"), F.lit(chunker), number))
-
-
-def paragraph_sections(df: DataFrame, key: str = "doc_id", least: int = LEAST) -> DataFrame:
-    """Lines gathered until ``least`` tokens stand together; a short tail joins the section before.
-
-    The fold runs inside each row over the array of its lines.
-    """
-    lines = F.split(F.col("text"), r"(?<=\n)", -1)
-    sized = F.transform(lines, lambda x: F.struct(F.char_length(x).cast("long").alias("n"), n_tokens(x).alias("t")))
-    zero = F.expr("named_struct('at', 0L, 'start', 0L, 't', 0L, 'out', cast(array() as array<struct<start:bigint,end:bigint,tokens:bigint>>))")
-
-    def step(a, x):
-        end, t = a["at"] + x["n"], a["t"] + x["t"]
-        full = t >= least
-        item = F.struct(a["start"].alias("start"), end.alias("end"), t.alias("tokens"))
-        return F.struct(end.alias("at"), F.when(full, end).otherwise(a["start"]).alias("start"), F.when(full, F.lit(0).cast("long")).otherwise(t).alias("t"), F.when(full, F.array_append(a["out"], item)).otherwise(a["out"]).alias("out"))
-
-    def finish(a):
-        done, n = a["out"], F.size(a["out"])
-        tail = F.struct(a["start"].alias("start"), a["at"].alias("end"), a["t"].alias("tokens"))
-        last = F.try_element_at(done, F.lit(-1))
-        merged = F.struct(last["start"].alias("start"), a["at"].alias("end"), (last["tokens"] + a["t"]).alias("tokens"))
-        return F.when(a["t"] == 0, done).when(n == 0, F.array(tail)).otherwise(F.array_append(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), merged))
-
-    return df.select(key, F.inline(F.aggregate(sized, zero, step, finish)))

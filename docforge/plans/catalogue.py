@@ -94,9 +94,26 @@ def fixed_window_stats(s, d):
     return w.agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("chunks"), F.median("tokens").alias("median_tokens"), F.max("tokens").alias("max_tokens"), F.count_if(F.col("tokens") > 254).alias("over_limit"))
 
 
+def _typed(s, d, kind: str) -> DataFrame:
+    return _t(s, d, "documents").select("doc_id", "text", F.lit(kind).alias("doc_type"))
+
+
+@query()
+def risk_sections(s, d):
+    return chunking.sections(_typed(s, d, "risk_factors"))
+
+
 @query()
-def paragraph_sections(s, d):
-    return chunking.paragraph_sections(_t(s, d, "documents"))
+def contract_sections(s, d):
+    return chunking.sections(_typed(s, d, "contract"))
+
+
+_LINES = """ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, count(*) FILTER (WHERE line <> '' OR pos < n) AS lines, sum(length(line) + CASE WHEN pos < n THEN 1 ELSE 0 END)::BIGINT AS chars FROM (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS n FROM ln) GROUP BY 1 HAVING lines > 0")
+def document_lines(s, d):
+    return chunking.lines(_typed(s, d, "contract")).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max(F.col("start") + F.char_length("line")).alias("chars"))
 
 
 @query("SELECT doc_id, substring(sha256(coalesce(text, '') || chr(31) || coalesce(lang, '')), 1, 16) AS hash FROM documents")

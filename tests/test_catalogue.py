@@ -34,15 +34,6 @@ def test_same_as_sql(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in order) for r in df.collect()) == want
 
 
-def test_sections_tile_the_text(spark):
-    from pyspark.sql import functions as F
-
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    cover = catalogue.QUERIES["paragraph_sections"](spark, DIR).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.min("start").alias("lo"), F.max("end").alias("hi"))
-    bad = docs.join(cover, "doc_id").where("n <> char_length(text) or lo <> 0 or hi <> char_length(text)")
-    assert bad.count() == 0
-
-
 def test_fuzzy_scores_are_high_and_blocked(spark):
     rows = catalogue.QUERIES["name_fuzzy_block"](spark, DIR).collect()
     assert rows
