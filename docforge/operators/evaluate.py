@@ -35,3 +35,87 @@ def score(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) ->
 def summarise(rows: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
     """Means of already rounded rows, rounded again."""
     return rows.agg(F.count("*").alias("n"), *(F.round(F.avg(f"recall_{k}"), 4).alias(f"recall_{k}") for k in ks), F.round(F.avg("mrr"), 4).alias("mrr"))
+
+
+def build_queries(records: DataFrame, questions: DataFrame, metadata: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(queries, gold): one query a contract and clause category, asked in the category's words.
+
+    ``records`` (contract_id, spans of start, category, end), ``questions``
+    (category, question); ``metadata`` categories are left out.
+    """
+    spans = records.select("contract_id", F.explode("spans").alias("s")).select("contract_id", "s.*").where(~F.col("category").isin(*metadata))
+    item = F.concat_ws("/", "contract_id", "category").alias("item_id")
+    queries = spans.groupBy("contract_id", "category").agg(F.count("*").alias("n_gold")).join(questions, "category")
+    return queries.select(item, "contract_id", "category", F.col("question").alias("text"), "n_gold"), spans.select(item, F.col("contract_id").alias("doc_id"), "start", "end")
+
+
+def evaluate(hits: DataFrame, queries: DataFrame, gold: DataFrame, scope: str, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """One row a query and ``scope``: recall, reciprocal rank, and hits of other document types among the first five.
+
+    ``hits`` (item_id, doc_id, doc_type, start, end, rank); scoped ones hold only
+    the query's own document.
+    """
+    own = hits.join(queries.select("item_id", "contract_id"), "item_id")
+    if scope == "scoped":
+        own = own.where("doc_id = contract_id")
+    wrong = own.where("rank <= 5").groupBy("item_id").agg(F.count_if(F.col("doc_type") != "contract").alias("wrong"))
+    scored = score(own.select("item_id", "doc_id", "start", "end", "rank"), gold, ks)
+    return queries.select("item_id").join(scored, "item_id", "left").join(wrong, "item_id", "left").select("item_id", F.lit(scope).alias("scope"), *(F.coalesce(f"recall_{k}", F.lit(0.0)).alias(f"recall_{k}") for k in ks), F.coalesce("mrr", F.lit(0.0)).alias("mrr"), F.coalesce("wrong", F.lit(0)).alias("wrong"))
+
+
+def summarise_scopes(rows: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """Means of already rounded rows for each scope, and all hits of other types."""
+    return rows.groupBy("scope").agg(F.count("*").alias("n"), *(F.round(F.avg(f"recall_{k}"), 4).alias(f"recall_{k}") for k in ks), F.round(F.avg("mrr"), 4).alias("mrr"), F.sum("wrong").alias("wrong_doc_type_in_top5"))
+
+
+#: Embedding arms with the model each needs, and ways of retrieval.
+ARMS = {"minilm": ("all-MiniLM-L6-v2", 256), "bge-small": ("BAAI/bge-small-en-v1.5", 512), "e5-small": ("intfloat/e5-small-v2", 512), "hash": ("hash-test", None)}
+MODES = ("dense", "hybrid", "hybrid+cross-encoder")
+
+
+def ablation(finished: DataFrame, chunkers: tuple[str, ...] = ("fixed", "section"), missing: dict[str, str] | None = None) -> DataFrame:
+    """Every planned arm with its result or the reason it was not run: a grid without gaps.
+
+    ``finished`` (embedding, chunker, mode, and figures); ``missing`` gives the
+    reason of an arm or a mode that cannot be loaded.
+    """
+    grid = [(e, c, m) for e in ARMS for c in chunkers for m in MODES]
+    why = missing or {}
+    rows = [(e, c, m, why.get(e) or next((why[k] for k in why if k in m), None)) for e, c, m in grid]
+    planned = finished.sparkSession.createDataFrame(rows, "embedding string, chunker string, mode string, reason string")
+    got = planned.join(finished.withColumn("done", F.lit(True)), ["embedding", "chunker", "mode"], "left")
+    state = F.when(F.col("done"), "done").when(F.col("reason").isNotNull(), F.concat(F.lit("not run: "), F.col("reason"))).otherwise("not run: not reached")
+    return got.withColumn("status", state).drop("done", "reason")
+
+
+def covered(expected: Column, retrieved: Column, k: int) -> Column:
+    """Share of the expected days that the first ``k`` chunks cover; a chunk may cover several (array of arrays)."""
+    seen = F.array_distinct(F.flatten(F.slice(retrieved, 1, k)))
+    own = F.array_distinct(expected)
+    return F.when(F.size(own) > 0, F.round(F.size(F.array_intersect(own, seen)) / F.size(own), 4))
+
+
+def facts_present(facts: Column, text: Column) -> Column:
+    """Share of the facts that the text holds, whatever their case; null without facts."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.size(facts) > 0, F.round(F.size(F.filter(facts, lambda f: F.contains(low, F.lower(f)))) / F.size(facts), 4))
+
+
+def aggregate_scores(records: DataFrame) -> DataFrame:
+    """One row over the records of a run; what a record lacks does not count.
+
+    ``records`` (kind, route_ok, recall_5, mrr, exact, facts, citations_valid,
+    abstained, should_abstain, hard_fail, retries, latency_ms).
+    """
+    of = lambda kind, c: F.round(F.avg(F.when(F.col("kind") == kind, F.col(c))), 4)
+    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 4)
+    pooled = F.round(F.avg(F.when(F.col("kind").isin("semantic", "filter"), F.col("recall_5"))), 4)
+    should, said = F.col("should_abstain"), F.col("abstained")
+    return records.agg(
+        F.count("*").alias("n"), share("route_ok").alias("route_accuracy"), of("semantic", "recall_5").alias("recall_semantic"), of("filter", "recall_5").alias("recall_filter"),
+        pooled.alias("recall_all"), of("semantic", "mrr").alias("mrr_semantic"), F.round(F.avg(F.when(F.col("kind") == "filter", F.col("exact").cast("int"))), 4).alias("filter_exact"),
+        F.round(F.avg("facts"), 4).alias("facts"), share("citations_valid").alias("citations_valid"),
+        F.count_if(should & said).alias("abstained_rightly"), F.count_if(should & said.isNotNull()).alias("should_abstain"),
+        F.count_if(~should & said).alias("abstained_wrongly"), F.count_if(~should & said.isNotNull()).alias("should_answer"),
+        F.count_if("hard_fail").alias("hard_fails"), F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"), F.round(F.avg("latency_ms"), 4).alias("mean_latency_ms"),
+    )
