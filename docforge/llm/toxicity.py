@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import least_rows
+from docforge.llm.common import cut, least_rows
 from docforge.llm.kernels import mix64
 
 _QUOTE = re.compile(r"[\"“”„«»‘]|\b(?:said|says|wrote|quoted|called|sagte|schrieb|nannte|dit|écrit|appelé|dijo|escribió|llamó)\b", re.I)
@@ -257,12 +257,12 @@ class Model:
 
 def _shingles(ids: np.ndarray) -> np.ndarray:
     """A number for each three words in a row; of a shorter text one for all of it."""
-    a = np.concatenate((ids, np.zeros(max(0, 3 - len(ids)), np.uint64))).astype(np.uint64)
+    a = np.concatenate((ids + 1, np.zeros(max(0, 3 - len(ids)), ids.dtype))).astype(np.uint64)
     return mix64(mix64(mix64(a[:-2]) + a[1:-1]) + a[2:])
 
 
-def _own_words(texts: list[str], y: list[int], percent: int = 80) -> list[set[str]]:
-    """The words of each text, those left out that a near-copy before it in the same label already said.
+def _own_words(texts: list[str], y: list[int], percent: int = 80) -> tuple[list[str], list[np.ndarray]]:
+    """All words, and the numbers of those of each text, those left out that a near-copy before it in the same label already said.
 
     A near-copy shares ``percent`` of its whole set of word triples with an
     earlier text.  It still speaks for every word that no shared triple holds,
@@ -270,9 +270,10 @@ def _own_words(texts: list[str], y: list[int], percent: int = 80) -> list[set[st
     Two such sets share one of their rarest triples, which is where they meet.
     """
     number: dict[str, int] = {}
-    words = [_WORD.findall(t.lower()) for t in texts]
-    ids = [np.array([number.setdefault(w, len(number) + 1) for w in ws], np.uint64) for ws in words]
-    out = [set(ws) for ws in words]
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())), np.uint32) for t in texts]
+    names = list(number)
+    del number
+    out = [np.unique(x) for x in ids]
     for label in set(y):
         mine = [i for i, v in enumerate(y) if v == label and len(ids[i])]
         sets = {i: np.unique(_shingles(ids[i])) for i in mine}
@@ -282,8 +283,9 @@ def _own_words(texts: list[str], y: list[int], percent: int = 80) -> list[set[st
         met: dict[int, list[int]] = defaultdict(list)
         for i in mine:
             own = sets[i]
-            rare = own[np.lexsort((own, count[np.searchsorted(every, own)]))]
-            rare = rare[: len(own) - -(-percent * len(own) // 100) + 1].tolist()
+            often = count[np.searchsorted(every, own)]
+            rare = np.lexsort((own, often))[: len(own) - -(-percent * len(own) // 100) + 1]
+            rare = own[rare[often[rare] > 1]].tolist()  # what stands in one text only meets none
             best, first = 0.0, -1
             for k in sorted({k for r in rare for k in met.get(r, ())}):
                 other = sets[k]
@@ -301,8 +303,8 @@ def _own_words(texts: list[str], y: list[int], percent: int = 80) -> list[set[st
             held = np.zeros(max(3, len(ids[i])), bool)
             for k in range(3):
                 held[k : k + len(said)] |= said
-            out[i] = {w for w, h in zip(words[i], held) if not h}
-    return out
+            out[i] = np.unique(ids[i][~held[: len(ids[i])]])
+    return names, out
 
 
 def lexicon(texts: list[str], y: list[int], support: float = 0.006, stem_support: float = 0.03, purity: float = 0.97) -> tuple[list[str], list[str]]:
@@ -316,9 +318,9 @@ def lexicon(texts: list[str], y: list[int], support: float = 0.006, stem_support
     clean: Counter = Counter()
     toxic = [i for i, v in enumerate(y) if v]
     n_clean = max(1, len(y) - len(toxic))
-    own = _own_words(texts, y)
+    names, own = _own_words(texts, y)
     for i in range(len(texts)):
-        words = {w for word in own[i] for w in _TOKEN.findall(word)}
+        words = {w for k in own[i].tolist() for w in _TOKEN.findall(names[k])}
         terms = {w for w in words if 3 <= len(w) <= 24} | {w[:k] + "*" for w in words for k in (4, 5) if len(w) > k}
         if y[i]:
             for t in terms:
@@ -366,8 +368,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
     """
     rows = labels.where("toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     pick = least_rows(rows, "toxic", ["h", "doc_id"], per_class).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y"))
+    pick = cut(pick)  # a bounded table of ids
     met = docs.select("doc_id", "text").join(F.broadcast(pick), F.col("doc_id") == F.col("_id"))
-    got = met.groupBy("doc_id", "_y").agg(F.max("text").alias("text")).collect()
+    # texts move through no exchange, unless some doc_id is given twice
+    if not met.groupBy("doc_id").count().where("count > 1").isEmpty():
+        met = met.groupBy("doc_id", "_y").agg(F.max("text").alias("text"))
+    got = met.select("doc_id", "text", "_y").collect()
     share = labels.where("toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").agg(F.avg("toxic"), F.count("*")).first()
     base = float(share[0] or 0.0)
     got = sorted(((r["doc_id"], r["text"] or "", int(r["_y"])) for r in got), key=lambda r: (r[0], r[1]))
