@@ -15,6 +15,11 @@ def content_hash(text: Column, *metadata: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce(text, F.lit("")), *(F.coalesce(m.cast("string"), F.lit("")) for m in metadata)), 256), 1, 16)
 
 
+def mismatches(stamp: dict, have: dict) -> list[str]:
+    """Why an index with the stamp ``have`` cannot serve code with ``stamp``; empty: it can."""
+    return [f"{k}: index has {have.get(k)!r}, code has {v!r}" for k, v in stamp.items() if have.get(k) != v]
+
+
 def status(index: DataFrame | None, docs: DataFrame, stamp: dict, have: dict) -> tuple[DataFrame | None, bool]:
     """Counts by change, and whether the index is fresh (further documents do not matter)."""
     if index is None or stamp != have:
@@ -24,9 +29,10 @@ def status(index: DataFrame | None, docs: DataFrame, stamp: dict, have: dict) ->
 
 
 def ingest(table: VersionedTable, docs: DataFrame, stamp: dict, chunker: str = "fixed", prune: bool = False) -> dict[str, int]:
-    """Chunk what is new or changed, keep the rest, swap the snapshot; a stamp mismatch rebuilds all."""
+    """Chunk what is new or changed in text or any other column, keep the rest, swap the snapshot; a stamp mismatch rebuilds all."""
     old = table.read() if table.stamp() == stamp else None
-    hashed = docs.withColumn("hash", content_hash(F.col("text")))
+    more = sorted(c for c in docs.columns if c not in ("doc_id", "text"))
+    hashed = docs.withColumn("hash", content_hash(F.col("text"), *(F.to_json(F.struct(c)) for c in more)))
     if old is None:
         changes, todo, kept = None, hashed, None
     else:

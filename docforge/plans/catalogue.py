@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from docforge.functions import extract, filters
 from docforge.functions import text as T
-from docforge.operators import chunking, evaluate, relate, retrieve
+from docforge.functions.names import ENDINGS, compact_key
+from docforge.operators import chunking, evaluate, filings, relate, resolve, retrieve
 from docforge.operators.aggregate import aggregate
 from docforge.operators.store import content_hash
 from docforge.plans import answer, phrases, resolver
@@ -366,9 +367,61 @@ def name_key(s, d):
     return _t(s, d, "part").select("p_partkey", T.name_key(F.col("p_name")).alias("key"))
 
 
-@query(f"WITH k AS ({_KEYS}), u AS (SELECT key, count(DISTINCT cik) AS n, min(cik) AS cik FROM k GROUP BY 1) SELECT k.cik AS id, u.cik FROM k JOIN u USING (key) WHERE n = 1")
+_SQUASHED = "regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), '&', 'and'), '[^a-z0-9]', '', 'g'), '^the(.{{4,}})$', '\\1'), '^(.{{4,}})(?:" + "|".join(ENDINGS) + r")$', '\1')"
+
+
+@query("SELECT c_custkey, " + _SQUASHED.replace("\\\\", "\\").format("'The ' || c_name || CASE c_custkey % 3 WHEN 0 THEN ' & Co.' WHEN 1 THEN ', Inc.' ELSE '' END") + " AS key FROM customer")
+def name_compact(s, d):
+    end = F.when(F.col("c_custkey") % 3 == 0, " & Co.").when(F.col("c_custkey") % 3 == 1, ", Inc.").otherwise("")
+    return _t(s, d, "customer").select("c_custkey", compact_key(F.concat(F.lit("The "), "c_name", end)).alias("key"))
+
+
+@query("""WITH n AS (SELECT 'Customer Group ' || c_nationkey AS name, c_custkey FROM customer), k AS (SELECT c_custkey AS cik, 'Customer Group ' || (c_custkey % 30) || ' Inc' AS listed FROM customer WHERE c_custkey < 40)
+SELECT DISTINCT n.name, CASE WHEN count(DISTINCT cik) OVER (PARTITION BY n.name) = 1 THEN cik END AS cik, CASE WHEN cik IS NULL THEN 'unresolved' ELSE 'tickers_exact' END AS method
+FROM n LEFT JOIN (SELECT listed, min(cik) AS cik FROM k GROUP BY 1 HAVING count(DISTINCT cik) = 1) k ON k.listed = n.name || ' Inc'""")
+def resolve_exact(s, d):
+    """Names by a key that has one id; those of several ids or none stay unresolved."""
+    c = _t(s, d, "customer")
+    names = c.select(F.concat(F.lit("Customer Group "), F.col("c_nationkey").cast("string")).alias("name"))
+    index = c.where("c_custkey < 40").select(F.col("c_custkey").alias("cik"), F.concat(F.lit("Customer Group "), (F.col("c_custkey") % 30).cast("string"), F.lit(" Inc")).alias("name"))
+    found = resolve.candidates(names, {"tickers": index}).where("turn < 2")
+    return resolve.resolve_names(found, names)[0].select("name", "cik", "method")
+
+
+_SAID = "CASE event_type WHEN 'purchase' THEN 'Yes ' WHEN 'click' THEN 'no' ELSE CASE WHEN event_id % 5 = 0 THEN '' ELSE 'no' END END"
+
+
+def _review(s, d):
+    said = F.when(F.col("event_type") == "purchase", "Yes ").when(F.col("event_type") == "click", "no").when(F.col("event_id") % 5 == 0, "").otherwise("no")
+    return _t(s, d, "events").select(F.lit("c").alias("contract_id"), F.col("user_id").cast("string").alias("name"), F.col("event_id").alias("candidate_cik"), F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("candidate_name"), F.lit("m").alias("method"), F.lit(1.0).alias("score"), said.alias("confirmed"))
+
+
+@query(f"""WITH r AS (SELECT user_id::VARCHAR AS name, event_id, trim(lower({_SAID})) AS said FROM events)
+SELECT name, min(event_id) FILTER (WHERE said = 'yes') AS cik, 'n' || min(event_id) FILTER (WHERE said = 'yes') AS matched_name FROM r GROUP BY 1 HAVING count(*) FILTER (WHERE said = 'yes') > 0 OR bool_and(said = 'no')""")
+def override_join(s, d):
+    return resolve.decisions(_review(s, d))
+
+
+@query(f"""WITH r AS (SELECT user_id::VARCHAR AS name, event_id AS candidate_cik, {_SAID} AS confirmed FROM events),
+k AS (SELECT * FROM r WHERE trim(lower(confirmed)) IN ('yes', 'no') AND candidate_cik % 2 = 0)
+SELECT * FROM k UNION ALL SELECT name, candidate_cik, 'auto' FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.name = r.name AND k.candidate_cik = r.candidate_cik)""")
+def review_merge(s, d):
+    every = _review(s, d)
+    return resolve.merge_review(every.where("candidate_cik % 2 = 0"), every.withColumn("confirmed", F.lit("auto"))).select("name", "candidate_cik", "confirmed")
+
+
+@query("""WITH f AS (SELECT l_suppkey AS cik, CASE l_returnflag WHEN 'R' THEN 'Revenues' WHEN 'A' THEN 'SalesRevenueNet' ELSE 'Other' END AS concept, year(l_shipdate::DATE) AS y, l_extendedprice AS val, l_shipdate::DATE AS filed, l_orderkey || '-' || l_linenumber AS accession FROM lineitem)
+SELECT row_id, concept, revenue_usd FROM (SELECT 'rev_' || cik || '_' || y || '-12-31' AS row_id, concept, val AS revenue_usd, row_number() OVER (PARTITION BY cik, y ORDER BY CASE concept WHEN 'Revenues' THEN 1 ELSE 2 END, filed DESC, accession) AS r FROM f WHERE concept <> 'Other') WHERE r = 1""")
+def revenue_series(s, d):
+    concept = F.when(F.col("l_returnflag") == "R", "Revenues").when(F.col("l_returnflag") == "A", "SalesRevenueNet").otherwise("Other")
+    y = F.year(F.to_date("l_shipdate")).cast("string")
+    facts = _t(s, d, "lineitem").select(F.col("l_suppkey").alias("cik"), concept.alias("concept"), F.lit("10-K").alias("form"), F.lit("FY").alias("fp"), F.concat(y, F.lit("-01-01")).alias("start"), F.concat(y, F.lit("-12-31")).alias("end"), F.col("l_extendedprice").alias("val"), F.to_date("l_shipdate").alias("filed"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("accession"))
+    return filings.revenue_series(facts).select("row_id", "concept", "revenue_usd")
+
+
+@query("WITH k AS (SELECT s_suppkey AS cik, lower(s_name) AS key FROM supplier), u AS (SELECT key, count(DISTINCT cik) AS n, min(cik) AS cik FROM k GROUP BY 1) SELECT k.cik AS id, u.cik FROM k JOIN u USING (key) WHERE n = 1")
 def name_exact_unique(s, d):
-    names = _names(s, d)
+    names = _t(s, d, "supplier").select(F.col("s_suppkey").alias("cik"), F.col("s_name").alias("name"), F.lower("s_name").alias("key"))
     return relate.exact_match(names.select(F.col("cik").alias("id"), "key"), names).select("id", "cik")
 
 
@@ -438,9 +491,9 @@ def semi_join(s, d):
     return _t(s, d, "orders").join(_t(s, d, "customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join(s, d):
-    return _t(s, d, "customer").join(_t(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return _t(s, d, "customer").join(_t(s, d, "orders").where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT 'document' AS kind, doc_id AS id FROM documents UNION ALL SELECT 'page', page_id FROM pages UNION ALL SELECT 'item', item_id FROM benchmark")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,28 +49,38 @@ def zip_filings(blocks: DataFrame, fields: list[str]) -> DataFrame:
 
 
 class VersionedTable:
-    """Snapshots in folders of their own, and a pointer that is written last."""
+    """Snapshots in folders of their own, and a log whose last entry names the one that counts.
+
+    An entry is appended when its snapshot is whole, so a writer that stops
+    anywhere leaves the table as it was.  The last two snapshots are kept: a
+    reader of the one before can finish.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> dict | None:
+    def _log(self) -> list[dict]:
         try:
-            rows = self.spark.read.text(f"{self.path}/_current").collect()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
+            rows = self.spark.read.text(f"{self.path}/_log").collect()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
             raise
-        return json.loads(rows[0][0])
+        return sorted((json.loads(r[0]) for r in rows), key=lambda e: e["number"])
 
     def read(self) -> DataFrame | None:
-        at = self._pointer()
-        return self.spark.read.parquet(f"{self.path}/{at['version']}") if at else None
+        log = self._log()
+        return self.spark.read.parquet(f"{self.path}/{log[-1]['version']}") if log else None
 
     def stamp(self) -> dict:
-        return (self._pointer() or {}).get("stamp", {})
+        log = self._log()
+        return log[-1]["stamp"] if log else {}
 
     def write(self, df: DataFrame, stamp: dict) -> None:
-        version = uuid.uuid4().hex
+        log, version = self._log(), uuid.uuid4().hex
         df.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(json.dumps({"version": version, "stamp": stamp}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_current")
+        entry = {"number": log[-1]["number"] + 1 if log else 0, "version": version, "stamp": stamp}
+        self.spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_log")
+        for old in log[:-1]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old['version']}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
