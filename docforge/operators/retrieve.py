@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +13,67 @@ from docforge.functions.text import bm25_tokens, hash_token
 K1, B, RRF_K, CANDIDATES = 1.5, 0.75, 60, 20
 
 
-def bm25_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (key, term, tf, dl), terms (term, df, idf) and totals (ndocs, avgdl) of the whole corpus."""
-    toks = docs.select(key, bm25_tokens(F.col(text)).alias("toks"))
-    totals = toks.agg(F.count("*").alias("ndocs"), F.avg(F.size("toks")).alias("avgdl"))
-    post = toks.select(key, F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("ndocs")))
-    raw = df.withColumn("raw", F.log(F.col("ndocs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+#: A query set of at most so many bytes is broadcast; a larger one is shuffled by the join's key.
+BROADCAST_BYTES = 16 << 20
+#: Rows of corpus totals beside the terms; no token is spelt like these.
+_DOCS, _LENGTH = "#docs", "#length"
+
+
+def hint(queries: DataFrame, size: Column) -> Callable[[DataFrame], DataFrame]:
+    """How what is made of ``queries`` joins: by broadcast where all of ``size`` (bytes a row) was summed and is within bounds."""
+    total = queries.agg(F.sum(F.coalesce(size, F.lit(0)) + 16)).first()[0] or 0
+    return F.broadcast if total <= BROADCAST_BYTES else lambda d: d
+
+
+def _text_hint(queries: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    return hint(queries, F.octet_length("text"))
+
+
+def bm25_stats(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Terms (term, df, idf) and totals (ndocs, avgdl) of the whole corpus, a document a row.
+
+    Each text gives its distinct terms and two rows of totals, so one pass and one
+    shuffle of partial counts serve both; the filters wait for the sums lest they
+    be pushed down and make two passes of one.
+    """
+    toks = docs.select(F.coalesce(bm25_tokens(F.col(text)), F.array().cast("array<string>")).alias("toks"))
+    each = toks.select(F.size("toks").alias("dl"), F.explode_outer(F.concat(F.array_distinct("toks"), F.array(F.lit(_DOCS), F.lit(_LENGTH)))).alias("term"))
+    n = F.when(F.col("term") == _LENGTH, F.col("dl")).otherwise(1).cast("long")
+    counts = each.where("term IS NOT NULL").groupBy("term").agg(F.sum(n).alias("df"))
+    of = lambda name: F.max(F.when(F.col("term") == name, F.col("df")))
+    totals = counts.agg(F.coalesce(of(_DOCS), F.lit(0)).alias("ndocs"), (of(_LENGTH) / of(_DOCS)).alias("avgdl"))
+    odds = F.log(F.col("ndocs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = counts.crossJoin(F.broadcast(totals)).withColumn("raw", F.when(~F.col("term").isin(_DOCS, _LENGTH), odds))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return post, terms, totals
+    terms = raw.where("raw IS NOT NULL").crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return terms, totals
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(item_id, key, score) of every document that shares a term; a repeated query term counts again."""
-    post, terms, totals = bm25_stats(docs, key)
-    q = queries.select("item_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qn"))
-    hit = q.join(terms, "term").join(post, "term").crossJoin(F.broadcast(totals.select("avgdl")))
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("item_id", key).agg(F.sum(part).alias("score"))
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, dl, term): every token of every text with the length of its text."""
+    toks = docs.select(key, bm25_tokens(F.col(text)).alias("toks"))
+    # the outer form: the plain one has the optimizer test the tokens' number first, and so makes them three times
+    return toks.select(key, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).where("term IS NOT NULL")
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", allowed: Column | None = None) -> DataFrame:
+    """(item_id, key, score) of every ``allowed`` document that shares a term; a repeated query term counts again.
+
+    Tokens that no query has go where texts are read.  The others are dealt once,
+    by document, which serves both the counts of terms and the sums.
+    """
+    small = _text_hint(queries)
+    terms, totals = bm25_stats(docs)
+    q = queries.select("item_id", F.explode_outer(bm25_tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qn"))
+    own = postings(docs if allowed is None else docs.where(allowed), key).join(small(q.select("term").distinct()), "term", "left_semi")
+    tf = own.repartition(key).groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    weighted = terms.join(small(q), "term").select("item_id", "term", (F.col("qn") * F.col("idf")).alias("w"))
+    return _summed(tf.join(small(weighted), "term").crossJoin(F.broadcast(totals.select("avgdl"))), key)
+
+
+def _summed(hits: DataFrame, key: str) -> DataFrame:
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.groupBy("item_id", key).agg(F.sum(part).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "item_id", key: str = "doc_id") -> DataFrame:
@@ -40,43 +84,53 @@ def top_k(scores: DataFrame, k: int, by: str = "item_id", key: str = "doc_id") -
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None, key: str = "doc_id") -> DataFrame:
     """Corpus statistics from all documents; only ``allowed`` ones rank, and zero scores fill up to k."""
-    scores = bm25_scores(docs, queries, key)
+    best = top_k(bm25_scores(docs, queries, key, allowed), k, key=key)
     own = docs.where(allowed).select(key) if allowed is not None else docs.select(key)
-    if allowed is not None:
-        scores = scores.join(own, key, "left_semi")
-    # at most k - 1 scored rows leave room, so 2k least ids are enough to fill any gap
+    # whoever has k scored rows needs no fill; others have them all in ``best``, and 2k least ids fill any gap
     fill = queries.select("item_id").crossJoin(F.broadcast(own.orderBy(key).limit(2 * k))).withColumn("score", F.lit(0.0))
-    every = scores.select("item_id", key, "score").unionByName(fill).groupBy("item_id", key).agg(F.max_by("score", F.abs("score")).alias("score"))
+    every = best.select("item_id", key, "score").unionByName(fill).groupBy("item_id", key).agg(F.max_by("score", F.abs("score")).alias("score"))
     return top_k(every, k, key=key)
 
 
 def hash_buckets(docs: DataFrame, dims: int = 1024, key: str = "doc_id") -> DataFrame:
-    """(key, bucket, cnt): sparse hashed bag of words; each distinct token is hashed once."""
+    """(key, bucket, cnt): sparse hashed bag of words; each distinct token is hashed once.
+
+    Texts are dealt by key first, so neither the counts nor the sums move again.
+    """
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[,:]", " "), r"\s+"), lambda w: w != "")
-    tok = docs.select(key, F.explode(words).alias("tok")).groupBy(key, "tok").agg(F.count("*").alias("n"))
+    tok = docs.select(key, "text").repartition(key).select(key, F.explode_outer(words).alias("tok")).where("tok IS NOT NULL").groupBy(key, "tok").agg(F.count("*").alias("n"))
     return tok.withColumn("bucket", F.pmod(hash_token(F.col("tok")), F.lit(dims))).groupBy(key, "bucket").agg(F.sum("n").alias("cnt"))
 
 
 def hash_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Cosine of sparse hashed vectors."""
+    """Cosine of sparse hashed vectors, summed where the document's buckets are."""
     norm = lambda d, k: d.withColumn("w", F.col("cnt") / F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(k))))
     dv = norm(hash_buckets(docs, key=key), key)
-    qv = norm(hash_buckets(queries, key="item_id"), "item_id")
-    return qv.select("item_id", "bucket", F.col("w").alias("qw")).join(dv.select(key, "bucket", "w"), "bucket").groupBy("item_id", key).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    qv = norm(hash_buckets(queries, key="item_id"), "item_id").select("item_id", "bucket", F.col("w").alias("qw"))
+    return dv.select(key, "bucket", "w").join(_text_hint(queries)(qv), "bucket").groupBy("item_id", key).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
 
 
 def _dot(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, v) -> s + v)"
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """Exact cosine of every query vector with every vector; ties by id.
 
-    ``queries`` (item_id, qvec) is a stated query set of checked size.
+    ``queries`` (item_id, qvec) is broadcast within bounds.  Beyond them it is cut
+    into blocks of about ``block`` vectors; a vector meets each block under a
+    salt, so no task holds more than one block and one share of the vectors.
     """
     v = vectors.withColumn("norm", F.expr(f"sqrt({_dot('embedding', 'embedding')})"))
     q = queries.withColumn("qnorm", F.expr(f"sqrt({_dot('qvec', 'qvec')})"))
-    pairs = v.crossJoin(F.broadcast(q)).withColumn("score", F.expr(f"{_dot('qvec', 'embedding')} / (qnorm * norm)"))
+    if hint(queries, F.size("qvec") * 8) is F.broadcast:
+        pairs = v.crossJoin(F.broadcast(q))
+    else:
+        blocks, salts = -(-queries.count() // block), 16
+        v = v.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        q = q.withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = v.join(q, ["_block", "_salt"])
+    pairs = pairs.withColumn("score", F.expr(f"{_dot('qvec', 'embedding')} / (qnorm * norm)"))
     return top_k(pairs.select("item_id", "vec_id", "score"), k, key="vec_id")
 
 

@@ -150,12 +150,12 @@ def index_status(s, d):
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_idf(s, d):
-    return retrieve.bm25_stats(_t(s, d, "documents"))[1].select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieve.bm25_stats(_t(s, d, "documents"))[0].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25} SELECT ndocs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS vocabulary FROM tot")
 def bm25_stats(s, d):
-    _, terms, totals = retrieve.bm25_stats(_t(s, d, "documents"))
+    terms, totals = retrieve.bm25_stats(_t(s, d, "documents"))
     return totals.crossJoin(terms.agg(F.count("*").alias("vocabulary"))).select("ndocs", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
 
 
