@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docforge.functions.text import phrase_starts
+from docforge.operators.retrieve import hint
 
 
 def covers(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -13,13 +14,30 @@ def covers(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Co
     return (a_start < b_end) & (b_start < a_end)
 
 
+#: What parts the words of phrases and texts here; only equality of both sides matters.
+_GAP = r"\s+"
+
+
 def gold_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, doc_id, start, end) of every verbatim place of an item.
+    """(item_id, doc_id, start, end) of every verbatim place of an item, a document a row.
 
-    Items are a stated query set; each text is tested by a JVM substring search.
+    A phrase's inner words, between two gaps, are whole words of every text that
+    holds it.  The longest of them is the key on which phrases meet the distinct
+    words of texts; a substring search then decides.  A phrase without inner words
+    has no such key: such phrases are tested against each text.
     """
-    it = items.select("item_id", F.col("text").alias("phrase"))
-    hit = docs.select("doc_id", "text").join(F.broadcast(it), F.expr("contains(text, phrase)"))
+    inner = F.expr(r"filter(slice(words, 2, greatest(size(words) - 2, 0)), w -> w <> '')")
+    it = items.select("item_id", F.col("text").alias("phrase"), F.split("text", _GAP).alias("words")).where("phrase <> ''")
+    it = it.select("item_id", "phrase", F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    small = hint(items, F.octet_length("text"))
+    keyed, short = it.where("word IS NOT NULL"), it.where("word IS NULL").drop("word")
+    words = docs.select("doc_id", "text", F.explode_outer(F.array_distinct(F.split("text", _GAP))).alias("word")).where("word IS NOT NULL")
+    if small is F.broadcast:
+        near = words.join(small(keyed), "word")
+    else:  # words without their texts move; texts join the pairs that are left
+        near = words.drop("text").join(keyed, "word").join(docs.select("doc_id", "text"), "doc_id")
+    columns = ["item_id", "doc_id", "text", "phrase"]
+    hit = near.where("contains(text, phrase)").select(columns).unionByName(docs.select("doc_id", "text").join(small(short), F.expr("contains(text, phrase)")).select(columns))
     at = hit.select("item_id", "doc_id", F.char_length("phrase").cast("long").alias("n"), F.explode(phrase_starts(F.col("text"), F.col("phrase"))).alias("start"))
     return at.select("item_id", "doc_id", "start", (F.col("start") + F.col("n")).alias("end"))
 
