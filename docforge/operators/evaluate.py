@@ -18,8 +18,8 @@ def covers(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Co
 _GAP = r"\s+"
 
 
-def gold_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, doc_id, start, end) of every verbatim place of an item, a document a row.
+def places(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, text, start, end) of every verbatim place of an item, a document a row.
 
     A phrase's inner words, between two gaps, are whole words of every text that
     holds it.  The longest of them is the key on which phrases meet the distinct
@@ -38,8 +38,13 @@ def gold_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
         near = words.drop("text").join(keyed, "word").join(docs.select("doc_id", "text"), "doc_id")
     columns = ["item_id", "doc_id", "text", "phrase"]
     hit = near.where("contains(text, phrase)").select(columns).unionByName(docs.select("doc_id", "text").join(small(short), F.expr("contains(text, phrase)")).select(columns))
-    at = hit.select("item_id", "doc_id", F.char_length("phrase").cast("long").alias("n"), F.explode(phrase_starts(F.col("text"), F.col("phrase"))).alias("start"))
-    return at.select("item_id", "doc_id", "start", (F.col("start") + F.col("n")).alias("end"))
+    at = hit.select("item_id", "doc_id", "text", F.char_length("phrase").cast("long").alias("n"), F.explode(phrase_starts(F.col("text"), F.col("phrase"))).alias("start"))
+    return at.select("item_id", "doc_id", "text", "start", (F.col("start") + F.col("n")).alias("end"))
+
+
+def gold_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The places of items without the texts."""
+    return places(docs, items).drop("text")
 
 
 def score(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docforge.functions.text import bm25_tokens, hash_token
@@ -134,6 +134,32 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 409
     return top_k(pairs.select("item_id", "vec_id", "score"), k, key="vec_id")
 
 
+def write_postings(docs: DataFrame, path: str, key: str = "doc_id", buckets: int = 256) -> None:
+    """Keep the postings of a corpus as tables, which later searches read by their terms alone.
+
+    ``terms`` and ``totals`` stand beside ``postings``, which lie in folders by a
+    term's bucket, sorted by term.  Documents spread each bucket over several
+    files, so a hot term does not make one task; ``totals`` comes last and marks a
+    whole index.
+    """
+    terms, totals = bm25_stats(docs)
+    at = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+    tf = postings(docs, key).repartition(key).groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"))
+    dealt = tf.select("*", at, F.pmod(F.xxhash64(key), F.lit(4)).alias("_share")).repartition("bucket", "_share").sortWithinPartitions("bucket", "term").drop("_share")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    terms.select("*", at).write.mode("overwrite").parquet(f"{path}/terms")
+    totals.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def kept_scores(spark: SparkSession, path: str, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What ``bm25_scores`` gives, from an index that ``write_postings`` kept: only buckets of query terms are read."""
+    small = _text_hint(queries)
+    q = queries.select("item_id", F.explode_outer(bm25_tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qn"))
+    weighted = spark.read.parquet(f"{path}/terms").join(small(q), "term").select("item_id", "term", "bucket", (F.col("qn") * F.col("idf")).alias("w"))
+    hits = spark.read.parquet(f"{path}/postings").join(small(weighted), ["bucket", "term"])
+    return _summed(hits.crossJoin(F.broadcast(spark.read.parquet(f"{path}/totals").select("avgdl"))), key)
+
+
 def rrf(lists: list[DataFrame], key: str = "doc_id", k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (item_id, key, rank)."""
     rows = lists[0].select("item_id", key, "rank")
@@ -143,9 +169,14 @@ def rrf(lists: list[DataFrame], key: str = "doc_id", k: int = RRF_K) -> DataFram
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), key)))
 
 
-def lexical_rerank(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """Rerank by rare shared words: df counts within the candidate set of the query."""
-    cand = hits.select("item_id", key, F.col("rank").alias("dense_rank")).join(docs.select(key, "text"), key)
+def lexical_rerank(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", candidates: int = CANDIDATES) -> DataFrame:
+    """Rerank by rare shared words: df counts within the candidate set of the query.
+
+    ``hits`` holds at most ``candidates`` a query, so within bounds it goes to
+    where the texts are and no text moves but those of candidates.
+    """
+    small = hint(queries, F.lit(32 * candidates))
+    cand = docs.select(key, "text").join(small(hits.select("item_id", key, F.col("rank").alias("dense_rank"))), key)
     dset = cand.select("item_id", key, F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("term"))
     qset = queries.select("item_id", F.array_distinct(bm25_tokens(F.col("text"))).alias("q")).select("item_id", F.size("q").alias("qn"), F.explode("q").alias("term"))
     both = dset.join(qset, ["item_id", "term"])
@@ -165,4 +196,4 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 5, mode: str = "hybrid"
     if mode != "bm25":
         ranked.append(top_k(hash_scores(docs, queries, key), n, key=key))
     hits = rrf(ranked, key).where(F.col("rank") <= n) if len(ranked) > 1 else ranked[0]
-    return lexical_rerank(hits, docs, queries, k, key) if rerank else hits.where(F.col("rank") <= k)
+    return lexical_rerank(hits, docs, queries, k, key, n) if rerank else hits.where(F.col("rank") <= k)

@@ -249,8 +249,7 @@ def phrase_find(s, d):
 
 @query(f"WITH {_GOLD} SELECT item_id, g.doc_id, start, substring(text, greatest(start - 60, 0) + 1, start - greatest(start - 60, 0) + (\"end\" - start) + 60) AS context FROM gold g JOIN documents USING (doc_id)")
 def kwic(s, d):
-    docs = _t(s, d, "documents")
-    g = evaluate.gold_spans(docs, _t(s, d, "benchmark")).join(docs.select("doc_id", "text"), "doc_id")
+    g = evaluate.places(_t(s, d, "documents"), _t(s, d, "benchmark"))
     return g.select("item_id", "doc_id", "start", T.keyword_in_context(F.col("text"), F.col("start"), F.col("end") - F.col("start")).alias("context"))
 
 

@@ -54,6 +54,15 @@ def test_filtered_ranks_keep_the_statistics_of_all(corpus):
     assert some and some == {k: v for k, v in every.items() if k[1] < 9}
 
 
+def test_kept_postings_score_alike(spark, corpus, tmp_path):
+    docs, items, *_ = corpus
+    retrieve.write_postings(docs, str(tmp_path / "index"), buckets=8)
+    kept = retrieve.kept_scores(spark, str(tmp_path / "index"), items)
+    assert rows(kept) == rows(retrieve.bm25_scores(docs, items))
+    again = retrieve.kept_scores(spark, str(tmp_path / "index"), items.where("item_id = 2"))
+    assert rows(again) == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 8, 5000])
 def test_medians(spark, n):
     rng = random.Random(n)
