@@ -74,4 +74,58 @@ ORACLES = {
           FROM d GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM d JOIN g USING (text_sha256)""",
+    "op4_suffix": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        s AS (
+          SELECT doc_id, p, md5_number(substring(h, 2 * p + 1, 200)) AS k
+          FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d)),
+        again AS (
+          SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM s)
+          WHERE nth > 1),
+        runs AS (
+          SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (
+            SELECT doc_id, p, sum(CASE WHEN p - was <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+            FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS was FROM again))
+          GROUP BY doc_id, run),
+        cut AS (
+          SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS rest,
+                 string_agg(substring(h, 2 * up + 1, 2 * (a - up)), '' ORDER BY a) AS front
+          FROM (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS up FROM runs) JOIN d USING (doc_id)
+          GROUP BY doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(from_hex(coalesce(front, '') || substring(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)""",
+    "op7_substring": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+          SELECT doc_id, p, md5_number(array_to_string(list_slice(w, p + 1, p + 35), ' ')) AS k
+          FROM (SELECT doc_id, w, unnest(range(0, len(w) - 34)) AS p FROM d)),
+        again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS times FROM s) WHERE times > 1),
+        runs AS (
+          SELECT doc_id, min(p) AS a, max(p) + 35 AS b FROM (
+            SELECT doc_id, p, sum(CASE WHEN p - was <= 35 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+            FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS was FROM again))
+          GROUP BY doc_id, run),
+        ends AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, len(w), len(w) FROM d),
+        kept AS (
+          SELECT doc_id, string_agg(array_to_string(list_slice(w, up + 1, a), ' '), ' ' ORDER BY a) AS t
+          FROM (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a, b) AS up FROM ends) JOIN d USING (doc_id)
+          WHERE a > up GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed FROM runs GROUP BY 1) USING (doc_id)""",
+    "op10_jaccard": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        sets AS (
+          SELECT DISTINCT doc_id, md5_number(array_to_string(list_slice(w, p + 1, p + 4), ' ')) AS k
+          FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, least(len(w), 1)))) AS p FROM w)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+        shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM sets x JOIN sets y USING (k) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+        links AS (
+          SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+        reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+        FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
 }
