@@ -140,15 +140,15 @@ def write_postings(docs: DataFrame, path: str, key: str = "doc_id", buckets: int
     ``terms`` and ``totals`` stand beside ``postings``, which lie in folders by a
     term's bucket, sorted by term.  Documents spread each bucket over several
     files, so a hot term does not make one task; ``totals`` comes last and marks a
-    whole index.
+    whole index.  A path that is there already raises: a new index takes a new path.
     """
     terms, totals = bm25_stats(docs)
     at = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
     tf = postings(docs, key).repartition(key).groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"))
     dealt = tf.select("*", at, F.pmod(F.xxhash64(key), F.lit(4)).alias("_share")).repartition("bucket", "_share").sortWithinPartitions("bucket", "term").drop("_share")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    terms.select("*", at).write.mode("overwrite").parquet(f"{path}/terms")
-    totals.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    terms.select("*", at).write.parquet(f"{path}/terms")
+    totals.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/totals")
 
 
 def kept_scores(spark: SparkSession, path: str, queries: DataFrame, key: str = "doc_id") -> DataFrame:
