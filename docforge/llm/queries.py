@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.llm import embed, exact, langid, ngramjoin, packing, pieces, pii, substring, suffix, toxicity
+from docforge.llm import bpe, centroids, codes, embed, exact, langid, ngramjoin, packing, pieces, pii, substring, suffix, toxicity
 from docforge.llm.common import table
 
 
@@ -59,7 +59,74 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_private, op3_packing, op4_suffix, op5_exact, op6_embeddings, op7_substring, op8_toxicity, op9_pieces, op10_jaccard)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_private, op3_packing, op4_suffix, op5_exact, op6_embeddings, op7_substring, op8_toxicity, op9_pieces, op10_jaccard, op11_bpe, op12_codes, op13_centroids)}
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Plain Lloyd rounds, one pair of steps a round; op12 must give the same."""
+    steps = [
+        """v AS MATERIALIZED (
+          SELECT vec_id, label, len(embedding) // 4 AS w, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS MATERIALIZED (SELECT vec_id, p, list_slice(x, p * w + 1, p * w + w) AS x FROM v, range(4) AS r(p)),
+        c0 AS MATERIALIZED (SELECT p, e, x FROM q JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT 256) USING (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+          SELECT vec_id, p, any_value(q.x) AS x, min((list_inner_product(q.x, q.x) - 2 * list_inner_product(q.x, c.x) + list_inner_product(c.x, c.x))::BIGINT * 256 + e) AS m
+          FROM q JOIN c{r} c USING (p) GROUP BY vec_id, p)""")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+          SELECT p, e, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN (
+            SELECT p, e, list((s - ((s % n) + n) % n) / n ORDER BY i) AS x FROM (
+              SELECT p, m % 256 AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT p, m, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY ALL)
+            GROUP BY p, e) n USING (p, e))""")
+    steps.pop()
+    return f"""
+        WITH {",".join(steps)},
+        done AS (
+          SELECT vec_id, string_agg(lower(printf('%02x', m % 256)), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+        labels_ AS (SELECT label, sum(error)::BIGINT AS label_error FROM done JOIN v USING (vec_id) GROUP BY label),
+        books AS (SELECT sha256(string_agg(x[i]::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM c{rounds}))
+        SELECT vec_id, code, error, label_error, codebooks_sha256
+        FROM done JOIN v USING (vec_id) JOIN labels_ l ON v.label IS NOT DISTINCT FROM l.label, books"""
+
+
+def _centroids_sql(rounds: int = 3) -> str:
+    """The same rounds as joins and sums."""
+    steps = [
+        """v AS MATERIALIZED (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM v ORDER BY c LIMIT 16)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+          SELECT vec_id, any_value(v.x) AS x, min(list_sum(list_transform(list_zip(v.x, k.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 16 + c) AS m
+          FROM v, c{r} k GROUP BY vec_id)""")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+          SELECT c, coalesce(n.x, k.x) AS x FROM c{r} k LEFT JOIN (
+            SELECT c, list((s - ((s % n) + n) % n) / n ORDER BY i) AS x FROM (
+              SELECT m % 16 AS c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT m, x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY ALL)
+            GROUP BY c) n USING (c))""")
+    steps.pop()
+    return f"""
+        WITH {",".join(steps)}
+        SELECT vec_id, (m % 16)::INTEGER AS cluster, m // 16 AS distance, (sum(m // 16) OVER (PARTITION BY m % 16))::BIGINT AS cluster_inertia, (sum(m // 16) OVER ())::BIGINT AS inertia,
+               (SELECT sha256(array_to_string(list_transform(x, lambda y: y::BIGINT), ',')) FROM c{rounds} k WHERE k.c = m % 16) AS centroid_sha256
+        FROM a{rounds}"""
+
 
 #: DuckDB over the same tables, where SQL can say it in reasonable time.
 ORACLES = {
@@ -128,4 +195,6 @@ ORACLES = {
         reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
         SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
         FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "op12_codes": _codes_sql(),
+    "op13_centroids": _centroids_sql(),
 }
