@@ -9,7 +9,7 @@ the shared folder, so each round is one pass over them without a shuffle of rows
 Defined results: vectors that are null, of another length, or hold null or
 non-finite components are left out; rows without a vec_id are clustered but start
 no centroid; repeated rows count as often as they stand (of starts with one id the
-one with the lesser vector comes first); with fewer than ``k`` kept vectors there
+lesser stored bytes come first); with fewer than ``k`` kept vectors there
 are as many centroids; an empty table gives an empty one; further columns are
 ignored; a squared distance or a sum beyond a long is null.
 """

@@ -14,7 +14,7 @@ Defined results: rows whose vector is null or holds null or non-finite component
 are left out.  The width is that of the vector with the smallest id; a vector of
 another width, or all if that is no multiple of the parts, gets a null code and
 error.  Rows without a vec_id are coded but start no entry; repeated rows count as
-often as they stand, of starts with one id the lesser vector comes first; with
+often as they stand, of starts with one id the lesser stored bytes come first; with
 fewer than 256 kept vectors there are as many entries; an empty table gives an
 empty one; further columns are ignored; an error beyond a long is null and adds
 nothing to its label's, and a label's sum beyond one is null.
@@ -208,7 +208,7 @@ def _with_label_sums(coded: DataFrame, salts: int = 64) -> DataFrame:
     if sums.count() <= LABELS:
         return coded.join(F.broadcast(sums), F.col("label").eqNullSafe(F.col("own")), "left").drop("own")
     salted = coded.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
-    spread = sums.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    spread = sums.withColumn("salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(spread, F.col("label").eqNullSafe(F.col("own")) & (F.col("salt") == F.col("salt2")), "left").drop("own", "salt", "salt2")
 
 
