@@ -39,15 +39,25 @@ def normalise(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def phrase_starts(text: Column, phrase: Column) -> Column:
-    """Code-point starts of the non-overlapping places of a phrase, exact case.
+def fold(text: Column) -> Column:
+    """Letters that regex engines take for equal whatever their case become equal."""
+    return F.lower(F.upper(F.translate(text, "\u0130\u0131", "ii")))
 
-    The gaps between places give the starts by a running sum.
-    """
-    gaps = F.split(text, F.concat(F.lit(r"\Q"), phrase, F.lit(r"\E")), -1)
-    step = F.char_length(phrase)
-    lengths = F.transform(F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda g: F.char_length(g))
-    return F.transform(lengths, lambda g, i: (F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + i * step).cast("long"))
+
+def phrase_words(phrase: Column) -> Column:
+    return F.filter(F.split(phrase, f"{SPACE}+"), lambda w: w != "")
+
+
+def phrase_pattern(phrase: Column) -> Column:
+    """The words of a phrase in any case with any run of white space between them; null without words."""
+    words = F.transform(phrase_words(phrase), lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.when(F.size(words) > 0, F.concat(F.lit("(?iu)"), F.array_join(words, f"{SPACE}+")))
+
+
+def phrase_steps(text: Column, pattern: Column) -> Column:
+    """(gap, own) of every non-overlapping match in order: code points before it since the last one, and its own."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).cast("long").alias("gap"), F.char_length(m).cast("long").alias("own")))
 
 
 def keyword_in_context(text: Column, start: Column, length: Column, around: int = 60) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docforge.functions.text import phrase_starts
+from docforge.functions.text import SPACE, fold, phrase_pattern, phrase_steps, phrase_words
 from docforge.operators.retrieve import hint
 
 
@@ -14,37 +14,35 @@ def covers(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Co
     return (a_start < b_end) & (b_start < a_end)
 
 
-#: What parts the words of phrases and texts here; only equality of both sides matters.
-_GAP = r"\s+"
-
-
-def places(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, doc_id, text, start, end) of every verbatim place of an item, a document a row.
-
-    A phrase's inner words, between two gaps, are whole words of every text that
-    holds it.  The longest of them is the key on which phrases meet the distinct
-    words of texts; a substring search then decides.  A phrase without inner words
-    has no such key: such phrases are tested against each text.
+def gold_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, start, end) of every place of an item's words in their order, in any case and with any white space between them; a document a row.
+
+    The inner words of a phrase are whole words of every text that holds it.  The
+    longest of them, folded, is the key on which phrases meet the distinct folded
+    words of texts; the phrase's pattern then decides.  A phrase without inner
+    words has no such key: such phrases are tested against each text.  A match may
+    be longer or shorter than its phrase, so its offsets in the text as it stands
+    are running sums of the lengths of gaps and matches, over rows without texts.
     """
-    inner = F.expr(r"filter(slice(words, 2, greatest(size(words) - 2, 0)), w -> w <> '')")
-    it = items.select("item_id", F.col("text").alias("phrase"), F.split("text", _GAP).alias("words")).where("phrase <> ''")
-    it = it.select("item_id", "phrase", F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    word = F.array_max(F.transform(F.expr("slice(words, 2, greatest(size(words) - 2, 0))"), lambda w: F.struct(F.char_length(w).alias("n"), fold(w).alias("w"))))["w"]
+    it = items.select("item_id", phrase_pattern(F.col("text")).alias("pattern"), phrase_words(F.col("text")).alias("words")).where("pattern IS NOT NULL").select("item_id", "pattern", word.alias("word"))
     small = hint(items, F.octet_length("text"))
     keyed, short = it.where("word IS NOT NULL"), it.where("word IS NULL").drop("word")
-    words = docs.select("doc_id", "text", F.explode_outer(F.array_distinct(F.split("text", _GAP))).alias("word")).where("word IS NOT NULL")
+    words = docs.select("doc_id", "text", F.explode_outer(F.array_distinct(F.split(fold(F.col("text")), f"{SPACE}+"))).alias("word")).where("word IS NOT NULL")
     if small is F.broadcast:
         near = words.join(small(keyed), "word")
     else:  # words without their texts move; texts join the pairs that are left
         near = words.drop("text").join(keyed, "word").join(docs.select("doc_id", "text"), "doc_id")
-    columns = ["item_id", "doc_id", "text", "phrase"]
-    hit = near.where("contains(text, phrase)").select(columns).unionByName(docs.select("doc_id", "text").join(small(short), F.expr("contains(text, phrase)")).select(columns))
-    at = hit.select("item_id", "doc_id", "text", F.char_length("phrase").cast("long").alias("n"), F.explode(phrase_starts(F.col("text"), F.col("phrase"))).alias("start"))
-    return at.select("item_id", "doc_id", "text", "start", (F.col("start") + F.col("n")).alias("end"))
+    columns = ["item_id", "doc_id", "text", "pattern"]
+    hit = near.select(columns).unionByName(docs.select("doc_id", "text").join(small(short), F.expr("regexp_like(text, pattern)")).select(columns))
+    steps = hit.select("item_id", "doc_id", F.posexplode(phrase_steps(F.col("text"), F.col("pattern"))).alias("at", "step")).select("item_id", "doc_id", "at", "step.*")
+    end = F.sum(F.col("gap") + F.col("own")).over(Window.partitionBy("item_id", "doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return steps.select("item_id", "doc_id", (end - F.col("own")).alias("start"), end.alias("end"))
 
 
-def gold_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The places of items without the texts."""
-    return places(docs, items).drop("text")
+def places(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same places with the texts."""
+    return gold_spans(docs, items).join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", "text", "start", "end")
 
 
 def score(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:

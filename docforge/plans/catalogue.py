@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from docforge.functions import extract, filters
 from docforge.functions import text as T
 from docforge.functions.names import ENDINGS, compact_key
-from docforge.operators import chunking, evaluate, filings, relate, resolve, retrieve
+from docforge.operators import blockmax, chunking, evaluate, filings, ivf, relate, resolve, retrieve
 from docforge.operators.aggregate import aggregate
 from docforge.operators.store import content_hash
 from docforge.plans import answer, phrases, resolver
-from docforge.session import ship
+from docforge.session import forget, shared_dir, ship
 from docforge.sources.html import html_to_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,19 @@ def _bm25_top(k: int, where: str = "true", name: str = "top") -> str:
   SELECT item_id, doc_id, coalesce(score, 0) AS score FROM (SELECT item_id FROM benchmark) CROSS JOIN (SELECT doc_id FROM documents WHERE {where}) LEFT JOIN sc USING (item_id, doc_id))) WHERE rank <= {k})"""
 
 
-_GOLD = """hitdocs AS (SELECT item_id, doc_id, string_split(d.text, b.text) AS gaps, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-gold AS (SELECT item_id, doc_id, start, start + n AS "end" FROM (SELECT item_id, doc_id, n, unnest(list_transform(range(1, len(gaps)), lambda i: (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + (i - 1) * n)::BIGINT)) AS start FROM hitdocs))"""
+def _gold(items: str = "benchmark") -> str:
+    """Every match of a phrase's words in any case with white space between, by gaps and matches."""
+    return f"""pats AS (SELECT item_id, '(?i)' || array_to_string(list_transform(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '{_WS}+') AS pat,
+  lower(list_reverse(list_sort(list_transform(regexp_split_to_array(text, '{_WS}+'), lambda w: {{'n': length(w), 'w': w}})))[1].w) AS longest FROM {items}),
+low AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+near AS MATERIALIZED (SELECT item_id, pat, doc_id, text FROM pats JOIN low ON contains(low, longest)),
+hitdocs AS MATERIALIZED (SELECT item_id, doc_id, string_split_regex(text, pat) AS gaps, regexp_extract_all(text, pat) AS found FROM near WHERE regexp_matches(text, pat)),
+golds AS (SELECT item_id, doc_id, found, i, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i-1], lambda g: length(g))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM hitdocs)),
+gold AS (SELECT item_id, doc_id, start::BIGINT AS start, (start + length(found[i]))::BIGINT AS "end" FROM golds)"""
+
+
+_GOLD = _gold()
 _HASHED = """words AS (SELECT {key}, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[,:]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS tok FROM {table}),
 cnts AS (SELECT {key}, tok, count(*) AS n FROM words GROUP BY 1, 2),
 codes AS (SELECT tok, list_reduce(list_transform(string_split(tok, ''), lambda c: unicode(c)::BIGINT), lambda a, c: (a * 31 + c) & 4294967295) % 1024 AS bucket FROM (SELECT DISTINCT tok FROM words))"""
@@ -169,6 +180,26 @@ def bm25_topk_filtered(s, d):
     return retrieve.bm25_top_k(_t(s, d, "documents"), _t(s, d, "benchmark"), 10, filters.metadata({"source": "src3"})).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
+def _kept(s, d):
+    """The block index of ``documents``, made once for the query in the shared folder."""
+    path = shared_dir(s)
+    forget(s, path)
+    blockmax.write_blocks(_t(s, d, "documents"), path)
+    return path
+
+
+@query(f"WITH {_BM25}, {_bm25_top(10)} SELECT item_id, doc_id, rank, round(score, 4) AS score FROM top")
+def bm25_topk_kept(s, d):
+    """The ten best by blocks whose bounds reach the tenth score."""
+    return blockmax.kept_top_k(s, _kept(s, d), _t(s, d, "benchmark"), 10).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_BM25}, {_bm25_top(10, chr(34) + 'source' + chr(34) + chr(61) + chr(39) + 'src3' + chr(39))} SELECT item_id, doc_id, rank, round(score, 4) AS score FROM top")
+def bm25_topk_kept_filtered(s, d):
+    hits = blockmax.kept_top_k(s, _kept(s, d), _t(s, d, "benchmark"), 10, filters.metadata({"source": "src3"}))
+    return hits.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
 @query(f"WITH {_HASHED.format(key='doc_id', table='documents')} SELECT doc_id, bucket, sum(n)::BIGINT AS cnt FROM cnts JOIN codes USING (tok) GROUP BY 1, 2")
 def hash_bucket(s, d):
     return retrieve.hash_buckets(_t(s, d, "documents"))
@@ -209,6 +240,30 @@ def dense_topk(s, d):
     return _dense(s, d)
 
 
+def _cells(s, d):
+    path = shared_dir(s)
+    forget(s, path)
+    v = _t(s, d, "embeddings")
+    ivf.write_cells(v, path)
+    return path, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qvec"))
+
+
+@query(_DENSE.format(where="true"))
+def ivf_topk(s, d):
+    """The ten nearest by cells: the nearest probes first, then whichever cell may still hold one."""
+    path, q = _cells(s, d)
+    return ivf.probe_top_k(s, path, q, 10, exact=True).select("item_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query()
+def ivf_recall(s, d):
+    """Share of the ten nearest that 16 and 32 of 64 probed cells find, for each query."""
+    path, q = _cells(s, d)
+    want = retrieve.dense_top_k(_t(s, d, "embeddings"), q, 10)
+    few, more = (ivf.recall(ivf.probe_top_k(s, path, q, 10, probes=n), want).withColumnRenamed("recall", f"recall_{n}") for n in (16, 32))
+    return few.join(more, "item_id")
+
+
 @query(_DENSE.format(where="v.label IN (1, 3)"))
 def dense_topk_filtered(s, d):
     return _dense(s, d, filters.metadata({"label": [1, 3]}))
@@ -247,6 +302,17 @@ def phrase_find(s, d):
     return evaluate.gold_spans(_t(s, d, "documents"), _t(s, d, "benchmark"))
 
 
+_SMALL, _CAPITAL = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SHOUTED = f"(SELECT item_id, translate(replace(text, ' ', ' ' || chr(10) || chr(9)), '{_SMALL}', '{_CAPITAL}') AS text FROM benchmark)"
+
+
+@query(f"WITH {_gold(_SHOUTED)} SELECT * FROM gold")
+def phrase_aligned(s, d):
+    """Items in capitals, their words on lines of their own, found where texts write them otherwise."""
+    items = _t(s, d, "benchmark").select("item_id", F.translate(F.replace("text", F.lit(" "), F.lit(" \n\t")), _SMALL, _CAPITAL).alias("text"))
+    return evaluate.gold_spans(_t(s, d, "documents"), items)
+
+
 @query(f"WITH {_GOLD} SELECT item_id, g.doc_id, start, substring(text, greatest(start - 60, 0) + 1, start - greatest(start - 60, 0) + (\"end\" - start) + 60) AS context FROM gold g JOIN documents USING (doc_id)")
 def kwic(s, d):
     g = evaluate.places(_t(s, d, "documents"), _t(s, d, "benchmark"))
@@ -520,6 +586,20 @@ def extraction(s, d):
     return rows.select("id", F.array_join(extract.dates_in(F.col("text")), ",").alias("dates"), F.array_join(extract.durations_in(F.col("text")), ",").alias("durations"), extract.jurisdiction_in(F.col("text")).alias("place"))
 
 
+#: How a term may be written: number, unit and what stands between, with the number that counts.
+_TERMS = ("{n} days", "{n}days", "{n} - day", "ninety({n}) days", "thirty ( {n} ) days", "{n} (x) days", "Forty\n\tweeks", "{n} consecutive  month", "twenty-one years", "x{n} days")
+_TERM_SQL = "CASE l_orderkey % 10 WHEN 3 THEN '90 days' WHEN 4 THEN '30 days' WHEN 5 THEN '' WHEN 6 THEN '40 weeks' WHEN 7 THEN n || ' month' || s WHEN 8 THEN '21 years' WHEN 9 THEN '' ELSE n || ' day' || s END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, ltrim({_TERM_SQL} || ',1 year', ',') AS durations FROM (SELECT l_orderkey, l_linenumber, l_quantity::INT AS n, CASE WHEN l_quantity = 1 THEN '' ELSE 's' END AS s FROM lineitem)")
+def durations_written(s, d):
+    """Terms of every line, in ten spellings, each followed by a year."""
+    n = F.col("l_quantity").cast("int").cast("string")
+    term = F.element_at(F.array(*map(F.lit, _TERMS)), (F.col("l_orderkey") % 10 + 1).cast("int"))
+    text = F.concat(F.replace(term, F.lit("{n}"), n), F.lit(" or a term of one year"))
+    return _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.array_append(F.filter(extract.durations_in(text), lambda x: x != "1 year"), F.lit("1 year")), ",").alias("durations"))
+
+
 @query()
 def extraction_documents(s, d):
     """Dates, durations and place of every whole text."""
