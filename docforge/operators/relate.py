@@ -5,9 +5,9 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def unique_keys(names: DataFrame) -> DataFrame:
@@ -26,19 +26,48 @@ def ambiguous_match(left: DataFrame, names: DataFrame) -> DataFrame:
     return left.join(names.join(many, "key", "left_semi").select("key", "cik").distinct(), "key")
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+@F.pandas_udf(StructType([StructField("close", DoubleType()), StructField("score", DoubleType())]))
+def _ratios(key: pd.Series, other: pd.Series) -> pd.DataFrame:
+    """Likeness with the key second, which decides and ranks, and with it first, which is reported."""
+    pairs = [(difflib.SequenceMatcher(None, b, a).ratio(), difflib.SequenceMatcher(None, a, b).ratio()) for a, b in zip(key, other, strict=True)]
+    return pd.DataFrame(pairs, columns=["close", "score"], dtype=float)
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letter_counts(key: Column) -> Column:
+    """How often each letter and digit stands in a key, and all else together."""
+    own = [F.char_length(key) - F.char_length(F.replace(key, F.lit(c), F.lit(""))) for c in _LETTERS]
+    rest = F.char_length(F.regexp_replace(key, "[a-z0-9]", ""))
+    return F.array(*own, rest)
+
+
+def fuzzy_pairs(left: DataFrame, keys: DataFrame, least: float, prefix: int = 3) -> DataFrame:
+    """(key, other, ...) that may be as alike as ``least``: one prefix, fitting lengths, and enough letters in common.
+
+    Likeness is at most 2 x (letters in common) / (sum of lengths), and letters in
+    common are no more than the shorter length.  A key is put once at every length
+    that the second bound lets through, so the join's key is prefix and length: a
+    frequent prefix is split by length and no pair of unfit lengths is made.  The
+    first bound is then taken from letter counts, without a Python worker.
+    """
+    n = F.char_length("key")
+    low, high = F.ceil(n * least / (2 - least) - 1e-9).cast("int"), F.floor(n * (2 - least) / least + 1e-9).cast("int")
+    asked = left.where(n >= 5).select("*", F.substring("key", 1, prefix).alias("pre"), letter_counts(F.col("key")).alias("letters"), F.explode(F.sequence(low, high)).alias("size"))
+    listed = keys.select("*", F.substring("other", 1, prefix).alias("pre"), letter_counts(F.col("other")).alias("others"), F.char_length("other").alias("size"))
+    pairs = asked.join(listed, ["pre", "size"])
+    common = F.aggregate(F.zip_with("letters", "others", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+    return pairs.withColumn("bound", 2 * common / (n + F.col("size"))).where(F.col("bound") >= least - 1e-9).drop("letters", "others", "pre", "size")
 
 
 def fuzzy_match(left: DataFrame, names: DataFrame, least: float = 0.85, prefix: int = 3, top: int = 3) -> DataFrame:
-    """Similar keys that share a prefix, the best ``top`` of each; blocks are joined, not crossed."""
-    keys = names.groupBy("key").agg(F.min("cik").alias("cik"), F.count_distinct("cik").alias("n")).withColumnRenamed("key", "other")
-    pairs = left.where(F.length("key") >= 5).withColumn("pre", F.substring("key", 1, prefix)).join(keys.withColumn("pre", F.substring("other", 1, prefix)), "pre")
-    near = pairs.where(F.abs(F.length("key") - F.length("other")) <= F.greatest(F.length("key"), F.length("other")) * (1 - least) * 2)
-    best = near.withColumn("score", F.round(_ratio("key", "other"), 4)).where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "other"))
-    return best.withColumn("r", rank).where((F.col("r") <= top) & (F.col("n") == 1)).drop("r", "n", "pre")
+    """Similar keys that share a prefix: the best ``top`` of each, and of those the ones with one id; ties go to the later key."""
+    keys = names.groupBy(F.col("key").alias("other")).agg(F.min("cik").alias("cik"), F.count_distinct("cik").alias("n"))
+    judged = fuzzy_pairs(left, keys, least, prefix).withColumn("r", _ratios("key", "other")).where(F.col("r.close") >= least)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("r.close"), F.desc("other")))
+    best = judged.withColumn("at", rank).where((F.col("at") <= top) & (F.col("n") == 1))
+    return best.withColumn("score", F.round("r.score", 4)).drop("at", "n", "r", "bound")
 
 
 def nearest(left: DataFrame, right: DataFrame, by: str, at: str, other_at: str, keep: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from docforge.functions import text as T
 from docforge.functions.names import ENDINGS, compact_key
 from docforge.operators import blockmax, chunking, evaluate, filings, ivf, relate, resolve, retrieve
 from docforge.operators.aggregate import aggregate
+from docforge.operators.bucketed import BucketStore
 from docforge.operators.store import content_hash
 from docforge.plans import answer, phrases, resolver
 from docforge.session import forget, shared_dir, ship
@@ -156,6 +157,37 @@ def index_status(s, d):
     return _mutated(s, d).groupBy("change").agg(F.count("*").alias("n"))
 
 
+def _two_states(s, d):
+    """A store that has met documents as they were and as they are; its chunk files then and now."""
+    path = shared_dir(s)
+    forget(s, path)
+    docs, store = _t(s, d, "documents").select("doc_id", "text"), BucketStore(s, path)
+    store.ingest(docs.where("doc_id % 97 <> 5"), {"version": 1})
+    was = store.files()
+    store.ingest(docs.where("doc_id % 89 <> 7").withColumn("text", F.when(F.col("doc_id") % 50 == 3, F.concat(F.lit("Amended. "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))), {"version": 1}, prune=True)
+    return store, was, store.files()
+
+
+@query(
+    """WITH n AS (SELECT substring(md5(doc_id::VARCHAR), 1, 2) AS bucket, doc_id % 89 <> 7 AS here, (doc_id % 97 = 5 AND doc_id % 89 <> 7) OR (doc_id % 97 <> 5 AND doc_id % 89 = 7) OR (doc_id % 97 <> 5 AND doc_id % 50 = 3) AS moved FROM documents)
+SELECT bucket, count(*) FILTER (WHERE here) AS docs, bool_or(moved) AS rewritten FROM n GROUP BY 1 HAVING docs > 0"""
+)
+def store_two_states(s, d):
+    """Documents of each bucket, and whether its files are others after the second ingest."""
+    store, was, now = _two_states(s, d)
+    files = s.createDataFrame([(b, was.get(b) != now.get(b)) for b in sorted({*was, *now})], "bucket string, rewritten boolean")
+    return store.docs().groupBy("bucket").agg(F.count("*").alias("docs")).join(files, "bucket", "left").select("bucket", "docs", F.coalesce("rewritten", F.lit(False)).alias("rewritten"))
+
+
+@query(
+    f"""WITH {_WINS.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 3 THEN 'Amended. ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 89 <> 7)")}
+SELECT doc_id, 'fixed' AS chunker, count(*) AS chunks, sum(tokens)::BIGINT AS tokens FROM fw GROUP BY 1"""
+)
+def store_chunks(s, d):
+    """What the store holds after both ingests: chunks and tokens of each document."""
+    return _two_states(s, d)[0].chunks().groupBy("doc_id", F.lit("fixed").alias("chunker")).agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
+
+
 # --- retrieval and evaluation
 
 
@@ -496,6 +528,22 @@ def name_ambiguous(s, d):
     return relate.ambiguous_match(names.select("key").distinct(), names).select("key", "cik")
 
 
+_LETTER = "+".join(f"least(length(a.key) - length(replace(a.key, '{c}', '')), length(b.key) - length(replace(b.key, '{c}', '')))" for c in "abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+@query(
+    f"""WITH b AS (SELECT DISTINCT lower(p_name) AS key FROM part), a AS (SELECT key || 's' AS key FROM b),
+p AS (SELECT a.key, b.key AS other, (2.0 * ({_LETTER} + least(length(regexp_replace(a.key, '[a-z0-9]', '', 'g')), length(regexp_replace(b.key, '[a-z0-9]', '', 'g')))) / (length(a.key) + length(b.key)))::DOUBLE AS bound
+  FROM a JOIN b ON substring(a.key, 1, 3) = substring(b.key, 1, 3) WHERE length(a.key) >= 5)
+SELECT key, other, round(bound, 6) AS bound FROM p WHERE bound >= 0.85 - 1e-9"""
+)
+def name_fuzzy_pairs(s, d):
+    """Pairs that are left to compare letter by letter."""
+    names = _names(s, d).select("key").distinct()
+    pairs = relate.fuzzy_pairs(names.select(F.concat("key", F.lit("s")).alias("key")), names.select(F.col("key").alias("other")), 0.85)
+    return pairs.select("key", "other", F.round("bound", 6).alias("bound"))
+
+
 @query()
 def name_fuzzy_block(s, d):
     names = _names(s, d).groupBy("key").agg(F.min("cik").alias("cik"), F.min("name").alias("name"))

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docforge.operators.store import ingest
-from docforge.sources.files import VersionedTable
+from docforge.operators.bucketed import BucketStore
 
 
-def ingest_stream(docs: DataFrame, table: VersionedTable, stamp: dict, checkpoint: str, chunker: str = "fixed") -> StreamingQuery:
-    """Each micro-batch of documents goes through the incremental index."""
+def ingest_stream(docs: DataFrame, store: BucketStore, stamp: dict, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch of documents goes through the incremental index; of an id that comes twice in one batch, the greater text counts.
+
+    A batch that is run again finds its documents unchanged and writes nothing.
+    """
 
     def one(batch: DataFrame, _: int) -> None:
-        ingest(table, batch, stamp, chunker)
+        rest = [c for c in batch.columns if c != "doc_id"]
+        last = batch.groupBy("doc_id").agg(F.max(F.struct("text", *(c for c in rest if c != "text"))).alias("r"))
+        store.ingest(last.select("doc_id", "r.*").select(batch.columns), stamp)
 
     return docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,6 +1,7 @@
 """What holds at size: the paths beyond a broadcast, medians by ranks, phrases by key."""
 
 import random
+import re
 import statistics
 
 import pytest
@@ -39,11 +40,9 @@ def test_phrases_by_key_are_all_places(corpus):
     docs, items, texts, phrases = corpus
     want = []
     for item, phrase in phrases:
-        for doc, text in texts:
-            at = (text or "").find(phrase) if phrase else -1
-            while at >= 0:
-                want.append((item, doc, at, at + len(phrase)))
-                at = text.find(phrase, at + len(phrase))
+        if phrase:
+            pattern = re.compile(r"\s+".join(phrase.split()), re.I)
+            want += [(item, doc, *m.span()) for doc, text in texts for m in pattern.finditer(text or "")]
     assert rows(evaluate.gold_spans(docs, items)) == sorted(want)
 
 
