@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docforge.functions.text import numbers_in
+from docforge.operators.reports import first_of_each
 from docforge.operators.retrieve import search
 from docforge.plans import resolver
 
@@ -47,12 +48,17 @@ def violations(answer: Column, cited: Column, claims: Column, retrieved: Column,
 
 
 def evidence(rows: DataFrame, by: str, key: Column, text: Column, order: Column) -> DataFrame:
-    """(by, evidence, n): the first texts of each group, and how many more there are."""
-    one = F.concat(F.lit("["), key.cast("string"), F.lit("]\n"), text)
-    got = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), one.alias("t")))).alias("a"))
+    """(by, evidence, n): the first texts of each group, and how many more there are; equal orders go by the text.
+
+    Only the texts that are shown are gathered; the others are counted.
+    """
+    one = F.concat(F.lit("["), key.cast("string"), F.lit("]\n"), F.coalesce(text, F.lit("")))
+    each = rows.select(by, F.struct(order.alias("o"), one.alias("t")).alias("e"))
+    few = first_of_each(each, by, F.col("e"), SHOWN).groupBy(by).agg(F.array_sort(F.collect_list("e")).alias("a"))
     rule = "\n\n---\n\n"
-    more = F.when(F.size("a") > SHOWN, F.concat(F.lit(f"{rule}("), (F.size("a") - SHOWN).cast("string"), F.lit(" more matching days not shown)"))).otherwise("")
-    return got.select(by, F.concat(F.array_join(F.slice("a", 1, SHOWN)["t"], rule), more).alias("evidence"), F.size("a").cast("long").alias("n"))
+    more = F.when(F.col("n") > SHOWN, F.concat(F.lit(f"{rule}("), (F.col("n") - SHOWN).cast("string"), F.lit(" more matching days not shown)"))).otherwise("")
+    total = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("n"))
+    return few.join(total, F.col(by).eqNullSafe(F.col("_by"))).select(by, F.concat(F.array_join(F.col("a")["t"], rule), more).alias("evidence"), "n")
 
 
 def shown(v: float | int | str | None) -> str:
@@ -87,7 +93,10 @@ def ask(question: str, decision: dict, days: DataFrame, fields: dict[str, str],
         table = render_table(resolver.gather(plan, days, fields, date), a["stat"], a["metric"])
         found = [(r[0], table) for r in days.where(resolver.predicate(plan, fields, date)).select(date).orderBy(date).collect()]
     elif plan.kind == "filter":
-        found = [(r[0], r[1]) for r in resolver.gather(plan, days, fields, date).select(date, text).collect()]
+        got = resolver.gather(plan, days, fields, date).select(date, text)
+        # all days may be cited, the texts of the first alone are shown
+        shown_texts = [(r[0], r[1]) for r in got.orderBy(date).limit(SHOWN).collect()]
+        found = shown_texts + [(r[0], None) for r in got.select(date).orderBy(date).collect()[len(shown_texts) :]]
     elif plan.kind == "semantic":
         own = days.where(resolver.predicate(plan, fields, date)).select(F.col(date).alias("doc_id"), F.col(text).alias("text"))
         asked = days.sparkSession.createDataFrame([(0, plan.query or question)], "item_id int, text string")

@@ -389,12 +389,6 @@ def filter_in(s, d):
     return _t(s, d, "orders").where(filters.metadata({"o_orderstatus": ["F", "P"], "o_orderpriority": "1-URGENT"})).select("o_orderkey")
 
 
-@query("SELECT i AS id FROM (VALUES (1, NULL, NULL, NULL), (2, 5.0, 'Abc', true), (3, 7.0, '', false)) t(i, num, txt, flag) WHERE NOT coalesce(num <> 5, false) AND flag IS DISTINCT FROM false")
-def filter_null_semantics(s, d):
-    rows = s.createDataFrame([(1, None, None, None), (2, 5.0, "Abc", True), (3, 7.0, "", False)], "id int, num double, txt string, flag boolean")
-    return rows.where(~filters.typed("num", "number", "!=", 5) & filters.typed("flag", "boolean", "!=", "no")).select("id")
-
-
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
 def date_range_filter(s, d):
     return _t(s, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).where(filters.in_range("day", "2024-01-05", "2024-01-09")).select("event_id", "day")
@@ -438,11 +432,6 @@ def topk_per_group(s, d):
     return n.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).where("r <= 2").drop("r")
 
 
-@query("SELECT o_orderstatus AS value, count(*) AS n, min(o_orderkey) AS first_seen FROM orders GROUP BY 1")
-def most_common(s, d):
-    return _t(s, d, "orders").groupBy(F.col("o_orderstatus").alias("value")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_seen"))
-
-
 @query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS value, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN 'parsed' ELSE 'unparsed' END AS status FROM orders GROUP BY 1")
 def distinct_single_value(s, d):
     got = _t(s, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("v"))
@@ -593,12 +582,6 @@ def tiered_capped_selection(s, d):
     return relate.capped_selection(_t(s, d, "customer").select("c_custkey", "c_mktsegment", tier.alias("tier")), "c_custkey", "c_mktsegment", "tier", 15, 60)
 
 
-@query("SELECT c_custkey AS id, coalesce(min(s_suppkey), -1) AS first_supplier FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
-def ordered_first_resolved(s, d):
-    j = _t(s, d, "customer").join(_t(s, d, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"), "left")
-    return j.groupBy(F.col("c_custkey").alias("id")).agg(F.coalesce(F.min("s_suppkey"), F.lit(-1)).alias("first_supplier"))
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def semi_join(s, d):
     return _t(s, d, "orders").join(_t(s, d, "customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
@@ -623,17 +606,6 @@ def exact_set_match(s, d):
 
 # --- extraction
 
-_FIXTURES = ["Dated March 3, 2019 for ninety (90) days under the laws of the State of New York", "the 1s t day of June 2020, 2/30/2021 and 4/5/2021; 2 years", "English law; 2018-11-09 and 2018-11-09; thirty-one calendar days", "Nothing here ____ 20__", "Signed Sept. 9, 2001, one year"]
-
-
-@query(
-    """SELECT * FROM (VALUES (0, '2019-03-03', '90 days', 'New York'), (1, '2020-06-01,2021-04-05', '2 years', NULL), (2, '2018-11-09', '31 days', 'England'), (3, '', '', NULL), (4, '2001-09-09', '1 year', NULL)) t(id, dates, durations, place)"""
-)
-def extraction(s, d):
-    rows = s.createDataFrame(list(enumerate(_FIXTURES)), "id int, text string")
-    return rows.select("id", F.array_join(extract.dates_in(F.col("text")), ",").alias("dates"), F.array_join(extract.durations_in(F.col("text")), ",").alias("durations"), extract.jurisdiction_in(F.col("text")).alias("place"))
-
-
 #: How a term may be written: number, unit and what stands between, with the number that counts.
 _TERMS = ("{n} days", "{n}days", "{n} - day", "ninety({n}) days", "thirty ( {n} ) days", "{n} (x) days", "Forty\n\tweeks", "{n} consecutive  month", "twenty-one years", "x{n} days")
 _TERM_SQL = "CASE l_orderkey % 10 WHEN 3 THEN '90 days' WHEN 4 THEN '30 days' WHEN 5 THEN '' WHEN 6 THEN '40 weeks' WHEN 7 THEN n || ' month' || s WHEN 8 THEN '21 years' WHEN 9 THEN '' ELSE n || ' day' || s END"
@@ -674,23 +646,11 @@ def title_parse(s, d):
     return _t(s, d, "part").select("p_partkey", extract.parse_title(title).alias("p")).select("p_partkey", "p.*")
 
 
-@query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'standard') THEN 1 ELSE 0 END AS std, upper(p_type) AS t FROM part")
-def type_priority(s, d):
-    return _t(s, d, "part").select("p_partkey", F.contains(F.lower("p_type"), F.lit("standard")).cast("int").alias("std"), F.upper("p_type").alias("t"))
-
-
 @query(r"SELECT event_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(props, '[0-9]+'), lambda x: regexp_replace(x, '^0+([0-9])', '\1')))), ',') AS numbers FROM events")
 def numbers_in(s, d):
     return _t(s, d, "events").select("event_id", F.array_join(F.array_sort(T.numbers_in(F.col("props"))), ",").alias("numbers"))
 
 
-@query("SELECT * FROM (VALUES (1, 'native'), (2, 'recovered'), (3, 'recovered'), (4, 'failed: cut off'), (5, 'failed: not JSON')) t(id, path)")
-def json_recover(s, d):
-    raws = [(1, '{"a": 1}', "end"), (2, 'so\n```json\n{"a": 2}\n```', "end"), (3, 'x {"a": 3} y', "end"), (4, '{"a": ', "max_tokens"), (5, "no", "end")]
-    rows = s.createDataFrame(raws, "id int, raw string, stop string")
-    return rows.select("id", T.recover_json(F.col("raw"), F.col("stop"))[1].alias("path"))
-
-
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'cited date d9 was not among the retrieved days' WHEN event_id % 3 = 1 THEN 'claim 1 names no date: ' || chr(39) || 'x' || chr(39) ELSE 'the number ' || (event_id + 1) || ' in the answer does not appear in any cited day' END AS problems FROM events")
 def answer_validate(s, d):
     kind, one = F.col("event_id") % 3, F.array(F.lit("d1"))
