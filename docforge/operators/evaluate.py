@@ -89,6 +89,32 @@ def summarise_scopes(rows: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataF
     return rows.groupBy("scope").agg(F.count("*").alias("n"), *(F.round(F.avg(f"recall_{k}"), 4).alias(f"recall_{k}") for k in ks), F.round(F.avg("mrr"), 4).alias("mrr"), F.sum("wrong").alias("wrong_doc_type_in_top5"))
 
 
+def scope_table(scores: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """(arm, scope, n, recall, mrr, wrong types) of chunks scored once and ranked in every scope.
+
+    ``scores`` (arm, item_id, chunk_id, doc_id, doc_type, start, end, score) come
+    from one first stage an arm; scope ``corpus`` ranks all chunks, ``scoped``
+    those of documents with a place of the query.  ``gold`` (item_id, doc_id,
+    start, end); a place counts as found at the first rank whose chunk overlaps
+    it.  Only the first chunks of each list leave the tasks that hold the scores.
+    """
+    own = gold.select("item_id", "doc_id").distinct().withColumn("own", F.lit(True))
+    both = F.when(F.col("own"), F.array(F.lit("corpus"), F.lit("scoped"))).otherwise(F.array(F.lit("corpus")))
+    marked = scores.join(own, ["item_id", "doc_id"], "left").withColumn("scope", F.explode(both))
+    order = Window.partitionBy("arm", "scope", "item_id").orderBy(F.round("score", 10).desc(), "chunk_id")
+    hits = marked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(ks)).select("arm", "scope", "item_id", "doc_id", "doc_type", "start", "end", "rank")
+    arms = hits.select("arm").distinct().withColumn("scope", F.explode(F.array(F.lit("corpus"), F.lit("scoped"))))
+    # arms and scopes are a handful
+    g = gold.select("item_id", "doc_id", F.col("start").alias("gs"), F.col("end").alias("ge")).distinct().crossJoin(F.broadcast(arms))
+    by = ["arm", "scope", "item_id"]
+    found = F.min(F.when(covers(F.col("start"), F.col("end"), F.col("gs"), F.col("ge")), F.col("rank"))).alias("r")
+    best = g.join(hits, [*by, "doc_id"], "left").groupBy(*by, "doc_id", "gs", "ge").agg(found)
+    rows = best.groupBy(*by).agg(*(F.round(F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)), 4).alias(f"recall_{k}") for k in ks), F.round(F.coalesce(1.0 / F.min("r"), F.lit(0.0)), 4).alias("mrr"))
+    wrong = hits.where("rank <= 5").groupBy(*by).agg(F.count_if(F.col("doc_type") != "contract").alias("w"))
+    means = [F.round(F.avg(f"recall_{k}"), 4).alias(f"recall_{k}") for k in ks]
+    return rows.join(wrong, by, "left").groupBy("arm", "scope").agg(F.count("*").alias("n"), *means, F.round(F.avg("mrr"), 4).alias("mrr"), F.coalesce(F.sum("w"), F.lit(0)).alias("wrong_types"))
+
+
 #: Embedding arms with the model each needs, and ways of retrieval.
 ARMS = {"minilm": ("all-MiniLM-L6-v2", 256), "bge-small": ("BAAI/bge-small-en-v1.5", 512), "e5-small": ("intfloat/e5-small-v2", 512), "hash": ("hash-test", None)}
 MODES = ("dense", "hybrid", "hybrid+cross-encoder")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docforge.functions import extract, filters
 from docforge.functions import text as T
-from docforge.operators import chunking, reports, resolve
+from docforge.operators import chunking, evaluate, reports, resolve, retrieve
 from docforge.plans import answer
-from docforge.plans.catalogue import _TILES, _t, query
+from docforge.plans.catalogue import _BM25, _GOLD, _TILES, _t, query
 from docforge.session import forget, shared_dir
 from docforge.sources.progress import read_progress
 
@@ -41,6 +43,46 @@ def chunk_report(s, d):
     return reports.chunk_report(made[0].unionByName(made[1]).join(own, "doc_id"), limits=(254, 110))
 
 
+def _arm_sql(name: str) -> str:
+    post = _BM25.replace("FROM documents", f"FROM ch_{name}").replace("doc_id", "cid")
+    for t in ("toks", "tot", "post", "raws", "terms", "q", "sc"):
+        post = re.sub(rf"\b{t} AS \(", f"{name}_{t} AS (", post)
+        post = re.sub(rf"(FROM|JOIN|,) {t}\b", rf"\1 {name}_{t}", post)
+    return f"""ch_{name} AS (SELECT doc_id * 100000 + win AS cid, doc_id, w.start, "end", substring(text, start + 1, "end" - start) AS text FROM {name} w JOIN documents USING (doc_id)),
+{post}"""
+
+
+def _wins_end(name: str, size: int, stride: int) -> str:
+    return _wins(name, size, stride).replace("min(start) AS start,", 'min(start) AS start, max("end") AS "end",')
+
+
+_ARMS = """scored AS (SELECT 'fixed' AS arm, item_id, cid, c.doc_id, c.start, c."end", score FROM fixed_sc JOIN ch_fixed c USING (cid) UNION ALL SELECT 'narrow', item_id, cid, c.doc_id, c.start, c."end", score FROM narrow_sc JOIN ch_narrow c USING (cid)),
+own AS (SELECT DISTINCT item_id, doc_id FROM gold),
+marked AS (SELECT s.*, 'corpus' AS scope FROM scored s UNION ALL SELECT s.*, 'scoped' FROM scored s JOIN own USING (item_id, doc_id)),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arm, scope, item_id ORDER BY round(score, 10) DESC, cid) AS rank FROM marked) WHERE rank <= 10),
+g AS (SELECT DISTINCT arm, scope, item_id, doc_id, start AS gs, "end" AS ge FROM gold, (SELECT unnest(['fixed', 'narrow']) AS arm), (SELECT unnest(['corpus', 'scoped']) AS scope)),
+best AS (SELECT g.arm, g.scope, g.item_id, g.doc_id, gs, ge, min(CASE WHEN start < ge AND gs < "end" THEN rank END) AS r
+  FROM g LEFT JOIN hits h ON h.arm = g.arm AND h.scope = g.scope AND h.item_id = g.item_id AND h.doc_id = g.doc_id GROUP BY ALL),
+per AS (SELECT arm, scope, item_id, round(avg(CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_3, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_5,
+  round(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_10, round(coalesce(1.0::DOUBLE / min(r), 0), 4) AS mrr FROM best GROUP BY 1, 2, 3),
+wr AS (SELECT arm, scope, item_id, count(*) FILTER (WHERE KIND <> 'contract') AS w FROM hits JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1, 2, 3)
+SELECT arm, scope, count(*) AS n, round(avg(recall_3), 4) AS recall_3, round(avg(recall_5), 4) AS recall_5, round(avg(recall_10), 4) AS recall_10, round(avg(mrr), 4) AS mrr, coalesce(sum(w), 0)::BIGINT AS wrong_types
+FROM per LEFT JOIN wr USING (arm, scope, item_id) GROUP BY 1, 2""".replace("KIND", _KIND)
+
+
+@query(f"WITH {_TILES}, cnt AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), {_wins_end('fixed', 400, 320)}, {_wins_end('narrow', 120, 100)}, {_arm_sql('fixed')}, {_arm_sql('narrow')}, {_GOLD}, {_ARMS}")
+def scoped_arms(s, d):
+    """Two chunkers by two scopes: each chunker's chunks are scored once."""
+    docs, items = _t(s, d, "documents"), _t(s, d, "benchmark")
+    kinds = docs.select("doc_id", "text", F.expr(_KIND).alias("doc_type"))
+    scored = []
+    for name, size, over in (("fixed", 400, 80), ("narrow", 120, 20)):
+        wins = chunking.fixed_windows(docs, size, over).join(kinds, "doc_id")
+        chunks = wins.select((F.col("doc_id") * 100000 + F.col("win")).alias("chunk_id"), "doc_id", "doc_type", "start", "end", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("text"))
+        scored.append(retrieve.bm25_scores(chunks, items, key="chunk_id").join(chunks.drop("text"), "chunk_id").select(F.lit(name).alias("arm"), "item_id", "chunk_id", "doc_id", "doc_type", "start", "end", "score"))
+    return evaluate.scope_table(scored[0].unionByName(scored[1]), evaluate.gold_spans(docs, items))
+
+
 _DAY_SQL = "SELECT ts::DATE AS date, strftime(ts::DATE, '%Y-%m-%d') || ': ' || count(*) || ' events, ' || count(*) FILTER (WHERE event_type = 'purchase') || ' purchases' AS text FROM events GROUP BY ts::DATE"
 
 
