@@ -13,6 +13,7 @@ from docforge.operators import chunking, evaluate, reports, resolve, retrieve
 from docforge.plans import answer
 from docforge.plans.catalogue import _BM25, _GOLD, _TILES, _t, query
 from docforge.session import forget, shared_dir
+from docforge.sources import columns
 from docforge.sources.progress import read_progress
 
 _KIND = "CASE lang WHEN 'en' THEN 'contract' WHEN 'de' THEN 'risk_factors' ELSE 'playbook' END"
@@ -230,3 +231,23 @@ def most_common(s, d):
     """Values by how often they stand, of equal counts the one seen first; a row a value, so few are ordered."""
     n = _t(s, d, "orders").groupBy(F.col("o_orderpriority").alias("value")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_seen"))
     return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first_seen")).cast("long"))
+
+
+@query(
+    """SELECT o_custkey AS cik, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate::DATE, '%Y-%m-%d'), 'a' || o_orderkey) - 1 AS at, 'a' || o_orderkey AS accession,
+  strftime(o_orderdate::DATE, '%Y-%m-%d') AS filing_date, CASE WHEN o_orderkey % 3 <> 0 OR o_custkey % 2 = 0 THEN o_orderstatus END AS form FROM orders WHERE o_orderkey % 3 <> 0 OR o_custkey % 5 <> 0"""
+)
+def filings_by_column(s, d):
+    """Each customer's orders as a submission by column with an older page; odd customers' pages lack a column, every fifth's page is missing."""
+    o = _t(s, d, "orders").withColumn("page", F.expr("CAST(o_orderkey % 3 = 0 AS INT)"))
+    row = F.struct(F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("a"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.col("o_orderstatus").alias("f"))
+    blocks = o.groupBy("o_custkey", "page").agg(F.collect_list(row).alias("r"))
+    whole = (F.col("page") == 0) | (F.col("o_custkey") % 2 == 0)
+    block = F.struct(F.col("r.a").alias("accessionNumber"), F.col("r.d").alias("filingDate"), F.when(whole, F.col("r.f")).alias("form"))
+    name = F.concat(F.lit("older-"), F.col("o_custkey").cast("string"))
+    recent = blocks.where("page = 0").select("o_custkey", block.alias("recent"))
+    pages = blocks.where("page = 1 AND o_custkey % 5 <> 0").select(name.alias("name"), F.to_json(block).alias("json"))
+    every = o.select("o_custkey").distinct().join(recent, "o_custkey", "left")
+    body = F.to_json(F.struct(F.struct(F.col("recent"), F.array(F.struct(name.alias("name"))).alias("files")).alias("filings")))
+    got = columns.filings_of(every.select(F.col("o_custkey").alias("cik"), body.alias("json")), pages)
+    return got.select("cik", F.col("at").cast("long").alias("at"), "accession", "filing_date", "form")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from docforge.plans import catalogue
+from docforge.plans import catalogue, reports  # noqa: F401  the second registers its queries
 
 DIR = "/root/testdata/sf0.001"
 
