@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docforge.functions.text import SPACE, fold, phrase_pattern, phrase_steps, phrase_words
 from docforge.operators.retrieve import hint
+from docforge.session import forget, shared_dir
 
 
 def covers(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -103,6 +104,11 @@ def scope_table(scores: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5,
     marked = scores.join(own, ["item_id", "doc_id"], "left").withColumn("scope", F.explode(both))
     order = Window.partitionBy("arm", "scope", "item_id").orderBy(F.round("score", 10).desc(), "chunk_id")
     hits = marked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(ks)).select("arm", "scope", "item_id", "doc_id", "doc_type", "start", "end", "rank")
+    # a few rows a query, read three times below: written once, so chunks are scored once
+    path = shared_dir(scores.sparkSession)
+    forget(scores.sparkSession, path)
+    hits.write.parquet(path)
+    hits = scores.sparkSession.read.parquet(path)
     arms = hits.select("arm").distinct().withColumn("scope", F.explode(F.array(F.lit("corpus"), F.lit("scoped"))))
     # arms and scopes are a handful
     g = gold.select("item_id", "doc_id", F.col("start").alias("gs"), F.col("end").alias("ge")).distinct().crossJoin(F.broadcast(arms))

@@ -80,6 +80,11 @@ def scoped_arms(s, d):
     for name, size, over in (("fixed", 400, 80), ("narrow", 120, 20)):
         wins = chunking.fixed_windows(docs, size, over).join(kinds, "doc_id")
         chunks = wins.select((F.col("doc_id") * 100000 + F.col("win")).alias("chunk_id"), "doc_id", "doc_type", "start", "end", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("text"))
+        # written once: corpus counts, postings and ranges all read them
+        path = shared_dir(s)
+        forget(s, path)
+        chunks.write.parquet(path)
+        chunks = s.read.parquet(path)
         scored.append(retrieve.bm25_scores(chunks, items, key="chunk_id").join(chunks.drop("text"), "chunk_id").select(F.lit(name).alias("arm"), "item_id", "chunk_id", "doc_id", "doc_type", "start", "end", "score"))
     return evaluate.scope_table(scored[0].unionByName(scored[1]), evaluate.gold_spans(docs, items))
 
