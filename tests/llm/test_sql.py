@@ -11,7 +11,8 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     got = con.execute(queries.ORACLES[name])
     cols = [c[0] for c in got.description]
     want = sorted(got.fetchall())
