@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docforge.functions import extract, filters
 from docforge.functions import text as T
-from docforge.operators import chunking, evaluate, reports, resolve, retrieve
+from docforge.operators import chunking, evaluate, filings, reports, resolve, retrieve
 from docforge.plans import answer
 from docforge.plans.catalogue import _BM25, _GOLD, _TILES, _t, query
 from docforge.session import forget, shared_dir
@@ -256,3 +256,48 @@ def filings_by_column(s, d):
     body = F.to_json(F.struct(F.struct(F.col("recent"), F.array(F.struct(name.alias("name"))).alias("files")).alias("filings")))
     got = columns.filings_of(every.select(F.col("o_custkey").alias("cik"), body.alias("json")), pages)
     return got.select("cik", F.col("at").cast("long").alias("at"), "accession", "filing_date", "form")
+
+
+_FORM = "CASE event_type WHEN 'click' THEN '10-K' WHEN 'view' THEN 'S-1/A' WHEN 'purchase' THEN '8-K' ELSE event_type END"
+_WANT = "CASE o_orderkey % 3 WHEN 0 THEN 'S-1A' WHEN 1 THEN '10-k' END"
+
+
+@query(
+    f"""WITH f AS (SELECT user_id AS cik, ts::DATE AS day, {_FORM} AS form, 'e' || event_id AS accession FROM events),
+c AS (SELECT o_orderkey AS contract_id, o_custkey AS cik, CASE WHEN o_orderkey % 9 <> 0 THEN DATE '2024-01-01' + (o_orderkey % 30)::INT END AS day, {_WANT} AS want FROM orders),
+j AS (SELECT contract_id, c.day, accession, form, coalesce(upper(form) = upper(want) OR (want = 'S-1A' AND form = 'S-1/A'), false) AS fits FROM c LEFT JOIN f ON c.cik = f.cik AND c.day = f.day),
+g AS (SELECT contract_id, day, count(accession) AS n, count(*) FILTER (WHERE fits) AS k, min(accession) AS a, min(accession) FILTER (WHERE fits) AS b FROM j GROUP BY 1, 2),
+s AS (SELECT contract_id, CASE WHEN k > 0 THEN k ELSE n END AS candidates, CASE WHEN k > 0 THEN b ELSE a END AS one, day FROM g)
+SELECT contract_id, candidates, CASE WHEN day IS NULL THEN 'no_date' WHEN candidates = 0 THEN 'not_found' WHEN candidates = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
+  CASE WHEN day IS NOT NULL AND candidates = 1 THEN one END AS accession FROM s"""
+)
+def parent_filings(s, d):
+    """The filing of each order's day and form among events, amendments in either spelling."""
+    own = _t(s, d, "events").select(F.col("user_id").alias("cik"), F.date_format("ts", "yyyy-MM-dd").alias("filing_date"), F.expr(_FORM).alias("form"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("accession"))
+    day = F.when(F.col("o_orderkey") % 9 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).cast("string"))
+    contracts = _t(s, d, "orders").select(F.col("o_orderkey").alias("contract_id"), F.col("o_custkey").alias("cik"), day.alias("filing_date"), F.expr(_WANT).alias("form"))
+    return filings.parent_filing(contracts, own).select("contract_id", "candidates", "status", "accession")
+
+
+_ANNUAL = "CASE l_returnflag WHEN 'R' THEN '10-K' WHEN 'A' THEN '10-K405' ELSE '8-K' END"
+
+
+@query(
+    f"""WITH f AS (SELECT l_suppkey AS cik, {_ANNUAL} AS form, (l_shipdate + INTERVAL 10 YEAR)::DATE AS filed, CASE WHEN l_linenumber % 2 = 0 THEN (l_shipdate + INTERVAL 10 YEAR)::DATE - 90 END AS report,
+  'l' || l_orderkey || '-' || l_linenumber AS accession FROM lineitem),
+k AS (SELECT cik, filed, accession, coalesce(report, filed) >= DATE '2005-12-01' AS fits FROM f WHERE form <> '8-K'),
+c AS (SELECT o_orderkey AS contract_id, o_custkey % 1000 AS cik, CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderdate + INTERVAL 10 YEAR)::DATE END AS day FROM orders),
+j AS (SELECT contract_id, day, accession, filed, fits, count(accession) OVER (PARTITION BY contract_id) AS n,
+  row_number() OVER (PARTITION BY contract_id ORDER BY CASE WHEN fits AND day IS NOT NULL THEN 0 ELSE 1 END, abs(date_diff('day', day, filed)), filed DESC, accession) AS r FROM c LEFT JOIN k ON c.cik = k.cik)
+SELECT contract_id, CASE WHEN fits AND day IS NOT NULL THEN accession END AS accession, CASE WHEN fits AND day IS NOT NULL THEN date_diff('day', day, filed) END AS gap_days,
+  CASE WHEN day IS NULL THEN 'no agreement or filing date to match a 10-K to' WHEN n = 0 THEN 'no 10-K on file' WHEN NOT fits THEN 'only 10-Ks for periods before 2005-12-01, which have no Item 1A' END AS reason FROM j WHERE r = 1"""
+)
+def nearest_annual_report(s, d):
+    """The annual report nearest to each order among the lines of a supplier, ten years on."""
+    later = lambda c: F.add_months(F.to_date(c), 120)
+    own = _t(s, d, "lineitem").select(
+        F.col("l_suppkey").alias("cik"), F.expr(_ANNUAL).alias("form"), later("l_shipdate").cast("string").alias("filing_date"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.date_sub(later("l_shipdate"), 90).cast("string")).alias("report_date"), F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("accession"),
+    )
+    contracts = _t(s, d, "orders").select(F.col("o_orderkey").alias("contract_id"), (F.col("o_custkey") % 1000).alias("cik"), F.when(F.col("o_orderkey") % 13 != 0, later("o_orderdate").cast("string")).alias("when"))
+    return filings.nearest_annual(contracts, own).select("contract_id", "accession", F.col("gap_days").cast("long").alias("gap_days"), "reason")
