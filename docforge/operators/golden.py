@@ -32,6 +32,26 @@ def _normal(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
+#: The wording of each problem.
+SAID = {
+    "not_contract": "a clause passage must be in a contract",
+    "no_category": "category is missing",
+    "incomplete": "needs doc_id, start and end",
+    "unknown_doc": " is not a selected contract, an extracted Item 1A, or the playbook",
+    "not_filing": "a filing passage must be in an Item 1A extraction",
+    "empty": "empty question",
+    "clause": "a clause question needs gold passages",
+    "filing": "a filing question needs gold passages",
+    "filter": "a filter question needs expected_contract_ids",
+    "aggregate": "an aggregate question needs expected_facts",
+    "playbook": "a playbook_check needs gold passages (the clause and the playbook position)",
+    "verdict": "only playbook_check questions carry an expected_verdict",
+    "unanswerable": "an unanswerable question has no gold passages, rows or contracts",
+    "fact": "' is not inside any gold passage",
+    "overlap": " overlaps no labelled span of ",
+}
+
+
 def check_lines(questions: DataFrame, docs: DataFrame, spans: DataFrame, revenue: DataFrame) -> DataFrame:
     """(line, id, kind, problems, doc_types) of every question.
 
@@ -47,13 +67,13 @@ def check_lines(questions: DataFrame, docs: DataFrame, spans: DataFrame, revenue
     touched = F.coalesce(F.exists("labels", lambda x: (x["s"] < F.col("end")) & (F.col("start") < x["e"])), F.lit(False))
     where = F.concat(F.lit("gold_passages["), F.col("at").cast("string"), F.lit("]"))
     span = F.concat(F.lit("["), F.col("start").cast("string"), F.lit(", "), F.col("end").cast("string"), F.lit(")"))
-    clause = F.when(F.col("doc_type") != "contract", "a clause passage must be in a contract").when(F.col("category").isNull(), "category is missing").when(~touched, F.concat(span, F.lit(" overlaps no labelled span of "), F.col("category")))
+    clause = F.when(F.col("doc_type") != "contract", SAID["not_contract"]).when(F.col("category").isNull(), SAID["no_category"]).when(~touched, F.concat(span, F.lit(SAID["overlap"]), F.col("category")))
     wrong = (
-        F.when(F.col("doc_id").isNull() | F.col("start").isNull() | F.col("end").isNull(), "needs doc_id, start and end")
-        .when(F.col("doc_type").isNull(), F.concat("doc_id", F.lit(" is not a selected contract, an extracted Item 1A, or the playbook")))
+        F.when(F.col("doc_id").isNull() | F.col("start").isNull() | F.col("end").isNull(), SAID["incomplete"])
+        .when(F.col("doc_type").isNull(), F.concat("doc_id", F.lit(SAID["unknown_doc"])))
         .when(~sound, F.concat(F.lit("offsets "), span, F.lit(" are outside 0.."), n.cast("string"), F.lit(" or empty")))
         .when(F.col("kind") == "clause", clause)
-        .when((F.col("kind") == "filing") & (F.col("doc_type") != "risk_factors"), "a filing passage must be in an Item 1A extraction")
+        .when((F.col("kind") == "filing") & (F.col("doc_type") != "risk_factors"), SAID["not_filing"])
     )
     said = F.when(sound, _normal(F.expr("substring(text, start + 1, end - start)")))
     per = known.withColumn("wrong", wrong).groupBy("line").agg(
@@ -69,17 +89,17 @@ def check_lines(questions: DataFrame, docs: DataFrame, spans: DataFrame, revenue
     missing = F.transform(F.array_except(F.array(*map(F.lit, (*_NEEDED, "expected_verdict"))), F.coalesce("given", none)), lambda f: F.concat(F.lit("missing field "), f))
     typed = F.array(*(_say(F.array_contains("given", c) & F.col(c).isNull(), f"{c} has the wrong type") for c in _NEEDED))
     kind, verdict = F.col("kind"), F.col("expected_verdict")
-    facts = F.transform(F.filter("expected_facts", lambda f: ~F.exists(F.coalesce("said", none), lambda t: F.contains(t, _normal(f)))), lambda f: F.concat(F.lit("expected fact '"), f, F.lit("' is not inside any gold passage")))
+    facts = F.transform(F.filter("expected_facts", lambda f: ~F.exists(F.coalesce("said", none), lambda t: F.contains(t, _normal(f)))), lambda f: F.concat(F.lit("expected fact '"), f, F.lit(SAID["fact"])))
     rules = F.array(
-        _say(F.trim("question") == "", "empty question"),
-        _say((kind == "clause") & (size("gold_passages") == 0), "a clause question needs gold passages"),
-        _say((kind == "filing") & (size("gold_passages") == 0), "a filing question needs gold passages"),
-        _say((kind == "filter") & (size("expected_contract_ids") == 0), "a filter question needs expected_contract_ids"),
-        _say((kind == "aggregate") & (size("expected_facts") == 0), "an aggregate question needs expected_facts"),
+        _say(F.trim("question") == "", SAID["empty"]),
+        _say((kind == "clause") & (size("gold_passages") == 0), SAID["clause"]),
+        _say((kind == "filing") & (size("gold_passages") == 0), SAID["filing"]),
+        _say((kind == "filter") & (size("expected_contract_ids") == 0), SAID["filter"]),
+        _say((kind == "aggregate") & (size("expected_facts") == 0), SAID["aggregate"]),
         _say((kind == "playbook_check") & ~F.coalesce(verdict.isin(*VERDICTS), F.lit(False)), f"expected_verdict must be one of {', '.join(VERDICTS)}"),
-        _say((kind == "playbook_check") & (size("gold_passages") == 0), "a playbook_check needs gold passages (the clause and the playbook position)"),
-        _say((kind != "playbook_check") & verdict.isNotNull(), "only playbook_check questions carry an expected_verdict"),
-        _say((kind == "unanswerable") & (size("gold_passages") + size("gold_rows") + size("expected_contract_ids") > 0), "an unanswerable question has no gold passages, rows or contracts"),
+        _say((kind == "playbook_check") & (size("gold_passages") == 0), SAID["playbook"]),
+        _say((kind != "playbook_check") & verdict.isNotNull(), SAID["verdict"]),
+        _say((kind == "unanswerable") & (size("gold_passages") + size("gold_rows") + size("expected_contract_ids") > 0), SAID["unanswerable"]),
     )
     shape = F.filter(F.concat(missing, typed), lambda x: x.isNotNull())
     content = F.filter(F.concat(F.coalesce("lost", none), F.coalesce("passages", none), rules, F.when(kind == "clause", facts).otherwise(none)), lambda x: x.isNotNull())
