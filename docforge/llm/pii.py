@@ -16,8 +16,10 @@ address's mark, 34 in an account number, 43 in a written number.
 
 Offsets are code points, ends exclusive.  ``split`` gives the gaps between
 matches and ``regexp_extract_all`` the matches, so a running length gives every
-offset in one fold.  Patterns are possessive and start only where a run starts,
-which keeps them linear and the stack flat on texts of any length.
+offset in one fold by blocks.  Patterns are possessive and start only where a run
+starts, which keeps them linear and the stack flat on texts of any length.
+Overlaps are settled within runs of spans that touch one another: work grows with
+a text's length, and with the square of such a run only.
 
 Defined results: a null text is empty; an empty text has no spans; repeated
 rows each get their row; further columns are ignored (kept by ``redact``).
@@ -53,54 +55,72 @@ CANDIDATES = {
     "number": r"(?<![0-9A-Za-z])(?=(\+?[0-9][0-9\x20().-]{5,42}[0-9](?![0-9A-Za-z])))",
 }
 _LONGEST = 43
+_BLOCK = 1024
 FEATURES = ("kind", "digits", "size", "marks", "letters", "upper", "turns", "hex", "luhn", "at", "say_call", "say_card", "say_secret", "say_id", "leading", "cut", "dated")
 _WORDS = {"say_call": "tel|phone|call|mobil|fax", "say_card": "card|carte|tarjeta|karte|visa", "say_secret": "token|secret|key|passw|pwd|api|contrase|passe", "say_id": "ssn|iban|account|passport|konto|cuenta|compte"}
 
 
+def _told(before: str) -> str:
+    """SQL: an int with a bit for each group of words that ``before`` holds."""
+    bits = " + ".join(f"if(b rlike '{v}', {1 << i}, 0)" for i, v in enumerate(_WORDS.values()))
+    return f"element_at(transform(array(lower({before})), b -> {bits}), 1)"
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _scan(items: str, state: dict[str, str], step: dict[str, str], made: str, kind: str, block: int = 256) -> str:
+    """SQL: the array of what a fold over ``items`` makes, one element of type ``kind`` an item.
+
+    ``state`` names the first values, ``step`` the next ones and ``made`` the
+    element, from the state ``a`` before the item ``x``.  An array that grows
+    in a fold is copied at each item, so the fold goes by blocks: a block's own
+    array never holds more than ``block`` elements.
+    """
+    values = lambda of: ", ".join(f"'{k}', {v}" for k, v in of.items())
+    cut = f"element_at(transform(array({items}), p -> transform(sequence(0, (size(p) - 1) div {block}), b -> slice(p, cast(b * {block} + 1 as int), {block}))), 1)"
+    one = f"aggregate(b, named_struct({values({k: f'w.{k}' for k in state})}, 'out', cast(array() as array<{kind}>)), (a, x) -> named_struct({values(step)}, 'out', array_append(a.out, {made})))"
+    held = values({k: f"r.{k}" for k in state})
+    return (
+        f"aggregate({cut}, named_struct({values(state)}, 'out', cast(array() as array<array<{kind}>>)), "
+        f"(w, b) -> element_at(transform(array({one}), r -> named_struct({held}, 'out', array_append(w.out, r.out))), 1), w -> flatten(w.out))"
+    )
+
+
 def _found(text: str, pattern: str) -> str:
     """SQL: array of (s, e, m, before, after) of the matches of ``pattern`` in ``text``."""
     p = _lit(pattern)
-    step = "named_struct('s', a.at + char_length(g), 'e', a.at + char_length(g) + char_length(m), 'm', m, 'before', right(g, 24))"
-    fold = (
-        f"aggregate(zip_with(slice(gaps, 1, size(hits)), hits, (g, m) -> struct(g, m)), "
-        f"named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,m:string,before:string>>)), "
-        f"(a, x) -> named_struct('at', a.at + char_length(x.g) + char_length(x.m), 'out', array_append(a.out, {step.replace('(g', '(x.g').replace('(m', '(x.m').replace(' m,', ' x.m,')})), "
-        f"a -> a.out)"
-    )
-    return fold.replace("gaps", f"split({text}, {p}, -1)").replace("hits", f"regexp_extract_all({text}, {p}, 0)")
+    pairs = f"element_at(transform(array(struct(split({text}, {p}, -1) as gaps, regexp_extract_all({text}, {p}, 0) as hits)), t -> zip_with(slice(t.gaps, 1, size(t.hits)), t.hits, (g, m) -> struct(g, m))), 1)"
+    start = "a.at + char_length(x.g)"
+    made = f"named_struct('s', {start}, 'e', {start} + char_length(x.m), 'm', x.m, 'before', right(x.g, 24))"
+    return _scan(pairs, {"at": "0"}, {"at": f"{start} + char_length(x.m)"}, made, "struct<s:int,e:int,m:string,before:string>")
 
 
 def _proposed(text: str, kind: str) -> str:
-    """SQL: array of (s, e, m, before, cut, g) that the generator of ``kind`` proposes.
+    """SQL: array of (s, e, m, told, cut, g) that the generator of ``kind`` proposes.
 
     A number is proposed from the start of each group of digits to the end of
     each later group; ``cut`` marks that a sign joins it to further digits.
+    ``told`` has a bit for each group of words in the 24 characters before.
     """
     p, ahead, whole = _lit(CANDIDATES[kind]), kind == "number", text
-    none = "cast(array() as array<struct<s:int,e:int,m:string,before:string,cut:int,g:int>>)"
+    none = "cast(array() as array<struct<s:int,e:int,m:string,told:int,cut:int,g:int>>)"
     only = lambda found: f"if({whole} rlike {p}, {found}, {none})"
-    size = "0" if ahead else "char_length(x.m)"
-    fold = (
-        "aggregate(zip_with(slice(gaps, 1, size(hits)), hits, (g, m) -> struct(g, m)), "
-        "named_struct('at', 0, 'tail', '', 'out', cast(array() as array<struct<s:int,m:string,before:string>>)), "
-        f"(a, x) -> named_struct('at', a.at + char_length(x.g) + {size}, 'tail', right(concat(a.tail, x.g{'' if ahead else ', x.m'}), 24), "
-        "'out', array_append(a.out, named_struct('s', a.at + char_length(x.g), 'm', x.m, 'before', right(concat(a.tail, x.g), 24)))), a -> a.out)"
-    )
     # a start without width is not split off at the very first character, hence the blank before the text
     text = f"concat(' ', {text})" if ahead else text
-    fold = fold.replace("gaps", f"split({text}, {p}, -1)").replace("hits", f"regexp_extract_all({text}, {p}, {int(ahead)})")
+    pairs = f"element_at(transform(array(struct(split({text}, {p}, -1) as gaps, regexp_extract_all({text}, {p}, {int(ahead)}) as hits)), t -> zip_with(slice(t.gaps, 1, size(t.hits)), t.hits, (g, m) -> struct(g, m))), 1)"
+    step = {"at": f"a.at + char_length(x.g) + {'0' if ahead else 'char_length(x.m)'}", "tail": f"right(concat(a.tail, x.g{'' if ahead else ', x.m'}), 24)"}
+    made = f"named_struct('s', a.at + char_length(x.g), 'm', x.m, 'told', {_told('right(concat(a.tail, x.g), 24)')}, 'last', right(concat(a.tail, x.g), 1))"
+    fold = _scan(pairs, {"at": "0", "tail": "''"}, step, made, "struct<s:int,m:string,told:int,last:string>")
     rank = EXTRA.index(kind)
     if kind == "password":  # what stands behind the sign; the words before it end in the sign
         value = "regexp_replace(x.m, '^ ?[:=] ?[\"\\']?', '')"
-        return only(f"transform({fold}, x -> named_struct('s', x.s + char_length(x.m) - char_length({value}), 'e', x.s + char_length(x.m), 'm', {value}, 'before', x.before, 'cut', 0, 'g', {rank}))")
+        return only(f"transform({fold}, x -> named_struct('s', x.s + char_length(x.m) - char_length({value}), 'e', x.s + char_length(x.m), 'm', {value}, 'told', x.told, 'cut', 0, 'g', {rank}))")
     if not ahead:
-        return only(f"transform({fold}, x -> named_struct('s', x.s, 'e', x.s + char_length(x.m), 'm', x.m, 'before', x.before, 'cut', 0, 'g', {rank}))")
+        return only(f"transform({fold}, x -> named_struct('s', x.s, 'e', x.s + char_length(x.m), 'm', x.m, 'told', x.told, 'cut', 0, 'g', {rank}))")
     ends = f"filter(sequence(7, greatest(7, least({_LONGEST}, char_length(x.m)))), j -> substring(x.m, j, 1) between '0' and '9' and not (substring(x.m, j + 1, 1) between '0' and '9'))"
-    one = f"named_struct('s', x.s - 1, 'e', x.s - 1 + j, 'm', left(x.m, j), 'before', x.before, 'cut', if(right(x.before, 1) in ('-', '.', '/') or substring(x.m, j + 1, 2) rlike '^[.-][0-9]', 1, 0), 'g', {rank})"
+    one = f"named_struct('s', x.s - 1, 'e', x.s - 1 + j, 'm', left(x.m, j), 'told', x.told, 'cut', if(x.last in ('-', '.', '/') or substring(x.m, j + 1, 2) rlike '^[.-][0-9]', 1, 0), 'g', {rank})"
     return only(f"flatten(transform({fold}, x -> transform({ends}, j -> {one})))")
 
 
@@ -126,23 +146,25 @@ def _kept(kind: str, spans: str) -> str:
 def _features(x: str) -> dict[str, str]:
     """SQL of each feature of candidate ``x`` as a double."""
     m = f"{x}.m"
-    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    # a number holds digits and its signs alone, which spares most patterns
+    number = f"{x}.g = {EXTRA.index('number')}"
+    digits = f"if({number}, translate({m}, ' ().+-', ''), regexp_replace({m}, '[^0-9]', ''))"
     out = {
         "digits": f"char_length({digits})",
         "size": f"char_length({m})",
-        "marks": f"char_length(regexp_replace({m}, '[0-9A-Za-z]', ''))",
-        "letters": f"char_length(regexp_replace({m}, '[^A-Za-z]', ''))",
+        "marks": f"if({number}, char_length({m}) - char_length({digits}), char_length(regexp_replace({m}, '[0-9A-Za-z]', '')))",
+        "letters": f"if({number}, 0, char_length(regexp_replace({m}, '[^A-Za-z]', '')))",
         "kind": f"{x}.g",
-        "upper": f"char_length(regexp_replace({m}, '[^A-Z]', ''))",
-        "turns": f"size(regexp_extract_all({m}, '(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]', 0))",
+        "upper": f"if({number}, 0, char_length(regexp_replace({m}, '[^A-Z]', '')))",
+        "turns": f"if({number}, 0, size(regexp_extract_all({m}, '(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]', 0)))",
         "hex": f"if({m} rlike '^[0-9A-Fa-f]+$', 1, 0)",
         "luhn": f"if(char_length({digits}) between 12 and 19 and {_luhn(digits)}, 1, 0)",
-        "at": f"if({m} rlike '[(\\\\[]at[)\\\\]]', 1, 0)",
+        "at": f"if(not ({number}) and {m} rlike '[(\\\\[]at[)\\\\]]', 1, 0)",
         "cut": f"{x}.cut",
         "dated": f"if({m} rlike '(?<![0-9])([0-9]{{4}}[.-][0-9]{{1,2}}[.-][0-9]{{1,2}}|[0-9]{{1,2}}[.-][0-9]{{1,2}}[.-][0-9]{{4}})(?![0-9])', 1, 0)",
         "leading": f"if({m} like '+%' or {m} like '0%', 1, 0)",
     }
-    out |= {k: f"if(lower({x}.before) rlike '{v}', 1, 0)" for k, v in _WORDS.items()}
+    out |= {k: f"if({x}.told & {1 << i} > 0, 1, 0)" for i, k in enumerate(_WORDS)}
     return {k: f"cast({out[k]} as double)" for k in FEATURES}
 
 
@@ -308,23 +330,27 @@ def _spans(docs: DataFrame) -> DataFrame:
     trees, least = boosted(docs.sparkSession)
     bar = "element_at(array(" + ", ".join(f"{-v!r}D" for v in least) + "), x.g + 1)"
     named = ", ".join(f"'{k}', {v}" for k, v in _features("x").items())
-    kind = "element_at(array(" + ", ".join(f"'{k}'" for k in EXTRA) + "), 1 + array_min(transform(filter(_cand, c -> c.s = x.s and c.e = x.e), c -> c.g)))"  # of one span, the most special kind
     score = " + ".join(_tree_sql(t, "x") for t in trees)
-    taken = "concat(_email, _ip, _card, _phone)"
     every = "concat(" + ", ".join(_proposed("_t", k) for k in EXTRA) + ")"
-    proposed = "cast(array() as array<struct<s:int,e:int,m:string,before:string,cut:int,g:int>>)"
+    proposed = "cast(array() as array<struct<s:int,e:int,m:string,told:int,cut:int,g:int>>)"
     out = out.withColumn("_cand", F.expr(f"if(_t rlike '[0-9]|[(\\\\[]at[)\\\\]]|[:=]|[0-9A-Za-z_+-]{{16}}', {every}, {proposed})"))
-    # all that does not touch a base span is scored; of what overlaps, the better score stays, then the longer
+    # of one span, the most special kind: the first of its run in the order of place and kind
+    ordered = "array_sort(transform(_cand, x -> named_struct('s', x.s, 'e', x.e, 'g', x.g, 'm', x.m, 'told', x.told, 'cut', x.cut)))"
+    first = "if(a.s = x.s and a.e = x.e, a.k, x.g)"
+    special = _scan(ordered, {"s": "-1", "e": "-1", "k": "0"}, {"s": "x.s", "e": "x.e", "k": first}, f"named_struct('k', {first}, 's', x.s, 'e', x.e, 'g', x.g, 'm', x.m, 'told', x.told, 'cut', x.cut)", "struct<k:int,s:int,e:int,g:int,m:string,told:int,cut:int>")
     scored = (
-        f"transform(transform(filter(_cand, x -> not exists({taken}, b -> b.s < x.e and x.s < b.e)), "
-        f"x -> named_struct('s', x.s, 'e', x.e, 'g', x.g, 'f', named_struct({named}))), "
-        f"x -> named_struct('o', -({score}), 'l', x.s - x.e, 'g', x.g, 's', x.s, 'e', x.e))"
+        f"filter(transform(transform({special}, x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'g', x.g, 'f', named_struct({named}))), "
+        f"x -> named_struct('s', x.s, 'e', x.e, 'o', -({score}), 'g', x.g, 'k', x.k)), x -> x.o <= {bar})"
     )
-    best = (
-        f"aggregate(array_sort(filter({scored}, x -> x.o <= {bar})), cast(array() as array<struct<s:int,e:int,k:string>>), "
-        f"(a, x) -> if(exists(a, b -> b.s < x.e and x.s < b.e), a, array_append(a, named_struct('s', x.s, 'e', x.e, 'k', {kind}))))"
-    )
-    more = f"if(size(_cand) = 0, cast(array() as array<struct<s:int,e:int,k:string>>), array_sort({best}))"
+    # base spans come before every score; a run of spans that touch one another is settled by itself, best score first, then the longer
+    base = "transform(concat(_email, _ip, _card, _phone), x -> named_struct('s', x.s, 'e', x.e, 'o', -1e300D, 'g', -1, 'k', -1))"
+    touching = {"run": "if(x.s < a.end, a.run, x.s)", "end": "greatest(a.end, x.e)"}
+    runs = _scan(f"array_sort(concat({base}, {scored}))", {"run": "-1", "end": "-1"}, touching, f"named_struct('run', {touching['run']}, 'o', x.o, 'l', x.s - x.e, 'g', x.g, 's', x.s, 'e', x.e, 'k', x.k)", "struct<run:int,o:double,l:int,g:int,s:int,e:int,k:int>")
+    here = "if(a.run = x.run, a.chosen, cast(array() as array<struct<s:int,e:int>>))"
+    stays = f"x.k < 0 or not exists({here}, c -> c.s < x.e and x.s < c.e)"
+    settled = _scan(f"array_sort({runs})", {"run": "-1", "chosen": "cast(array() as array<struct<s:int,e:int>>)"}, {"run": "x.run", "chosen": f"if({stays}, array_append({here}, named_struct('s', x.s, 'e', x.e)), {here})"}, f"named_struct('s', x.s, 'e', x.e, 'k', if({stays}, x.k, -1))", "struct<s:int,e:int,k:int>")
+    name = "element_at(array(" + ", ".join(f"'{k}'" for k in EXTRA) + "), 1 + x.k)"
+    more = f"if(size(_cand) = 0, cast(array() as array<struct<s:int,e:int,k:string>>), array_sort(transform(filter({settled}, x -> x.k >= 0), x -> named_struct('s', x.s, 'e', x.e, 'k', {name}))))"
     return out.withColumn("_more", F.expr(more)).select("row", *(f"_{k}" for k in BASE), "_more", "_t")
 
 
@@ -355,10 +381,13 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     found = _spans(docs)
     one = "concat(" + ", ".join(f"transform(_{k}, x -> named_struct('s', x.s, 'e', x.e, 'k', '{k}'))" for k in BASE) + ", transform(_more, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))"
-    built = (
-        f"aggregate(array_sort({one}), named_struct('at', 0, 'out', ''), (a, x) -> if(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out), "
-        "named_struct('at', x.e, 'out', concat(a.out, substring(_t, a.at + 1, x.s - a.at), '[', upper(x.k), ']'))), a -> concat(a.out, substring(_t, a.at + 1)))"
-    )
+    # the text lies in blocks, so that no piece is counted off from the beginning; a span of no width ends it
+    found = found.withColumn("_blocks", F.expr(f"regexp_extract_all(_t, '(?s).{{1,{_BLOCK}}}', 0)"))
+    since, until = f"greatest(0, a.at - i * {_BLOCK})", f"least({_BLOCK}, x.s - i * {_BLOCK})"
+    piece = f"if(a.at >= x.s, '', array_join(transform(sequence(a.at div {_BLOCK}, (x.s - 1) div {_BLOCK}), i -> substring(_blocks[i], cast({since} + 1 as int), cast({until} - {since} as int))), ''))"
+    marked = f"array_append(array_sort({one}), named_struct('s', char_length(_t), 'e', char_length(_t), 'k', cast(null as string)))"
+    pieces = _scan(marked, {"at": "0"}, {"at": "greatest(a.at, x.e)"}, f"if(x.s < a.at, '', concat({piece}, if(x.k is null, '', concat('[', upper(x.k), ']'))))", "string")
+    built = f"array_join({pieces}, '')"
     text: Column = F.expr(f"case when row.text is null then null when size(_email) + size(_ip) + size(_card) + size(_phone) + size(_more) = 0 then row.text else {built} end")
     size = F.when(F.col("row.text").isNull(), F.col("row.n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     new = {"text": text, "n_chars": size}

@@ -1,5 +1,7 @@
 """Personal data beside, before and inside other numbers."""
 
+import re
+
 import pytest
 
 from docforge.llm import pii
@@ -38,3 +40,21 @@ def test_added_spans_never_overlap(found):
     for _, spans, _ in found:
         at = sorted((int(a), int(z)) for _, a, z in spans)
         assert all(a[1] <= b[0] for a, b in zip(at, at[1:]))
+
+
+def test_long_texts_cross_blocks_of_matches_and_of_characters(spark):
+    mails = " 😀é ".join(f"ab{i}c@mail{i % 7}.example.org" for i in range(700))
+    calls = " and then ".join(f"tel 555 {i % 1000:03d} {i * 37 % 10000:04d}" for i in range(600))
+    df = spark.createDataFrame([(1, mails), (2, calls), (3, "word " * 1000), (4, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_private(df).collect()}
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9.]+@[A-Za-z0-9.]+", mails)]
+    assert len(want) == 700 and got[1]["spans"].split(",") == want
+    assert red[1] == " 😀é ".join(["[EMAIL]"] * 700)
+    spans = [x.split(":") for x in got[2]["spans"].split(",")]
+    assert sum(k == "number" and calls[int(a) : int(z)] == calls[int(a) : int(a) + 12] for k, a, z in spans) > 500
+    rest, at = "", 0
+    for k, a, z in spans:
+        rest, at = rest + calls[at : int(a)] + f"[{k.upper()}]", int(z)
+    assert red[2] == rest + calls[at:]
+    assert red[3] == "word " * 1000 and red[4] == ""
