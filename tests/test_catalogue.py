@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from docforge.plans import catalogue, reports  # noqa: F401  the second registers its queries
+from docforge.plans import catalogue, reports, selection  # noqa: F401  the others register their queries
 
 DIR = "/root/testdata/sf0.001"
 
