@@ -85,3 +85,27 @@ def gathered_documents(s, d):
     book = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat(F.lit("## Clause "), k.cast("string"), F.lit("\n### Preferred position\n"), F.col("n_name"), F.lit("\n### Acceptable fallback\nnone\n### Escalate if\n"), F.when((F.col("n_nationkey") % 2 == 0) | (k < 10), "ever").otherwise(""), F.lit("\n"))), "")
     books = _t(s, d, "nation").select(F.concat(F.lit("book"), F.col("n_nationkey").cast("string")).alias("doc_id"), book.alias("text"))
     return selection.gather(rows, accounts, entries, books).select("doc_id", "doc_type", F.md5("text").alias("text_md5"), "account", "cik")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN said THEN 'COMPANY ' || o_custkey || ', INC.' END AS filer, CASE WHEN said THEN CASE WHEN o_orderkey % 2 = 0 THEN '10-K' ELSE 'S-1/A' END END AS form,
+  CASE WHEN said THEN strftime(o_orderdate::DATE, '%Y-%m-%d') END AS filing_date FROM (SELECT *, o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AS said FROM orders)""")
+def source_footers(s, d):
+    """What the footers of a text derived from each order say: the same twice, two companies, or nothing."""
+    say = lambda who: F.concat(F.lit("Source: COMPANY "), who.cast("string"), F.lit(", INC., "), F.when(F.col("o_orderkey") % 2 == 0, "10-K").otherwise("S-1/A"), F.lit(", "), F.date_format("o_orderdate", "M/d/yyyy"))
+    other = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    body = F.concat(F.lit("Page 1\n"), say(F.col("o_custkey")), F.lit("\nThe parties agree.\n\n"), say(other), F.lit("\n"))
+    text = F.when(F.col("o_orderkey") % 7 == 0, "Source: none, given").otherwise(body)
+    return _t(s, d, "orders").select(F.col("o_orderkey").alias("id"), records.source_footer(text).alias("f")).select("id", "f.filer", "f.form", "f.filing_date")
+
+
+@query("""SELECT 'b' || c_custkey AS doc_id, CASE c_custkey % 3 WHEN 2 THEN 9 ELSE 10 END AS categories, CASE c_custkey % 3 WHEN 0 THEN 30 WHEN 1 THEN 29 ELSE 27 END AS filled,
+  CASE c_custkey % 3 WHEN 1 THEN 'Clause 10 / Escalate if' ELSE '' END AS empty, CASE c_custkey % 3 WHEN 2 THEN '9 category headings, expected 10' ELSE '' END AS problems, c_custkey % 3 = 0 AS complete FROM customer""")
+def playbook_states(s, d):
+    """Playbooks derived from customers: whole, with a position left empty, or a category short."""
+    rest = F.col("c_custkey") % 3
+    last = F.lit(10) - (rest == 2).cast("int")
+    part = lambda k: F.concat(F.lit("## "), k.cast("string"), F.lit(". Clause "), k.cast("string"), F.lit("\n### Preferred position\nours\n### Acceptable fallback\ntheirs\n### Escalate if\n"), F.when((rest == 1) & (k == 10), " ").otherwise("ever"), F.lit("\n"))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), last), part), "")
+    books = _t(s, d, "customer").select(F.concat(F.lit("b"), F.col("c_custkey").cast("string")).alias("doc_id"), text.alias("text"))
+    got = records.playbook_status(books)
+    return got.select("doc_id", F.col("categories").cast("long").alias("categories"), F.col("filled").cast("long").alias("filled"), F.array_join("empty", "; ").alias("empty"), F.array_join("problems", "; ").alias("problems"), "complete")
