@@ -24,9 +24,12 @@ def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(unescape, na_action="ignore")
 
 
-def html_to_text(html: Column) -> Column:
+def html_to_text(html: Column, every: bool = True) -> Column:
     """The words of a page, a line break at each block's start and end.
 
+    ``every`` decodes all references, also those of old names without a closing
+    semicolon; else only ``ENTITIES`` as written there are decoded.
+
     A self-closing block breaks twice; scripts, styles, comments and
     declarations leave nothing; a page cut inside a script or a comment ends there.
     """
@@ -37,10 +40,10 @@ def html_to_text(html: Column) -> Column:
     out = F.regexp_replace(out, rf"(?i)</?(?:{blocks}){_REST}", "\n")
     out = F.regexp_replace(out, rf"</?[A-Za-z][^\s/>]*+{_REST}", "")
     # before any reference is decoded, so that none is decoded twice
-    other = _unescaped(F.when(out.rlike(_OTHER), out))
+    other = _unescaped(F.when(out.rlike(_OTHER), out)) if every else None
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    return tidy(F.coalesce(other, out))
+    return tidy(out if other is None else F.coalesce(other, out))
 
 
 def tidy(text: Column) -> Column:
