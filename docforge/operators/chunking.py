@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from docforge.functions.text import SPACE, n_tokens, token_offsets
+from docforge.functions.text import SPACE, n_tokens, token_bounds, token_lengths
 
 #: Fixed values of the chunkers.
 SIZE, OVERLAP, LEAST, HEADINGS = 400, 80, 80, 3
 
 
+def windows_of(df: DataFrame, sizes: dict[str, tuple[int, int]], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, chunker, win, start, end, tokens): windows of each chunker's (size, overlap), one each ``size - overlap``.
+
+    Texts become tokens once for all chunkers; windows are cut from the running
+    sums of a text's own row, so neither tokens nor windows are sorted.
+    """
+
+    @F.pandas_udf("chunker array<string>, win array<long>, start array<long>, end array<long>, tokens array<long>")
+    def cut(lengths: pd.Series) -> pd.DataFrame:
+        def one(x) -> tuple:
+            if x is None or not len(x):
+                return (None,) * 5
+            (starts, ends), n, out = token_bounds(x), len(x), []
+            for name, (size, overlap) in sizes.items():
+                win = np.arange(1 if n <= size else 1 + -(-(n - size) // (size - overlap)))
+                at = win * (size - overlap)
+                to = np.minimum(at + size, n)
+                out.append(([name] * len(win), win, starts[at], ends[to - 1], to - at))
+            return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+        return pd.DataFrame([one(x) for x in lengths], columns=["chunker", "win", "start", "end", "tokens"], dtype=object)
+
+    held = df.select(key, *keep, text).repartition(key).select(key, *keep, cut(token_lengths(F.col(text))).alias("w"))
+    return held.select(key, *keep, F.explode(F.arrays_zip("w.chunker", "w.win", "w.start", "w.end", "w.tokens")).alias("w")).select(key, *keep, "w.*")
+
+
 def fixed_windows(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, win, start, end, tokens): windows of ``size`` tokens, one each ``size - overlap``."""
-    stride = size - overlap
-    tok = token_offsets(df, key, text)
-    n = F.max("pos").over(Window.partitionBy(key)) + 1
-    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / stride)).cast("long")
-    low = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / stride) + 1).cast("long")
-    high = F.least(last, F.floor(F.col("pos") / stride)).cast("long")
-    placed = tok.withColumn("last", last).withColumn("lo", low).withColumn("hi", F.least(high, F.col("last")))
-    rows = placed.where("lo <= hi").withColumn("win", F.explode(F.sequence("lo", "hi")))
-    return rows.groupBy(key, "win").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("tokens"))
+    return windows_of(df, {"": (size, overlap)}, key, text).drop("chunker")
 
 
 #: Line starts that open a section, by kind of document.
