@@ -38,10 +38,9 @@ FROM s LEFT JOIN l ON s.g = l.g AND s.chunker IS NOT DISTINCT FROM l.chunker AND
 )
 def chunk_report(s, d):
     """Two chunkers by document type, by chunker and in all."""
-    docs = _t(s, d, "documents")
-    own = docs.select("doc_id", F.expr(_KIND).alias("doc_type"), F.expr(_OPENS).alias("boundary"))
-    made = [chunking.fixed_windows(docs, size, over).withColumn("chunker", F.lit(name)) for name, size, over in (("fixed", 400, 80), ("narrow", 120, 20))]
-    return reports.chunk_report(made[0].unionByName(made[1]).join(own, "doc_id"), limits=(254, 110))
+    docs = _t(s, d, "documents").select("doc_id", "text", F.expr(_KIND).alias("doc_type"), F.expr(_OPENS).alias("boundary"))
+    made = chunking.windows_of(docs, {"fixed": (400, 80), "narrow": (120, 20)}, keep=("doc_type", "boundary"))
+    return reports.chunk_report(made, limits=(254, 110))
 
 
 def _arm_sql(name: str) -> str:
