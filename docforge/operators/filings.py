@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docforge.operators.relate import priority_pick
+from docforge.operators.relate import nearest_days, priority_pick
 
 #: Revenue concepts by priority, annual forms, and from when annual reports have a risk section.
 CONCEPTS = ("Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "SalesRevenueNet", "SalesRevenueGoodsNet", "SalesRevenueServicesNet", "RevenuesNetOfInterestExpense")
@@ -45,10 +45,15 @@ def nearest_annual(contracts: DataFrame, filings: DataFrame) -> DataFrame:
     there is none.  ``contracts`` (contract_id, cik, when), ``filings`` (cik,
     filing_date, report_date, form, accession) with dates as ISO strings.
     """
-    annual = filings.where(F.col("form").isin(*TEN_K) & F.col("filing_date").isNotNull()).select("cik", "filing_date", "accession", (F.coalesce("report_date", "filing_date") >= RISK_FROM).alias("fits"))
-    gap = F.datediff(F.col("filing_date").cast("date"), F.col("when").cast("date"))
-    order = F.struct(F.abs(gap).alias("g"), (-F.unix_date(F.col("filing_date").cast("date"))).alias("d"), "accession", "filing_date", gap.alias("gap_days"))
-    got = contracts.join(annual, "cik", "left").groupBy("contract_id", "when").agg(F.min(F.when(F.col("fits") & F.col("when").isNotNull(), order)).alias("p"), F.count("accession").alias("n"))
+    annual = filings.where(F.col("form").isin(*TEN_K) & F.col("filing_date").isNotNull())
+    fits = F.coalesce("report_date", "filing_date") >= RISK_FROM
+    listed = annual.groupBy("cik", F.col("filing_date").cast("date").alias("day")).agg(F.min(F.when(fits, F.struct("accession", "filing_date"))).alias("one"), F.count("accession").alias("k"))
+    asked = contracts.select("contract_id", "cik", "when", F.col("when").cast("date").alias("day"))
+    # a company's days are few however many its contracts and reports are
+    near = nearest_days(asked.where("day IS NOT NULL AND cik IS NOT NULL"), listed, "cik")
+    gap = F.datediff("at", "day")
+    order = F.when(F.col("at").isNotNull(), F.struct(F.abs(gap).alias("g"), (-F.unix_date("at")).alias("d"), "one.accession", "one.filing_date", gap.alias("gap_days")))
+    got = asked.join(near, ["cik", "day"], "left").groupBy("contract_id", "when").agg(F.min(order).alias("p"), F.sum(F.coalesce("k", F.lit(0))).alias("n"))
     why = F.when(F.col("when").isNull(), "no agreement or filing date to match a 10-K to").when(F.col("n") == 0, "no 10-K on file").when(F.col("p").isNull(), f"only 10-Ks for periods before {RISK_FROM}, which have no Item 1A")
     return got.select("contract_id", "p.accession", "p.filing_date", "p.gap_days", why.alias("reason"))
 

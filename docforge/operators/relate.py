@@ -70,6 +70,23 @@ def fuzzy_match(left: DataFrame, names: DataFrame, least: float = 0.85, prefix:
     return best.withColumn("score", F.round("r.score", 4)).drop("at", "n", "r", "bound")
 
 
+def nearest_days(asked: DataFrame, listed: DataFrame, by: str) -> DataFrame:
+    """(by, day, at, one, k) of every asked (by, day): the nearest listed day that has a ``one``, the later of two as near, and the sum of all ``k`` of the group.
+
+    ``listed`` (by, day, one, k) has a row a day.  Both sides are a row a day and
+    group, so no pair of rows is made: running picks from before and from after
+    decide.
+    """
+    rows = asked.select(by, "day", F.lit(True).alias("asked")).distinct().join(listed, [by, "day"], "full_outer")
+    own = F.when(F.col("one").isNotNull(), F.struct(F.col("day").alias("at"), "one"))
+    past = F.last(own, True).over(Window.partitionBy(by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    later = F.last(own, True).over(Window.partitionBy(by).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.withColumn("k", F.sum("k").over(Window.partitionBy(by))).withColumn("past", past).withColumn("later", later).where("asked")
+    nearer = F.col("past").isNull() | (F.datediff("later.at", "day") <= F.datediff("day", "past.at"))
+    pick = F.when(F.col("later").isNotNull() & nearer, F.col("later")).otherwise(F.col("past"))
+    return both.select(by, "day", F.coalesce("k", F.lit(0)).alias("k"), pick.alias("p")).select(by, "day", "p.at", "p.one", "k")
+
+
 def nearest(left: DataFrame, right: DataFrame, by: str, at: str, other_at: str, keep: list[str]) -> DataFrame:
     """As-of in both directions: the least gap, the later on ties, then the least ``keep``."""
     gap = F.datediff(F.col(other_at), F.col(at))
