@@ -77,10 +77,15 @@ def range_bounds(spark: SparkSession, path: str, weighted: DataFrame, small, key
 
 
 def _scores(spark: SparkSession, path: str, weighted: DataFrame, chosen: DataFrame, small, key: str, allowed: Column | None) -> DataFrame:
-    """Exact scores of the allowed documents of the chosen (item_id, range)."""
-    want = weighted.join(chosen.select("item_id", "range"), "item_id")
-    blocks = _blocks(spark, path, key).join(small(want), ["bucket", "term", "range"])
-    hits = blocks.select("item_id", "range", "w", F.explode("postings").alias("p"))
+    """Exact scores of the allowed documents of the chosen (item_id, range).
+
+    Ranges are as many as the corpus needs, so they are never broadcast: blocks of
+    query terms are dealt by range, where each meets the queries that chose it.
+    """
+    takers = chosen.groupBy("range").agg(F.collect_set("item_id").alias("takers"))
+    blocks = _blocks(spark, path, key).join(small(weighted.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi").join(takers, "range")
+    met = blocks.join(small(weighted), ["bucket", "term"]).where(F.array_contains("takers", F.col("item_id")))
+    hits = met.select("item_id", "range", "w", F.explode("postings").alias("p"))
     sums = hits.groupBy("item_id", "range", F.col("p.key").alias(key)).agg(F.sum(F.col("w") * F.col("p.share")).alias("score"))
     if allowed is not None:
         sums = sums.join(spark.read.parquet(f"{path}/documents").where(allowed).select("range", key), ["range", key], "left_semi")
