@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docforge.operators.retrieve import hint, top_k
+from docforge.operators.retrieve import dealt_pairs, hint, near_task, top_k
 
 #: Vectors that cells are learnt from, by least hash of their ids; a documented bound, all are assigned.
 SAMPLE = 20_000
@@ -97,7 +97,14 @@ def _gaps(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     return pairs.withColumn("apart", apart).select("item_id", "cell", F.greatest(F.lit(0.0), F.col("apart") - F.col("widest") - SLACK).alias("gap"), near.alias("near"))
 
 
-def _hits(spark: SparkSession, path: str, queries: DataFrame, chosen: DataFrame, key: str, column: str) -> DataFrame:
+def _hits(spark: SparkSession, path: str, queries: DataFrame, chosen: DataFrame, k: int, key: str, column: str) -> DataFrame:
+    """(item_id, key, score): at least each query's ``k`` best of its chosen cells."""
+    if hint(queries, F.size("qvec") * 8) is F.broadcast:
+        own = chosen.groupBy("item_id").agg(F.collect_set("cell").alias("cells"))
+        asked = near_task(queries.where("item_id IS NOT NULL"), k, key, own, column)
+        if asked:
+            every, kept = asked[3], spark.read.parquet(f"{path}/vectors").select(key, column, "cell")
+            return dealt_pairs(kept, asked[1], key).where(F.col("cell") < every).mapInArrow(asked[0], f"item_id {asked[2]}, {key} {kept.schema[key].dataType.simpleString()}, score double")
     q = queries.join(chosen.select("item_id", "cell"), "item_id").select("item_id", "cell", "qvec", F.sqrt(_dot("qvec", "qvec")).alias("qnorm"))
     small = hint(queries, F.size("qvec") * 8 * 64)
     pairs = spark.read.parquet(f"{path}/vectors").withColumn("norm", F.sqrt(_dot(column, column))).join(small(q), "cell")
@@ -109,12 +116,12 @@ def probe_top_k(spark: SparkSession, path: str, queries: DataFrame, k: int, prob
     if spark.read.parquet(f"{path}/centres").isEmpty():
         return queries.select("item_id", F.lit(None).cast("long").alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
     gaps = _gaps(spark, path, queries)
-    tried = top_k(_hits(spark, path, queries, gaps.where(F.col("near") <= probes), key, column), k, key=key)
+    tried = top_k(_hits(spark, path, queries, gaps.where(F.col("near") <= probes), k, key, column), k, key=key)
     if not exact:
         return tried
     least = tried.groupBy("item_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("item_id", "least")
     need = gaps.join(least, "item_id", "left").where(F.col("least").isNull() | (F.cos("gap") >= F.col("least") - SLACK))
-    return top_k(_hits(spark, path, queries, need, key, column), k, key=key)
+    return top_k(_hits(spark, path, queries, need, k, key, column), k, key=key)
 
 
 def recall(found: DataFrame, wanted: DataFrame, key: str = "vec_id") -> DataFrame:
