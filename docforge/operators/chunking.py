@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from docforge.functions.text import SPACE, n_tokens, token_bounds, token_lengths
+from docforge.functions.text import SPACE, deal, n_tokens, token_bounds, token_lengths
 
 #: Fixed values of the chunkers.
 SIZE, OVERLAP, LEAST, HEADINGS = 400, 80, 80, 3
@@ -58,7 +58,7 @@ def lines(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Texts are dealt by key first, so no line is shuffled.
     """
-    cut = df.select(key, "doc_type", "text").repartition(key).select(key, "doc_type", F.posexplode(F.split("text", r"(?<=\n)", -1)).alias("pos", "line")).where("line <> ''")
+    cut = deal(df.select(key, "doc_type", "text"), key).select(key, "doc_type", F.posexplode(F.split("text", r"(?<=\n)", -1)).alias("pos", "line")).where("line <> ''")
     own = F.regexp_replace("line", rf"^{SPACE}+|{SPACE}+\z", "")
     n = F.char_length("line").cast("long")
     before = F.sum(n).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - n
