@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docforge.functions import extract
 from docforge.functions.names import contract_id, entity_parties
+from docforge.functions.text import deal
 
 #: The labels that are metadata, the commercial types, and the parts of a playbook.
 METADATA = ("Document Name", "Parties", "Agreement Date", "Effective Date", "Expiration Date", "Renewal Term", "Notice Period To Terminate Renewal", "Governing Law")
@@ -112,42 +113,51 @@ def chunk_category(doc_type: Column, text: Column) -> Column:
     return F.when(doc_type == "playbook", F.nullif(F.trim(F.regexp_extract(text, r"^## (.+)", 1)), F.lit("")))
 
 
-def playbook_sections(playbooks: DataFrame) -> DataFrame:
-    """(doc_id, pos, level, name, written, category) of each heading of ``playbooks`` (doc_id, text).
-
-    A position's heading one level too high belongs to the category before it.
-    """
-    from pyspark.sql import Window
-
-    blocks = playbooks.select("doc_id", F.posexplode(F.split("text", r"(?md)(?=^#{2,3} )")).alias("pos", "block")).where("block rlike '^#{2,3} '")
-    first = F.regexp_extract("block", r"^(#{2,3}) ([^\n]+)", 2)
-    body = F.regexp_replace("block", r"^#{2,3} [^\n]+", "")
-    out = blocks.select("doc_id", "pos", F.length(F.regexp_extract("block", "^(#+)", 1)).alias("level"), heading_name(first).alias("name"), F.trim(first).alias("heading"), (F.trim(F.regexp_replace(body, r"\s+", " ")) != "").alias("written"))
-    position = F.col("name").isin(*POSITIONS)
-    run = Window.partitionBy("doc_id").orderBy("pos")
-    # an optional section ends the category before it and is none itself
-    opens = F.when((F.col("level") == 2) & ~position, F.when(F.lower("heading").contains("filing-data"), F.lit("")).otherwise(F.col("name")))
-    return out.withColumn("category", F.nullif(F.last(opens, True).over(run), F.lit("")))
+def _headings(text: Column) -> Column:
+    """Each heading of a playbook in order: its place, level, bare name, wording, and whether anything is written below it."""
+    blocks = F.filter(F.split(text, r"(?md)(?=^#{2,3} )"), lambda b: b.startswith("## ") | b.startswith("### "))
+    # the line of the heading is cut off by its length, not by further patterns
+    line = F.transform(blocks, lambda b: F.struct(b.alias("block"), F.substring_index(b, "\n", 1).alias("line"), F.when(b.startswith("###"), 3).otherwise(2).alias("level")))
+    cut = F.transform(line, lambda x: F.struct(x["level"].alias("level"), F.substr(x["line"], x["level"] + 2).alias("first"), F.substr(x["block"], F.char_length(x["line"]) + 1).alias("body")))
+    written = lambda x: (x["first"] == "") | x["body"].rlike(r"\S")
+    return F.transform(cut, lambda x, i: F.struct(i.alias("pos"), x["level"].alias("level"), heading_name(x["first"]).alias("name"), F.trim(x["first"]).alias("heading"), written(x).alias("written")))
 
 
 def playbook_status(playbooks: DataFrame) -> DataFrame:
-    """(doc_id, categories, expected, filled, empty, problems, complete) of each playbook."""
-    rows = playbook_sections(playbooks)
-    own = rows.where("category is not null")
-    position = F.col("name").isin(*POSITIONS)
-    # the last heading of one name tells whether a position is written
-    said = own.where(position).groupBy("doc_id", "category", "name").agg(F.max_by("written", "pos").alias("written"))
-    cats = own.where((F.col("level") == 2) & ~position).groupBy("doc_id", "category").agg(F.min("pos").alias("pos"))
-    wanted = cats.withColumn("name", F.explode(F.array(*map(F.lit, POSITIONS))))
-    state = wanted.join(said, ["doc_id", "category", "name"], "left").withColumn("rank", F.array_position(F.array(*map(F.lit, POSITIONS)), F.col("name")))
-    gaps = F.transform(F.array_sort(F.collect_list(F.when(~F.coalesce("written", F.lit(False)), F.struct("pos", "rank", F.concat_ws(" / ", "category", "name").alias("t"))))), lambda x: x["t"])
-    counts = state.groupBy("doc_id").agg(F.count_distinct("category").alias("categories"), F.count_if(F.coalesce("written", F.lit(False))).alias("filled"), gaps.alias("empty"))
-    wrong = own.where((F.col("level") == 2) & position).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.format_string("'## %s' under %s should be '### %s'", "heading", "category", "name").alias("t")))), lambda x: x["t"]).alias("misplaced"))
+    """(doc_id, categories, expected, filled, empty, problems, complete) of each playbook, a document a row.
+
+    A position's heading one level too high belongs to the category before it; an
+    optional section ends that category and is none itself.  Texts are
+    dealt by their bytes; all else is told from the headings in a text's own row,
+    so no heading is shuffled.  What stands under one category's name is brought
+    together by a sort: the work grows with a text's headings, not their square.
+    """
     none = F.array().cast("array<string>")
-    out = playbooks.select("doc_id").join(counts, "doc_id", "left").join(wrong, "doc_id", "left").withColumn("categories", F.coalesce("categories", F.lit(0))).withColumn("filled", F.coalesce("filled", F.lit(0)))
+    places = F.array(*map(F.lit, POSITIONS))
+    ranked = F.transform("heads", lambda h: F.struct(F.array_position(places, h["name"]).alias("rank"), h.alias("h")))
+    rows = deal(playbooks.select("doc_id", "text"), "doc_id").select("doc_id", F.coalesce(_headings(F.col("text")), F.array()).alias("heads")).withColumn("heads", ranked)
+    opener = F.transform("heads", lambda x, i: F.when((x["h"]["level"] == 2) & (x["rank"] == 0), i))
+    rows = rows.withColumn("at", F.filter(opener, lambda i: i.isNotNull()))
+    head = lambda i: F.get("heads", i)["h"]
+    category = lambda h: F.when(F.lower(h["heading"]).contains("filing-data"), "").otherwise(h["name"])
+    under = lambda i, k: F.filter(F.slice("heads", i + 2, F.coalesce(F.get("at", k + 1), F.size("heads")) - i - 1), lambda x: x["rank"] > 0)
+    parts = F.transform("at", lambda i, k: F.struct(category(head(i)).alias("category"), head(i)["pos"].alias("opens"), under(i, k).alias("own")))
+    rows = rows.withColumn("parts", F.filter(parts, lambda p: p["category"] != ""))
+    # of each category and position: first a row that says nothing, with the category's first heading, and last the last such heading
+    said = lambda p, rank, pos, written: F.struct(p["category"].alias("category"), rank.cast("int").alias("rank"), pos.cast("int").alias("pos"), p["opens"].alias("opens"), written.alias("written"))
+    blank = lambda p: F.transform(F.sequence(F.lit(1), F.lit(len(POSITIONS))), lambda r: said(p, r, F.lit(-1), F.lit(False)))
+    given = lambda p: F.transform(p["own"], lambda x: said(p, x["rank"], x["h"]["pos"], x["h"]["written"]))
+    rows = rows.withColumn("run", F.sort_array(F.flatten(F.transform("parts", lambda p: F.concat(blank(p), given(p))))))
+    other = lambda x, i: F.coalesce((F.get("run", i)["category"] != x["category"]) | (F.get("run", i)["rank"] != x["rank"]), F.lit(True))
+    first, last = F.filter("run", lambda x, i: (i == 0) | other(x, i - 1)), F.filter("run", lambda x, i: other(x, i + 1))
+    rows = rows.withColumn("state", F.zip_with(first, last, lambda a, b: F.struct(a["opens"].alias("opens"), a["rank"].alias("rank"), F.concat_ws(" / ", a["category"], F.element_at(places, a["rank"])).alias("t"), b["written"].alias("written"))))
+    gaps = F.transform(F.sort_array(F.filter("state", lambda x: ~x["written"])), lambda x: x["t"])
+    high = lambda p: F.transform(F.filter(p["own"], lambda x: x["h"]["level"] == 2), lambda x: F.format_string("'## %s' under %s should be '### %s'", x["h"]["heading"], p["category"], x["h"]["name"]))
     expected = CATEGORIES * len(POSITIONS)
+    written = F.size(F.filter("state", lambda x: x["written"])).cast("long")
+    rows = rows.select("doc_id", (F.size("state") / len(POSITIONS)).cast("long").alias("categories"), written.alias("filled"), gaps.alias("empty"), F.flatten(F.transform("parts", high)).alias("misplaced"))
     number = F.when(F.col("categories") == CATEGORIES, none).otherwise(F.array(F.format_string("%d category headings, expected %d", F.col("categories"), F.lit(CATEGORIES))))
-    out = out.withColumn("problems", F.concat(number, F.coalesce("misplaced", none))).withColumn("empty", F.coalesce("empty", none))
+    out = rows.withColumn("problems", F.concat(number, "misplaced"))
     return out.select("doc_id", "categories", F.lit(expected).alias("expected"), "filled", "empty", "problems", ((F.size("problems") == 0) & (F.col("filled") == expected)).alias("complete"))
 
 
