@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
@@ -21,14 +22,24 @@ def _map(values: dict[str, int]) -> Column:
     return F.create_map(*(F.lit(v) for pair in values.items() for v in pair))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _groups(text: Column, pattern: str) -> Column:
+    """What each group of a pattern holds, null for none."""
+    return F.array(*(F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) for k in range(1, re.compile(pattern).groups + 1)))
+
+
 class _Match:
     """The groups of one rule's pattern in a phrase, read as days."""
 
-    def __init__(self, text: Column, pattern: str, today: Column):
-        self.text, self.pattern, self.today = text, f"^(?:{pattern})$", today
+    def __init__(self, groups: Column, today: Column):
+        self.groups, self.today = groups, today
 
     def group(self, k: int) -> Column:
-        return F.nullif(F.regexp_extract(self.text, self.pattern, k), F.lit(""))
+        return F.get(self.groups, F.lit(k - 1))
 
     def count(self, k: int) -> Column:
         return F.coalesce(F.try_element_at(_map(COUNTS), self.group(k)), self.group(k).try_cast("int"))
@@ -48,16 +59,27 @@ def _date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
 
 
+#: Forms of one day: 2026-6-14, 6/14 or 6/14/26, June 14th or June 14th, 2026.
+_ISO, _SLASH, _NAMED = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?$", rf"^{_MONTH}\.? (\d{{1,2}})(?:st|nd|rd|th)?(?:,? (\d{{4}}))?$"
+
+
 def day_in(text: Column, today: Column) -> Column:
     """One day written as 2026-6-14, 6/14, 6/14/26 or June 14th, 2026; null if it is none or does not exist."""
-    t = F.lower(F.regexp_replace(F.trim(text), r"^[.,\s]+|[.,\s]+$", ""))
-    iso, slash, named = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?$", rf"^{_MONTH}\.? (\d{{1,2}})(?:st|nd|rd|th)?(?:,? (\d{{4}}))?$"
-    part = lambda p, k: F.nullif(F.regexp_extract(t, p, k), F.lit(""))
-    short = part(slash, 3).try_cast("int")
-    year = F.coalesce(F.when(short < 100, short + 2000).otherwise(short), F.year(today))
-    m = F.try_element_at(_map({x: i for i, n in enumerate(MONTHS, 1) for x in (n, n[:3])}), part(named, 1))
-    own = F.coalesce(part(named, 3).try_cast("int"), F.year(today) - (m > F.month(today)).cast("int"))
-    return F.when(t.rlike(iso), _date(part(iso, 1), part(iso, 2), part(iso, 3))).when(t.rlike(slash), _date(year, part(slash, 1), part(slash, 2))).when(t.rlike(named), _date(own, m, part(named, 2)))
+
+    def slash(g: Column) -> Column:
+        short = F.get(g, F.lit(2)).try_cast("int")
+        return _date(F.coalesce(F.when(short < 100, short + 2000).otherwise(short), F.year(today)), F.get(g, F.lit(0)), F.get(g, F.lit(1)))
+
+    def named(g: Column) -> Column:
+        m = F.try_element_at(_map({x: i for i, n in enumerate(MONTHS, 1) for x in (n, n[:3])}), F.get(g, F.lit(0)))
+        return _date(F.coalesce(F.get(g, F.lit(2)).try_cast("int"), F.year(today) - (m > F.month(today)).cast("int")), m, F.get(g, F.lit(1)))
+
+    def read(t: Column) -> Column:
+        iso = lambda g: _date(*(F.get(g, F.lit(k)) for k in range(3)))
+        by = lambda pattern, use: _bound(_groups(t, pattern), use)
+        return F.when(t.rlike(_ISO), by(_ISO, iso)).when(t.rlike(_SLASH), by(_SLASH, slash)).when(t.rlike(_NAMED), by(_NAMED, named))
+
+    return _bound(F.lower(F.regexp_replace(F.trim(text), r"^[.,\s]+|[.,\s]+$", "")), read)
 
 
 def _back(m: _Match) -> tuple[Column, Column]:
@@ -105,13 +127,25 @@ RULES: tuple[tuple[str, Callable[[_Match], tuple[Column, Column]]], ...] = (
 
 
 def phrase_range(phrase: Column, today: Column) -> Column:
-    """struct(lo, hi) of the first rule that reads the whole phrase as dates; null if none does."""
+    """struct(lo, hi) of the first rule that reads the whole phrase as dates; null if none does.
+
+    The phrase is made plain once, and only a rule whose pattern it fits takes its
+    groups, each once.
+    """
     text = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(phrase, r"\s+", " "))), r"[?.!]+$", ""), r"^(?:(?:in|on|during|for|over|of|the) ){1,2}", "")
-    found = []
-    for pattern, days in RULES:
-        lo, hi = days(_Match(text, pattern, today))
-        found.append(F.when(text.rlike(f"^(?:{pattern})$") & lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"))))
-    return F.coalesce(*found)
+
+    def reader(days: Callable[[_Match], tuple[Column, Column]]) -> Callable[[Column], Column]:
+        def read(groups: Column) -> Column:
+            lo, hi = days(_Match(groups, today))
+            return _bound(F.struct(lo.alias("lo"), hi.alias("hi")), lambda r: F.when(r["lo"].isNotNull() & r["hi"].isNotNull(), r))
+
+        return read
+
+    def by_rules(t: Column) -> Column:
+        whole = [(f"^(?:{pattern})$", days) for pattern, days in RULES]
+        return F.coalesce(*(F.when(t.rlike(p), _bound(_groups(t, p), reader(days))) for p, days in whole))
+
+    return _bound(text, by_rules)
 
 
 def resolve_phrase(phrase: str, today: dt.date) -> tuple[dt.date, dt.date] | None:
