@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docforge.functions.text import bm25_tokens
+from docforge.functions.text import bm25_tokens, parts
 from docforge.operators.retrieve import K1, B, hint, top_k
 
 #: Scores are ranked by ten digits; a bound that is less by no more than this still counts.
@@ -27,8 +27,8 @@ def write_blocks(docs: DataFrame, path: str, key: str = "doc_id", span: int = 12
     """Keep an index of ``docs``: ``documents`` (range, dl, tokens and all columns but the text), ``blocks``, ``terms`` and, last, ``totals``.
 
     Ranges are runs of ``span`` documents within partitions of the key's order.
-    Every text becomes tokens once; blocks are made from the kept tokens, the
-    counts of terms from the blocks.
+    Every text becomes tokens once; blocks are made from the kept tokens, dealt by
+    range, the counts of terms from the blocks.
     """
     spark = docs.sparkSession
     toks = F.coalesce(bm25_tokens(F.col("text")), F.array().cast("array<string>"))
@@ -38,10 +38,7 @@ def write_blocks(docs: DataFrame, path: str, key: str = "doc_id", span: int = 12
     placed.withColumn("dl", F.size("tokens")).drop("text").write.parquet(f"{path}/documents")
     kept = spark.read.parquet(f"{path}/documents")
     totals = kept.agg(F.count("*").alias("ndocs"), F.avg("dl").alias("avgdl"))
-    each = kept.select(key, "range", "dl", F.explode("tokens").alias("term"))
-    tf = each.groupBy("range", key, "term").agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl")).crossJoin(F.broadcast(totals.select("avgdl")))
-    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    blocks = tf.groupBy("range", "term").agg(F.max(share).alias("most"), F.count("*").alias("n"), F.collect_list(F.struct(F.col(key).alias("key"), share.alias("share"))).alias("postings"))
+    blocks = _made(kept.select(key, "range", "dl", "tokens").repartition(parts(docs), "range"), totals, key)
     at = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
     dealt = blocks.select("*", at, F.pmod(F.xxhash64("range"), F.lit(4)).alias("_share")).repartition("bucket", "_share").sortWithinPartitions("bucket", "term", "range").drop("_share")
     dealt.write.partitionBy("bucket").parquet(f"{path}/blocks")
@@ -52,6 +49,14 @@ def write_blocks(docs: DataFrame, path: str, key: str = "doc_id", span: int = 12
     totals.write.parquet(f"{path}/totals")
 
 
+def _made(kept: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """(range, term, most, n, postings) of documents dealt by range: their tokens are neither counted nor gathered elsewhere."""
+    each = kept.select(key, "range", "dl", F.explode("tokens").alias("term"))
+    tf = each.groupBy("range", key, "term").agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl")).crossJoin(F.broadcast(totals.select("avgdl")))
+    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return tf.groupBy("range", "term").agg(F.max(share).alias("most"), F.count("*").alias("n"), F.collect_list(F.struct(F.col(key).alias("key"), share.alias("share"))).alias("postings"))
+
+
 def _blocks(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The blocks with their schema, which a corpus without tokens leaves in no file."""
     of = spark.read.parquet(f"{path}/documents").schema[key].dataType.simpleString()
@@ -81,14 +86,16 @@ def _scores(spark: SparkSession, path: str, weighted: DataFrame, chosen: DataFra
 
     Ranges are as many as the corpus needs, so they are never broadcast: blocks of
     query terms are dealt by range, where each meets the queries that chose it.
+    The same holds for allowed documents; the hints keep both from the driver where
+    a shuffle turns out small when packed.
     """
-    takers = chosen.groupBy("range").agg(F.collect_set("item_id").alias("takers"))
+    takers = chosen.groupBy("range").agg(F.collect_set("item_id").alias("takers")).hint("merge")
     blocks = _blocks(spark, path, key).join(small(weighted.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi").join(takers, "range")
     met = blocks.join(small(weighted), ["bucket", "term"]).where(F.array_contains("takers", F.col("item_id")))
     hits = met.select("item_id", "range", "w", F.explode("postings").alias("p"))
     sums = hits.groupBy("item_id", "range", F.col("p.key").alias(key)).agg(F.sum(F.col("w") * F.col("p.share")).alias("score"))
     if allowed is not None:
-        sums = sums.join(spark.read.parquet(f"{path}/documents").where(allowed).select("range", key), ["range", key], "left_semi")
+        sums = sums.join(spark.read.parquet(f"{path}/documents").where(allowed).select("range", key).hint("merge"), ["range", key], "left_semi")
     return sums.select("item_id", key, "score")
 
 
