@@ -4,6 +4,7 @@ import random
 import re
 import statistics
 
+import pyarrow as pa
 import pytest
 
 from docforge.operators import aggregate, evaluate, retrieve
@@ -79,3 +80,22 @@ def test_medians_of_sides_and_of_all(spark):
     df = spark.createDataFrame([(1, 4.0), (2, 8.0), (3, 1.0), (4, float("nan"))], "day int, v double")
     assert {r["name"]: (r["n"], r["value"]) for r in aggregate.aggregate(df, "median", "v", match=df["day"] < 3).collect()}["match"] == (2, 6.0)
     assert [tuple(r) for r in aggregate.aggregate(df, "median", "v").collect()] == [("all matching days", 4, 6.0)]
+
+
+def test_bounded_queries_let_out_only_what_may_be_best(spark, corpus):
+    docs, items, *_ = corpus
+    assert "MapInArrow" in retrieve.hash_top_k(docs, items, 2)._jdf.queryExecution().optimizedPlan().toString()
+    want = retrieve.top_k(retrieve.hash_scores(docs, items), 2)
+    assert rows(retrieve.hash_top_k(docs, items, 2)) == rows(want)
+
+
+def test_sparse_vectors_across_batches_and_signs(spark):
+    rng = random.Random(3)
+    vectors = {i: {s: rng.choice((1.0, 2.0, -1.0, 0.0)) for s in rng.sample(range(9), rng.randint(1, 6))} for i in range(60)}
+    asked = {7: {0: 1.0, 3: 2.0}, 8: {1: 1.0}}
+    flat = pa.table({"doc_id": [i for i, v in vectors.items() for _ in v], "slot": [s for v in vectors.values() for s in v], "value": [x for v in vectors.values() for x in v.values()]})
+    weights = pa.table({"item_id": [i for i, v in asked.items() for _ in v], "slot": [s for v in asked.values() for s in v], "w": [x for v in asked.values() for x in v.values()]})
+    for size in (1, 4, 1000):
+        task, kind = retrieve.sparse_task(weights, "bigint", 9, 100, "doc_id")
+        got = sorted((r["item_id"], r["doc_id"], r["score"]) for b in task(iter(flat.to_batches(max_chunksize=size))) for r in b.to_pylist())
+        assert kind == "bigint" and got == sorted((i, d, sum(w * v.get(s, 0) for s, w in q.items())) for i, q in asked.items() for d, v in vectors.items() if q.keys() & v.keys())
