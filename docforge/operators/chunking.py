@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from docforge.functions.text import SPACE, deal, n_tokens, token_bounds, token_lengths
+from docforge.functions.text import SPACE, deal, n_tokens, parts, token_bounds, token_lengths
 
 #: Fixed values of the chunkers.
 SIZE, OVERLAP, LEAST, HEADINGS = 400, 80, 80, 3
 
 
-def windows_of(df: DataFrame, sizes: dict[str, tuple[int, int]], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def windows_of(df: DataFrame, sizes: dict[str, tuple[int, int]], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
     """(key, *keep, chunker, win, start, end, tokens): windows of each chunker's (size, overlap), one each ``size - overlap``.
 
     Texts become tokens once for all chunkers; windows are cut from the running
-    sums of a text's own row, so neither tokens nor windows are sorted.
+    sums of a text's own row, so neither tokens nor windows are sorted.  With
+    ``outer`` a text without tokens gives one row of nulls.
     """
 
     @F.pandas_udf("chunker array<string>, win array<long>, start array<long>, end array<long>, tokens array<long>")
@@ -37,7 +38,7 @@ def windows_of(df: DataFrame, sizes: dict[str, tuple[int, int]], key: str = "doc
         return pd.DataFrame([one(x) for x in lengths], columns=["chunker", "win", "start", "end", "tokens"], dtype=object)
 
     held = df.select(key, *keep, text).repartition(key).select(key, *keep, cut(token_lengths(F.col(text))).alias("w"))
-    return held.select(key, *keep, F.explode(F.arrays_zip("w.chunker", "w.win", "w.start", "w.end", "w.tokens")).alias("w")).select(key, *keep, "w.*")
+    return held.select(key, *keep, (F.explode_outer if outer else F.explode)(F.arrays_zip("w.chunker", "w.win", "w.start", "w.end", "w.tokens")).alias("w")).select(key, *keep, "w.*")
 
 
 def fixed_windows(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,15 +54,15 @@ CONTRACT = (
 PLAYBOOK = "^## "
 
 
-def lines(df: DataFrame, key: str = "doc_id") -> DataFrame:
+def lines(df: DataFrame, key: str = "doc_id", n: int | None = None) -> DataFrame:
     """(key, doc_type, pos, start, line, own, lead, tokens) of every line; ``own`` is the line without blanks around it.
 
     Texts are dealt by key first, so no line is shuffled.
     """
-    cut = deal(df.select(key, "doc_type", "text"), key).select(key, "doc_type", F.posexplode(F.split("text", r"(?<=\n)", -1)).alias("pos", "line")).where("line <> ''")
+    cut = deal(df.select(key, "doc_type", "text"), key, n=n).select(key, "doc_type", F.posexplode_outer(F.split("text", r"(?<=\n)", -1)).alias("pos", "line")).where("line <> ''")
     own = F.regexp_replace("line", rf"^{SPACE}+|{SPACE}+\z", "")
-    n = F.char_length("line").cast("long")
-    before = F.sum(n).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - n
+    own_length = F.char_length("line").cast("long")
+    before = F.sum(own_length).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - own_length
     lead = F.char_length("line") - F.char_length(F.regexp_replace("line", rf"^{SPACE}+", ""))
     return cut.select(key, "doc_type", "pos", before.alias("start"), "line", own.alias("own"), lead.cast("long").alias("lead"), n_tokens(F.col("line")).alias("tokens"))
 
@@ -104,7 +105,8 @@ def sections(df: DataFrame, key: str = "doc_id", size: int = SIZE, overlap: int
     (for contracts its start is one) falls back to paragraphs.  Short sections
     join the next, long ones become windows; a playbook's stay as they are.
     """
-    rows = _opens(lines(df, key), key)
+    dealt = parts(df)
+    rows = _opens(lines(df, key, dealt), key)
     whole, by = Window.partitionBy(key), Window.partitionBy(key).orderBy("pos")
     contract = ~F.col("doc_type").isin("risk_factors", "playbook")
     n = F.count_if(F.col("opens") & ~(contract & (F.col("start") == 0))).over(whole) + F.when(contract, 1).otherwise(0)
@@ -113,19 +115,20 @@ def sections(df: DataFrame, key: str = "doc_id", size: int = SIZE, overlap: int
     rows = rows.withColumn("boundary", kind).withColumn("opens", F.when(few, F.col("breaks")).otherwise(F.col("opens")))
     rows = rows.where("own <> ''").withColumn("part", F.sum(F.col("opens").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     lo, hi = F.min(F.col("start") + F.col("lead")).alias("start"), F.max(F.col("start") + F.col("lead") + F.char_length("own")).alias("end")
-    parts = rows.groupBy(key, "boundary", "part").agg(lo, hi, F.sum("tokens").alias("tokens"))
-    held = parts.groupBy(key, "boundary").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tokens"))).alias("p"))
+    pieces = rows.groupBy(key, "boundary", "part").agg(lo, hi, F.sum("tokens").alias("tokens"))
+    held = pieces.groupBy(key, "boundary").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tokens"))).alias("p"))
     loose = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: i)
     grouped = held.withColumn("g", F.when(F.col("boundary") == "playbook_heading", loose).otherwise(_gathered(F.col("p.tokens"))))
     each = grouped.select(key, "boundary", F.explode(F.arrays_zip("p", "g")).alias("z")).select(key, "boundary", "z.p.*", "z.g")
     merged = each.groupBy(key, "boundary", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("tokens").alias("tokens"))
     long = (F.col("tokens") > size) & (F.col("boundary") != "playbook_heading")
-    own = ["boundary", "start", "end", "tokens"]
-    text = df.select(key, "text").join(merged.where(long).select(key, F.col("start").alias("at"), F.col("end").alias("to"), "boundary"), key)
-    text = text.select(F.struct(key, "boundary", "at").alias("range"), F.expr("substring(text, cast(at + 1 as int), cast(to - at as int))").alias("text"))
-    wins = fixed_windows(text, size, overlap, "range")
-    split = wins.select(F.col(f"range.{key}").alias(key), "range.boundary", (F.col("range.at") + F.col("start")).alias("start"), (F.col("range.at") + F.col("end")).alias("end"), "tokens")
-    return merged.where(~long).select(key, *own).unionByName(split.select(key, *own))
+    # every section meets its document, dealt alike, and a long one takes its text: lines are made once for both kinds
+    met = merged.join(deal(df.select(key, "text"), key, n=dealt), key, "left")
+    text = F.when(long, F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))"))
+    whole = met.select(key, "boundary", F.struct("start", "end", "tokens").alias("own"), text.alias("text"))
+    wins = windows_of(whole, {"": (size, overlap)}, key, keep=("boundary", "own"), outer=True)
+    at = lambda name: F.coalesce(F.col("own.start") + F.col(name), F.col(f"own.{name}")).alias(name)
+    return wins.select(key, "boundary", at("start"), at("end"), F.coalesce("tokens", "own.tokens").alias("tokens"))
 
 
 def chunk_rows(df: DataFrame, chunker: str = "fixed", key: str = "doc_id") -> DataFrame:

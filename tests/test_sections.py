@@ -90,3 +90,13 @@ def test_playbooks_keep_their_categories(spark):
     df = spark.createDataFrame([(1, "playbook", "# P\nintro\n## 1. One\n" + SENTENCE * 60 + "\n## 2. Two\nx\n")], "doc_id int, doc_type string, text string")
     got = chunking.chunk_rows(df, "section").orderBy("start").collect()
     assert [r["text"].split("\n")[0] for r in got] == ["# P", "## 1. One", "## 2. Two"] and {r["boundary"] for r in got} == {"playbook_heading"}
+
+
+def test_lines_are_made_once_for_short_and_long_sections(spark):
+    long = "1. Alpha beta\n" + "word " * 500 + "\n2. Gamma delta\n" + "term " * 100 + "\n3. Epsilon\n" + "name " * 90
+    df = spark.createDataFrame([(1, "contract", long), (2, "contract", "short"), (3, "contract", None), (None, "contract", "no key")], "doc_id long, doc_type string, text string")
+    made = chunking.sections(df)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and "Union" not in plan
+    got = {i: sorted((r["start"], r["end"], r["tokens"]) for r in made.collect() if r["doc_id"] == i) for i in (1, 2, 3, None)}
+    assert [t for *_, t in got[1]] == [400, 184, 104, 93] and got[2] == [(0, 5, 1)] and not got[3] and got[None] == [(0, 6, 2)]
