@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docforge.functions import extract, filters
 from docforge.functions import text as T
-from docforge.operators import chunking, evaluate, filings, reports, resolve, retrieve
+from docforge.operators import chunking, evaluate, filings, reports, resolve, windowed
 from docforge.plans import answer
 from docforge.plans.catalogue import _BM25, _GOLD, _TILES, _t, query
 from docforge.session import forget, shared_dir
@@ -73,25 +73,12 @@ FROM per LEFT JOIN wr USING (arm, scope, item_id) GROUP BY 1, 2""".replace("KIND
 @query(f"WITH {_TILES}, cnt AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), {_wins_end('fixed', 400, 320)}, {_wins_end('narrow', 120, 100)}, {_arm_sql('fixed')}, {_arm_sql('narrow')}, {_GOLD}, {_ARMS}")
 def scoped_arms(s, d):
     """Two chunkers by two scopes: each chunker's chunks are scored once."""
-    docs, items = _t(s, d, "documents"), _t(s, d, "benchmark")
-    kinds = docs.select("doc_id", "text", F.expr(_KIND).alias("doc_type"))
-    scored, made = [], []
-    for name, size, over in (("fixed", 400, 80), ("narrow", 120, 20)):
-        wins = chunking.fixed_windows(docs, size, over).join(kinds, "doc_id")
-        chunks = wins.select((F.col("doc_id") * 100000 + F.col("win")).alias("chunk_id"), "doc_id", "doc_type", "start", "end", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("text"))
-        # written once: corpus counts, postings and ranges all read them
-        path = shared_dir(s)
-        forget(s, path)
-        chunks.write.parquet(path)
-        chunks = s.read.parquet(path)
-        # a chunk's number holds its document's, so pairs need no join to be ranked
-        scored.append(retrieve.bm25_scores(chunks, items, key="chunk_id").select(F.lit(name).alias("arm"), "item_id", "chunk_id", F.expr("chunk_id div 100000").alias("doc_id"), "score"))
-        made.append(chunks.select(F.lit(name).alias("arm"), "chunk_id", "doc_type", "start", "end"))
-    # read four times, and a written table's size tells whether it is broadcast
+    docs, items = _t(s, d, "documents").select("doc_id", "text", F.expr(_KIND).alias("doc_type")), _t(s, d, "benchmark")
+    # read several times, and a written table's size tells whether it is broadcast
     path = shared_dir(s)
     forget(s, path)
     evaluate.gold_spans(docs, items).write.parquet(path)
-    return evaluate.scope_table(scored[0].unionByName(scored[1]), s.read.parquet(path), chunks=made[0].unionByName(made[1]))
+    return windowed.scoped_arms(docs, items, s.read.parquet(path), {"fixed": (400, 80), "narrow": (120, 20)})
 
 
 _DAY_SQL = "SELECT ts::DATE AS date, strftime(ts::DATE, '%Y-%m-%d') || ': ' || count(*) || ' events, ' || count(*) FILTER (WHERE event_type = 'purchase') || ' purchases' AS text FROM events GROUP BY ts::DATE"
